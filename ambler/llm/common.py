@@ -9,8 +9,11 @@ same schema, and columns beyond those an operator needs are ignored.
 from __future__ import annotations
 
 import atexit
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the executors' Python, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_ambler_shipped", False):
+        return
+    top = pathlib.Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="ambler-package-")  # the driver serves it to executors while it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    packed = pathlib.Path(folder, "ambler_package.zip")
+    with zipfile.ZipFile(packed, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    context.addPyFile(str(packed))
+    context._ambler_shipped = True
+
+
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on: small Arrow batches."""
+    """What the operators rely on: the package on the executors, small Arrow batches."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -45,7 +65,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
@@ -56,7 +76,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/ambler/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     return path
 
 
@@ -73,7 +93,7 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files of a table that ``materialise`` gave and nothing needs any more."""
     for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         if "/ambler/" in f:
-            _delete(spark, f)
+            delete(spark, f)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

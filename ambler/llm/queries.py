@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, token_counts, token_files
+from . import common, near_dup, token_counts, token_files
+
+
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(common.table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +21,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op8_token_counts, op9_token_files)}
+    return {f.__name__: f for f in (op5_near_dup, op8_token_counts, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
