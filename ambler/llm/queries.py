@@ -5,13 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, near_dup, token_counts, token_files
+from . import common, mixing, near_dup, sharding, token_counts, token_files
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(common.table(spark, sf_dir, "documents"), shards=16)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.link(common.table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(common.table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -21,7 +29,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_near_dup, op8_token_counts, op9_token_files)}
+    return {f.__name__: f for f in (op4_sharding, op5_near_dup, op6_mixing, op8_token_counts, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
