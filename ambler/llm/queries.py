@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, near_dup, sharding, token_counts, token_files
+from . import common, mixing, near_dup, sharding, token_counts, token_files, toxicity
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -29,7 +33,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_sharding, op5_near_dup, op6_mixing, op8_token_counts, op9_token_files)}
+    return {f.__name__: f for f in (op4_sharding, op5_near_dup, op6_mixing, op7_toxicity, op8_token_counts, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
