@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, near_dup, quality_net, sharding, token_counts, token_files, toxicity
+from . import common, mixing, near_dup, quality_net, quality_rules, sharding, token_counts, token_files, toxicity
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_quality_classifier, op4_sharding, op5_near_dup, op6_mixing, op7_toxicity, op8_token_counts, op9_token_files)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_sharding, op5_near_dup, op6_mixing, op7_toxicity, op8_token_counts, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,11 +22,13 @@ chunks/    part int, seq int                   order of chunks
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,8 +39,22 @@ MAX_BITS = 16
 BLOCK = 256
 #: Ids of a chunk, at least (a document is never cut).
 CHUNK_IDS = 1 << 19
-#: Entries of a worker's word table before it is started anew; a bound of memory only.
-TABLE_ENTRIES = 600_000
+#: Entries of a worker's tables before they are started anew; bounds of memory only.
+WORD_ENTRIES = 150_000
+PIECE_ENTRIES = 900_000
+#: Up to here every letter is its own NFC form.
+LAST_LATIN = "\u024f"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that byte-level tokenizers write for each byte: itself if it is
+    printable and no space, else the next unused one from 256 up."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
+
+
+BYTE_LETTERS = _byte_letters()
 MAGIC = b"HUF1"
 
 
@@ -47,31 +63,60 @@ MAGIC = b"HUF1"
 class WordIds(dict):
     """Word (bytes between ASCII spaces) to its ids as packed little-endian integers.
 
-    The tokenizer drops white space and cuts at it, so a text's ids are those of its words.
+    The tokenizer drops white space and cuts at it, so a text's ids are those of its
+    words, and a word's those of its pre-tokens, each of which the library encodes
+    once while the table holds it. Words with characters beyond Latin letters, or
+    with the start of a special string, go to the library whole.
     """
 
     def __init__(self, tokenizer_path: str, dtype: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        library = Tokenizer.from_file(tokenizer_path)
+        self.encode_word, self.merge = library.encode, library.model.tokenize
         self.dtype = dtype
-
-    def learn(self, words: list[bytes]) -> None:
-        new = list({w for w in words if w not in self})
-        if new:
-            got = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            for w, e in zip(new, got, strict=True):
-                self[w] = np.array(e.ids, self.dtype).tobytes()
+        self.older: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        with open(tokenizer_path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+        self.split = regex.compile(cuts[0]["pattern"]["Regex"]).findall if known else None
+
+    def _packed(self, word: str) -> bytes:
+        return np.array(self.encode_word(word, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A pre-token's ids from the library's model, which takes bytes as printable letters."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return np.array([t.id for t in self.merge(piece)], self.dtype).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            text = word.decode("utf-8", "replace")
+            if self.split is None or "<|" in text or max(text) > LAST_LATIN:
+                found = self._packed(text)
+            else:
+                found = b""
+                for piece in self.split(text.lower()):
+                    ids = self.pieces.get(piece)
+                    if ids is None:
+                        ids = self.pieces[piece] = self._piece(piece)
+                    found += ids
+        self[word] = found
+        return found
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            if len(self) > TABLE_ENTRIES:
-                self.clear()
-            self.learn(words)
-            return b"".join(map(self.__getitem__, words))
+        found = b"".join(map(self.__getitem__, text.split()))
+        if len(self) > WORD_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+        if len(self.pieces) > PIECE_ENTRIES:
+            self.pieces.clear()
+        return found
 
 
 _words: dict[tuple[str, str], WordIds] = {}
@@ -196,81 +241,90 @@ def _id_type(tokenizer_path: str) -> tuple[str, int]:
     return ("<u2" if n <= 1 << 16 else "<u4"), n
 
 
-def id_counts(docs: DataFrame, tokenizer_path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs in all documents. The driver gets a row per id of the vocabulary at most."""
-    dtype, vocab = _id_type(tokenizer_path)
-    size = max(vocab, end_id + 1)
+_CHUNK = "part int, seq int, local_start long, n_ids long, doc_ids array<long>, doc_lens array<int>, data binary"
 
-    def run(batches):
-        words, total = _word_ids(tokenizer_path, dtype), np.zeros(size, np.int64)
-        for b in batches:
-            found = common.byte_texts(b.column(0))
-            for i in range(0, len(found), 64):
-                total += np.bincount(np.frombuffer(b"".join(map(words.encode, found[i : i + 64])), dtype), minlength=size)
-            total[end_id] += len(found)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["symbol", "n"])
 
-    counts = np.zeros(size, np.int64)
-    got = docs.select("text").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
-    counts[got["symbol"].to_numpy()] = got["n"].to_numpy()
-    return counts
+def _chunk(part, seq, start, n, ids, lens, data) -> list[pa.Array]:
+    return [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([data], pa.binary())]
 
 
-def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> None:
-    """Writes the ids of all documents to ``path`` in ascending doc_id order (null ids
-    first, equal ids by text). An empty table gives an empty codebook and no chunks."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    dtype, _ = _id_type(tokenizer_path)
-    lengths = code_lengths(id_counts(docs, tokenizer_path, end_id))
-    codes = canonical_codes(lengths)
-    used = np.flatnonzero(lengths)
-    spark.createDataFrame(pa.table({"symbol": used.astype(np.int32), "length": lengths[used].astype(np.int32)})).coalesce(1).write.parquet(f"{path}/codebook")
-    book = spark.sparkContext.broadcast((lengths, codes))  # one entry per id of the vocabulary
+def _plain_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
+    """Writes chunks of plain ids in ascending doc_id order, and with a task's last chunk
+    how often each id occurs in the task: texts are tokenized once."""
+    dtype, vocab = _id_type(tokenizer_path)
+    size = max(vocab, end_id + 1)
+    fields = [f.split()[0] for f in _CHUNK.split(", ")] + ["symbols", "counts"]
 
     def run(batches):
-        words, (length, code) = _word_ids(tokenizer_path, dtype), book.value
+        words, width = _word_ids(tokenizer_path, dtype), np.dtype(dtype).itemsize
         part, seq, start = TaskContext.get().partitionId(), 0, 0
-        tail = np.array([end_id], dtype).tobytes()
+        tail, total = np.array([end_id], dtype).tobytes(), np.zeros(size, np.int64)
         ids, lens, parts, n = [], [], [], 0
 
-        def chunk():
-            data = pack(np.frombuffer(b"".join(parts), dtype), length, code)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([data], pa.binary())],
-                ["part", "seq", "local_start", "n_ids", "doc_ids", "doc_lens", "data"],
-            )
+        def chunk(last):
+            data = b"".join(parts)
+            total[:] += np.bincount(np.frombuffer(data, dtype), minlength=size)
+            at = np.flatnonzero(total) if last else np.zeros(0, np.int64)
+            more = [pa.array([at], pa.list_(pa.int32())), pa.array([total[at]], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(_chunk(part, seq, start, n, ids, lens, data) + more, fields)
 
-        width = np.dtype(dtype).itemsize
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), common.byte_texts(b.column(1)), strict=True):
+                if n >= CHUNK_IDS:
+                    yield chunk(False)
+                    seq, start = seq + 1, start + n
+                    ids, lens, parts, n = [], [], [], 0
                 own = words.encode(text) + tail
                 ids.append(doc)
                 lens.append(len(own) // width)
                 parts.append(own)
                 n += lens[-1]
-                if n >= CHUNK_IDS:
-                    yield chunk()
-                    seq, start = seq + 1, start + n
-                    ids, lens, parts, n = [], [], [], 0
         if n:
-            yield chunk()
+            yield chunk(True)
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(parts, F.asc_nulls_first("doc_id"))
+        .repartitionByRange(tasks, F.asc_nulls_first("doc_id"))
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
-        .mapInArrow(run, "part int, seq int, local_start long, n_ids long, doc_ids array<long>, doc_lens array<int>, data binary")
-        .write.option("compression", "uncompressed")
-        .parquet(f"{path}/chunks")
+        .mapInArrow(run, f"{_CHUNK}, symbols array<int>, counts array<long>")
+        .write.option("compression", "zstd")
+        .parquet(path)
     )
 
 
+def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> None:
+    """Writes the ids of all documents to ``path`` in ascending doc_id order (null ids
+    first, equal ids by text). An empty table gives an empty codebook and no chunks."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    dtype, vocab = _id_type(tokenizer_path)
+    plain = common.new_path(spark, "plain-ids")
+    _plain_ids(docs, tokenizer_path, end_id, plain)
+    chunks = spark.read.schema(f"{_CHUNK}, symbols array<int>, counts array<long>").parquet(plain)
+    # the driver gets a row per id of the vocabulary at most
+    got = chunks.select(F.inline(F.arrays_zip("symbols", "counts"))).groupBy("symbols").agg(F.sum("counts").alias("n")).toArrow()
+    counts = np.zeros(max(vocab, end_id + 1), np.int64)
+    counts[got["symbols"].to_numpy()] = got["n"].to_numpy()
+    lengths = code_lengths(counts)
+    used = np.flatnonzero(lengths)
+    spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "symbol int, length int").coalesce(1).write.parquet(f"{path}/codebook")
+    book = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))  # one entry per id of the vocabulary
+
+    def run(batches):
+        length, code = book.value
+        for b in batches:
+            for row in b.to_pylist():
+                row["data"] = pack(np.frombuffer(row["data"], dtype), length, code)
+                yield pa.RecordBatch.from_arrays(_chunk(*row.values()), list(row))
+
+    chunks.drop("symbols", "counts").mapInArrow(run, _CHUNK).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+    common.delete(spark, plain)
+
+
 def read_codebook(spark: SparkSession, path: str) -> np.ndarray:
     got = spark.read.parquet(f"{path}/codebook").toArrow()
-    lengths = np.zeros(1 + max(got["symbol"].to_pylist(), default=0), np.uint8)
+    lengths = np.zeros(1 + max(got["symbol"].to_pylist(), default=0), np.int64)
     lengths[got["symbol"].to_numpy()] = got["length"].to_numpy()
     return lengths
 
