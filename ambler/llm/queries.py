@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, mixing, near_dup, quality_net, quality_rules, sharding, token_counts, token_files, toxicity
+from . import common, decontaminate, licenses, mixing, near_dup, quality_net, quality_rules, sharding, token_counts, token_files, toxicity
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.table(spark, sf_dir, "documents"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +44,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_sharding, op5_near_dup, op6_mixing, op7_toxicity, op8_token_counts, op9_token_files)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_sharding, op5_near_dup, op6_mixing, op7_toxicity, op8_token_counts, op9_token_files, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
