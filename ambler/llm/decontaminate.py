@@ -200,6 +200,10 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item; rows with a null doc_id stay."""
-    bad = common.materialise(find(docs, benchmark).select("doc_id").filter("doc_id IS NOT NULL").distinct(), "contaminated")
-    return docs.join(common.broadcast_if_small(bad, 500_000), "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs`` that hold no item, all columns kept."""
+    spark = docs.sparkSession
+    common.prepare(spark)
+    for items in _blocks(benchmark):
+        templates = spark.sparkContext.broadcast(Templates(items))
+        docs = common.filter_rows(docs, lambda text, t=templates: [not t.value.matches(x) for x in common.byte_texts(text)], "text")
+    return docs

@@ -138,3 +138,19 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     taken = F.col("passes") * F.col("size") + until("end", "b1", "got1", "before1") - until("begin", "b0", "got0", "before0")
     out = ["doc_id", "size", "source_size", "target"]
     return at.select(*out, taken.cast("long").alias("taken")).unionByName(placed.filter("size = 0").select(*out, F.lit(0).cast("long").alias("taken")))
+
+
+def mixed(docs: DataFrame, seed: int = 17) -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, columns kept.
+
+    A row stays once for each whole time its words are taken, and once more with the
+    chance of the share that is left over, drawn from a seeded hash of its doc_id. Rows
+    without words weigh nothing and stay once. A doc_id that repeats is drawn by the mean
+    of its rows; a null doc_id counts as one.
+    """
+    takes = mix(docs, seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(1).cast("int")
+    takes = takes.select(F.col("doc_id").alias("_id"), times.alias("_times")).filter("_times > 0")
+    own = docs.join(takes, docs["doc_id"].cast("long").eqNullSafe(takes["_id"]))
+    return own.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)

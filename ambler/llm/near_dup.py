@@ -5,14 +5,16 @@
    smallest member. An empty bin takes the value of the first filled bin in a fixed
    random order of its own (optimal densification).
 2. Documents with equal sets form a class, whose smallest doc_id stands for it.
-3. Bins are cut into bands; a band's values name a bucket. In each bucket one
-   member is the centre and only centre-member edges become candidates. Where
-   members of a bucket are still in different components, new centres follow, in
-   twice as many lanes each round, until no two members are left uncompared: the
-   edges are stars, but no link between bucket mates is lost.
-4. Candidates whose signatures can't reach the threshold go; the others are
-   confirmed on full sets, and components are joined by alternating large and
-   small stars.
+3. Bins are cut into bands; a band's values name a bucket. In each bucket one member
+   is the centre, the one with most bucket mates, and only centre-member edges become
+   candidates: stars, as many edges as rows.
+4. Candidates whose signatures can't reach the threshold go; the others are confirmed
+   on full sets, and components are joined by alternating large and small stars.
+5. Buckets that still hold different components are cut into blocks of bounded size,
+   and pairs of blocks are compared in memory: first by signature, which shows the
+   members that matter, then these on full sets. A task emits no more links than
+   join its members, so no group's pairs are ever written, yet no link between bucket
+   mates is lost.
 
 With 128 bins in 32 bands of 4, a pair at 0.75 shares no bucket once in 190,000
 pairs, and rarer above it. Nothing is collected to the driver but counts.
@@ -25,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -38,6 +41,8 @@ SKETCH_LEAST = 0.55
 #: Document ids that may be broadcast to pick texts; beyond it the texts are shuffled.
 BROADCAST_IDS = 500_000
 TABLE_ENTRIES = 300_000
+#: Members of a bucket in one block, about; a task compares two blocks at a time.
+BLOCK_ROWS = 256
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 #: Row i: the order in which empty bin i looks for a filled one.
@@ -139,8 +144,92 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
 
-def _order(node):
-    return F.xxhash64(node)
+def _blocks(batches):
+    """Streams the row groups of equal (key, i, j), which come sorted."""
+    held = None
+    for b in batches:
+        keys = np.column_stack([b.column(k).to_numpy() for k in range(3)])
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]]) if len(keys) else []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = pa.Table.from_batches([b.slice(x, y - x)])
+            if held is not None and tuple(keys[x]) == held[0]:
+                held = (held[0], [*held[1], rows])
+            else:
+                if held is not None:
+                    yield pa.concat_tables(held[1])
+                held = (tuple(keys[x]), [rows])
+    if held is not None:
+        yield pa.concat_tables(held[1])
+
+
+def _pairs_of_block(t: pa.Table):
+    """Places of the pairs of one group that may be links, best first: of different
+    components, not compared with the centre before, alike by signature, and of blocks
+    i and j (a pair within one block is compared where i = j only)."""
+    comp, block, centre = (t.column(c).to_numpy() for c in ("comp", "block", "was"))
+    sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, BINS)
+    i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    alike = np.concatenate([(sketch[left[k : k + 64], None] == sketch[None, right]).mean(2) for k in range(0, len(left), 64)])
+    fit = (alike >= SKETCH_LEAST) & (comp[left][:, None] != comp[right]) & ~centre[left][:, None] & ~centre[right]
+    if i == j:
+        fit &= left[:, None] < right
+    x, y = np.nonzero(fit)
+    order = np.argsort(-alike[x, y], kind="stable")
+    return left[x[order]], right[y[order]]
+
+
+def _flag(batches):
+    """(key, node) of members that have a likely partner."""
+    for t in _blocks(batches):
+        x, y = _pairs_of_block(t)
+        at = np.unique(np.concatenate([x, y]))
+        if len(at):
+            got = t.take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([got.column("key").chunk(0), got.column("node").chunk(0)], ["key", "node"])
+
+
+def _link_blocks(batches):
+    """Confirmed links of each group that join different components."""
+    for t in _blocks(batches):
+        x, y = _pairs_of_block(t)
+        if not len(x):
+            continue
+        key = t.column("key")[0].as_py()
+        node, comp = t.column("node").to_pylist(), t.column("comp").to_pylist()
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        sets = [np.frombuffer(m, np.uint64) for m in t.column("members").to_pylist()]
+        same = bands[x] == bands[y]
+        first = bands[x, same.argmax(1)] == key  # every pair is compared in the first bucket it shares
+        root: dict[int, int] = {}
+
+        def find(c, root=root):
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for p, q in zip(x[first], y[first], strict=True):
+            u, v = find(comp[p]), find(comp[q])
+            if u == v:
+                continue
+            both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+            if 100 * both >= PERCENT * (len(sets[p]) + len(sets[q]) - both):
+                root[max(u, v)] = min(u, v)
+                a.append(node[p])
+                b.append(node[q])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def _in_blocks(members: DataFrame, function, schema: str) -> DataFrame:
+    """Deals (key, node, ...) rows to pairs of blocks of their bucket and streams each pair."""
+    size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), *[c for c in rows.columns if c not in ("key", "other", "blocks")])
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(function, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -190,30 +279,25 @@ def link(docs: DataFrame) -> DataFrame:
     heads = common.materialise(heads.select("node", "bands", "sketch"), "heads")
 
     rows = heads.select("node", F.explode("bands").alias("key"))
-    centres = rows.groupBy("key").agg(F.min(F.struct(_order("node").alias("o"), "node")).getField("node").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = common.materialise(rows.join(centres, "key"), "buckets")
-    used = buckets.select("key", F.col("centre").alias("node")).distinct()
+    mates = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = common.materialise(rows.join(mates, "key"), "shared-buckets")
+    degree = shared.groupBy("node").agg(F.sum("n").alias("d"))
+    ranked = shared.join(degree, "node").select("key", "node", "d")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("d", F.xxhash64("node").alias("o"), "node")).getField("node").alias("centre"))
+    buckets = common.materialise(shared.select("key", "node").join(centres, "key"), "buckets")
     pairs = buckets.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).filter("a != b").distinct()
-    buckets = buckets.select("key", "node")
     sketches = heads.select("node", "sketch")
-    comps, lanes = None, 1
-    while True:
-        edges = _verify(docs, sketches, pairs)
-        comps = _merge(comps, edges)
-        at = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-        at = at.join(used.withColumn("was", F.lit(True)), ["key", "node"], "left").withColumn("was", F.coalesce("was", F.lit(False)))
-        at = common.materialise(at, "bucket-members")
-        open_ = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.when(F.col("was"), 0).otherwise(1)).alias("left")).filter("x != y AND left > 1").select("key")
-        at = common.materialise(at.join(open_, "key", "left_semi"), "open-buckets")
-        if at.isEmpty():
-            break
-        lanes *= 2
-        lane = F.pmod(F.xxhash64("node", "key"), F.lit(lanes))
-        new = at.filter("NOT was").groupBy("key", lane.alias("lane")).agg(F.min(F.struct(_order("node").alias("o"), "node", "comp")).alias("c")).select("key", F.col("c.node").alias("centre"), F.col("c.comp").alias("other"))
-        new = common.materialise(new, "centres")
-        pairs = at.filter("NOT was").join(new, "key").filter("comp != other").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        used = common.materialise(at.filter("was").select("key", "node").unionByName(new.select("key", F.col("centre").alias("node"))).distinct(), "used")
-        buckets = at.select("key", "node")
+    comps = _merge(None, _verify(docs, sketches, pairs))
+
+    at = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("centre")).alias("was"))
+    at = common.materialise(at, "members")
+    open_ = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.when(F.col("was"), 0).otherwise(1)).alias("left")).filter("x != y AND left > 1").select("key")
+    at = at.join(open_, "key", "left_semi").join(sketches, "node")
+    flags = common.materialise(_in_blocks(at, _flag, "key long, node long").distinct(), "flags")
+    if not flags.isEmpty():
+        sets = _sets_of(docs, flags.select(F.col("node").alias("doc_id")).distinct())
+        rows = at.join(flags, ["key", "node"], "left_semi").join(heads.select("node", "bands"), "node").join(sets, "node")
+        comps = _merge(comps, common.materialise(_in_blocks(rows, _link_blocks, "a long, b long"), "links"))
 
     member = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["n_shingles", "fp1", "fp2"], "left")
     node = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id"))
@@ -222,12 +306,31 @@ def link(docs: DataFrame) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, that of the smallest doc_id; of rows that
+    repeat this doc_id the first by text. Rows without words, and those with a null
+    doc_id, all stay. Columns are kept."""
+    kept = common.materialise(link(docs).filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("times"), F.max("n_shingles").alias("words")), "kept")
+    out = docs.join(common.broadcast_if_small(kept.select("doc_id"), BROADCAST_IDS), "doc_id", "left_semi").select(docs.columns)
+    repeated = kept.filter("times > 1 AND words > 0").select("doc_id")
+    if not repeated.isEmpty():
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+        again = out.join(repeated, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+        out = out.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    return out.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def _verify(docs: DataFrame, sketches: DataFrame, pairs: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose full sets are similar enough."""
     both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
     likely = common.materialise(both.select("a", "b", "x", "y").mapInArrow(_sketch_filter, "a long, b long"), "likely-pairs")
-    ids = common.materialise(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    own = docs.join(common.broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
-    sets = common.materialise(own.mapInArrow(_sets, "node long, members binary"), "sets")
+    sets = _sets_of(docs, likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     return common.materialise(full.select("a", "b", "x", "y").mapInArrow(_confirm, "a long, b long").distinct(), "links")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, members) of some documents."""
+    ids = common.materialise(ids, "ids")
+    own = docs.join(common.broadcast_if_small(ids, BROADCAST_IDS), "doc_id", "left_semi").select("doc_id", "text")
+    return common.materialise(own.mapInArrow(_sets, "node long, members binary"), "sets")

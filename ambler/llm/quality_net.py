@@ -204,6 +204,23 @@ def fit(docs: DataFrame, labels: DataFrame):
     return vectors, Network(x[order], y[order])
 
 
+def _scorer(docs: DataFrame, labels: DataFrame):
+    vectors, model = fit(docs, labels)
+    model = docs.sparkSession.sparkContext.broadcast(model)
+
+    def probability(column: pa.Array) -> np.ndarray:
+        x = pooled([slots_of(t) for t in common.byte_texts(column)], vectors.value)
+        return model.value(x) if callable(model.value) else np.full(len(x), model.value)
+
+    return probability
+
+
+def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all columns kept."""
+    probability = _scorer(docs, labels)
+    return common.filter_rows(docs, lambda text: probability(text) >= threshold, "text")
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for each row.
 
@@ -211,14 +228,11 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     Without labels of both classes the score is the share of label 1, or 0.5. A doc_id
     labelled twice counts as good if one label says so; null labels are no labels.
     """
-    vectors, model = fit(docs, labels)
-    model = docs.sparkSession.sparkContext.broadcast(model)
+    probability = _scorer(docs, labels)
 
     def run(batches):
         for b in batches:
-            x = pooled([slots_of(t) for t in common.byte_texts(b.column(1))], vectors.value)
-            p = model.value(x) if callable(model.value) else np.full(len(x), model.value)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probability(b.column(1)))], ["doc_id", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
