@@ -32,6 +32,8 @@ LEAST_WORDS = 5
 COVERAGE = 0.5
 #: Share of placeholders above which a window says too little.
 MOST_SLOTS = 0.5
+#: Different words besides placeholders that an alignment must cover.
+LEAST_LITERALS = 5
 BLOCK_WINDOWS = 500_000
 TABLE_ENTRIES = 200_000
 
@@ -45,7 +47,7 @@ UNITS = frozenset(
 )
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0xA5A5000000000001, 0xA5A5000000000002, 0xA5A5000000000003))
 
-_find = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+").findall
+_find = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_][^\W_]*").findall
 _tail = re.compile(r"[.!?][^\w\s]*$").search
 _P = common.mix(np.arange(1, 65, dtype=np.uint64) * common.M1) | np.uint64(1)
 _FILTER = (1 << 20) - 1
@@ -140,7 +142,8 @@ class Templates:
             for p in places:
                 covered[p : p + width] = True
             share = float(covered.mean())
-            if share < COVERAGE:
+            literal = own[covered & ~np.isin(self.forms[k][kind], (NUMBER, UNIT, NAME))]
+            if share < COVERAGE or len(np.unique(literal)) < LEAST_LITERALS:
                 continue
             changed, slot = False, {}
             for p in np.flatnonzero(covered).tolist():
@@ -176,8 +179,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Clean documents, null and empty texts have no row. A row with a null doc_id that
     holds an item keeps its null id. Repeated rows give repeated results. Items without
-    id or text, or of fewer than five words, match nothing; an item_id given twice may
-    be found by either text.
+    id or text, or of fewer than five words besides placeholders, match nothing; an
+    item_id given twice may be found by either text.
     """
     spark = docs.sparkSession
     common.prepare(spark)
