@@ -133,7 +133,8 @@ def mix(docs: DataFrame, seed: int = 17) -> DataFrame:
     filled = placed.filter("size > 0").select("*", F.expr(f"begin div {BLOCK}").alias("b0"), F.expr(f"(end - 1) div {BLOCK}").alias("b1"))
     lo = cut.select("sid", "shard", F.col("block").alias("b0"), F.col("got").alias("got0"), F.col("before").alias("before0"), "passes")
     hi = cut.select("sid", "shard", F.col("block").alias("b1"), F.col("got").alias("got1"), F.col("before").alias("before1"))
-    at = filled.join(lo, ["sid", "shard", "b0"]).join(hi, ["sid", "shard", "b1"])
+    # the planner can't see how many blocks a shard has and would broadcast them all
+    at = filled.join(lo.hint("merge"), ["sid", "shard", "b0"]).join(hi.hint("merge"), ["sid", "shard", "b1"])
     until = lambda x, b, got, before: F.col(before) + F.least(F.col(got), F.col(x) - F.col(b) * BLOCK)
     taken = F.col("passes") * F.col("size") + until("end", "b1", "got1", "before1") - until("begin", "b0", "got0", "before0")
     out = ["doc_id", "size", "source_size", "target"]
