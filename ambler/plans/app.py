@@ -49,9 +49,8 @@ class SamplingApp:
 
     ``next``: a Column builder that gives the place of the chosen neighbour among the
     transit's, or null to end; by default uniform. ``weighted`` chooses by edge weight
-    instead. ``stop``: a Column builder, true where the sample ends before the choice.
-    ``state``: names of columns that ``seeds`` gives and ``update`` may change after each
-    choice; ``transit``: overrides the next transit (else the chosen vertex).
+    instead. ``end``: the chance that a sample ends before a choice. ``stop``: a Column
+    builder, true where it ends.
     """
 
     name: str
@@ -60,6 +59,7 @@ class SamplingApp:
     seeds: Callable[[Graph], DataFrame] | None = None
     next: Callable[[StepContext], Column] | None = None
     weighted: bool = False
+    end: float | None = None
     stop: Callable[[StepContext], Column] | None = None
     sampling_type: SamplingType = SamplingType.INDIVIDUAL
     output: OutputFormat = OutputFormat.SAMPLED_VERTICES
@@ -68,6 +68,10 @@ class SamplingApp:
     def size(self, step: int) -> int:
         return self.step_size if isinstance(self.step_size, int) else self.step_size[step]
 
+    def is_plain(self) -> bool:
+        """Whether all choices are named, not Columns."""
+        return self.next is None and self.stop is None and all(self.size(k) > 0 for k in range(self.steps))
+
     def outputs_until(self, step: int) -> int:
         """Outputs of a sample up to and with ``step``; before the first step its seeds."""
         if step < 0:

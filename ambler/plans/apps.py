@@ -36,7 +36,7 @@ def deepwalk(steps: int = STEPS, samples: int | None = None) -> SamplingApp:
 
 def ppr(steps: int = STEPS, samples: int | None = None, end: float = 0.01) -> SamplingApp:
     """As deepwalk; before each choice a walk ends with chance ``end``."""
-    return SamplingApp("ppr", steps, 1, _walk_seeds(samples), weighted=True, stop=lambda c: c.u(1) < end)
+    return SamplingApp("ppr", steps, 1, _walk_seeds(samples), weighted=True, end=end)
 
 
 def khop(sizes=(25, 10), samples: int | None = None) -> SamplingApp:

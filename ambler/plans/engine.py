@@ -4,8 +4,11 @@ A frontier row knows its transit's degree (and total weight), so the choice is m
 before the join and the join key is (transit, cell): one row of the index, or the two
 or three rows of one cell. The index is partitioned by that key once and kept; a step
 shuffles only the frontier. Rows that have ended carry a key of their own that meets
-nothing, so they don't gather in one task. Strategy ``sample`` broadcasts the index,
-``transit`` shuffles, ``auto`` counts the index and broadcasts within ``BROADCAST_ROWS``.
+nothing, so they don't gather in one task.
+
+Strategy ``transit`` is this, for graphs of any size. ``sample`` gives every worker the
+whole graph: plain apps run all their steps inside a task (``plans/local.py``), others join
+a broadcast index. ``auto`` counts the edges and takes ``sample`` within ``BROADCAST_ROWS``.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
 from .app import ALL_NEIGHBORS, SamplingApp, StepContext
+from .local import run_local
 
-#: Rows of an index (some 30 bytes each) up to which it is broadcast.
+#: Edges (some 20 bytes each in a worker) up to which each worker gets the whole graph.
 BROADCAST_ROWS = 4_000_000
 #: Steps between checkpoints of a long walk.
 CHECKPOINT_EVERY = 25
@@ -65,15 +69,19 @@ class SamplingRun:
         return found.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(base - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(fill))).alias("vertices"))
 
 
-def prepared_index(graph: Graph, weighted: bool, strategy: str = "auto") -> tuple[DataFrame, bool]:
-    """(index, broadcast?) for the joins of a run."""
+def chosen(graph: Graph, strategy: str) -> str:
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
+    if strategy != "auto":
+        return strategy
+    return "sample" if graph.n_edges <= BROADCAST_ROWS else "transit"
+
+
+def prepared_index(graph: Graph, weighted: bool, strategy: str = "auto") -> tuple[DataFrame, bool]:
+    """(index, broadcast?) for the joins of a run."""
     index = graph.weighted_index if weighted else graph.uniform_index
-    if strategy == "auto":
-        strategy = "sample" if graph.n_edges * (2 if weighted else 1) <= BROADCAST_ROWS else "transit"
-    if strategy == "sample":
-        return index, True
+    if chosen(graph, strategy) == "sample":
+        return index.persist(StorageLevel.MEMORY_AND_DISK), True
     parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
     return index.repartition(parts, "vertex", "cell").persist(StorageLevel.MEMORY_AND_DISK), False
 
@@ -89,6 +97,8 @@ def step_join(rows: DataFrame, index: DataFrame, broadcast: bool, app: SamplingA
     """Chooses for each frontier row and joins: adds vertex, v_degree, v_total (null where it ended)."""
     context = StepContext(step, seed, F.col("degree"), F.col("total"), F.col("transit"), slot, {c: F.col(c) for c in rows.columns})
     alive = F.col("transit").isNotNull() & (F.col("degree") > 0)
+    if app.end is not None:
+        alive = alive & (context.u(1) >= app.end)
     if app.stop is not None:
         alive = alive & ~app.stop(context)
     if app.weighted:
@@ -116,6 +126,8 @@ def step_join(rows: DataFrame, index: DataFrame, broadcast: bool, app: SamplingA
 def run(graph: Graph, app: SamplingApp, seed: int = 42, strategy: str = "auto", checkpoint_every: int = CHECKPOINT_EVERY) -> SamplingRun:
     """All steps of an app. A walk's rows carry their path, one row a sample; a fan-out's
     steps are united."""
+    if app.is_plain() and chosen(graph, strategy) == "sample":
+        return SamplingRun(app, graph, run_local(graph, app, seed))
     if all(app.size(k) == 1 for k in range(app.steps)):
         return SamplingRun(app, graph, _walk(graph, app, seed, strategy, checkpoint_every))
     return SamplingRun(app, graph, _fan_out(graph, app, seed, strategy))
@@ -135,7 +147,7 @@ def _walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_e
 
 def path_rows(rows: DataFrame) -> DataFrame:
     """Sample rows from (sample_id, slot, path), whose first element is the seed."""
-    long = rows.filter(F.size("path") > 1).select("sample_id", "slot", "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("k"))
+    long = rows.filter(F.size("path") > 1).select("sample_id", F.col("slot").cast("long").alias("slot"), "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("k"))
     return long.select("sample_id", (F.col("k") - 1).alias("step"), "slot", F.col("slot").alias("parent_slot"), F.get("path", F.col("k") - 1).alias("transit"), F.get("path", F.col("k")).alias("vertex"))
 
 
@@ -151,7 +163,7 @@ def _fan_out(graph: Graph, app: SamplingApp, seed: int, strategy: str) -> DataFr
             rows = rows.withColumn("slot", F.col("parent_slot") * size + F.col("j")).drop("j")
             rows = step_join(rows, index, broadcast, app, step, seed, F.col("slot")).filter("vertex IS NOT NULL")
         rows = checkpoint(rows) if step + 1 < app.steps else rows
-        steps.append(rows.select("sample_id", F.lit(step).alias("step"), "slot", "parent_slot", "transit", "vertex"))
+        steps.append(rows.select("sample_id", F.lit(step).alias("step"), F.col("slot").cast("long").alias("slot"), F.col("parent_slot").cast("long").alias("parent_slot"), "transit", "vertex"))
         rows = rows.withColumn("transit", F.col("vertex")).withColumn("degree", F.coalesce("v_degree", F.lit(0))).withColumn("total", F.coalesce("v_total", F.lit(0.0))).drop("vertex", "v_degree", "v_total", "parent_slot")
     found = steps[0]
     for more in steps[1:]:

@@ -119,6 +119,15 @@ def test_strategies_and_partitions_agree(spark, graph, strategy):
         run(graph(STAR), apps.uniform_walk(1), strategy="other")
 
 
+@pytest.mark.parametrize("app", [apps.uniform_walk(7), apps.deepwalk(6, 30), apps.ppr(6, 60, end=0.2), apps.khop((3, 2)), apps.layer((2, 4))], ids=lambda a: a.name)
+@pytest.mark.parametrize("edges", [STAR + WEIGHTED, MULTI, CHAIN, ZERO, LOOP], ids=["star", "multi", "chain", "zero", "loop"])
+def test_tasks_draw_what_joins_draw(graph, app, edges):
+    columns = ("sample_id", "step", "slot", "parent_slot", "transit", "vertex")
+    a, b = run(graph(edges), app, strategy="sample").samples, run(graph(edges), app, strategy="transit").samples
+    assert a.dtypes == b.select(*a.columns).dtypes
+    assert rows(a, *columns) == rows(b, *columns)
+
+
 def chi2(found, chances):
     n = sum(found.values())
     return sum((found.get(k, 0) - n * p) ** 2 / (n * p) for k, p in chances.items())
