@@ -22,12 +22,16 @@ chunks/    part int, seq int                   order of chunks
 
 from __future__ import annotations
 
+import array
 import json
+import os
 import struct
+import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +44,8 @@ BLOCK = 256
 #: Ids of a chunk, at least (a document is never cut).
 CHUNK_IDS = 1 << 19
 #: Entries of a worker's tables before they are started anew; bounds of memory only.
-WORD_ENTRIES = 150_000
-PIECE_ENTRIES = 900_000
+WORD_ENTRIES = 100_000
+PIECE_ENTRIES = 300_000
 #: Up to here every letter is its own NFC form.
 LAST_LATIN = "\u024f"
 
@@ -74,7 +78,7 @@ class WordIds(dict):
 
         library = Tokenizer.from_file(tokenizer_path)
         self.encode_word, self.merge = library.encode, library.model.tokenize
-        self.dtype = dtype
+        self.dtype, self.code = dtype, "H" if dtype == "<u2" else "I"
         self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         with open(tokenizer_path, encoding="utf-8") as f:
@@ -84,24 +88,27 @@ class WordIds(dict):
         known = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
         self.split = regex.compile(cuts[0]["pattern"]["Regex"]).findall if known else None
 
-    def _packed(self, word: str) -> bytes:
-        return np.array(self.encode_word(word, add_special_tokens=False).ids, self.dtype).tobytes()
+    def _packed(self, ids) -> bytes:
+        found = array.array(self.code, ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def _piece(self, piece: str) -> bytes:
         """A pre-token's ids from the library's model, which takes bytes as printable letters."""
         if not (piece.isascii() and piece.isprintable()):
             piece = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return np.array([t.id for t in self.merge(piece)], self.dtype).tobytes()
+        return self._packed([t.id for t in self.merge(piece)])
 
     def __missing__(self, word: bytes) -> bytes:
         found = self.older.get(word)
         if found is None:
             text = word.decode("utf-8", "replace")
-            if self.split is None or "<|" in text or max(text) > LAST_LATIN:
-                found = self._packed(text)
+            if self.split is None or "<|" in text or not (text.isascii() or max(text) <= LAST_LATIN):
+                found = self._packed(self.encode_word(text, add_special_tokens=False).ids)
             else:
-                found = b""
-                for piece in self.split(text.lower()):
+                found, low = b"", text.lower()
+                for piece in (low,) if low.isalpha() else self.split(low):  # letters alone are one pre-token
                     ids = self.pieces.get(piece)
                     if ids is None:
                         ids = self.pieces[piece] = self._piece(piece)
@@ -109,23 +116,45 @@ class WordIds(dict):
         self[word] = found
         return found
 
-    def encode(self, text: bytes) -> bytes:
-        found = b"".join(map(self.__getitem__, text.split()))
+    def trim(self) -> None:
         if len(self) > WORD_ENTRIES:
             self.older = dict(self)
             self.clear()
         if len(self.pieces) > PIECE_ENTRIES:
             self.pieces.clear()
-        return found
 
+    def encode(self, text: bytes) -> bytes:
+        found = b"".join(map(self.__getitem__, text.split()))
+        self.trim()
+        return found
 
-_words: dict[tuple[str, str], WordIds] = {}
+    def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and how many each has: words are made
+        distinct in Arrow, so each is looked up once, and their ids are gathered."""
+        split = pc.ascii_split_whitespace(column.fill_null(""))
+        words = split.flatten().dictionary_encode()
+        packed = list(map(self.__getitem__, words.dictionary.cast(pa.binary()).to_pylist()))
+        self.trim()
+        flat = np.frombuffer(b"".join(packed), self.dtype)
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // flat.itemsize
+        first = np.cumsum(size) - size
+        at = words.indices.to_numpy()
+        n = size[at]
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        kind = np.int32 if total < 1 << 31 else np.int64
+        place = np.repeat((first[at] - (end - n)).astype(kind), n)
+        place += np.arange(total, dtype=kind)
+        ids = flat[place]
+        return ids, np.diff(np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()])
+
+
+_words: dict[tuple[str, str], WordIds] = common.cache(__name__, {})
 
 
 def _word_ids(path: str, dtype: str) -> WordIds:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    common.only(__name__)
     if (path, dtype) not in _words:
         _words[path, dtype] = WordIds(path, dtype)
     return _words[path, dtype]
@@ -248,6 +277,19 @@ def _chunk(part, seq, start, n, ids, lens, data) -> list[pa.Array]:
     return [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([data], pa.binary())]
 
 
+def _groups(batches, most: int = 1 << 22):
+    """Batches together up to some bytes of text: the more words, the fewer new ones."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _plain_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
     """Writes chunks of plain ids in ascending doc_id order, and with a task's last chunk
     how often each id occurs in the task: texts are tokenized once."""
@@ -256,31 +298,30 @@ def _plain_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) ->
     fields = [f.split()[0] for f in _CHUNK.split(", ")] + ["symbols", "counts"]
 
     def run(batches):
-        words, width = _word_ids(tokenizer_path, dtype), np.dtype(dtype).itemsize
-        part, seq, start = TaskContext.get().partitionId(), 0, 0
-        tail, total = np.array([end_id], dtype).tobytes(), np.zeros(size, np.int64)
-        ids, lens, parts, n = [], [], [], 0
-
-        def chunk(last):
-            data = b"".join(parts)
-            total[:] += np.bincount(np.frombuffer(data, dtype), minlength=size)
+        words, part, seq, start = _word_ids(tokenizer_path, dtype), TaskContext.get().partitionId(), 0, 0
+        total = np.zeros(size, np.int64)
+        docs, lens, ids = [], np.zeros(0, np.int64), np.zeros(0, dtype)
+
+        def chunk(docs, lens, ids, last=False):
+            total[:] += np.bincount(ids, minlength=size)
             at = np.flatnonzero(total) if last else np.zeros(0, np.int64)
             more = [pa.array([at], pa.list_(pa.int32())), pa.array([total[at]], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(_chunk(part, seq, start, n, ids, lens, data) + more, fields)
-
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), common.byte_texts(b.column(1)), strict=True):
-                if n >= CHUNK_IDS:
-                    yield chunk(False)
-                    seq, start = seq + 1, start + n
-                    ids, lens, parts, n = [], [], [], 0
-                own = words.encode(text) + tail
-                ids.append(doc)
-                lens.append(len(own) // width)
-                parts.append(own)
-                n += lens[-1]
-        if n:
-            yield chunk(True)
+            return pa.RecordBatch.from_arrays(_chunk(part, seq, start, len(ids), docs, lens, ids.tobytes()) + more, fields)
+
+        for group in _groups(batches):
+            found, n = words.encode_all(group.column(1).combine_chunks())
+            ended = np.full(len(found) + len(n), end_id, dtype)
+            inside = np.ones(len(ended), bool)
+            inside[np.cumsum(n + 1) - 1] = False
+            ended[inside] = found
+            docs, lens, ids = docs + group.column(0).to_pylist(), np.concatenate([lens, n + 1]), np.concatenate([ids, ended])
+            end, i, base = np.cumsum(lens), 0, 0
+            while (j := int(np.searchsorted(end, base + CHUNK_IDS)) + 1) < len(lens):
+                yield chunk(docs[i:j], lens[i:j], ids[base : end[j - 1]])
+                seq, start, i, base = seq + 1, start + int(end[j - 1]) - base, j, int(end[j - 1])
+            docs, lens, ids = docs[i:], lens[i:], ids[base:]
+        if docs:
+            yield chunk(docs, lens, ids, True)
 
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (

@@ -33,6 +33,16 @@ def test_word_ids_equal_the_library(fuzz):
         assert np.frombuffer(table.encode(t.encode()), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_texts_together_equal_texts_alone(fuzz):
+    import pyarrow as pa
+
+    table, other = token_files.WordIds(WORD, "<u2"), token_files.WordIds(WORD, "<u2")
+    texts = [*fuzz, None, "", "  "]
+    ids, n = table.encode_all(pa.array(["cut off", *texts]).slice(1))
+    want = [other.encode((t or "").encode()) for t in texts]
+    assert ids.tobytes() == b"".join(want) and [2 * x for x in n] == list(map(len, want))
+
+
 def test_tables_may_start_anew(monkeypatch, fuzz):
     monkeypatch.setattr(token_counts, "TABLE_ENTRIES", 5)
     monkeypatch.setattr(token_files, "WORD_ENTRIES", 5)
