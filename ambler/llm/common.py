@@ -9,17 +9,17 @@ same schema, and columns beyond those an operator needs are ignored.
 from __future__ import annotations
 
 import atexit
-import pathlib
-import shutil
+import gc
 import tempfile
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows in one Arrow batch; bounds the memory of a Python worker when texts are long.
 BATCH_ROWS = 512
 
@@ -32,22 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the executors' Python, once for each context."""
-    context = spark.sparkContext
-    if getattr(context, "_ambler_shipped", False):
-        return
-    top = pathlib.Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="ambler-package-")  # the driver serves it to executors while it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    packed = pathlib.Path(folder, "ambler_package.zip")
-    with zipfile.ZipFile(packed, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(str(packed))
-    context._ambler_shipped = True
-
-
 def prepare(spark: SparkSession) -> None:
     """What the operators rely on: the package on the executors, small Arrow batches."""
     ship(spark)
@@ -102,6 +86,26 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+_caches: dict[str, list] = {}
+
+
+def cache(owner: str, table: dict) -> dict:
+    """Notes a table that an operator keeps in its Python workers between tasks."""
+    _caches.setdefault(owner, []).append(table)
+    return table
+
+
+def only(owner: str) -> None:
+    """Empties the tables of all other operators: workers are reused, and one that has run
+    many operators would hold the tables of all."""
+    others = [t for name, tables in _caches.items() if name != owner for t in tables if t]
+    for t in others:
+        t.clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
@@ -130,12 +134,13 @@ def held_out(column: str = "doc_id"):
     return F.coalesce((F.crc32(F.col(column).cast("string").cast("binary")) % 3) == 1, F.lit(False))
 
 
-def filter_rows(docs: DataFrame, keep, *columns: str) -> DataFrame:
+def filter_rows(docs: DataFrame, owner: str, keep, *columns: str) -> DataFrame:
     """Rows of ``docs``, all columns as they are, for which ``keep`` says so: a function of
-    the Arrow arrays of ``columns`` that gives one boolean a row. Nothing is shuffled."""
+    the Arrow arrays of ``columns`` that gives one boolean a row; ``owner`` is its module. Nothing is shuffled."""
     places = [docs.columns.index(c) for c in columns]
 
     def run(batches):
+        only(owner)
         for b in batches:
             yield b.filter(pa.array(keep(*(b.column(p) for p in places)), pa.bool_()))
 

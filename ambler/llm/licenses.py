@@ -59,7 +59,7 @@ class _Words(dict):
         return found
 
 
-_words = _Words()
+_words = common.cache(__name__, _Words())
 
 
 def bigrams(text: bytes) -> np.ndarray:
@@ -141,6 +141,7 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] | None = None, least: flo
     scanner = spark.sparkContext.broadcast(Scanner(templates() if texts is None else texts, least))  # as large as the given templates
 
     def run(batches):
+        common.only(__name__)
         for b in batches:
             rows = [(doc, *m) for doc, text in zip(b.column(0).to_pylist(), common.byte_texts(b.column(1)), strict=True) for m in scanner.value.scan(text)]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5

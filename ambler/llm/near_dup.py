@@ -40,7 +40,7 @@ BANDS = 32
 SKETCH_LEAST = 0.55
 #: Document ids that may be broadcast to pick texts; beyond it the texts are shuffled.
 BROADCAST_IDS = 500_000
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 200_000
 #: Members of a bucket in one block, about; a task compares two blocks at a time.
 BLOCK_ROWS = 256
 
@@ -56,7 +56,7 @@ class _WordHash(dict):
         return found
 
 
-_hashes = _WordHash()
+_hashes = common.cache(__name__, _WordHash())
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -94,6 +94,7 @@ def signature(shingle: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches):
+    common.only(__name__)
     rows = BINS // BANDS
     seed = common.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for b in batches:
@@ -122,6 +123,7 @@ def _signatures(batches):
 
 
 def _sets(batches):
+    common.only(__name__)
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in common.byte_texts(b.column(1))], pa.binary())], ["node", "members"])
 

@@ -33,7 +33,7 @@ HIDDEN = 32
 EPOCHS = 60
 #: Labelled rows that train the network, at most; they are those of smallest hash.
 TRAIN_ROWS = 12_000
-TABLE_ENTRIES = 250_000
+TABLE_ENTRIES = 150_000
 #: Tokens pooled at once; bounds a worker's memory (a longer document is pooled alone).
 POOL_TOKENS = 1 << 15
 FEATURES = 3 * DIM + 1
@@ -53,7 +53,7 @@ class _Slots(dict):
         return found
 
 
-_slots = _Slots()
+_slots = common.cache(__name__, _Slots())
 
 
 def slots_of(text: bytes) -> np.ndarray:
@@ -77,6 +77,7 @@ def context_sums(documents: list[np.ndarray]) -> np.ndarray:
 
 
 def _partial_sums(batches):
+    common.only(__name__)
     total = np.zeros((SLOTS, DIM))
     for b in batches:
         own, n = [], 0
@@ -180,6 +181,7 @@ class Network:
 
 def _pool(vectors):
     def run(batches):
+        common.only(__name__)
         for b in batches:
             found = pooled([slots_of(t) for t in common.byte_texts(b.column(1))], vectors.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * FEATURES), pa.array(found.ravel()))], ["label", "x"])
@@ -218,7 +220,7 @@ def _scorer(docs: DataFrame, labels: DataFrame):
 def accept(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns kept."""
     probability = _scorer(docs, labels)
-    return common.filter_rows(docs, lambda text: probability(text) >= threshold, "text")
+    return common.filter_rows(docs, __name__, lambda text: probability(text) >= threshold, "text")
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -231,6 +233,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFra
     probability = _scorer(docs, labels)
 
     def run(batches):
+        common.only(__name__)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probability(b.column(1)))], ["doc_id", "score"])
 

@@ -62,10 +62,11 @@ class PieceTable(dict):
         return n
 
 
-_tables: dict[str, PieceTable] = {}
+_tables: dict[str, PieceTable] = common.cache(__name__, {})
 
 
 def _table(path: str) -> PieceTable:
+    common.only(__name__)
     if path not in _tables:
         _tables[path] = PieceTable(path)
     return _tables[path]

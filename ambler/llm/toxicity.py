@@ -37,7 +37,7 @@ TABLE_ROWS = 8_000_000
 BROADCAST_LABELS = 1_000_000
 #: Labelled rows that fit the scale, at most; they are those of smallest hash.
 SCALE_ROWS = 20_000
-TABLE_ENTRIES = 250_000
+TABLE_ENTRIES = 150_000
 
 PAD, END = "\x02", "\x03"
 _find = re.compile(r"[^\W_]+").findall
@@ -189,7 +189,7 @@ class _Chunks(dict):
         self.hit = self.evidence > 0
 
 
-_chunks: dict[str, _Chunks] = {}
+_chunks: dict[str, _Chunks] = common.cache(__name__, {})
 
 
 def _features(table_of):
@@ -198,6 +198,7 @@ def _features(table_of):
     name = uuid.uuid4().hex
 
     def run(batches):
+        common.only(__name__)
         if name not in _chunks:
             _chunks.clear()
             _chunks[name] = _Chunks(table_of.value)
