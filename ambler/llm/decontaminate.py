@@ -70,21 +70,26 @@ class _Chunks(dict):
         return found
 
 
-_chunks = _Chunks()
+_chunks = common.cache(__name__, _Chunks())
 
 
-def canonical(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a text, their typed and their plain canonical forms."""
+def canonical(*texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of texts one after another, their typed and their plain canonical forms,
+    and the text that each word is of."""
     if len(_chunks) > TABLE_ENTRIES:
         _chunks.clear()
-    pairs = np.frombuffer(b"".join(map(_chunks.__getitem__, text.split())), np.uint64).reshape(-1, 2)
+    packed = [b"".join(map(_chunks.__getitem__, t.split())) for t in texts]
+    pairs = np.frombuffer(b"".join(packed), np.uint64).reshape(-1, 2)
+    of = np.repeat(np.arange(len(texts)), [len(p) // 16 for p in packed])
     word, flags = pairs[:, 0], pairs[:, 1].astype(np.uint8)
-    number = (flags & 1) > 0
-    start = np.concatenate([[True], (flags[:-1] & 8) > 0])[: len(word)]
-    after = np.concatenate([[False], number[:-1]])[: len(word)]
+    number, first = (flags & 1) > 0, np.ones(len(of), bool)
+    first[1:] = of[1:] != of[:-1]
+    start, after = first.copy(), np.zeros(len(of), bool)
+    start[1:] |= (flags[:-1] & 8) > 0
+    after[1:] = number[:-1] & ~first[1:]
     unit, name = ((flags & 2) > 0) & after, ((flags & 4) > 0) & ~start
     plain = np.where(number, NUMBER, word)
-    return word, np.where(unit, UNIT, np.where(name & ~number, NAME, plain)), plain
+    return word, np.where(unit, UNIT, np.where(name & ~number, NAME, plain)), plain, of
 
 
 def window_hashes(canon: np.ndarray, width: int) -> np.ndarray:
@@ -123,6 +128,23 @@ class Templates:
             seen[(h & np.uint64(_FILTER)).astype(np.int64)] = True
             self.tables[key] = (h[order], item[order], place[order], seen)
 
+    def likely(self, texts: list[bytes]) -> list[int]:
+        """Places of the texts that share a window with an item; all texts are hashed together."""
+        form, found = canonical(*texts), []
+        of = form[3]
+        for (width, kind), (keys, _, _, seen) in self.tables.items():
+            h = window_hashes(form[kind], width)
+            at = np.flatnonzero(seen[(h & np.uint64(_FILTER)).astype(np.int64)])
+            at = at[of[at] == of[at + width - 1]]
+            if len(at) and len(keys):
+                at = at[keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]]
+                found.append(of[at])
+        return np.unique(np.concatenate(found)).tolist() if found else []
+
+    def all_matches(self, texts: list[bytes]) -> dict[int, list]:
+        """Place of a text to its matches, for those that have any."""
+        return {k: m for k in self.likely(texts) if (m := self.matches(texts[k]))}
+
     def matches(self, text: bytes) -> list[tuple[int, float, int, bool]]:
         """(item_id, coverage, windows, reparameterised) of the items in a text."""
         form, diagonals = canonical(text), {}
@@ -137,7 +159,7 @@ class Templates:
                     diagonals.setdefault((int(item[r]), kind, p - int(place[r]), width), []).append(int(place[r]))
         best: dict[int, tuple[float, int, bool]] = {}
         for (k, kind, shift, width), places in diagonals.items():
-            own, typed, _ = self.forms[k]
+            own = self.forms[k][0]
             covered = np.zeros(len(own), bool)
             for p in places:
                 covered[p : p + width] = True
@@ -190,10 +212,10 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         templates = spark.sparkContext.broadcast(Templates(items))  # at most BLOCK_WINDOWS windows and one item
 
         def run(batches, templates=templates):
+            common.only(__name__)
             for b in batches:
-                rows = []
-                for doc, text in zip(b.column(0).to_pylist(), common.byte_texts(b.column(1)), strict=True):
-                    rows += [(doc, *m) for m in templates.value.matches(text)]
+                docs = b.column(0)
+                rows = [(docs[k].as_py(), *m) for k, own in templates.value.all_matches(common.byte_texts(b.column(1))).items() for m in own]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "coverage", "n_windows", "reparameterised"])
 
@@ -208,5 +230,11 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     common.prepare(spark)
     for items in _blocks(benchmark):
         templates = spark.sparkContext.broadcast(Templates(items))
-        docs = common.filter_rows(docs, lambda text, t=templates: [not t.value.matches(x) for x in common.byte_texts(text)], "text")
+
+        def keep(column, templates=templates):
+            held = np.ones(len(column), bool)
+            held[list(templates.value.all_matches(common.byte_texts(column)))] = False
+            return held
+
+        docs = common.filter_rows(docs, __name__, keep, "text")
     return docs

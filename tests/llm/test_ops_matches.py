@@ -68,10 +68,11 @@ def test_decontamination_edge_rows(docs, bench):
 
 
 def test_canonical_words():
-    word, typed, plain = decontaminate.canonical(b"Ann paid Bob 3.50 dollars. Then km of Road")
+    word, typed, plain, of = decontaminate.canonical(b"", b"Ann paid Bob 3.50 dollars. Then km of Road", b"5", b"km Of")
     kinds = {int(decontaminate.NUMBER): "N", int(decontaminate.UNIT): "U", int(decontaminate.NAME): "P"}
-    assert "".join(kinds.get(int(x), ".") for x in typed) == "..PNU...P"
-    assert "".join(kinds.get(int(x), ".") for x in plain) == "...N....."
+    assert "".join(kinds.get(int(x), ".") for x in typed) == "..PNU...PN.P"
+    assert "".join(kinds.get(int(x), ".") for x in plain) == "...N.....N.."
+    assert of.tolist() == [1] * 9 + [2, 3, 3]
 
 
 # ------------------------------------------------------------------- licences
