@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .scan import exclusive_scan
+from .storage import checkpoint
 
 EDGE_SCHEMA = "src int, dst int, weight double"
 
@@ -138,8 +139,9 @@ def bfs(graph: Graph, roots: list[int], most: int = 64) -> DataFrame:
     seen = spark.createDataFrame([(r, 0) for r in sorted(set(roots))], "id int, depth int")
     last = seen
     for depth in range(1, most + 1):
-        new = last.join(graph.pairs, last["id"] == graph.pairs["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        new = last.join(graph.pairs, last["id"] == graph.pairs["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(depth))
+        new = checkpoint(new)
         if new.isEmpty():
             break
-        seen, last = seen.unionByName(new).checkpoint(), new
+        seen, last = checkpoint(seen.unionByName(new)), new
     return seen

@@ -50,7 +50,9 @@ class SamplingApp:
     ``next``: a Column builder that gives the place of the chosen neighbour among the
     transit's, or null to end; by default uniform. ``weighted`` chooses by edge weight
     instead. ``end``: the chance that a sample ends before a choice. ``stop``: a Column
-    builder, true where it ends.
+    builder, true where it ends. Walks may have state: columns that ``seeds`` gives, which
+    ``update`` replaces after each choice (names to Columns, which may use ``vertex``), and
+    from which ``transits`` names the next step's transit; else that is the chosen vertex.
     """
 
     name: str
@@ -61,6 +63,8 @@ class SamplingApp:
     weighted: bool = False
     end: float | None = None
     stop: Callable[[StepContext], Column] | None = None
+    update: Callable[[StepContext], dict[str, Column]] | None = None
+    transits: Callable[[StepContext], Column] | None = None
     sampling_type: SamplingType = SamplingType.INDIVIDUAL
     output: OutputFormat = OutputFormat.SAMPLED_VERTICES
     initial_size: int = 1
@@ -70,7 +74,7 @@ class SamplingApp:
 
     def is_plain(self) -> bool:
         """Whether all choices are named, not Columns."""
-        return self.next is None and self.stop is None and all(self.size(k) > 0 for k in range(self.steps))
+        return self.next is self.stop is self.update is self.transits is None and all(self.size(k) > 0 for k in range(self.steps))
 
     def outputs_until(self, step: int) -> int:
         """Outputs of a sample up to and with ``step``; before the first step its seeds."""

@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions import rng
 from ..operators.graph import Graph
-from .app import OutputFormat, SamplingApp, SamplingType, batch_seeds, one_seed_per_vertex
-from .engine import path_rows, prepared_index, run, start, step_join
+from ..operators.storage import checkpoint
+from .app import OutputFormat, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
+from .engine import CHECKPOINT_EVERY, path_rows, prepared_index, run, start, step_join
 
 STEPS = 100
 #: Graphs below this many vertices get a hundred walks from each in the walk apps.
@@ -58,8 +59,9 @@ def node2vec(graph: Graph, steps: int = STEPS, samples: int | None = None, p: fl
     not used. The choice is by inverse CDF over neighbours in order, the distribution
     that rejection sampling has in the limit."""
     rows = start(graph, SamplingApp("node2vec", steps, 1, _walk_seeds(samples))).drop("total").withColumn("path", F.array("transit")).withColumn("t", F.lit(None).cast("int"))
-    index = graph.uniform_index
-    pairs = graph.pairs.select(F.col("src").alias("t"), F.col("dst"), F.lit(True).alias("near"))
+    parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
+    index = graph.uniform_index.repartition(parts, "vertex").persist()  # a step shuffles the walks only
+    pairs = graph.pairs.select(F.col("src").alias("t"), F.col("dst"), F.lit(True).alias("near")).repartition(parts, "t", "dst").persist()
     of = Window.partitionBy("sample_id")
     for step in range(steps):
         one = (F.col("degree") == 1) if step else F.lit(True)
@@ -78,6 +80,8 @@ def node2vec(graph: Graph, steps: int = STEPS, samples: int | None = None, p: fl
         chosen = joined.withColumn("x", x).filter("x > hi - h AND x <= hi")
         moved = chosen.select("sample_id", "slot", F.col("dst").alias("v"), F.col("dst_degree").alias("d"), F.concat("path", F.array("dst")).alias("path"), F.col("transit").alias("t"))
         rows = moved.withColumnsRenamed({"v": "transit", "d": "degree"}).unionByName(ended)
+        if (step + 1) % 10 == 0 and step + 1 < steps:
+            rows = checkpoint(rows)
     return path_rows(rows)
 
 
@@ -108,6 +112,8 @@ def multirw(graph: Graph, steps: int = STEPS, samples: int | None = None, roots:
             put = F.transform("roots", lambda r, i: F.when(i == F.col("x"), F.struct(F.col("vertex").alias("v"), F.col("v_degree").alias("d"))).otherwise(r))
             rows = rows.withColumn("roots", F.when(F.col("vertex").isNull(), F.col("roots")).otherwise(put))
         rows = rows.select("sample_id", "slot", "roots", "found")
+        if (step + 1) % CHECKPOINT_EVERY == 0 and step + 1 < steps:
+            rows = checkpoint(rows)
     return rows.select("sample_id", "slot", F.explode("found").alias("f")).select("sample_id", F.col("f.step").alias("step"), "slot", F.col("slot").alias("parent_slot"), F.col("f.transit").alias("transit"), F.col("f.vertex").alias("vertex"))
 
 
@@ -134,8 +140,6 @@ ladies = layer_matrices
 
 def mvs(graph: Graph, size: int = 32, samples: int | None = None) -> DataFrame:
     """(sample_id, slot, src, dst): all edges of the vertices of each batch, parallel ones too."""
-    from .app import batches
-
     samples = batches(graph.n_vertices, graph.n_edges, size) if samples is None else samples
     seeds = batch_seeds(samples, size)(graph)
     return seeds.join(graph.edges, seeds["transit"] == graph.edges["src"]).select("sample_id", "slot", "src", "dst")
@@ -152,8 +156,6 @@ def cluster_seeds(graph: Graph, samples: int, width: int = 16, each: int = 2) ->
 
 def clustergcn(graph: Graph, samples: int | None = None, width: int = 16, each: int = 2) -> DataFrame:
     """(sample_id, src, dst): edges among the vertices of each sample's clusters, each pair once."""
-    from .app import batches
-
     samples = batches(graph.n_vertices, graph.n_edges, width * each, 2_000_000) if samples is None else samples
     own = cluster_seeds(graph, samples, width, each)
     left = own.select("sample_id", F.col("vertex").alias("src"))

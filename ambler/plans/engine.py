@@ -14,13 +14,14 @@ a broadcast index. ``auto`` counts the edges and takes ``sample`` within ``BROAD
 from __future__ import annotations
 
 import dataclasses
-import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from ..operators.storage import checkpoint
+from ..operators.validate import vertex_violations
 from .app import ALL_NEIGHBORS, SamplingApp, StepContext
 from .local import run_local
 
@@ -31,14 +32,6 @@ CHECKPOINT_EVERY = 25
 STRATEGIES = ("auto", "sample", "transit")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder the session shares; a folder of its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ambler-checkpoint-"))
-    return df.checkpoint()
-
-
 @dataclasses.dataclass
 class SamplingRun:
     """The result: samples(sample_id, step, slot, parent_slot, transit, vertex), valid vertices only."""
@@ -56,6 +49,10 @@ class SamplingRun:
     def valid_count(self) -> DataFrame:
         return self.samples.agg(F.count("vertex").alias("n_valid"))
 
+    def violations(self) -> DataFrame:
+        """Rows that break the property of a sample: a vertex is a neighbour of one before."""
+        return vertex_violations(self.samples, self.app.seeds(self.graph), self.graph)
+
     def dense(self, fill: int | None = None) -> DataFrame:
         """(sample_id, vertices array): samples in step and slot order, padded with ``fill``
         (the number of vertices unless given) for what ended early."""
@@ -128,6 +125,10 @@ def run(graph: Graph, app: SamplingApp, seed: int = 42, strategy: str = "auto",
     steps are united."""
     if app.is_plain() and chosen(graph, strategy) == "sample":
         return SamplingRun(app, graph, run_local(graph, app, seed))
+    if app.update is not None or app.transits is not None:
+        if any(app.size(k) != 1 for k in range(app.steps)):
+            raise ValueError("only walks, one choice a step, may have state")
+        return SamplingRun(app, graph, _stateful_walk(graph, app, seed, strategy, checkpoint_every))
     if all(app.size(k) == 1 for k in range(app.steps)):
         return SamplingRun(app, graph, _walk(graph, app, seed, strategy, checkpoint_every))
     return SamplingRun(app, graph, _fan_out(graph, app, seed, strategy))
@@ -145,6 +146,29 @@ def _walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_e
     return path_rows(rows)
 
 
+def _stateful_walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_every: int) -> DataFrame:
+    """A walk whose rows carry state. A sample ends only where its transit is null: a choice
+    that finds nothing leaves the state to say where to go on from."""
+    index, broadcast = prepared_index(graph, app.weighted, strategy)
+    own = graph.degrees.select(F.col("id").alias("transit"), F.col("degree").alias("v_degree"), F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("degree").cast("double")).alias("v_total"))
+    rows = start(graph, app).withColumn("found", F.array().cast("array<struct<step:int,transit:int,vertex:int>>"))
+    for step in range(app.steps):
+        rows = step_join(rows, index, broadcast, app, step, seed, F.col("slot"))
+        new = F.array(F.struct(F.lit(step).alias("step"), "transit", "vertex"))
+        rows = rows.withColumn("found", F.when(F.col("vertex").isNull(), F.col("found")).otherwise(F.concat("found", new)))
+        context = lambda k: StepContext(k, seed, F.col("degree"), F.col("total"), F.col("transit"), F.col("slot"), {c: F.col(c) for c in rows.columns})  # noqa: B023, E731
+        if app.update is not None:
+            rows = rows.withColumns(app.update(context(step)))
+        transit = F.col("vertex") if app.transits is None else app.transits(context(step + 1)).cast("int")
+        rows = rows.withColumn("transit", transit).drop("vertex", "v_degree", "v_total", "degree", "total")
+        if step + 1 < app.steps:
+            rows = rows.join(own, "transit", "left").withColumn("degree", F.coalesce("v_degree", F.lit(0))).withColumn("total", F.coalesce("v_total", F.lit(0.0))).drop("v_degree", "v_total")
+            if checkpoint_every and (step + 1) % checkpoint_every == 0:
+                rows = checkpoint(rows)
+    long = rows.select("sample_id", F.col("slot").cast("long").alias("slot"), F.explode("found").alias("f"))
+    return long.select("sample_id", F.col("f.step").alias("step"), "slot", F.col("slot").alias("parent_slot"), F.col("f.transit").alias("transit"), F.col("f.vertex").alias("vertex"))
+
+
 def path_rows(rows: DataFrame) -> DataFrame:
     """Sample rows from (sample_id, slot, path), whose first element is the seed."""
     long = rows.filter(F.size("path") > 1).select("sample_id", F.col("slot").cast("long").alias("slot"), "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("k"))

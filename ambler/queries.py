@@ -16,7 +16,7 @@ from .operators import frontier as fr
 from .operators import graph as gr
 from .operators import validate
 from .plans import apps
-from .plans.app import ALL_NEIGHBORS, SamplingApp, batch_seeds, one_seed_per_vertex
+from .plans.app import ALL_NEIGHBORS, SamplingApp, batch_seeds, batches, one_seed_per_vertex
 from .plans.engine import run
 from .sources.graphs import edges_to_adjacency, purchase_graph
 
@@ -141,8 +141,6 @@ BATCH = _batch_sql(32, BATCHES)
 
 
 def _batch(g):
-    from .plans.app import batches
-
     return batch_seeds(batches(g.n_vertices, g.n_edges), 32)(g)
 
 
@@ -157,8 +155,6 @@ members AS (SELECT DISTINCT s.range AS sample_id, CAST(i.range AS INTEGER) AS sl
 
 
 def _members(g):
-    from .plans.app import batches
-
     return apps.cluster_seeds(g, batches(g.n_vertices, g.n_edges, 32, 2_000_000))
 
 

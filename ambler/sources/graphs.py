@@ -70,7 +70,13 @@ def read_adjacency(spark: SparkSession, path: str, weighted: bool = True, relabe
     if not relabel:
         return flat.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "weight")
     names = rows.groupBy("id").agg(F.min("line").alias("line"))
-    names = names.select("id", (F.row_number().over(Window.orderBy("line")) - 1).alias("n"))
+    # numbers in line order: the lines of a partition share the id's upper bits
+    names = names.withColumn("part", F.shiftright("line", 33))
+    counts = names.groupBy("part").agg(F.count("*").alias("c"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    counts = counts.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("line")) - 1
+    names = names.withColumn("own", own).join(counts, "part").select("id", (F.col("before") + F.col("own")).cast("int").alias("n"))
     flat = flat.join(names.withColumnsRenamed({"id": "src", "n": "s"}), "src").join(names.withColumnsRenamed({"id": "dst", "n": "d"}), "dst")
     return flat.select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
 

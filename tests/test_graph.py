@@ -162,6 +162,20 @@ def test_custom_choice_and_stop(graph):
     assert rows(run(graph(STAR), app).samples, "sample_id", "step", "vertex") == [(0, 0, 4), (0, 1, 0), (1, 0, 0), (1, 1, 4), (2, 0, 0), (2, 1, 4), (4, 0, 0), (4, 1, 4)]
 
 
+def test_walk_with_state(graph):
+    """A walk that goes back to its seed after every choice, and counts its choices."""
+    seeds = lambda g: one_seed_per_vertex()(g).withColumn("home", F.col("transit")).withColumn("n", F.lit(0))
+    app = SamplingApp("home", 3, 1, seeds, update=lambda c: {"n": c.state["n"] + 1}, transits=lambda c: F.when(c.state["n"] < 2, c.state["home"]))
+    found = run(graph(RING), app).samples
+    assert rows(found, "sample_id", "step", "transit", "vertex") == [(s, k, s, (s + 1) % 32) for s in range(32) for k in range(2)]
+    with pytest.raises(ValueError):
+        run(graph(RING), SamplingApp("x", 1, 2, seeds, transits=lambda c: c.transit))
+
+
+def test_run_reports_its_violations(graph):
+    assert run(graph(STAR), apps.khop((2, 2))).violations().count() == 0
+
+
 def test_khop_slots_and_validity(graph):
     g = graph(STAR)
     app = apps.khop((3, 2))
