@@ -49,5 +49,8 @@ class Sampler:
         return self.n_samples() * self.app.final_size()
 
     def close(self) -> None:
+        for copy in self.graph.shared.values():
+            copy.destroy()
+        self.graph.shared.clear()
         self.graph.spark.catalog.clearCache()
         self._run = None

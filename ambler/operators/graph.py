@@ -25,6 +25,7 @@ class Graph:
     def __init__(self, edges: DataFrame, n_vertices: int | None = None):
         self.edges = edges.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("weight").cast("double").alias("weight"))
         self._n = n_vertices
+        self.shared: dict = {}  # broadcast copies, by whether they hold weights
 
     @property
     def spark(self) -> SparkSession:

@@ -90,7 +90,9 @@ def steps_of(csr: Csr, app: SamplingApp, seed: int, sample, slot, vertex):
 def run_local(graph: Graph, app: SamplingApp, seed: int) -> DataFrame:
     spark = graph.spark
     ship(spark)
-    csr = spark.sparkContext.broadcast(Csr.of(graph, app.weighted))
+    csr = graph.shared.get(app.weighted)
+    if csr is None:
+        csr = graph.shared[app.weighted] = spark.sparkContext.broadcast(Csr.of(graph, app.weighted))
     widest = max(1, max((app.outputs_until(k) for k in range(app.steps)), default=1) // max(app.initial_size, 1))
     most = max(1, ROWS // widest)
 
