@@ -163,11 +163,13 @@ def clustergcn(graph: Graph, samples: int | None = None, width: int = 16, each:
     return left.join(graph.pairs, "src").join(right, ["sample_id", "dst"]).select("sample_id", "src", "dst")
 
 
-MVS_OUTPUT = CLUSTER_OUTPUT = OutputFormat.ADJACENCY_MATRIX
-LAYER_TYPE = SamplingType.COLLECTIVE
 APPS = {"uniform": uniform_walk, "deepwalk": deepwalk, "ppr": ppr, "khop": khop, "layer": layer}
 TABLES = {"node2vec": node2vec, "multirw": multirw, "fastgcn": fastgcn, "ladies": ladies, "mvs": mvs, "clustergcn": clustergcn}
 
+#: Whose neighbourhood a choice looks at, and what the result holds.
+KINDS = {name: (SamplingType.INDIVIDUAL, OutputFormat.SAMPLED_VERTICES) for name in (*APPS, "node2vec", "multirw")}
+KINDS |= {name: (SamplingType.COLLECTIVE, OutputFormat.ADJACENCY_MATRIX) for name in ("fastgcn", "ladies", "mvs", "clustergcn")}
+
 
 def sample(graph: Graph, name: str, seed: int = 42, strategy: str = "auto", **options) -> DataFrame:
     """The result of a sampler by its name."""
