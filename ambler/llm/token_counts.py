@@ -21,7 +21,7 @@ from . import common
 TABLE_ENTRIES = 400_000
 
 # Unicode's White_Space characters, which the tokenizer's \s matches.
-WHITE_SPACE = "\t-\r \x85\xa0  -     　"
+WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Spaces and what follows them: no pre-token goes from a non-space to a space.
 CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
