@@ -10,11 +10,13 @@ from ..functions import rng
 from ..operators.graph import Graph
 from ..operators.storage import checkpoint
 from .app import OutputFormat, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
-from .engine import CHECKPOINT_EVERY, path_rows, prepared_index, run, start, step_join
+from .engine import path_rows, prepared_index, run, start, step_join
 
 STEPS = 100
 #: Graphs below this many vertices get a hundred walks from each in the walk apps.
 SMALL_GRAPH = 262_144
+#: Steps between checkpoints of many-root walks, whose plans grow fastest.
+ROOTS_CHECKPOINT_EVERY = 5
 
 
 def walk_count(n_vertices: int) -> int:
@@ -112,24 +114,31 @@ def multirw(graph: Graph, steps: int = STEPS, samples: int | None = None, roots:
             put = F.transform("roots", lambda r, i: F.when(i == F.col("x"), F.struct(F.col("vertex").alias("v"), F.col("v_degree").alias("d"))).otherwise(r))
             rows = rows.withColumn("roots", F.when(F.col("vertex").isNull(), F.col("roots")).otherwise(put))
         rows = rows.select("sample_id", "slot", "roots", "found")
-        if (step + 1) % CHECKPOINT_EVERY == 0 and step + 1 < steps:
+        if (step + 1) % ROOTS_CHECKPOINT_EVERY == 0 and step + 1 < steps:
             rows = checkpoint(rows)
     return rows.select("sample_id", "slot", F.explode("found").alias("f")).select("sample_id", F.col("f.step").alias("step"), "slot", F.col("slot").alias("parent_slot"), F.col("f.transit").alias("transit"), F.col("f.vertex").alias("vertex"))
 
 
 # --------------------------------------------------------------------- sub-graphs
 
-def layer_matrices(graph: Graph, layers: int = 5, size: int = 64, samples: int = 10_000, seed: int = 42) -> DataFrame:
-    """(sample_id, layer, row, col, src, dst): in each layer ``size`` ids are drawn uniformly
-    from all vertices; an entry says that vertex ``row`` of the layer before (the seeds
-    before the first) has an edge to drawn vertex ``col``. Both layer samplers, the
-    importance-free FastGCN and LADIES forms, are this."""
+def layer_vertices(graph: Graph, layers: int = 5, size: int = 64, samples: int = 10_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The vertices of the layers: (sample_id, layer, row, src) of the layer before each, whose
+    first are the seeds, and (sample_id, layer, col, dst) as drawn."""
     n = graph.n_vertices
     seeds = batch_seeds(samples, size)(graph).select("sample_id", F.lit(0).alias("layer"), F.col("slot").alias("row"), F.col("transit").alias("src"))
     drawn = graph.spark.range(samples).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
     drawn = drawn.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("col"))
     drawn = drawn.withColumn("dst", rng.pick(rng.uniform(seed, F.col("sample_id"), F.col("layer"), F.col("col"), 0), n))
     before = seeds.unionByName(drawn.filter(F.col("layer") < layers - 1).select("sample_id", (F.col("layer") + 1).alias("layer"), F.col("col").alias("row"), F.col("dst").alias("src")))
+    return before, drawn
+
+
+def layer_matrices(graph: Graph, layers: int = 5, size: int = 64, samples: int = 10_000, seed: int = 42) -> DataFrame:
+    """(sample_id, layer, row, col, src, dst): in each layer ``size`` ids are drawn uniformly
+    from all vertices; an entry says that vertex ``row`` of the layer before (the seeds
+    before the first) has an edge to drawn vertex ``col``. Both layer samplers, the
+    importance-free FastGCN and LADIES forms, are this."""
+    before, drawn = layer_vertices(graph, layers, size, samples, seed)
     # every vertex pair of neighbouring layers that is an edge, by equal keys only
     return before.join(graph.pairs, "src").join(drawn, ["sample_id", "layer", "dst"]).select("sample_id", "layer", "row", "col", "src", "dst")
 
