@@ -2,9 +2,10 @@
 
 A text becomes a row of canonical words: numbers, units after a number, and names
 (capitalised words inside a sentence) turn into typed placeholders, all else is lower
-case. Windows of ``WINDOW`` canonical words are hashed and joined to those of the
-benchmark. Windows of one document and item that lie on one diagonal are an alignment;
-it counts only where each value of the item stands for one value of the document
+case. Windows of ``WINDOW`` canonical words, and of a third of a shorter item, five at least, are hashed
+and joined to those of the benchmark. Windows of one document and item that lie on
+diagonals near each other (words were put in or left out between them) are an alignment;
+it holds only diagonals where each value of the item stands for one value of the document
 throughout, so a question with new numbers and names is caught, while a chance match
 of placeholders is not. A plain form (names kept as words) is joined in the same way,
 for passages whose case was changed or cut. A document is contaminated by an item of
@@ -93,13 +94,19 @@ def canonical(*texts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def window_hashes(canon: np.ndarray, width: int) -> np.ndarray:
-    n = len(canon) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    total = np.full(n, width, np.uint64)
-    for k in range(width):
-        total = total + canon[k : k + n] * _P[k]
-    return common.mix(total)
+    return next(h for _, h in windows_of(canon, [width]))
+
+
+def windows_of(canon: np.ndarray, widths: list[int]):
+    """(width, hashes of its windows) for rising widths; a width's sums go on from the last one's."""
+    total, done = np.zeros(len(canon), np.uint64), 0
+    for width in widths:
+        n = max(len(canon) - width + 1, 0)
+        total = total[:n]
+        for k in range(done, width):
+            total = total + canon[k : k + n] * _P[k]
+        done = width
+        yield width, common.mix(total + np.uint64(width))
 
 
 class Templates:
@@ -113,13 +120,13 @@ class Templates:
             n = len(form[0])
             if n < LEAST_WORDS:
                 continue
-            width = min(window, n)
-            for kind in (1, 2):
-                h = window_hashes(form[kind], width)
-                slots = np.isin(form[kind], (NUMBER, UNIT, NAME)).astype(np.int64)
-                share = np.convolve(slots, np.ones(width, np.int64), "valid") / width
-                at = np.flatnonzero(share <= MOST_SLOTS)
-                rows.setdefault((width, kind), []).append((h[at], np.full(len(at), k), at))
+            for width in {min(window, n), min(window, max(LEAST_WORDS, n // 3))}:
+                for kind in (1, 2):
+                    h = window_hashes(form[kind], width)
+                    slots = np.isin(form[kind], (NUMBER, UNIT, NAME)).astype(np.int64)
+                    share = np.convolve(slots, np.ones(width, np.int64), "valid") / width
+                    at = np.flatnonzero(share <= MOST_SLOTS)
+                    rows.setdefault((width, kind), []).append((h[at], np.full(len(at), k), at))
         self.tables = {}
         for key, parts in rows.items():
             h, item, place = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -128,12 +135,18 @@ class Templates:
             seen[(h & np.uint64(_FILTER)).astype(np.int64)] = True
             self.tables[key] = (h[order], item[order], place[order], seen)
 
+    def windows(self, form):
+        """(kind, width, hashes) of a text's windows for each of the tables."""
+        for kind in sorted({kind for _, kind in self.tables}):
+            for width, h in windows_of(form[kind], sorted(w for w, of in self.tables if of == kind)):
+                yield kind, width, h
+
     def likely(self, texts: list[bytes]) -> list[int]:
         """Places of the texts that share a window with an item; all texts are hashed together."""
         form, found = canonical(*texts), []
         of = form[3]
-        for (width, kind), (keys, _, _, seen) in self.tables.items():
-            h = window_hashes(form[kind], width)
+        for kind, width, h in self.windows(form):
+            keys, _, _, seen = self.tables[width, kind]
             at = np.flatnonzero(seen[(h & np.uint64(_FILTER)).astype(np.int64)])
             at = at[of[at] == of[at + width - 1]]
             if len(at) and len(keys):
@@ -148,8 +161,8 @@ class Templates:
     def matches(self, text: bytes) -> list[tuple[int, float, int, bool]]:
         """(item_id, coverage, windows, reparameterised) of the items in a text."""
         form, diagonals = canonical(text), {}
-        for (width, kind), (keys, item, place, seen) in self.tables.items():
-            h = window_hashes(form[kind], width)
+        for kind, width, h in self.windows(form):
+            keys, item, place, seen = self.tables[width, kind]
             at = np.flatnonzero(seen[(h & np.uint64(_FILTER)).astype(np.int64)])
             if not len(at):
                 continue
@@ -157,27 +170,55 @@ class Templates:
             for p, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                 for r in range(x, y):
                     diagonals.setdefault((int(item[r]), kind, p - int(place[r]), width), []).append(int(place[r]))
-        best: dict[int, tuple[float, int, bool]] = {}
+        parts: dict[int, list] = {}
         for (k, kind, shift, width), places in diagonals.items():
-            own = self.forms[k][0]
-            covered = np.zeros(len(own), bool)
+            parts.setdefault(k, []).append((shift, kind, width, places))
+        best = {k: m for k, own in parts.items() if (m := self._best(k, own, form[0]))}
+        return [(self.ids[k], *best[k]) for k in sorted(best)]
+
+    def _best(self, k: int, parts: list, text: np.ndarray) -> tuple[float, int, bool] | None:
+        """The alignment of an item that covers most: around each diagonal, those near it are
+        added, largest first, as far as their slots agree. None if none counts."""
+        own = self.forms[k][0]
+        n, pieces = len(own), []
+        total, plain = np.zeros(n, bool), np.zeros(n, bool)
+        for kind, width, p in {(kind, width, p) for _, kind, width, places in parts for p in places}:
+            total[p : p + width] = True
+            plain[p : p + width] |= ~np.isin(self.forms[k][kind][p : p + width], (NUMBER, UNIT, NAME))
+        if total.mean() < COVERAGE or len(np.unique(own[plain])) < LEAST_LITERALS:
+            return None  # not even all together
+        for shift, kind, width, places in parts:
+            covered = np.zeros(n, bool)
             for p in places:
                 covered[p : p + width] = True
+            slots = np.isin(self.forms[k][kind], (NUMBER, UNIT, NAME))
+            slot, whole = {}, True
+            for p in np.flatnonzero(covered & slots).tolist():
+                mine, theirs = int(own[p]), int(text[p + shift])
+                if slot.setdefault(mine, theirs) != theirs:
+                    whole = False
+                    break
+            if whole:
+                pieces.append((shift, covered, covered & ~slots, slot, places))
+        pieces.sort(key=lambda p: (-int(p[1].sum()), p[0]))
+        near, best = max(WINDOW, n // 2), None
+        at = np.array([p[0] for p in pieces])
+        for base in pieces:
+            covered, literal, slot, windows = np.zeros(n, bool), np.zeros(n, bool), {}, set()
+            around = [base, *(pieces[i] for i in np.flatnonzero(np.abs(at - base[0]) <= near).tolist() if pieces[i] is not base)]
+            for _, more, words, values, places in around:
+                if all(slot.get(mine, theirs) == theirs for mine, theirs in values.items()):
+                    covered, literal = covered | more, literal | words
+                    slot.update(values)
+                    windows.update(places)
             share = float(covered.mean())
-            literal = own[covered & ~np.isin(self.forms[k][kind], (NUMBER, UNIT, NAME))]
-            if share < COVERAGE or len(np.unique(literal)) < LEAST_LITERALS:
-                continue
-            changed, slot = False, {}
-            for p in np.flatnonzero(covered).tolist():
-                if self.forms[k][kind][p] in (NUMBER, UNIT, NAME):
-                    mine, theirs = int(own[p]), int(form[0][p + shift])
-                    if slot.setdefault(mine, theirs) != theirs:
-                        break
-                    changed |= mine != theirs
-            else:
-                if (share, len(places)) > best.get(k, (0.0, 0, False))[:2]:
-                    best[k] = (share, len(places), changed)
-        return [(self.ids[k], *best[k]) for k in sorted(best)]
+            if share >= COVERAGE and len(np.unique(own[literal])) >= LEAST_LITERALS:
+                changed = any(mine != theirs for mine, theirs in slot.items())
+                if best is None or (share, len(windows)) > best[:2]:
+                    best = (share, len(windows), changed)
+                if share == 1.0:
+                    break
+        return best
 
 
 def _blocks(benchmark: DataFrame):

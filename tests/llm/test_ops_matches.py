@@ -59,6 +59,22 @@ def test_half_an_item_counts_a_fragment_does_not(docs, bench):
     assert [r[0] for r in found(decontaminate.find(docs(rows), bench([(0, " ".join(w), "")])))] == [1, 3]
 
 
+def test_copies_with_words_put_in_or_left_out(docs, bench):
+    """Windows on several diagonals add up; far from each other, or too few, they don't."""
+    w, short = words(60, 8, 10**6).split(), words(18, 9, 10**6).split()
+    put = lambda x, *at: " ".join(t for k, y in enumerate(x) for t in (["extra"] * (k in at) + [y]))
+    rows = [
+        (1, put(w, 15, 30, 45)),
+        (2, " ".join(w[:18] + w[20:38] + w[40:])),
+        (3, put(short, 6, 12)),
+        (4, " ".join(w[:20]) + " " + words(300, 10) + " " + " ".join(w[20:40])),
+        (5, " ".join(w[:14] + ["extra"] + w[14:28])),
+    ]
+    got = decontaminate.find(docs(rows), bench([(0, " ".join(w), ""), (1, " ".join(short), "")]))
+    assert found(got) == [(1, 0, False), (2, 0, False), (3, 1, False)]
+    assert {r.doc_id: r.coverage for r in got.collect()} == {1: 1.0, 2: 56 / 60, 3: 1.0}
+
+
 def test_decontamination_edge_rows(docs, bench):
     items = [(1, "very long ü x ü x ü x ü x", ""), (None, "one", ""), (2, None, ""), (3, "one", ""), (4, "twice the same row of text here", "")]
     got = found(decontaminate.find(docs(EDGE), bench(items)))
