@@ -4,13 +4,17 @@ Expressions are words, modelled by their letters: ``ORDER``-grams inside a padde
 lower-case word, counted apart in toxic and in ordinary labelled documents. Both
 models back off to one Kneser-Ney model whose counts they share (continuation counts
 of both classes together), with the discount's mass and ``SHARED`` more counts of it,
-so a rare expression has nearly the same likelihood in either. A document's evidence
-is how far the toxic log-likelihoods of its words exceed the ordinary ones by more
-than ``MARGIN``, by length; a logistic scale fitted on labelled rows turns it into a
-score.
+so a rare expression has nearly the same likelihood in either.
 
-Counts cover all labelled rows of the learning fold and grow with them. The table of
-ratios is broadcast only while its counted rows are within ``TABLE_ROWS``; beyond it
+A toxic document is mostly ordinary words: its model draws a share ``TOXIC_SHARE`` of
+words from the toxic letters' model and the others from the ordinary one. A document's
+figure is the difference of its two log-likelihoods, by length: the mean over its words
+of log(1 - share + share * P(word | toxic) / P(word | ordinary)). A logistic scale over
+the logarithm of that figure (above its least value) turns it into a score. It is fitted
+on labelled rows of the learning fold that are left out of the counts.
+
+Counts cover all other labelled rows of the learning fold and grow with them. The table
+of ratios is broadcast only while its counted rows are within ``TABLE_ROWS``; beyond it
 distinct words are scored by joins and so are documents.
 """
 
@@ -28,11 +32,13 @@ from . import common
 
 ORDER = 6
 DISCOUNT = 0.75
-SHARED = 15.0
-MARGIN = 2.0
-#: Most that one word adds to a document's evidence.
-CAP = 4.0
-TABLE_ROWS = 8_000_000
+SHARED = 30.0
+#: Share of a toxic document's words that its model draws from the toxic letters' model.
+TOXIC_SHARE = 0.003
+#: Grams (12 bytes each in the driver and in a worker) up to which the table is broadcast.
+TABLE_ROWS = 4_000_000
+#: One labelled row of so many is left out of the counts, for the scale.
+SCALE_PART = 8
 #: Labelled rows up to which the labels are broadcast; beyond it the join shuffles.
 BROADCAST_LABELS = 1_000_000
 #: Labelled rows that fit the scale, at most; they are those of smallest hash.
@@ -126,14 +132,21 @@ def _points(s: str) -> np.ndarray:
     return np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
+def _hashed(batches):
+    for b in batches:
+        grams = b.column(0).to_pylist()
+        keys = np.zeros(len(grams), np.uint64)
+        for width in (ORDER, ORDER - 1):
+            at = np.array([i for i, g in enumerate(grams) if len(g) == width], np.int64)
+            if len(at):
+                keys[at] = _keys(_points("".join(grams[i] for i in at)), width)[::width]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], ["key", "ratio"])
+
+
 def ratio_table(ratios: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    got = ratios.toArrow()
-    grams, value = got["gram"].to_pylist(), got["ratio"].to_numpy().astype(np.float32)
-    keys = np.zeros(len(grams), np.uint64)
-    for width in (ORDER, ORDER - 1):
-        at = np.array([i for i, g in enumerate(grams) if len(g) == width], np.int64)
-        if len(at):
-            keys[at] = _keys(_points("".join(grams[i] for i in at)), width)[::width]
+    """Sorted hashes of grams and their ratios; grams are hashed on executors."""
+    got = ratios.select("gram", "ratio").mapInArrow(_hashed, "key long, ratio float").toArrow()
+    keys, value = got["key"].to_numpy().view(np.uint64), got["ratio"].to_numpy().astype(np.float32)
     order = np.argsort(keys)
     return keys[order], value[order]
 
@@ -164,36 +177,40 @@ def word_ratios(words: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.nd
     return np.add.reduceat(got.astype(np.float64), start)
 
 
+def mixture(ratio: np.ndarray) -> np.ndarray:
+    """Log of a word's likelihood in a toxic document over that in an ordinary one."""
+    return np.log(1 - TOXIC_SHARE + TOXIC_SHARE * np.exp(ratio))
+
+
 class _Chunks(dict):
-    """Chunk of text to a place in arrays of its evidence, words and hits."""
+    """Chunk of text to a place in arrays of its words, their mixture and their plain ratios."""
 
     def __init__(self, table):
         self.table = table
-        self.evidence, self.count, self.hit, self.raw = (np.zeros(0) for _ in range(4))
+        self.count, self.gain, self.raw = (np.zeros(0) for _ in range(3))
 
     def learn(self, chunks) -> None:
         if len(self) > TABLE_ENTRIES:
             self.clear()
-        known = 0 if not len(self) else len(self.evidence)
+        known = 0 if not len(self) else len(self.gain)
         new = [c for c in chunks if c not in self]
         lists = [words_of(c) for c in new]
         flat = [w for own in lists for w in own]
         n = np.array([len(x) for x in lists], np.int64)
         ratio = word_ratios(flat, self.table)
         of = np.repeat(np.arange(len(new)), n)
-        excess = np.clip(ratio - MARGIN, 0, CAP)
-        evidence, raw = np.bincount(of, excess, len(new)), np.bincount(of, ratio, len(new))
+        gain, raw = np.bincount(of, mixture(ratio), len(new)), np.bincount(of, ratio, len(new))
         self.update(zip(new, range(known, known + len(new)), strict=True))
         add = lambda old, x: np.concatenate([old[:known], x])
-        self.evidence, self.count, self.raw = add(self.evidence, evidence), add(self.count, n), add(self.raw, raw)
-        self.hit = self.evidence > 0
+        self.count, self.gain, self.raw = add(self.count, n), add(self.gain, gain), add(self.raw, raw)
 
 
 _chunks: dict[str, _Chunks] = common.cache(__name__, {})
 
 
 def _features(table_of):
-    """Of (doc_id, text) rows: words, evidence, distinct hits, log-likelihood ratio."""
+    """Of (doc_id, text) rows: words, log-likelihood difference of the document models, and
+    that of the letters' models alone."""
 
     name = uuid.uuid4().hex
 
@@ -206,17 +223,16 @@ def _features(table_of):
         for b in batches:
             split = [t.split() for t in common.byte_texts(b.column(1))]
             known.learn({c for own in split for c in own})
-            out = np.zeros((4, len(split)))
+            out = np.zeros((3, len(split)))
             for i, own in enumerate(split):
                 at = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-                hit = at[known.hit[at]] if len(at) else at
-                out[:, i] = known.count[at].sum(), known.evidence[hit].sum(), len(np.unique(hit)), known.raw[at].sum()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0].astype(np.int64)), pa.array(out[1]), pa.array(out[2].astype(np.int64)), pa.array(out[3])], ["doc_id", "n_words", "evidence", "n_hits", "log_ratio"])
+                out[:, i] = known.count[at].sum(), known.gain[at].sum(), known.raw[at].sum()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0].astype(np.int64)), pa.array(out[1]), pa.array(out[2])], ["doc_id", "n_words", "gain", "log_ratio"])
 
     return run
 
 
-FEATURES = "doc_id long, n_words long, evidence double, n_hits long, log_ratio double"
+FEATURES = "doc_id long, n_words long, gain double, log_ratio double"
 
 
 # ------------------------------------------------------------ scoring by joins
@@ -258,12 +274,11 @@ def features_by_joins(docs: DataFrame, ratios: DataFrame) -> DataFrame:
     seen = ratios.select(F.col("gram").alias("g"), F.col("ratio").alias("r1"))
     other = ratios.select(F.col("gram").alias("h"), F.col("ratio").alias("r2"))
     scored = grams.join(seen, "g", "left").join(other, "h", "left").groupBy("word").agg(F.sum(F.coalesce("r1", "r2", F.lit(0.0)).cast("double")).alias("r"))
-    excess = F.greatest(F.lit(0.0), F.least(F.lit(CAP), F.col("r") - MARGIN))
-    chunks = words.join(scored, "word").groupBy("chunk").agg(F.count("*").alias("w"), F.sum(excess).alias("e"), F.sum("r").alias("r"))
+    gain = F.log(1 - TOXIC_SHARE + TOXIC_SHARE * F.exp("r"))
+    chunks = words.join(scored, "word").groupBy("chunk").agg(F.count("*").alias("w"), F.sum(gain).alias("e"), F.sum("r").alias("r"))
     sums = own.join(chunks, "chunk", "left").groupBy("row").agg(
         F.coalesce(F.sum(F.col("n") * F.col("w")), F.lit(0)).alias("n_words"),
-        F.coalesce(F.sum(F.col("n") * F.col("e")), F.lit(0.0)).alias("evidence"),
-        F.sum(F.when((F.col("e") > 0) & (F.col("n") > 0), 1).otherwise(0)).alias("n_hits"),
+        F.coalesce(F.sum(F.col("n") * F.col("e")), F.lit(0.0)).alias("gain"),
         F.coalesce(F.sum(F.col("n") * F.col("r")), F.lit(0.0)).alias("log_ratio"),
     )
     return keyed.select("row", "doc_id").join(sums, "row").drop("row")
@@ -271,34 +286,54 @@ def features_by_joins(docs: DataFrame, ratios: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------- score
 
-def _inputs(evidence, n_words, n_hits) -> np.ndarray:
-    n = np.maximum(n_words, 1)
-    return np.column_stack([np.log(evidence / n + 1e-3), np.log1p(evidence), np.log1p(n_hits), np.ones(len(n))])
+#: What keeps the logarithm of a figure at its least value finite.
+TINY = 1e-6
+
 
+#: Share of labels taken to be wrong, either way, when the scale is fitted.
+LABEL_NOISE = 0.02
 
-def fit_scale(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps with a little ridge."""
-    w = np.zeros(x.shape[1])
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - 1e-2 * w)
-    return w
+
+def figure(gain: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """Logarithm of the length-normalised difference, above its least value."""
+    return np.log(np.maximum(gain / np.maximum(n_words, 1) - np.log(1 - TOXIC_SHARE), 0) + TINY)
+
+
+def fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(slope, middle) of the logistic curve that makes the labels likeliest, when a share
+    of them is wrong: the best of a grid, and of a finer one around it."""
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+
+    def best(slopes, middles):
+        found = (-np.inf, 0.0, 0.0)
+        for k in slopes:
+            for m in middles:
+                p = LABEL_NOISE + (1 - 2 * LABEL_NOISE) / (1 + np.exp(-np.clip(k * (x - m), -30, 30)))
+                found = max(found, (float(np.log(np.where(y == 1, p, 1 - p)).sum()), float(k), float(m)))
+        return found[1:]
+
+    k, m = best(np.exp(np.linspace(-1, 4, 16)), np.linspace(x[0], x[-1], 41))
+    step = (x[-1] - x[0]) / 40
+    return best(k * np.exp(np.linspace(-0.33, 0.33, 9)), np.linspace(m - step, m + step, 21))
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, table_rows: int = TABLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the figures behind them for each row.
+    """doc_id, held_out, score, predicted, n_words, gain_per_word (the figure behind the
+    score) and log_ratio_per_word (of the letters' models alone) for each row.
 
-    A null or empty text has no evidence and the score that goes with none. Without
-    labels of both classes every score is 0. A doc_id labelled twice counts as toxic
-    if one label says so; null labels are no labels.
+    A null or empty text has the score of the figure 0, that of words which are equally
+    likely in both. Without labels of both classes, in the counts or for the scale, every
+    score is 0. A doc_id labelled twice counts as toxic if one label says so; null labels
+    are no labels.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL").filter(common.learn_fold()).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = common.materialise(known, "labels")
-    learned = docs.join(common.broadcast_if_small(known, BROADCAST_LABELS), "doc_id")
+    for_scale = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SCALE_PART)) == 0
+    learned = docs.join(common.broadcast_if_small(known.filter(~for_scale), BROADCAST_LABELS), "doc_id")
     table = ratios(common.materialise(gram_counts(learned), "grams"))
     if table.count() <= table_rows:
         shared = spark.sparkContext.broadcast(ratio_table(table))
@@ -306,15 +341,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, table_rows
         features = lambda d: d.select("doc_id", "text").mapInArrow(by_table, FEATURES)
     else:
         features = lambda d: features_by_joins(d, table)
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
-    sample = features(docs.join(F.broadcast(sample), "doc_id")).join(F.broadcast(sample), "doc_id").select("evidence", "n_words", "n_hits", "label").toArrow()
+    sample = known.filter(for_scale).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
+    sample = features(docs.join(F.broadcast(sample), "doc_id")).join(F.broadcast(sample), "doc_id").select("gain", "n_words", "label").toArrow()
     y = sample["label"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
-        weight = np.array([0, 0, 0, -30.0])
+        slope, middle = 0.0, None
     else:
-        weight = fit_scale(_inputs(*(sample[c].to_numpy() for c in ("evidence", "n_words", "n_hits"))), y)
-    a, b, c, d = map(float, weight)
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    z = a * F.log(F.col("evidence") / n + 1e-3) + b * F.log1p("evidence") + c * F.log1p("n_hits") + d
+        slope, middle = fit_scale(figure(sample["gain"].to_numpy(), sample["n_words"].to_numpy()), y)
+    per_word = F.col("gain") / F.greatest(F.col("n_words"), F.lit(1))
+    x = F.log(F.greatest(per_word - float(np.log(1 - TOXIC_SHARE)), F.lit(0.0)) + TINY)
+    z = F.lit(-30.0) if middle is None else slope * (x - middle)
     out = features(docs).withColumn("score", 1 / (1 + F.exp(-z)))
-    return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", "evidence", "n_hits", (F.col("log_ratio") / n).alias("log_ratio_per_word"))
+    n = F.greatest(F.col("n_words"), F.lit(1))
+    return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", per_word.alias("gain_per_word"), (F.col("log_ratio") / n).alias("log_ratio_per_word"))
