@@ -106,6 +106,19 @@ def only(owner: str) -> None:
         pa.default_memory_pool().release_unused()
 
 
+def groups(batches, most: int):
+    """Batches put together to some ``most`` bytes each: the more words, the fewer new ones."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.nbytes
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 

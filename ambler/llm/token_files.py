@@ -44,6 +44,7 @@ BLOCK = 256
 #: Ids of a chunk, at least (a document is never cut).
 CHUNK_IDS = 1 << 19
 #: Entries of a worker's tables before they are started anew; bounds of memory only.
+GROUP_BYTES = 1 << 22
 WORD_ENTRIES = 100_000
 PIECE_ENTRIES = 300_000
 #: Up to here every letter is its own NFC form.
@@ -277,19 +278,6 @@ def _chunk(part, seq, start, n, ids, lens, data) -> list[pa.Array]:
     return [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([start], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int32())), pa.array([data], pa.binary())]
 
 
-def _groups(batches, most: int = 1 << 22):
-    """Batches together up to some bytes of text: the more words, the fewer new ones."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.nbytes
-        if n >= most:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _plain_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
     """Writes chunks of plain ids in ascending doc_id order, and with a task's last chunk
     how often each id occurs in the task: texts are tokenized once."""
@@ -308,7 +296,7 @@ def _plain_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) ->
             more = [pa.array([at], pa.list_(pa.int32())), pa.array([total[at]], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(_chunk(part, seq, start, len(ids), docs, lens, ids.tobytes()) + more, fields)
 
-        for group in _groups(batches):
+        for group in common.groups(batches, GROUP_BYTES):
             found, n = words.encode_all(group.column(1).combine_chunks())
             ended = np.full(len(found) + len(n), end_id, dtype)
             inside = np.ones(len(ended), bool)
