@@ -80,6 +80,14 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
             delete(spark, f)
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its letters' case."""
+    taken, name = {c.lower() for c in df.columns}, base
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint only where the counted rows are within ``max_rows``;
     otherwise the join shuffles."""

@@ -11,8 +11,15 @@ of placeholders is not. A plain form (names kept as words) is joined in the same
 for passages whose case was changed or cut. A document is contaminated by an item of
 whose words at least ``COVERAGE`` lie in an alignment's windows.
 
-The benchmark is a query set: it is taken in blocks of bounded size, each held in
-memory by the tasks of one pass over the documents. No row is shuffled.
+Placeholders say little, so a part of an item counts only with ``LEAST_LITERALS`` different
+words besides them, and the whole of one with ``WHOLE_LITERALS``. What is short or made of numbers
+is found in a third, exact form: windows of the words and numbers as they are, the whole
+of an item of up to ``WINDOW`` words, with no such condition.
+
+A benchmark within ``BLOCK_BYTES`` of text is held in memory by the tasks of one pass over
+the documents, and no row is shuffled. Beyond it, windows of documents that pass a filter
+of fixed size join those of the items by hash, and pairs of a document and an item that
+share enough of them are aligned.
 """
 
 from __future__ import annotations
@@ -28,14 +35,17 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 10
-#: Items with fewer words than this say too little to be found and match nothing.
+#: Words of the narrowest window, but for items that are shorter and taken whole.
 LEAST_WORDS = 5
 COVERAGE = 0.5
-#: Share of placeholders above which a window says too little.
+#: Share of placeholders above which a window of a part of an item is joined in its exact form only.
 MOST_SLOTS = 0.5
-#: Different words besides placeholders that an alignment must cover.
-LEAST_LITERALS = 5
-BLOCK_WINDOWS = 500_000
+#: Different words besides placeholders that an alignment must cover, in part and in whole.
+LEAST_LITERALS, WHOLE_LITERALS = 5, 2
+#: Characters of all items together up to which tasks hold the benchmark.
+BLOCK_BYTES = 2_000_000
+#: Bits of the filter of window hashes where the benchmark is larger.
+FILTER_BITS = 26
 TABLE_ENTRIES = 200_000
 
 # Units that count as such after a number.
@@ -109,6 +119,22 @@ def windows_of(canon: np.ndarray, widths: list[int]):
         yield width, common.mix(total + np.uint64(width))
 
 
+def item_windows(form, window: int = WINDOW):
+    """(kind, width, hashes, places) of the windows by which an item is found. Kind 0 is the
+    exact form, which is left out where the plain one is the same and as good."""
+    n = len(form[0])
+    if n == 0:
+        return
+    slots = [np.zeros(n, bool), *(np.isin(form[kind], (NUMBER, UNIT, NAME)) for kind in (1, 2))]
+    if n < LEAST_WORDS or slots[2].any() or len(np.unique(form[0])) < LEAST_LITERALS:
+        yield 0, min(window, n), window_hashes(form[0], min(window, n)), np.arange(n - min(window, n) + 1)
+    for width in {min(window, n), min(window, n, max(LEAST_WORDS, n // 3))}:
+        for kind in (1, 2):
+            share = np.convolve(slots[kind].astype(np.int64), np.ones(width, np.int64), "valid") / width
+            at = np.flatnonzero((share <= MOST_SLOTS) | (width == n))
+            yield kind, width, window_hashes(form[kind], width)[at], at
+
+
 class Templates:
     """The windows of a block of items: (hash, item, place) sorted by hash, for each width and form."""
 
@@ -117,16 +143,8 @@ class Templates:
         self.forms = [canonical((t or "").encode()) for _, t in items]
         rows: dict[tuple[int, int], list] = {}
         for k, form in enumerate(self.forms):
-            n = len(form[0])
-            if n < LEAST_WORDS:
-                continue
-            for width in {min(window, n), min(window, max(LEAST_WORDS, n // 3))}:
-                for kind in (1, 2):
-                    h = window_hashes(form[kind], width)
-                    slots = np.isin(form[kind], (NUMBER, UNIT, NAME)).astype(np.int64)
-                    share = np.convolve(slots, np.ones(width, np.int64), "valid") / width
-                    at = np.flatnonzero(share <= MOST_SLOTS)
-                    rows.setdefault((width, kind), []).append((h[at], np.full(len(at), k), at))
+            for kind, width, h, at in item_windows(form, window):
+                rows.setdefault((width, kind), []).append((h, np.full(len(at), k), at))
         self.tables = {}
         for key, parts in rows.items():
             h, item, place = (np.concatenate(c) for c in zip(*parts, strict=True))
@@ -181,17 +199,26 @@ class Templates:
         added, largest first, as far as their slots agree. None if none counts."""
         own = self.forms[k][0]
         n, pieces = len(own), []
-        total, plain = np.zeros(n, bool), np.zeros(n, bool)
+        kinds = [np.zeros(n, bool), *(np.isin(self.forms[k][kind], (NUMBER, UNIT, NAME)) for kind in (1, 2))]
+        total, plain, exact = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
         for kind, width, p in {(kind, width, p) for _, kind, width, places in parts for p in places}:
             total[p : p + width] = True
-            plain[p : p + width] |= ~np.isin(self.forms[k][kind][p : p + width], (NUMBER, UNIT, NAME))
-        if total.mean() < COVERAGE or len(np.unique(own[plain])) < LEAST_LITERALS:
+            plain[p : p + width] |= ~kinds[kind][p : p + width]
+            if kind == 0:
+                exact[p : p + width] = True
+
+        def enough(covered, literal, exact):
+            share = float(covered.mean())
+            least = WHOLE_LITERALS if share == 1.0 else LEAST_LITERALS
+            return share if share >= COVERAGE and (len(np.unique(own[literal])) >= least or float(exact.mean()) >= COVERAGE) else 0.0
+
+        if not enough(total, plain, exact):
             return None  # not even all together
         for shift, kind, width, places in parts:
             covered = np.zeros(n, bool)
             for p in places:
                 covered[p : p + width] = True
-            slots = np.isin(self.forms[k][kind], (NUMBER, UNIT, NAME))
+            slots = kinds[kind]
             slot, whole = {}, True
             for p in np.flatnonzero(covered & slots).tolist():
                 mine, theirs = int(own[p]), int(text[p + shift])
@@ -199,20 +226,20 @@ class Templates:
                     whole = False
                     break
             if whole:
-                pieces.append((shift, covered, covered & ~slots, slot, places))
+                pieces.append((shift, covered, covered & ~slots, slot, places, covered if kind == 0 else np.zeros(n, bool)))
         pieces.sort(key=lambda p: (-int(p[1].sum()), p[0]))
         near, best = max(WINDOW, n // 2), None
         at = np.array([p[0] for p in pieces])
         for base in pieces:
-            covered, literal, slot, windows = np.zeros(n, bool), np.zeros(n, bool), {}, set()
+            covered, literal, same, slot, windows = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool), {}, set()
             around = [base, *(pieces[i] for i in np.flatnonzero(np.abs(at - base[0]) <= near).tolist() if pieces[i] is not base)]
-            for _, more, words, values, places in around:
+            for _, more, words, values, places, exact in around:
                 if all(slot.get(mine, theirs) == theirs for mine, theirs in values.items()):
-                    covered, literal = covered | more, literal | words
+                    covered, literal, same = covered | more, literal | words, same | exact
                     slot.update(values)
                     windows.update(places)
-            share = float(covered.mean())
-            if share >= COVERAGE and len(np.unique(own[literal])) >= LEAST_LITERALS:
+            share = enough(covered, literal, same)
+            if share:
                 changed = any(mine != theirs for mine, theirs in slot.items())
                 if best is None or (share, len(windows)) > best[:2]:
                     best = (share, len(windows), changed)
@@ -221,19 +248,79 @@ class Templates:
         return best
 
 
-def _blocks(benchmark: DataFrame):
-    items, n = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
-        items.append((r[0], r[1]))
-        n += 2 * len(r[1].split())
-        if n >= BLOCK_WINDOWS:
-            yield items
-            items, n = [], 0
-    if items:
-        yield items
+SCHEMA = "doc_id long, item_id long, coverage double, n_windows long, reparameterised boolean"
+_TYPES = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_())
 
 
-SCHEMA = "doc_id long, item_id long, coverage double, n_windows long, reparameterised boolean"
+def _matches(rows: list[tuple], more: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*more, *_TYPES), strict=True)], names)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL")
+
+
+def _templates(items: DataFrame) -> Templates | None:
+    """The templates of a benchmark of bounded size; None if it is larger."""
+    if (items.agg(F.sum(F.length("text"))).first()[0] or 0) > BLOCK_BYTES:
+        return None
+    return Templates([tuple(r) for r in items.orderBy("item_id", "text").collect()])
+
+
+def _filter(windows: DataFrame) -> np.ndarray:
+    """Which hashes may be an item's, by their last ``FILTER_BITS`` bits, 64 in a number."""
+    low = F.col("hash").bitwiseAND((1 << FILTER_BITS) - 1)
+    bit = F.expr("shiftleft(1L, cast(hash & 63 AS int))")
+    got = windows.groupBy(F.shiftright(low, 6).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()  # of fixed size
+    found = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    found[got["at"].to_numpy()] = got["bits"].to_numpy()
+    return found
+
+
+def _by_join(keyed: DataFrame, items: DataFrame, row: str) -> DataFrame:
+    """The matches of documents with a column ``row`` that tells them apart: it comes first."""
+    spark = keyed.sparkSession
+    items = common.materialise(items.distinct().select(F.monotonically_increasing_id().alias("k"), "item_id", "text"), "items")
+
+    def of_items(batches):
+        for b in batches:
+            for k, text in zip(b.column(0).to_pylist(), common.byte_texts(b.column(1)), strict=True):
+                form = canonical(text)
+                for kind, width, h, at in item_windows(form):
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(n, 16 * kind + width, np.int32)), pa.array(np.full(n, k, np.int64)), pa.array(at.astype(np.int32)), pa.array(np.full(n, len(form[0]), np.int32))], ["hash", "shape", "k", "at", "words"])
+
+    windows = common.materialise(items.select("k", "text").mapInArrow(of_items, "hash long, shape int, k long, at int, words int"), "item-windows")
+    shapes = sorted(r[0] for r in windows.select("shape").distinct().collect())  # 3 forms of ``WINDOW`` widths at most
+    known = spark.sparkContext.broadcast(_filter(windows))
+
+    def of_docs(batches):
+        common.only(__name__)
+        for b in batches:
+            for k, text in zip(b.column(0).to_pylist(), common.byte_texts(b.column(1)), strict=True):
+                form = canonical(text)
+                for kind in range(3):
+                    for width, h in windows_of(form[kind], [x % 16 for x in shapes if x // 16 == kind]):
+                        h = np.unique(h).view(np.int64)
+                        low = h & ((1 << FILTER_BITS) - 1)
+                        h = h[(known.value[low >> 6] >> (low & 63)) & 1 == 1]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int64)), pa.array(h), pa.array(np.full(len(h), 16 * kind + width, np.int32))], ["r", "hash", "shape"])
+
+    hits = keyed.select(row, "text").mapInArrow(of_docs, "r long, hash long, shape int")
+    # words of the item that the shared windows cover, at most: too few can't be an alignment
+    most = F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("shape") % 16 - 1)))))
+    pairs = hits.join(windows, ["hash", "shape"]).groupBy("r", "k", "words").agg(most.alias("most")).filter(F.col("most") >= COVERAGE * F.col("words")).select("r", "k")
+    own = keyed.select(F.col(row).alias("r"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("theirs"))
+    both = pairs.join(items, "k").join(own, "r").select("r", "doc_id", "theirs", "item_id", "text")
+
+    def align(batches):
+        for b in batches:
+            rows, theirs, mine = b.select(["r", "doc_id", "item_id"]).to_pylist(), common.byte_texts(b.column(2)), b.column(4).to_pylist()
+            found = [(r["r"], r["doc_id"], *m) for r, t, text in zip(rows, theirs, mine, strict=True) for m in Templates([(r["item_id"], text)]).matches(t)]
+            yield _matches(found, [pa.int64()], ["r", "doc_id", "item_id", "coverage", "n_windows", "reparameterised"])
+
+    return both.mapInArrow(align, "r long, " + SCHEMA)
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -242,40 +329,42 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Clean documents, null and empty texts have no row. A row with a null doc_id that
     holds an item keeps its null id. Repeated rows give repeated results. Items without
-    id or text, or of fewer than five words besides placeholders, match nothing; an
-    item_id given twice may be found by either text.
+    id, text or any word match nothing; every other item is found where it stands word
+    for word, one of a single word too. An item_id given twice may be found by either text.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = None
-    for items in _blocks(benchmark):
-        templates = spark.sparkContext.broadcast(Templates(items))  # at most BLOCK_WINDOWS windows and one item
+    held = _templates(_items(benchmark))
+    if held is None:
+        keyed = common.materialise(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "documents")
+        return _by_join(keyed, _items(benchmark), "row").drop("r")
+    templates = spark.sparkContext.broadcast(held)
 
-        def run(batches, templates=templates):
-            common.only(__name__)
-            for b in batches:
-                docs = b.column(0)
-                rows = [(docs[k].as_py(), *m) for k, own in templates.value.all_matches(common.byte_texts(b.column(1))).items() for m in own]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_()), strict=True)], ["doc_id", "item_id", "coverage", "n_windows", "reparameterised"])
+    def run(batches):
+        common.only(__name__)
+        for b in batches:
+            docs = b.column(0)
+            rows = [(docs[k].as_py(), *m) for k, own in templates.value.all_matches(common.byte_texts(b.column(1))).items() for m in own]
+            yield _matches(rows, [], [f.split()[0] for f in SCHEMA.split(", ")])
 
-        part = docs.mapInArrow(run, SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], SCHEMA)
+    return docs.mapInArrow(run, SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns kept."""
     spark = docs.sparkSession
     common.prepare(spark)
-    for items in _blocks(benchmark):
-        templates = spark.sparkContext.broadcast(Templates(items))
-
-        def keep(column, templates=templates):
-            held = np.ones(len(column), bool)
-            held[list(templates.value.all_matches(common.byte_texts(column)))] = False
-            return held
-
-        docs = common.filter_rows(docs, __name__, keep, "text")
-    return docs
+    held = _templates(_items(benchmark))
+    if held is None:
+        row = common.fresh(docs, "row")
+        keyed = common.materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+        return keyed.join(_by_join(keyed, _items(benchmark), row).select(F.col("r").alias(row)), row, "left_anti").select(*docs.columns)
+    templates = spark.sparkContext.broadcast(held)
+
+    def keep(column):
+        held = np.ones(len(column), bool)
+        held[list(templates.value.all_matches(common.byte_texts(column)))] = False
+        return held
+
+    return common.filter_rows(docs, __name__, keep, "text")
