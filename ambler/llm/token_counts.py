@@ -36,6 +36,9 @@ GROUP_BYTES = 8 << 20
 # Unicode's White_Space characters, which the tokenizer's \s matches.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: A space inside or at the end of white space: the pattern keeps it with what is before it.
+ODD = f"[{WHITE_SPACE}] (?:[{WHITE_SPACE}]|$)"
+
 #: Signs that are a pre-token of their own behind a word.
 TAILS = ".,;:!?"
 
@@ -46,8 +49,8 @@ CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 class PreTokens(dict):
     """Cuts texts into pre-tokens and special strings. Kept entries: chunk to its pieces.
 
-    Texts without two spaces together are cut before each space, in Arrow, words are made
-    distinct, and those of letters alone, or with one sign behind, are pre-tokens as they
+    Texts are cut before each space, in Arrow, unless a run of white space goes on around
+    one (``ODD``); words are made distinct, and those of letters alone, or with one sign behind, are pre-tokens as they
     are. All else goes through the tokenizer's pattern.
     """
 
@@ -83,7 +86,7 @@ class PreTokens(dict):
         if len(self) > TABLE_ENTRIES:
             self.clear()
         texts = texts.fill_null("")
-        odd = pc.match_substring(texts, "  ")
+        odd = pc.match_substring_regex(texts, ODD)
         for name in self.names:
             odd = pc.or_(odd, pc.match_substring(texts, name))
         words = pc.split_pattern(pc.if_else(odd, "", texts), " ")

@@ -323,8 +323,8 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, table_rows
     score) and log_ratio_per_word (of the letters' models alone) for each row.
 
     A null or empty text has the score of the figure 0, that of words which are equally
-    likely in both. Without labels of both classes, in the counts or for the scale, every
-    score is 0. A doc_id labelled twice counts as toxic if one label says so; null labels
+    likely in both. Where the labelled rows left out of the counts are of one class all of
+    them fit the scale; without labels of both classes every score is 0. A doc_id labelled twice counts as toxic if one label says so; null labels
     are no labels.
     """
     spark = docs.sparkSession
@@ -341,9 +341,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, table_rows
         features = lambda d: d.select("doc_id", "text").mapInArrow(by_table, FEATURES)
     else:
         features = lambda d: features_by_joins(d, table)
-    sample = known.filter(for_scale).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
-    sample = features(docs.join(F.broadcast(sample), "doc_id")).join(F.broadcast(sample), "doc_id").select("gain", "n_words", "label").toArrow()
-    y = sample["label"].to_numpy()
+    for rows in (known.filter(for_scale), known):  # all of them only where those left out are of one class
+        sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
+        sample = features(docs.join(F.broadcast(sample), "doc_id")).join(F.broadcast(sample), "doc_id").select("gain", "n_words", "label").toArrow()
+        y = sample["label"].to_numpy()
+        if len(y) and y.min() != y.max():
+            break
     if len(y) == 0 or y.min() == y.max():
         slope, middle = 0.0, None
     else:

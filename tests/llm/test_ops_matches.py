@@ -1,4 +1,6 @@
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,12 +47,26 @@ def test_copies_by_brute_force(docs, bench):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {d for d, _ in rows} - {d for d, *_ in want}
 
 
-def test_small_blocks_of_the_benchmark_find_the_same(docs, bench, monkeypatch):
-    items = [(k, words(20, 9100 + k), "") for k in range(6)]
-    df = docs([(k, items[k][1]) for k in range(6)])
-    want = found(decontaminate.find(df, bench(items)))
-    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 1)
-    assert found(decontaminate.find(df, bench(items))) == want == [(k, k, False) for k in range(6)]
+def test_a_larger_benchmark_is_joined_by_hash(docs, bench, monkeypatch):
+    items = [(k, words(20, 9100 + k), "") for k in range(6)] + [(6, QUESTION, ""), (7, "Compute 48 times 12.", ""), (8, words(60, 8, 10**6), "")]
+    w = items[8][1].split()
+    rows = [(k, items[k][1]) for k in range(6)] + [(6, CHANGED), (7, "so compute 48 times 12 now"), (8, " ".join(w[:20] + ["x"] + w[20:45])), (9, MIXED_UP), (None, QUESTION), (6, CHANGED), *EDGE]
+    df = docs(rows).toDF("doc_id", "text", "k", "row", "r", "item_id", "hash", "shape", "theirs")
+    want, kept = found(decontaminate.find(docs(rows), bench(items)).fillna(-1)), decontaminate.clean(df, bench(items)).collect()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    assert found(decontaminate.find(df, bench(items)).fillna(-1)) == want and len(want) == 11
+    clean = decontaminate.clean(df, bench(items))
+    key = lambda r: str(tuple(r))
+    assert clean.columns == df.columns and sorted(clean.collect(), key=key) == sorted(kept, key=key)
+    assert decontaminate.find(docs([]), bench(items)).count() == 0
+
+
+def test_short_and_numeric_items(docs, bench):
+    items = [(1, "What is 12 + 30 * 7 - 4 ?", ""), (2, "Compute 48 times 12.", ""), (3, "1 2 3 4 5 6 7 8 9 10 11 12", ""), (4, "no no no no no no", ""), (5, "Paris", "")]
+    rows = [(1, "So: what is 12 + 30 * 7 - 4 ? I ask"), (2, "one compute 48 times 12. two"), (3, "Compute 7 times 5!"), (4, "count 1 2 3 4 5 6 7 8 9 10 11 12 done"), (5, "count 2 2 3 5 5 6 8 8 9 11 11 12 done")]
+    rows += [(6, "oh no no no no no no no"), (7, "to Paris, by train"), (8, "48 times 12 compute"), (9, "what is 12 + 30 * 7"), (10, words(60, 3))]
+    got = found(decontaminate.find(docs(rows), bench(items)))
+    assert got == [(1, 1, False), (2, 2, False), (3, 2, True), (4, 3, False), (6, 4, False), (7, 5, False)]
 
 
 def test_half_an_item_counts_a_fragment_does_not(docs, bench):
@@ -78,7 +94,7 @@ def test_copies_with_words_put_in_or_left_out(docs, bench):
 def test_decontamination_edge_rows(docs, bench):
     items = [(1, "very long ü x ü x ü x ü x", ""), (None, "one", ""), (2, None, ""), (3, "one", ""), (4, "twice the same row of text here", "")]
     got = found(decontaminate.find(docs(EDGE), bench(items)))
-    assert got == [(7, 4, False), (7, 4, False)]  # item 1 has four different words, too few
+    assert got == [(4, 3, False), (5, 3, False), (6, 1, False), (7, 4, False), (7, 4, False)]
     assert decontaminate.find(docs([]), bench(items)).count() == 0 and decontaminate.find(docs(EDGE), bench([])).count() == 0
     assert decontaminate.clean(docs(EDGE), bench([])).count() == len(EDGE)
 
@@ -98,7 +114,7 @@ def scan(df):
 
 
 def test_notices_and_texts(docs):
-    mit = dict(licenses.templates())["MIT-text"]
+    mit = licenses.NOTICES["MIT"][-1]
     rows = [
         (1, words(20, 1) + "\nReleased under the MIT License."),
         (2, "This work is licensed under the GNU General Public License, version 3. " + words(9, 2) + " Licensed under CC BY-NC 4.0."),
@@ -107,31 +123,69 @@ def test_notices_and_texts(docs):
         (5, "licensed under the apache license, version 2.1"),
     ]
     got = scan(licenses.scan(docs(rows)))
-    assert [(d, k) for d, k, *_ in got] == [(1, "MIT"), (2, "CC-BY-NC-4.0"), (2, "GPL-3.0"), (3, "MIT-text"), (5, "Apache-2.0")]
+    assert [(d, k) for d, k, *_ in got] == [(1, "MIT"), (2, "CC-BY-NC-4.0"), (2, "GPL-3.0"), (3, "MIT"), (5, "Apache-2.0")]
     assert got[0][2:] == (20, 5, 1.0) and got[3][4] == 1.0 and 0.8 <= got[4][4] < 1
 
 
+def bag(a, b):
+    a, b = Counter(zip(a, a[1:])), Counter(zip(b, b[1:]))
+    return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values()))
+
+
 def test_passages_by_brute_force():
-    """Every passage of at least the coefficient overlaps one that the scanner names, and the
-    best coefficient over all passages is the scanner's best."""
+    """A licence is named where any passage reaches the coefficient, and what is named has it."""
     r = random.Random(5)
-    text = "alpha beta gamma delta epsilon zeta eta theta"
-    scanner = licenses.Scanner([("t", text)], 0.7)
-    own = set(zip(text.split(), text.split()[1:]))
-    for _ in range(300):
-        w = [r.choice(text.split() + ["x", "y"]) for _ in range(4)] + [x for x in text.split() if r.random() < 0.9] + [r.choice(["x", "beta"]) for _ in range(3)]
-        best = 0.0
-        for a in range(len(w)):
-            for b in range(a + 1, len(w)):
-                s = set(zip(w[a : b + 1], w[a + 1 : b + 1]))
-                best = max(best, 2 * len(s & own) / (len(s) + len(own)))
+    own = [f"t{k}" for k in range(12)]
+    scanner = licenses.Scanner([("t", " ".join(own))], 0.7)
+    yes = 0
+    for _ in range(400):
+        edit = r.choice([0.05, 0.15, 0.3])
+        w = ["x", "y", "z"] + [u for t in own for u in r.choice([[t]] * 3 + [[t, "x"], [], ["y"]] if r.random() < 3 * edit else [[t]])] + ["x"] * 3
+        best = max(bag(w[a : b + 1], own) for a in range(len(w)) for b in range(a + 1, len(w)))
         got = scanner.scan(" ".join(w).encode())
-        assert (max(d for _, d, *_ in got) if got else 0.0) == pytest.approx(best if best >= 0.7 else 0.0)
+        assert bool(got) == (best >= 0.7 - 1e-9)
+        yes += bool(got)
+        for _, d, first, n in got:
+            assert d >= 0.7 and d == pytest.approx(bag(w[first : first + n], own))
+    assert 50 < yes < 390
+
+
+def test_best_passages_by_brute_force():
+    r = np.random.default_rng(3)
+    for _ in range(100):
+        places, m, d = np.flatnonzero(r.random(120) < r.choice([0.2, 0.6, 0.95])), int(r.integers(3, 40)), 0.8
+        value = lambda i, j: 2 * (j - i + 1) - d * (places[j] - places[i] + 1)  # noqa: B023, E731
+        want = {}
+        for j in range(len(places)):
+            some = [(value(i, j), -i) for i in range(j + 1) if j - i < m and places[j] - places[i] + 1 <= m * (2 - d) / d]
+            if max(some)[0] >= d * m - 1e-9:
+                want[j] = max(some)[0]
+        got = licenses.best_passages(places, m, d)
+        assert {j for _, j in got} == set(want) and all(value(i, j) == pytest.approx(want[j]) for i, j in got)
+
+
+def test_whole_texts_copies_and_time():
+    whole = {n: t for n, t in licenses.templates() if len(t.split()) > 700}
+    assert set(whole) == {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+    scanner, r = licenses.Scanner(licenses.templates()), random.Random(2)
+    for name, text in whole.items():
+        edited = " ".join(w if r.random() > 0.04 else "changed" for w in text.split())
+        assert [n for n, *_ in scanner.scan((words(40, 1) + " " + edited + " " + words(40, 2)).encode())] == [name]
+        assert [n for n, *_ in scanner.scan((text + "\n\n" + text + " " + words(9, 1) + " " + edited).encode())] == [name] * 3
+    assert scanner.scan(words(3000, 4).encode()) == [] and scanner.scan(("of the " * 5000).encode()) == []
+    own = licenses.Scanner([("t", words(800, 3, 10**6))])
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        own.scan(words(800, 3, 10**6).encode())
+        took.append(time.perf_counter() - began)
+    assert min(took) < 0.05
 
 
 def test_dice():
     a = lambda *x: np.array(x, np.uint64)
     assert licenses.dice(a(1, 2, 3), a(2, 3, 4)) == pytest.approx(2 / 3) and licenses.dice(a(), a()) == 0.0
+    assert licenses.dice(a(1, 1, 2), a(1, 1, 1)) == pytest.approx(2 / 3)
 
 
 def test_license_edge_rows(docs):

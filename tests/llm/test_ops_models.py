@@ -173,8 +173,8 @@ def test_joins_give_what_the_table_gives(docs, labels, judged):
     b = toxicity.score(docs(some), labels(known), table_rows=0).collect()
     key = lambda r: (r.doc_id, r.n_words)
     for x, y in zip(sorted(a, key=key), sorted(b, key=key), strict=True):
-        assert (x.doc_id, x.n_words, x.n_hits) == (y.doc_id, y.n_words, y.n_hits)
-        assert x.evidence == pytest.approx(y.evidence, abs=1e-3) and x.log_ratio_per_word == pytest.approx(y.log_ratio_per_word, abs=1e-3)
+        assert (x.doc_id, x.n_words) == (y.doc_id, y.n_words)
+        assert x.gain_per_word == pytest.approx(y.gain_per_word, abs=1e-5) and x.log_ratio_per_word == pytest.approx(y.log_ratio_per_word, abs=1e-3)
 
 
 def brute_ratios(counts):
@@ -227,15 +227,48 @@ def test_ratios_by_brute_force(spark, docs):
         assert toxicity.word_ratios([w], table)[0] == pytest.approx(total, abs=1e-4)
 
 
-def test_probabilities_of_both_classes_sum_to_one(spark):
-    """Over the characters seen after a context the shared model leaves the rest to unseen ones."""
-    want = brute_ratios([("aa", 2, 1), ("ab", 1, 3)])
-    assert all(np.isfinite(v) for v in want.values())
+def test_score_by_brute_force(spark, docs, labels):
+    """Counts, ratios, length-normalised figures and scores of the whole operator, by dictionaries."""
+    r = random.Random(7)
+    mild, rude = ["table", "window", "tower", "riverbank", "wonder"], ["grukk", "blargh"]
+    rows = [(k, " ".join(r.choice(mild) for _ in range(r.randint(4, 9))) + (" " + r.choice(rude) if k % 4 == 0 else "")) for k in range(260)]
+    known = [(k, 1, int(k % 4 == 0), "x") for k in range(0, 260) if k % 7]
+    learn = {k: t for k, _, t, _ in known if fold(k) != 1}
+    scale = {x.doc_id for x in spark.createDataFrame([(k,) for k in learn], "doc_id long").selectExpr("doc_id", f"pmod(xxhash64(doc_id, 3), {toxicity.SCALE_PART}) AS s").collect() if x.s == 0}
+    text, counts = dict(rows), Counter()
+    for k, t in learn.items():
+        if k not in scale:
+            counts.update((w, t) for w in text[k].split())
+    table = brute_ratios([(w, counts[w, 1], counts[w, 0]) for w in {w for w, _ in counts}])
+
+    def ratio(w):
+        s = toxicity.PAD * (toxicity.ORDER - 1) + w + toxicity.END
+        return sum(table.get(s[i : i + toxicity.ORDER], table.get(s[i : i + toxicity.ORDER - 1], 0.0)) for i in range(len(s) - toxicity.ORDER + 1))
+
+    share = toxicity.TOXIC_SHARE
+    gain = {k: np.mean([np.log(1 - share + share * np.exp(ratio(w))) for w in t.split()]) for k, t in rows}
+    x = {k: np.log(g - np.log(1 - share) + toxicity.TINY) for k, g in gain.items()}
+    own = sorted(scale)
+    slope, middle = toxicity.fit_scale(np.array([x[k] for k in own]), np.array([learn[k] for k in own]))
+    got = toxicity.score(docs(rows), labels(known)).collect()
+    assert len(scale) > 4 and {learn[k] for k in own} == {0, 1}
+    for d in got:
+        assert d.gain_per_word == pytest.approx(gain[d.doc_id], abs=1e-6)
+        assert d.score == pytest.approx(1 / (1 + np.exp(-slope * (x[d.doc_id] - middle))), abs=0.02)
+
+
+def test_scale_finds_the_curve_of_noisy_labels():
+    r = np.random.default_rng(1)
+    x = r.normal(0, 3, 4000)
+    y = (r.random(4000) < 1 / (1 + np.exp(-2 * (x - 1)))).astype(int)
+    y = np.where(r.random(4000) < toxicity.LABEL_NOISE, 1 - y, y)
+    slope, middle = toxicity.fit_scale(x, y)
+    assert slope == pytest.approx(2, rel=0.2) and middle == pytest.approx(1, abs=0.2)
 
 
 def test_toxicity_edge_rows(docs, labels, judged):
     got = toxicity.score(docs(EDGE), labels(judged[1])).collect()
-    assert len(got) == len(EDGE) and all(r.evidence == 0 for r in got if r.doc_id in (1, 2, 3))
+    assert len(got) == len(EDGE) and all(r.gain_per_word == 0 for r in got if r.doc_id in (1, 2, 3))
     none = toxicity.score(docs(EDGE), labels([])).collect()
     assert all(r.score < 1e-6 and r.predicted == 0 for r in none)
     assert toxicity.score(docs([]), labels([])).count() == 0

@@ -1,9 +1,12 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ambler.llm import token_counts, token_files
@@ -21,10 +24,37 @@ def fuzz():
     return ["".join(r.choice(SIGNS) for _ in range(r.randint(0, 14))) for _ in range(3000)]
 
 
+def tokens_of(table, library, texts):
+    """Tokens of each text from its pieces and their frequencies."""
+    text, piece, times, names = table.cut(pa.array(texts, pa.string()))
+    own = np.array([len(library.encode(p, add_special_tokens=False).ids) for p in names.to_pylist()] or [0], np.int64)
+    return np.bincount(text, own[piece] * times, len(texts)).astype(int).tolist()
+
+
 def test_counts_equal_the_library(fuzz):
-    library, table = Tokenizer.from_file(BYTE), token_counts.PieceTable(BYTE)
-    for t in fuzz:
-        assert table.count(t) == len(library.encode(t, add_special_tokens=False).ids), repr(t)
+    library, table = Tokenizer.from_file(BYTE), token_counts.PreTokens(BYTE)
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in fuzz]
+    assert tokens_of(table, library, fuzz) == want
+    for t, n in zip(fuzz[:500], want, strict=False):
+        assert tokens_of(table, library, [t]) == [n], repr(t)
+        assert sum(k * len(library.encode(p, add_special_tokens=False).ids) for p, k in table.pieces(t).items()) == n, repr(t)
+    assert tokens_of(table, library, [None, "", None]) == [0, 0, 0] and tokens_of(table, library, []) == []
+
+
+def test_rare_pieces_are_joined_by_shuffle(docs):
+    want = sorted(token_counts.count_tokens(docs(EDGES), BYTE).collect(), key=str)
+    assert sorted(token_counts.count_tokens(docs(EDGES), BYTE, heavy=3).collect(), key=str) == want
+    ints = docs(EDGES).withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert sorted(token_counts.count_tokens(ints, BYTE).collect(), key=str) == want
+
+
+def test_each_piece_is_counted_once(docs):
+    table = token_counts.token_table(token_counts.piece_counts(docs(EDGES), BYTE), BYTE).collect()
+    library, want = Tokenizer.from_file(BYTE), Counter()
+    for _, t, *_ in EDGES:
+        want.update(token_counts.PreTokens(BYTE).pieces(t or ""))
+    assert {r.piece: (r.n, r.tokens) for r in table} == {p: (n, len(library.encode(p, add_special_tokens=False).ids)) for p, n in want.items()}
+    assert len(table) == len(want)
 
 
 def test_word_ids_equal_the_library(fuzz):
@@ -34,8 +64,6 @@ def test_word_ids_equal_the_library(fuzz):
 
 
 def test_texts_together_equal_texts_alone(fuzz):
-    import pyarrow as pa
-
     table, other = token_files.WordIds(WORD, "<u2"), token_files.WordIds(WORD, "<u2")
     texts = [*fuzz, None, "", "  "]
     ids, n = table.encode_all(pa.array(["cut off", *texts]).slice(1))
@@ -47,10 +75,10 @@ def test_tables_may_start_anew(monkeypatch, fuzz):
     monkeypatch.setattr(token_counts, "TABLE_ENTRIES", 5)
     monkeypatch.setattr(token_files, "WORD_ENTRIES", 5)
     monkeypatch.setattr(token_files, "PIECE_ENTRIES", 5)
-    a, b = token_counts.PieceTable(BYTE), token_files.WordIds(WORD, "<u2")
+    a, b = token_counts.PreTokens(BYTE), token_files.WordIds(WORD, "<u2")
     lib_a, lib_b = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
     for t in fuzz[:300]:
-        assert a.count(t) == len(lib_a.encode(t, add_special_tokens=False).ids)
+        assert tokens_of(a, lib_a, [t]) == [len(lib_a.encode(t, add_special_tokens=False).ids)]
         assert np.frombuffer(b.encode(t.encode()), "<u2").tolist() == lib_b.encode(t, add_special_tokens=False).ids
 
 
