@@ -317,7 +317,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     repeated = kept.filter("times > 1 AND words > 0").select("doc_id")
     if not repeated.isEmpty():
         first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        again = out.join(repeated, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+        place = common.fresh(out, "place")
+        again = out.join(repeated, "doc_id", "left_semi").withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
         out = out.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
     return out.unionByName(docs.filter("doc_id IS NULL"))
 
