@@ -80,6 +80,14 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
             delete(spark, f)
 
 
+def tasks_for(df: DataFrame, each: int = 64 << 20) -> int:
+    """Tasks for a shuffle of ``df`` by the planner's estimate of its bytes (of files, as they
+    are stored), at least spark.sql.shuffle.partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(-(-size // each), 1 << 17)) if size < 1 << 60 else least  # no estimate
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that ``df`` doesn't have, whatever its letters' case."""
     taken, name = {c.lower() for c in df.columns}, base

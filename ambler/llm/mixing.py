@@ -66,11 +66,11 @@ def apportion(rows: DataFrame, group: str, key: str, weight: str, seats: str) ->
     sums = rows.groupBy(group).agg(F.sum(F.when(w > 0, w).otherwise(0)).alias("__w"), F.sum(F.when(w > 0, 1).otherwise(0)).alias("__n"), F.max(w).alias("__top"))
     bound = rows.join(common.broadcast_if_small(sums, BROADCAST_SOURCES), group)
     # floor(w / d + 1/2) seats for a divisor d are all within n / 2 of W / d
-    low = F.col("__w") / (s + F.col("__n") / 2)
-    high = F.when(s > F.col("__n") / 2, F.col("__w") / (s - F.col("__n") / 2))
+    low = F.try_divide(F.col("__w"), s + F.col("__n") / 2)
+    high = F.when(s > F.col("__n") / 2, F.try_divide(F.col("__w"), s - F.col("__n") / 2))
     real = (w > 0) & (s > 0)
-    sure = F.when(real & high.isNotNull(), F.greatest(F.lit(0), F.floor(w / high + 0.5 - 1e-9))).otherwise(0).cast("long")
-    until = F.when(real, F.floor(w / low + 0.5 + 1e-9)).otherwise(0).cast("long")
+    sure = F.when(real & high.isNotNull(), F.greatest(F.lit(0), F.floor(F.try_divide(w, high) + 0.5 - 1e-9))).otherwise(0).cast("long")
+    until = F.when(real, F.floor(F.try_divide(w, low) + 0.5 + 1e-9)).otherwise(0).cast("long")
     bound = bound.withColumn("__low", low / 2).withColumn("__span", F.coalesce(high / 2, F.col("__top")) - F.col("__low")).withColumn("__sure", sure).withColumn("__until", F.greatest(sure, until))
     bound = common.materialise(bound, "bounds")
     need = bound.groupBy(group).agg((F.max(seats) - F.sum("__sure")).alias("__need"))
@@ -119,7 +119,7 @@ def quotas(shards: DataFrame) -> DataFrame:
     rows = rows.withColumn("r1", F.sum("room").over(inside)).withColumn("b1", F.sum("base").over(inside)).join(pieces, ["sid", "piece"]).join(sums, "sid")
     end = F.when(F.col("rest") >= 0, F.col("r0") + F.col("r1")).otherwise(F.col("b0") + F.col("b1"))
     own, whole = part("room", "base"), part("rooms", "bases")
-    upto = lambda x: F.floor(F.abs("rest") * (x / whole))
+    upto = lambda x: F.floor(F.abs("rest") * F.try_divide(x, whole))
     share = F.when((whole == 0) | (F.abs("rest") >= whole), own).otherwise(F.greatest(F.lit(0), F.least(own, upto(end) - upto(end - own))))
     return rows.select("sid", "shard", "words", (F.col("base") + F.when(F.col("rest") >= 0, share).otherwise(-share)).cast("long").alias("quota"))
 

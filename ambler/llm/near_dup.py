@@ -230,8 +230,7 @@ def _in_blocks(members: DataFrame, function, schema: str) -> DataFrame:
     rows = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), *[c for c in rows.columns if c not in ("key", "other", "blocks")])
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(function, schema)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(function, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -269,7 +268,8 @@ def link(docs: DataFrame) -> DataFrame:
     A text without words (null, empty, spaces) has 0 shingles and is linked with
     nothing; one of fewer than five words has one shingle, its whole sequence. A row
     with a null doc_id is linked with nothing, has a null component_id and is kept.
-    Rows that repeat a doc_id are one node: they share a component.
+    Rows that repeat a doc_id are one document: whatever any of them is linked with, and
+    the copies of all their texts, are in one component.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -301,6 +301,13 @@ def link(docs: DataFrame) -> DataFrame:
         rows = at.join(flags, ["key", "node"], "left_semi").join(heads.select("node", "bands"), "node").join(sets, "node")
         comps = _merge(comps, common.materialise(_in_blocks(rows, _link_blocks, "a long, b long"), "links"))
 
+    texts = F.struct("n_shingles", "fp1", "fp2")
+    several = real.groupBy("doc_id").agg(F.min(texts).alias("x"), F.max(texts).alias("y")).filter("x != y").select("doc_id")
+    own = real.join(several, "doc_id", "left_semi").join(classes, ["n_shingles", "fp1", "fp2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    own = common.materialise(own.filter("a != b").distinct(), "repeated-ids")
+    if not own.isEmpty():
+        comps = _merge(comps, own)
+
     member = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(classes, ["n_shingles", "fp1", "fp2"], "left")
     node = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id"))
     member = member.select("doc_id", "n_shingles", node.alias("node"))

@@ -2,8 +2,8 @@
 
 A document's ids are its tokens and an end id. Ids of all documents in ascending
 ``doc_id`` order are cut into chunks, each a record with its own code stream. A
-code is at most 16 bits long (package-merge over the ids' counts in the whole
-table), codes are canonical, so a codebook is one length per id. Inside a chunk
+code is at most 16 bits long, or what more symbols need (package-merge over the ids'
+counts in the whole table), codes are canonical, so a codebook is one length per id. Inside a chunk
 every block of ``BLOCK`` ids has a checkpoint, the bit at which it starts, and
 blocks are decoded independently of each other by one table lookup per id.
 
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Longest code, unless more ids occur than it has codes.
 MAX_BITS = 16
 BLOCK = 256
 #: Ids of a chunk, at least (a document is never cut).
@@ -164,8 +165,8 @@ def _word_ids(path: str, dtype: str) -> WordIds:
 # ------------------------------------------------------------------ codebook
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Lengths of an optimal prefix code of at most ``max_bits`` bits (package-merge);
-    0 for symbols that don't occur."""
+    """Lengths of an optimal prefix code of at most ``max_bits`` bits, or one more than the
+    bits that number the symbols (package-merge); 0 for symbols that don't occur."""
     lengths = np.zeros(len(counts), np.uint8)
     used = np.flatnonzero(counts)
     if len(used) == 0:
@@ -174,7 +175,7 @@ def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
         lengths[used] = 1
         return lengths
     if len(used) > 1 << max_bits:
-        raise ValueError("more symbols than codes of the longest length")
+        max_bits = (len(used) - 1).bit_length() + 1
     used = used[np.argsort(counts[used], kind="stable")]
     weight = counts[used].astype(np.float64)
     is_leaf, level = [], weight
@@ -205,8 +206,10 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
-    """For each next ``max_bits`` bits: the symbol in the low 24 bits and its length above them."""
+def decode_table(lengths: np.ndarray) -> np.ndarray:
+    """For each next bits of the longest code's length: the symbol in the low 24 bits and its
+    length above them."""
+    max_bits = max(1, int(lengths.max(initial=0)))
     found = np.zeros(1 << max_bits, np.uint32)
     codes = canonical_codes(lengths)
     used = np.flatnonzero(lengths)
@@ -241,7 +244,7 @@ def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, block: int = B
     return MAGIC + struct.pack("<III", n, block, len(points)) + points.tobytes() + words.astype(">u8").tobytes()
 
 
-def unpack(data: bytes, lookup: np.ndarray, max_bits: int = MAX_BITS, blocks: slice = slice(None)) -> np.ndarray:
+def unpack(data: bytes, lookup: np.ndarray, blocks: slice = slice(None)) -> np.ndarray:
     """The ids of a chunk, or of some of its blocks; all blocks advance together."""
     if data[:4] != MAGIC:
         raise ValueError("not a chunk of token ids")
@@ -253,7 +256,7 @@ def unpack(data: bytes, lookup: np.ndarray, max_bits: int = MAX_BITS, blocks: sl
     left = np.minimum(n - picked * block, block)
     pos, out = points[picked], np.zeros((block, len(picked)), np.uint32)
     top = len(ahead) - 1
-    drop = 32 - max_bits
+    drop = 33 - len(lookup).bit_length()
     for k in range(block):
         entry = lookup[(ahead[np.minimum(pos >> 3, top)] << (pos & 7).astype(np.uint32)) >> np.uint32(drop)]
         out[k] = entry
@@ -311,11 +314,12 @@ def _plain_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) ->
         if docs:
             yield chunk(docs, lens, ids, True)
 
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.asc_nulls_first("doc_id"), F.asc("tie")  # rows without id, or of one id, may be many
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(tasks, F.asc_nulls_first("doc_id"))
-        .sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+        rows.repartitionByRange(common.tasks_for(docs), *order)
+        .sortWithinPartitions(*order, F.asc_nulls_first("text"))
+        .drop("tie")
         .mapInArrow(run, f"{_CHUNK}, symbols array<int>, counts array<long>")
         .write.option("compression", "zstd")
         .parquet(path)
@@ -324,7 +328,7 @@ def _plain_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str) ->
 
 def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> None:
     """Writes the ids of all documents to ``path`` in ascending doc_id order (null ids
-    first, equal ids by text). An empty table gives an empty codebook and no chunks."""
+    first, equal ids by a hash of the text). An empty table gives an empty codebook and no chunks."""
     spark = docs.sparkSession
     common.prepare(spark)
     dtype, vocab = _id_type(tokenizer_path)

@@ -109,3 +109,11 @@ def test_signatures_estimate_similarity():
     x, y = near_dup.shingles(base.encode()), near_dup.shingles(edited(base, 0.03, r).encode())
     true = len(np.intersect1d(x, y)) / len(np.union1d(x, y))
     assert abs((near_dup.signature(x) == near_dup.signature(y)).mean() - true) < 0.15
+
+
+def test_repeated_ids_are_one_document(docs):
+    a, b, c = words(40, 1), words(40, 2), words(40, 3)
+    got = near_dup.link(docs([(5, a), (5, b), (3, b), (9, a), (20, c), (21, c), (22, words(30, 4)), (9, c)])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(3, 3, True), *[(5, 3, False)] * 2, *[(9, 3, False)] * 2, (20, 3, False), (21, 3, False), (22, 22, True)]
+    kept = near_dup.deduplicate(docs([(5, a), (5, b), (3, b), (3, a)]).selectExpr("*", "1 AS _place", "2 AS place"))
+    assert [r.doc_id for r in kept.collect()] == [3] and kept.columns[-2:] == ["_place", "place"]

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -86,26 +87,49 @@ def test_rebalancing_edits_few_slots():
 
 # ------------------------------------------------------------------- mixing
 
-def test_fill_shares_the_excess():
-    assert mixing.fill([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 500 / 3, 250 / 3])
-    assert mixing.fill([10, 1000], [5, 2]) == pytest.approx([20, 1495])
-    assert mixing.fill([0, 0], [5, 2]) == [0, 0] and mixing.fill([], []) == []
+def fill(sizes, weights, share=1.5, most=2):
+    left, active, targets = share * sum(sizes), list(range(len(sizes))), [0.0] * len(sizes)
+    while active:
+        total = sum(weights[i] for i in active)
+        over = [i for i in active if left * weights[i] / total > most * sizes[i]]
+        for i in over or active:
+            targets[i] = float(most * sizes[i]) if over else left * weights[i] / total
+        left -= sum(most * sizes[i] for i in over)
+        active = [i for i in active if i not in over] if over else []
+    return targets
+
+
+def test_fill_shares_the_excess(spark):
+    r = np.random.default_rng(4)
+    cases = [([100, 100, 100], [5, 2, 1]), ([10, 1000], [5, 2]), ([0, 0], [5, 2])]
+    cases += [(r.integers(0, 10 ** int(r.integers(1, 6)), n).tolist(), [(5, 2, 1)[k % 3] for k in range(n)]) for n in r.integers(1, 30, 8)]
+    for sizes, weights in cases:
+        df = spark.createDataFrame(list(zip(sizes, weights, strict=True)), "words long, weight int")
+        got = sorted((x.words, x.weight, x.target) for x in mixing.fill(df).collect())
+        want = sorted(zip(sizes, weights, fill(sizes, weights), strict=True))
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+    assert fill([100, 100, 100], [5, 2, 1]) == pytest.approx([200, 500 / 3, 250 / 3])
+    assert mixing.fill(spark.createDataFrame([], "words long, weight int")).count() == 0
 
 
 def highest_quotients(targets, seats):
     got = [0] * len(targets)
-    for _ in range(seats):
+    for _ in range(seats if any(targets) else 0):
         k = max(range(len(targets)), key=lambda i: (targets[i] / (2 * got[i] + 1), -i))
         got[k] += 1
     return got
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_seats_by_highest_quotients(seed):
-    rng = np.random.default_rng(seed)
-    targets = list(rng.uniform(0.1, 100, 12) ** rng.integers(1, 3))
-    seats = int(rng.integers(0, 400))
-    assert mixing.sainte_lague(targets, seats) == highest_quotients(targets, seats)
+def test_seats_by_highest_quotients(spark):
+    """Unequal weights too, for which rounded shares are off by more than one seat."""
+    r, rows, want = random.Random(1), [], {}
+    groups = [([1049] + [110] * 15, 27), ([5, 5, 5, 5], 2), ([0, 0], 3), ([3], 7), ([1.5, 0.2, 9.0], 0)]
+    groups += [([r.choice([0, r.randint(1, 20), r.randint(1, 3000)]) for _ in range(r.randint(1, 9))], r.randint(0, 80)) for _ in range(150)]
+    for g, (weights, seats) in enumerate(groups):
+        rows += [(g, k, float(w), seats) for k, w in enumerate(weights)]
+        want |= {(g, k): q for k, q in enumerate(highest_quotients(weights, seats))}
+    got = mixing.apportion(spark.createDataFrame(rows, "g int, k int, w double, s long"), "g", "k", "w", "s").collect()
+    assert {(x.g, x.k): x.q for x in got} == want and want[0, 0] == 12
 
 
 def mix_check(got, rows):
@@ -114,7 +138,7 @@ def mix_check(got, rows):
     for _, t, s in rows:
         own[s] += n(t)
     names = sorted((s for s in own if s is not None)) + [None] * (None in own)
-    want = dict(zip(names, mixing.fill([own[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
+    want = dict(zip(names, fill([own[s] for s in names], [(5, 2, 1)[k % 3] for k in range(len(names))]), strict=True))
     source = {i: s for i, _, s in rows}
     taken = defaultdict(int)
     for r in got:
@@ -125,16 +149,57 @@ def mix_check(got, rows):
         assert abs(taken[s] - want[s]) <= 1
 
 
-def test_mix_meets_its_targets(docs, many, monkeypatch):
-    mix_check(mixing.mix(docs(many)).collect(), many)
-    monkeypatch.setattr(mixing, "SHARD_WORDS", 700)
-    monkeypatch.setattr(mixing, "SHARD_ROWS", 20)
+def brute_taken(spark, rows, seed, shard_words, shard_rows):
+    """doc_id to words taken: sources, shards, quotas and streams one after another."""
+    n = {i: len((t or "").split()) for i, t, _ in rows}
+    of = defaultdict(list)
+    for i, _, s in rows:
+        of[s].append(i)
+    names = sorted(s for s in of if s is not None) + [None] * (None in of)
+    words = [sum(n[i] for i in of[s]) for s in names]
+    targets = fill(words, [(5, 2, 1)[k % 3] for k in range(len(names))])
+    blocks = highest_quotients(targets, round(sum(targets) / 64))
+    df = spark.createDataFrame(list(n.items()), "doc_id long, size long")
+    hashes = {r.doc_id: (r.a, r.b) for r in df.selectExpr("doc_id", f"xxhash64(doc_id, size, {seed}) AS a", f"xxhash64({seed}, doc_id) AS b").collect()}
+    shards, out = {}, {}
+    for k, s in enumerate(names):
+        count = max(1, -(-words[k] // shard_words), -(-len(of[s]) // shard_rows))
+        for i in of[s]:
+            shards.setdefault((k, hashes[i][0] % count), []).append(i)
+    order = spark.createDataFrame([(k, j, b) for (k, j), own in shards.items() for b in range(sum(n[i] for i in own) // 64 + 1)], "sid long, shard int, block long")
+    drawn = {(r.sid, r.shard, r.block): r.h for r in order.selectExpr("*", f"xxhash64({seed}, sid, shard, block) AS h").collect()}
+    for k in range(len(names)):
+        keys = sorted(j for kk, j in shards if kk == k)
+        w = [sum(n[i] for i in shards[k, j]) for j in keys]
+        base = [min(64 * q, 2 * x) for q, x in zip(highest_quotients(w, blocks[k]), w, strict=True)]
+        rest = int(np.floor(targets[k] + 0.5)) - sum(base)
+        own = [2 * x - y for x, y in zip(w, base, strict=True)] if rest >= 0 else base
+        end = np.cumsum(own)
+        upto = [0] + [int(abs(rest) * (e / end[-1])) if end[-1] else 0 for e in end]
+        for t, j in enumerate(keys):
+            share = own[t] if abs(rest) >= end[-1] else upto[t + 1] - upto[t]
+            quota = base[t] + (share if rest >= 0 else -share)
+            stream = [i for i in sorted(shards[k, j], key=lambda i: (hashes[i][1], i)) for _ in range(n[i])]
+            times = Counter(stream * (quota // w[t] if w[t] else 0))
+            left = quota % w[t] if w[t] else 0
+            for b in sorted(range(-(-len(stream) // 64)), key=lambda b: drawn[k, j, b]):
+                part = stream[64 * b : 64 * b + 64][: max(left, 0)]
+                times.update(part)
+                left -= len(part)
+            out |= {i: times[i] for i in shards[k, j]}
+    return out
+
+
+def test_mix_meets_its_targets(spark, docs, many, monkeypatch):
+    for shard_words, shard_rows in ((mixing.SHARD_WORDS, mixing.SHARD_ROWS), (700, 20)):
+        monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)
+        monkeypatch.setattr(mixing, "SHARD_ROWS", shard_rows)
+        got = mixing.mix(docs(many)).collect()
+        mix_check(got, many)
+        assert {r.doc_id: r.taken for r in got} == brute_taken(spark, many, 17, shard_words, shard_rows)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
-    got = mixing.mix(docs(many)).collect()
-    n = lambda t: len((t or "").split())
-    assert sorted((r.doc_id, r.size) for r in got) == sorted((i, n(t)) for i, t, _ in many)
-    total, want = sum(r.taken for r in got), 1.5 * sum(n(t) for _, t, _ in many)
-    assert abs(total - want) < 0.03 * want and all(r.taken <= 2 * r.size for r in got)
+    monkeypatch.setattr(mixing, "PIECE", 2)
+    mix_check(mixing.mix(docs(many)).collect(), many)
 
 
 def test_mix_reruns_agree_whatever_the_partitions(docs, many):
@@ -160,7 +225,13 @@ def test_mixed_repeats_rows(docs, many):
     assert all(taken // size <= times.get(i, 0) <= -(-taken // size) for i, (taken, size) in takes.items())
 
 
-def test_too_many_sources_are_an_error(docs, many, monkeypatch):
-    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
-    with pytest.raises(ValueError):
-        mixing.mix(docs(many))
+def test_mixed_with_clashing_columns(docs, many):
+    some = [*many[:40], *many[:5], *EDGE]
+    plain = docs(some).select("doc_id", "text", "source")
+    odd = ["_copy", "_times", "_id", "own_id", "many", "copy", "i", "sid", "q", "words", "target"]
+    df = plain.selectExpr("*", *[f"99 AS `{c}`" for c in odd])
+    key = lambda r: str(tuple(r))
+    got = mixing.mixed(df)
+    assert got.columns == df.columns and all(r["_copy"] == r["copy"] == 99 for r in got.collect())
+    assert sorted(got.select("doc_id", "text", "source").collect(), key=key) == sorted(mixing.mixed(plain).collect(), key=key)
+    assert {r.doc_id for r in got.collect()} >= {1, 2, 3}
