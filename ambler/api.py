@@ -12,7 +12,7 @@ from .sources.graphs import read_graph
 
 
 class Sampler:
-    def __init__(self, spark: SparkSession, path: str, kind: str = "edge-list", fmt: str = "binary", app: SamplingApp | None = None, seed: int = 42, strategy: str = "sample"):
+    def __init__(self, spark: SparkSession, path: str, kind: str = "edge-list", fmt: str = "binary", app: SamplingApp | None = None, seed: int = 42, strategy: str = "auto"):
         self.graph = read_graph(spark, path, kind, fmt)
         self.app = app or uniform_walk()
         self.seed, self.strategy = seed, strategy
@@ -52,5 +52,4 @@ class Sampler:
         for copy in self.graph.shared.values():
             copy.destroy()
         self.graph.shared.clear()
-        self.graph.spark.catalog.clearCache()
         self._run = None

@@ -1,21 +1,34 @@
 """Counter-based randomness: a draw is a hash of what it is for, so it does not depend
 on partitions, retries or the order of rows, and SQL can repeat it.
 
-``u`` is in (0, 1] with 32 bits, from the first eight hex digits of an md5.
+``u`` is in (0, 1] with 32 bits. A sha256 gives eight of them: the second counter, a
+sample's step, chooses eight hex digits of the hash for its block of eight steps, so
+that a walk inside a task needs one hash for eight draws.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 4294967296.0
+LANES = 8
 
 
 def draw(seed: int, *of) -> Column:
-    """A 32-bit integer for the given counters."""
+    """A 32-bit integer for the given counters, of which the second is at least -1."""
+    of, lane = list(of), F.lit(0)
+    if len(of) > 1:
+        step = of[1]
+        if isinstance(step, int):
+            of[1], lane = (step + LANES) // LANES, F.lit((step + LANES) % LANES)
+        else:
+            of[1], lane = F.floor((step + LANES) / LANES), F.pmod(step + LANES, F.lit(LANES)).cast("int")
     text = F.concat_ws("|", F.lit(str(seed)), *[(c if isinstance(c, Column) else F.lit(c)).cast("string") for c in of])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), lane * 8 + 1, F.lit(8)), 16, 10).cast("long")
 
 
 def uniform(seed: int, *of) -> Column:
@@ -30,7 +43,10 @@ def pick(u: Column, n: Column | int) -> Column:
 
 def sql_draw(seed: int, *of) -> str:
     """The same draw in DuckDB SQL."""
-    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in of)})), 1, 8) AS BIGINT)"
+    of, lane = list(of), "0"
+    if len(of) > 1:
+        of[1], lane = f"(({of[1]}) + {LANES}) // {LANES}", f"(({of[1]}) + {LANES}) % {LANES}"
+    return f"CAST('0x' || substr(sha256(concat_ws('|', '{seed}', {', '.join(f'CAST({c} AS VARCHAR)' for c in of)})), CAST(8 * ({lane}) + 1 AS BIGINT), 8) AS BIGINT)"
 
 
 def sql_uniform(seed: int, *of) -> str:
@@ -39,3 +55,44 @@ def sql_uniform(seed: int, *of) -> str:
 
 def sql_pick(u: str, n: str) -> str:
     return f"CAST(least(floor({u} * {n}), {n} - 1) AS INTEGER)"
+
+
+# ------------------------------------------------------------- inside a task
+
+def lanes(seed: int, sample: np.ndarray, step: int, slot: np.ndarray, number: int) -> np.ndarray:
+    """The draws of a step's block, a row of eight for each sample and slot."""
+    block, sha = (step + LANES) // LANES, hashlib.sha256
+    ends = {k: f"|{block}|{k}|{number}".encode() for k in np.unique(slot).tolist()}
+    raw = b"".join([sha(b"%d|%d%b" % (seed, s, ends[k])).digest() for s, k in zip(sample.tolist(), slot.tolist(), strict=True)])
+    return np.frombuffer(raw, ">u4").reshape(-1, LANES)
+
+
+class Draws:
+    """Draws for rows of samples that go through steps together. Blocks are kept, and follow
+    the rows: ``keep`` what a mask leaves, ``clear`` where rows are others."""
+
+    def __init__(self, seed: int):
+        self.seed, self.held = seed, {}
+
+    def integers(self, sample: np.ndarray, step: int, slot: np.ndarray, number: int = 0) -> np.ndarray:
+        block, lane = divmod(step + LANES, LANES)
+        held = self.held.get(number)
+        if held is None or held[0] != block:
+            held = self.held[number] = (block, lanes(self.seed, sample, step, slot, number))
+        return held[1][:, lane].astype(np.int64)
+
+    def __call__(self, sample: np.ndarray, step: int, slot: np.ndarray, number: int = 0) -> np.ndarray:
+        """As ``uniform``."""
+        return (self.integers(sample, step, slot, number) + 1) / SCALE
+
+    def keep(self, mask: np.ndarray) -> None:
+        if not mask.all():
+            self.held = {k: (b, x[mask]) for k, (b, x) in self.held.items()}
+
+    def clear(self) -> None:
+        self.held = {}
+
+
+def place(u: np.ndarray, n) -> np.ndarray:
+    """As ``pick``, for n of at least 1."""
+    return np.minimum((u * n).astype(np.int64), np.asarray(n) - 1)

@@ -10,13 +10,16 @@ from ..functions import rng
 from ..operators.graph import Graph
 from ..operators.storage import checkpoint
 from .app import OutputFormat, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
-from .engine import path_rows, prepared_index, run, start, step_join
+from .engine import chosen, path_rows, prepared_index, run, start, step_join
+from .local import run_many_roots, run_second_order
 
 STEPS = 100
 #: Graphs below this many vertices get a hundred walks from each in the walk apps.
 SMALL_GRAPH = 262_144
 #: Steps between checkpoints of many-root walks, whose plans grow fastest.
 ROOTS_CHECKPOINT_EVERY = 5
+#: Rounds of second-order walks between checkpoints, and looks at whether any walk is left.
+ROUNDS = 8
 
 
 def walk_count(n_vertices: int) -> int:
@@ -58,33 +61,44 @@ def node2vec(graph: Graph, steps: int = STEPS, samples: int | None = None, p: fl
     """Second-order walks: a neighbour v weighs p if it is the transit before (p is the
     return's weight, not its inverse), 1/q if that transit has an edge to v, else 1. The
     first step, and a transit with one edge, take the first neighbour. Edge weights are
-    not used. The choice is by inverse CDF over neighbours in order, the distribution
-    that rejection sampling has in the limit."""
-    rows = start(graph, SamplingApp("node2vec", steps, 1, _walk_seeds(samples))).drop("total").withColumn("path", F.array("transit")).withColumn("t", F.lit(None).cast("int"))
+    not used.
+
+    Choices are made by rejection: a round proposes one uniform neighbour, one row of the
+    index, probes the pairs of edges, and accepts by the weight. So no walk is joined to all
+    neighbours of a hub. Rows run ahead of each other: a join is a round of every walk that
+    isn't finished, whatever step it is in."""
+    app = SamplingApp("node2vec", steps, 1, _walk_seeds(samples))
+    if chosen(graph, strategy) == "sample":
+        return run_second_order(graph, app.seeds(graph), steps, p, q, seed)
+    most = max(p, 1 / q, 1.0)
     parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
-    index = graph.uniform_index.repartition(parts, "vertex").persist()  # a step shuffles the walks only
+    index = graph.uniform_index.repartition(parts, "vertex", "cell").persist()  # a round shuffles the walks only
     pairs = graph.pairs.select(F.col("src").alias("t"), F.col("dst"), F.lit(True).alias("near")).repartition(parts, "t", "dst").persist()
-    of = Window.partitionBy("sample_id")
-    for step in range(steps):
-        one = (F.col("degree") == 1) if step else F.lit(True)
-        first = F.when((F.col("degree") > 0) & one, 0)
-        alive = rows.filter("transit IS NOT NULL AND degree > 0").withColumn("first", first)
-        ended = rows.filter("transit IS NULL OR degree = 0").select("sample_id", "slot", F.lit(None).cast("int").alias("transit"), F.lit(0).alias("degree"), "path", F.lit(None).cast("int").alias("t"))
-        joined = alive.join(index, (alive["transit"] == index["vertex"]) & (alive["first"].isNull() | (index["cell"] == alive["first"])))
-        if step:
-            weight = F.when(F.col("dst") == F.col("t"), p).when(F.col("near"), 1 / q).otherwise(1.0)
-            joined = joined.join(pairs, ["t", "dst"], "left").withColumn("h", F.when(F.col("first").isNotNull(), 1.0).otherwise(weight))
-        else:
-            joined = joined.withColumn("h", F.lit(1.0))
-        upto = of.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-        joined = joined.withColumn("hi", F.sum("h").over(upto)).withColumn("sum", F.sum("h").over(of))
-        x = rng.uniform(seed, F.col("sample_id"), step, F.col("slot"), 0) * F.col("sum")
-        chosen = joined.withColumn("x", x).filter("x > hi - h AND x <= hi")
-        moved = chosen.select("sample_id", "slot", F.col("dst").alias("v"), F.col("dst_degree").alias("d"), F.concat("path", F.array("dst")).alias("path"), F.col("transit").alias("t"))
-        rows = moved.withColumnsRenamed({"v": "transit", "d": "degree"}).unionByName(ended)
-        if (step + 1) % 10 == 0 and step + 1 < steps:
+    rows = start(graph, app).select("sample_id", "slot", "transit", "degree", F.array("transit").alias("path"), F.lit(None).cast("int").alias("t"), F.lit(0).alias("step"), F.lit(0).alias("round"))
+    done, rounds = None, 0
+    while True:
+        over = F.col("transit").isNull() | (F.col("degree") == 0) | (F.col("step") >= steps)
+        rows, ended = rows.filter(~over), rows.filter(over).select("sample_id", "slot", "path")
+        done = ended if done is None else done.unionByName(ended)
+        if rounds % ROUNDS == 0:
             rows = checkpoint(rows)
-    return path_rows(rows)
+            done = checkpoint(done)
+            if rows.isEmpty():
+                return path_rows(done)
+        rounds += 1
+        first = (F.col("step") == 0) | (F.col("degree") == 1)
+        u = lambda k: rng.uniform(seed, F.col("sample_id"), F.col("step"), F.col("slot"), F.col("round") * 2 + k)
+        rows = rows.withColumn("cell", F.when(first, 0).otherwise(rng.pick(u(0), F.col("degree")))).withColumn("__vertex", F.col("transit"))
+        rows = rows.join(index.withColumnRenamed("vertex", "__vertex").hint("shuffle_hash"), ["__vertex", "cell"]).join(pairs.hint("shuffle_hash"), ["t", "dst"], "left")
+        weight = F.when(F.col("dst") == F.col("t"), p).when(F.col("near"), 1 / q).otherwise(1.0)
+        yes = first | (u(1) * most <= weight)
+        now = lambda a, b: F.when(F.col("yes"), a).otherwise(b)
+        rows = rows.withColumn("yes", yes).select(
+            "sample_id", "slot",
+            now(F.col("dst"), F.col("transit")).alias("transit"), now(F.col("dst_degree"), F.col("degree")).alias("degree"),
+            now(F.concat("path", F.array("dst")), F.col("path")).alias("path"), now(F.col("transit"), F.col("t")).alias("t"),
+            now(F.col("step") + 1, F.col("step")).alias("step"), now(F.lit(0), F.col("round") + 1).alias("round"),
+        )
 
 
 # -------------------------------------------------------------------- many roots
@@ -95,6 +109,8 @@ def multirw(graph: Graph, steps: int = STEPS, samples: int | None = None, roots:
     A root without edges stays and gives no vertex."""
     n = graph.n_vertices
     samples = n if samples is None else samples
+    if chosen(graph, strategy) == "sample":
+        return run_many_roots(graph, samples, steps, roots, seed)
     each = graph.spark.range(samples).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(roots - 1))).alias("i"))
     each = each.withColumn("v", (rng.draw(seed, F.col("sample_id"), -1, F.col("i"), 0) % n).cast("int"))
     each = each.join(graph.degrees.select(F.col("id").alias("v"), "degree"), "v", "left").withColumn("d", F.coalesce("degree", F.lit(0)))

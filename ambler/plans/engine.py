@@ -27,6 +27,8 @@ from .local import run_local
 
 #: Edges (some 20 bytes each in a worker) up to which each worker gets the whole graph.
 BROADCAST_ROWS = 4_000_000
+#: Vertices, 8 bytes each in a worker, up to the same.
+BROADCAST_VERTICES = 16_000_000
 #: Steps between checkpoints of a long walk.
 CHECKPOINT_EVERY = 25
 STRATEGIES = ("auto", "sample", "transit")
@@ -69,9 +71,12 @@ class SamplingRun:
 def chosen(graph: Graph, strategy: str) -> str:
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy must be one of {STRATEGIES}")
-    if strategy != "auto":
+    if strategy == "transit":
         return strategy
-    return "sample" if graph.n_edges <= BROADCAST_ROWS else "transit"
+    fits = graph.n_edges <= BROADCAST_ROWS and graph.n_vertices <= BROADCAST_VERTICES
+    if strategy == "sample" and not fits:
+        raise ValueError(f"strategy 'sample' is for graphs of up to {BROADCAST_ROWS} edges and {BROADCAST_VERTICES} vertices; this one has {graph.n_edges} and {graph.n_vertices}")
+    return "sample" if fits else "transit"
 
 
 def prepared_index(graph: Graph, weighted: bool, strategy: str = "auto") -> tuple[DataFrame, bool]:

@@ -8,13 +8,13 @@ bound of edges, and for choices that are named rather than given as Columns.
 from __future__ import annotations
 
 import dataclasses
-import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.rng import SCALE
+from ..functions.rng import Draws, lanes, place
+from ..functions.rng import SCALE as RANGE
 from ..operators.graph import Graph
 from ..shipping import ship
 from .app import SamplingApp
@@ -47,11 +47,26 @@ class Csr:
             upto[a:b] = own if a < b and own[-1] > 0 else np.arange(1, b - a + 1)
         return cls(start, dst, upto)
 
+    def has_edges(self, v: np.ndarray) -> np.ndarray:
+        ok = (v >= 0) & (v < len(self.start) - 1)
+        ok[ok] = self.start[v[ok] + 1] > self.start[v[ok]]
+        return ok
+
+    def is_edge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs of vertices (a has edges) are edges: neighbours are in order."""
+        lo, end = self.start[a], self.start[a + 1]
+        hi = end.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            up = open_ & (self.dst[np.minimum(mid, len(self.dst) - 1)] < b)
+            lo, hi = np.where(up, mid + 1, lo), np.where(open_ & ~up, mid, hi)
+        return (lo < end) & (self.dst[np.minimum(lo, len(self.dst) - 1)] == b)
+
     def choose(self, v: np.ndarray, u: np.ndarray) -> np.ndarray:
         """A neighbour of each vertex (which has edges) by a draw in (0, 1]."""
         lo, end = self.start[v], self.start[v + 1]
         if self.upto is None:
-            return self.dst[lo + np.minimum((u * (end - lo)).astype(np.int64), end - lo - 1)]
+            return self.dst[lo + place(u, end - lo)]
         x, hi = u * self.upto[end - 1], end - 1
         while (open_ := lo < hi).any():  # the first edge whose prefix sum is at least x
             mid = (lo + hi) >> 1
@@ -60,51 +75,110 @@ class Csr:
         return self.dst[lo]
 
 
-def draws(seed: int, sample: np.ndarray, step: int, slot: np.ndarray, number: int) -> np.ndarray:
-    """The draws of ``functions.rng.uniform`` for many rows."""
-    md5 = hashlib.md5
-    raw = b"".join([md5(b"%d|%d|%d|%d|%d" % (seed, s, step, k, number), usedforsecurity=False).digest()[:4] for s, k in zip(sample.tolist(), slot.tolist(), strict=True)])
-    return (np.frombuffer(raw, ">u4").astype(np.int64) + 1) / SCALE
-
-
 def steps_of(csr: Csr, app: SamplingApp, seed: int, sample, slot, vertex):
     """Yields (sample, step, slot, parent, transit, vertex) arrays of a batch of seeds."""
-    n = len(csr.start) - 1
+    draws = Draws(seed)
     for step in range(app.steps):
         size = app.size(step)
-        ok = (vertex >= 0) & (vertex < n)
-        ok[ok] = csr.start[vertex[ok] + 1] > csr.start[vertex[ok]]
+        ok = csr.has_edges(vertex)
+        draws.keep(ok)
         sample, slot, vertex = sample[ok], slot[ok], vertex[ok]
+        if size > 1:
+            draws.clear()
         parent = np.repeat(slot, size)
         sample, transit = np.repeat(sample, size), np.repeat(vertex, size)
         slot = parent * size + np.tile(np.arange(size), len(vertex))
         if app.end is not None:
-            on = draws(seed, sample, step, slot, 1) >= app.end
+            on = draws(sample, step, slot, 1) >= app.end
+            draws.keep(on)
             sample, slot, parent, transit = sample[on], slot[on], parent[on], transit[on]
         if not len(sample):
             return
-        vertex = csr.choose(transit, draws(seed, sample, step, slot, 0))
+        vertex = csr.choose(transit, draws(sample, step, slot))
         yield sample, step, slot, parent, transit, vertex
 
 
-def run_local(graph: Graph, app: SamplingApp, seed: int) -> DataFrame:
-    spark = graph.spark
-    ship(spark)
-    csr = graph.shared.get(app.weighted)
+def second_order(csr: Csr, steps: int, p: float, q: float, seed: int, sample, slot, vertex):
+    """As ``steps_of``, for second-order walks by rejection: round r of a step proposes a
+    uniform neighbour by draw 2 r and accepts it by draw 2 r + 1."""
+    last, most = np.full(len(sample), -1), max(p, 1 / q, 1.0)
+    for step in range(steps):
+        ok = csr.has_edges(vertex)
+        sample, slot, vertex, last = sample[ok], slot[ok], vertex[ok], last[ok]
+        if not len(sample):
+            return
+        lo, degree = csr.start[vertex], csr.start[vertex + 1] - csr.start[vertex]
+        chosen = csr.dst[lo].astype(np.int64)  # the first step, and vertices of one edge
+        left, r = np.flatnonzero(degree > 1) if step else np.zeros(0, np.int64), 0
+        while len(left):
+            u, accept = ((lanes(seed, sample[left], step, slot[left], 2 * r + k)[:, step % 8].astype(np.int64) + 1) / RANGE for k in (0, 1))
+            found = csr.dst[lo[left] + place(u, degree[left])].astype(np.int64)
+            t = last[left]
+            weight = np.where(found == t, p, np.where(csr.is_edge(t, found), 1 / q, 1.0))
+            yes = accept * most <= weight
+            chosen[left[yes]] = found[yes]
+            left, r = left[~yes], r + 1
+        yield sample, step, slot, slot, vertex, chosen
+        last, vertex = vertex, chosen
+
+
+def many_roots(csr: Csr, steps: int, roots: int, seed: int, sample, slot, vertex):
+    """As ``steps_of``, for walks with many roots; ``vertex`` isn't used."""
+    n, draws = len(csr.start) - 1, Draws(seed)
+    if n <= 0 or not len(sample):
+        return
+    held = np.column_stack([lanes(seed, sample, -1, np.full(len(sample), i), 0)[:, 7] % n for i in range(roots)]).astype(np.int64)
+    row = np.arange(len(sample))
+    for step in range(steps):
+        x = place(draws(sample, step, slot, 1), roots) if step else np.zeros(len(sample), np.int64)
+        transit = held[row, x]
+        ok = csr.has_edges(transit)
+        u = draws(sample, step, slot)
+        found = csr.choose(transit[ok], u[ok])
+        yield sample[ok], step, slot[ok], slot[ok], transit[ok], found
+        if step:
+            held[row[ok], x[ok]] = found
+
+
+def shared_csr(graph: Graph, weighted: bool = False):
+    csr = graph.shared.get(weighted)
     if csr is None:
-        csr = graph.shared[app.weighted] = spark.sparkContext.broadcast(Csr.of(graph, app.weighted))
-    widest = max(1, max((app.outputs_until(k) for k in range(app.steps)), default=1) // max(app.initial_size, 1))
-    most = max(1, ROWS // widest)
+        csr = graph.shared[weighted] = graph.spark.sparkContext.broadcast(Csr.of(graph, weighted))
+    return csr
+
+
+def in_tasks(seeds: DataFrame, steps, most: int) -> DataFrame:
+    """Runs ``steps`` of (sample, slot, vertex) arrays, ``most`` seeds at once."""
 
     def run(batches):
         for b in batches:
             own = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
             for k in range(0, len(own[0]), most):
-                for sample, step, slot, parent, transit, vertex in steps_of(csr.value, app_, seed, *(c[k : k + most] for c in own)):
+                for sample, step, slot, parent, transit, vertex in steps(*(c[k : k + most] for c in own)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(sample), pa.array(np.full(len(sample), step, np.int32)), pa.array(slot), pa.array(parent), pa.array(transit.astype(np.int32)), pa.array(vertex.astype(np.int32))],
                         ["sample_id", "step", "slot", "parent_slot", "transit", "vertex"],
                     )
 
+    return seeds.filter("transit IS NOT NULL").selectExpr("cast(sample_id AS long)", "cast(slot AS long)", "cast(transit AS long)").mapInArrow(run, SCHEMA)
+
+
+def run_local(graph: Graph, app: SamplingApp, seed: int) -> DataFrame:
+    ship(graph.spark)
+    csr = shared_csr(graph, app.weighted)
+    widest = max(1, max((app.outputs_until(k) for k in range(app.steps)), default=1) // max(app.initial_size, 1))
     app_ = dataclasses.replace(app, seeds=None)  # seeds are a frame by now
-    return app.seeds(graph).filter("transit IS NOT NULL").selectExpr("cast(sample_id AS long)", "cast(slot AS long)", "cast(transit AS long)").mapInArrow(run, SCHEMA)
+    return in_tasks(app.seeds(graph), lambda *own: steps_of(csr.value, app_, seed, *own), max(1, ROWS // widest))
+
+
+def run_second_order(graph: Graph, seeds: DataFrame, steps: int, p: float, q: float, seed: int) -> DataFrame:
+    ship(graph.spark)
+    csr = shared_csr(graph)
+    return in_tasks(seeds, lambda *own: second_order(csr.value, steps, p, q, seed, *own), ROWS)
+
+
+def run_many_roots(graph: Graph, samples: int, steps: int, roots: int, seed: int) -> DataFrame:
+    ship(graph.spark)
+    csr = shared_csr(graph)
+    seeds = graph.spark.range(samples).selectExpr("id AS sample_id", "0 AS slot", "0 AS transit")
+    return in_tasks(seeds, lambda *own: many_roots(csr.value, steps, roots, seed, *own), max(1, ROWS // max(roots, 1)))

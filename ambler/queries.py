@@ -29,19 +29,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 EDGES = """first AS (SELECT max(l_suppkey) + 1 AS s FROM lineitem),
-purchases AS (SELECT CAST(l_suppkey AS INTEGER) AS a, CAST(s + l_partkey AS INTEGER) AS b, max(l_quantity) AS q FROM lineitem, first GROUP BY 1, 2),
-edges AS (SELECT a AS src, b AS dst, 1 + (CAST(floor(q) AS INTEGER) % 16) / 4.0::DOUBLE AS weight FROM purchases
+purchases AS MATERIALIZED (SELECT CAST(l_suppkey AS INTEGER) AS a, CAST(s + l_partkey AS INTEGER) AS b, max(l_quantity) AS q FROM lineitem, first GROUP BY 1, 2),
+edges AS MATERIALIZED (SELECT a AS src, b AS dst, 1 + (CAST(floor(q) AS INTEGER) % 16) / 4.0::DOUBLE AS weight FROM purchases
   UNION ALL SELECT b, a, 1 + (CAST(floor(q) AS INTEGER) % 16) / 4.0::DOUBLE FROM purchases),
-n AS (SELECT max(greatest(src, dst)) + 1 AS n FROM edges),
-deg AS (SELECT src AS id, CAST(count(*) AS INTEGER) AS degree, max(weight) AS max_weight, sum(weight) AS total FROM edges GROUP BY 1),
+n AS MATERIALIZED (SELECT max(greatest(src, dst)) + 1 AS n FROM edges),
+deg AS MATERIALIZED (SELECT src AS id, CAST(count(*) AS INTEGER) AS degree, max(weight) AS max_weight, sum(weight) AS total FROM edges GROUP BY 1),
 vertices AS (SELECT CAST(r.range AS INTEGER) AS id, coalesce(degree, 0) AS degree, coalesce(max_weight, 0.0) AS max_weight, coalesce(total, 0.0) AS total
   FROM range(0, (SELECT n FROM n)) r LEFT JOIN deg ON deg.id = r.range),
-pos AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY dst, weight) - 1 AS INTEGER) AS pos, dst, weight FROM edges),
+pos AS MATERIALIZED (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY dst, weight) - 1 AS INTEGER) AS pos, dst, weight FROM edges),
 cum AS (SELECT src, pos, dst, weight, sum(weight) OVER (PARTITION BY src ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hi FROM pos)"""
 
 
 def _sql(body: str, *more: str) -> str:
-    return "WITH " + ",\n".join([EDGES, *more]) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join([EDGES, *more]) + "\n" + body
 
 
 def _query(sql: str | None = None):
@@ -133,7 +133,7 @@ def bfs_two_steps(g):
 # ------------------------------------------------------------------------ seeds
 
 def _batch_sql(size: int, samples: str) -> str:
-    return f"batch AS (SELECT s.range AS sample_id, CAST(i.range AS INTEGER) AS slot, CAST((s.range * {size} + i.range) % (SELECT n FROM n) AS INTEGER) AS transit FROM range(0, {samples}) s, range(0, {size}) i)"
+    return f"batch AS MATERIALIZED (SELECT s.range AS sample_id, CAST(i.range AS INTEGER) AS slot, CAST((s.range * {size} + i.range) % (SELECT n FROM n) AS INTEGER) AS transit FROM range(0, {samples}) s, range(0, {size}) i)"
 
 
 BATCHES = "(SELECT CAST(ceil(8 * n / 32.0) AS BIGINT) FROM n)"
@@ -292,23 +292,33 @@ def ppr_walk(g):
     return _plain(run(g, apps.ppr(LONG, 2 * g.n_vertices), SEED).samples)
 
 
-def node2vec_sql(steps: int, p: float = 2.0, q: float = 0.5) -> list[str]:
-    out = ["near AS (SELECT DISTINCT src, dst FROM edges)", "w0 AS (SELECT CAST(id AS BIGINT) AS sample_id, CAST(NULL AS INTEGER) AS transit, id AS vertex FROM vertices)"]
-    for k in range(steps):
-        first = "true" if k == 0 else "d.degree = 1"
-        h = f"CASE WHEN {first} THEN 1.0 WHEN c.dst = w.transit THEN {p} WHEN e.src IS NOT NULL THEN {1 / q} ELSE 1.0 END"
-        out.append(f"c{k} AS (SELECT w.sample_id, w.vertex AS transit, c.pos, c.dst, CAST({h} AS DOUBLE) AS h FROM w{k} w JOIN deg d ON d.id = w.vertex JOIN pos c ON c.src = w.vertex AND (NOT ({first}) OR c.pos = 0) LEFT JOIN near e ON e.src = w.transit AND e.dst = c.dst)")
-        out.append(f"s{k} AS (SELECT *, sum(h) OVER (PARTITION BY sample_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hi, sum(h) OVER (PARTITION BY sample_id) AS total FROM c{k})")
-        x = f"{rng.sql_uniform(SEED, 'sample_id', k, 0, 0)} * total"
-        out.append(f"w{k + 1} AS (SELECT sample_id, transit, dst AS vertex FROM s{k} WHERE {x} > hi - h AND {x} <= hi)")
-    return out
+def node2vec_sql(steps: int, p: float = 2.0, q: float = 0.5, per_vertex: int = 1) -> list[str]:
+    """Rounds of all walks: a row is a walk after a round, and whether it took a step in it."""
+    u = lambda k: rng.sql_uniform(SEED, "w.sample_id", "w.step", 0, f"2 * w.round + {k}")
+    first = "(w.step = 0 OR d.degree = 1)"
+    weight = f"CASE WHEN c.dst = w.t THEN {p} WHEN e.src IS NOT NULL THEN {1 / q} ELSE 1.0 END"
+    yes = f"({first} OR {u(1)} * {max(p, 1 / q, 1.0)} <= {weight})"
+    return [
+        "near AS (SELECT DISTINCT src, dst FROM edges)",
+        f"""w AS (SELECT s.range AS sample_id, 0 AS step, 0 AS round, CAST(NULL AS INTEGER) AS t, CAST(s.range % (SELECT n FROM n) AS INTEGER) AS vertex, false AS moved FROM range(0, {per_vertex} * (SELECT n FROM n)) s
+UNION ALL SELECT w.sample_id, CASE WHEN {yes} THEN w.step + 1 ELSE w.step END, CASE WHEN {yes} THEN 0 ELSE w.round + 1 END, CASE WHEN {yes} THEN w.vertex ELSE w.t END, CASE WHEN {yes} THEN c.dst ELSE w.vertex END, {yes}
+FROM w JOIN deg d ON d.id = w.vertex JOIN pos c ON c.src = w.vertex AND c.pos = CASE WHEN {first} THEN 0 ELSE {rng.sql_pick(u(0), 'd.degree')} END LEFT JOIN near e ON e.src = w.t AND e.dst = c.dst WHERE w.step < {steps})""",
+    ]
+
 
+MOVED = "SELECT sample_id, step - 1 AS step, t AS transit, vertex FROM w WHERE moved"
 
-@_query(_sql(_steps(4), *node2vec_sql(4)))
+
+@_query(_sql(MOVED, *node2vec_sql(4)))
 def node2vec_walk(g):
     return _plain(apps.node2vec(g, 4, g.n_vertices, seed=SEED))
 
 
+@_query(_sql(MOVED, *node2vec_sql(2)))
+def node2vec_walk_shuffled(g):
+    return _plain(apps.node2vec(g, 2, g.n_vertices, seed=SEED, strategy="transit"))
+
+
 def multirw_sql(steps: int, roots: int) -> list[str]:
     out = [f"r0 AS (SELECT s.range AS sample_id, CAST(i.range AS INTEGER) AS i, CAST({rng.sql_draw(SEED, 's.range', -1, 'i.range', 0)} % (SELECT n FROM n) AS INTEGER) AS v FROM range(0, (SELECT n FROM n)) s, range(0, {roots}) i)"]
     for k in range(steps):
@@ -364,9 +374,9 @@ def step_overlap(g):
 
 LAYER_SQL = [
     _batch_sql(LAYER_SIZE, str(LAYER_SAMPLES)),
-    f"drawn AS (SELECT s.range AS sample_id, CAST(l.range AS INTEGER) AS layer, CAST(c.range AS INTEGER) AS col, {rng.sql_pick(rng.sql_uniform(SEED, 's.range', 'l.range', 'c.range', 0), '(SELECT n FROM n)')} AS dst FROM range(0, {LAYER_SAMPLES}) s, range(0, {LAYERS}) l, range(0, {LAYER_SIZE}) c)",
+    f"drawn AS MATERIALIZED (SELECT s.range AS sample_id, CAST(l.range AS INTEGER) AS layer, CAST(c.range AS INTEGER) AS col, {rng.sql_pick(rng.sql_uniform(SEED, 's.range', 'l.range', 'c.range', 0), '(SELECT n FROM n)')} AS dst FROM range(0, {LAYER_SAMPLES}) s, range(0, {LAYERS}) l, range(0, {LAYER_SIZE}) c)",
     f"before AS (SELECT sample_id, 0 AS layer, slot AS row, transit AS src FROM batch UNION ALL SELECT sample_id, layer + 1, col, dst FROM drawn WHERE layer < {LAYERS - 1})",
-    "coo AS (SELECT b.sample_id, b.layer, b.row, d.col, b.src, d.dst FROM before b JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.src = b.src JOIN drawn d ON d.sample_id = b.sample_id AND d.layer = b.layer AND d.dst = e.dst)",
+    "coo AS MATERIALIZED (SELECT b.sample_id, b.layer, b.row, d.col, b.src, d.dst FROM before b JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.src = b.src JOIN drawn d ON d.sample_id = b.sample_id AND d.layer = b.layer AND d.dst = e.dst)",
 ]
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 
 import pytest
 
@@ -20,8 +21,9 @@ def graph(spark):
     return Graph(spark.createDataFrame(EDGES, EDGE_SCHEMA), N)
 
 
-def draw(*of):
-    return int(hashlib.md5("|".join(map(str, (42, *of))).encode()).hexdigest()[:8], 16)
+def draw(sample, step, *of):
+    found = hashlib.sha256("|".join(map(str, (42, sample, step // 8 + 1, *of))).encode()).hexdigest()
+    return int(found[8 * (step % 8) :][:8], 16)
 
 
 def u(*of):
@@ -73,8 +75,10 @@ def second_order(samples, p=2.0, q=0.5):
             if k == 0 or len(SLICE[v]) == 1:
                 d = SLICE[v][0][0]
             else:
-                w = [p if d == t else 1 / q if (t, d) in pairs else 1.0 for d, _ in SLICE[v]]
-                d = SLICE[v][first_at_least(w, u(s, k, 0, 0) * sum(w))][0]
+                for r in itertools.count():
+                    d = SLICE[v][min(int(u(s, k, 0, 2 * r) * len(SLICE[v])), len(SLICE[v]) - 1)][0]
+                    if u(s, k, 0, 2 * r + 1) * max(p, 1 / q) <= (p if d == t else 1 / q if (t, d) in pairs else 1.0):
+                        break
             yield s, k, v, d
             v, t = d, v
 
@@ -103,7 +107,7 @@ WANT = {
 @pytest.mark.parametrize("name", sorted(WANT))
 def test_walks_at_their_defaults(graph, name):
     want = sorted(WANT[name]())
-    assert max(k for _, k, *_ in want) == STEPS - 1  # some walk goes all the way
+    assert max(k for _, k, *_ in want) >= 0.9 * STEPS  # dead ends leave some walks that long
     assert sorted(map(tuple, full_queries.SAMPLERS[name](graph).collect())) == want
 
 

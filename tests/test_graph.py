@@ -273,3 +273,19 @@ def test_without_replacement_takes_different_edges(graph):
 def test_walk_joins_do_not_shuffle_a_kept_index_again(graph):
     plan = run(graph(STAR), apps.uniform_walk(2), strategy="transit").samples._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_second_order_and_many_roots_agree_in_tasks_and_joins(graph):
+    columns = ("sample_id", "step", "slot", "transit", "vertex")
+    for edges in (STAR + WEIGHTED, MULTI, CHAIN, LOOP):
+        for make in (lambda g, s: apps.node2vec(g, 6, 12, strategy=s), lambda g, s: apps.multirw(g, 5, 6, roots=3, strategy=s)):
+            assert rows(make(graph(edges), "sample"), *columns) == rows(make(graph(edges), "transit"), *columns)
+
+
+def test_large_graphs_are_not_shared(graph, monkeypatch):
+    from ambler.plans import engine
+
+    monkeypatch.setattr(engine, "BROADCAST_VERTICES", 3)
+    assert engine.chosen(graph(CHAIN), "auto") == "transit"
+    with pytest.raises(ValueError, match="up to"):
+        engine.chosen(graph(CHAIN), "sample")
