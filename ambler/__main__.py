@@ -8,7 +8,6 @@ import time
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import validate
 from .plans import apps
 from .plans.engine import run
 from .sources.graphs import read_graph
@@ -25,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-n", "--nruns", type=int, default=1)
     p.add_argument("-c", "--check-results", action="store_true")
     p.add_argument("-p", "--print-samples", action="store_true")
+    p.add_argument("-G", "--print-graph", type=int, default=0, metavar="N", help="show the first N adjacency lists")
     p.add_argument("-k", "--kernel", default="auto", choices=sorted(STRATEGY))
     p.add_argument("-l", "--load-balancing", action="store_true", help="split skewed joins at run time")
     p.add_argument("-o", "--output", help="folder for the samples as parquet")
@@ -43,10 +43,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         result = run(graph, apps.APPS[args.app](), args.seed, STRATEGY[args.kernel]).samples if args.app in apps.APPS else apps.sample(graph, args.app, args.seed, STRATEGY[args.kernel])
         column = "vertex" if "vertex" in result.columns else "dst"
         print(f"{args.app}: {result.agg(F.count(column)).first()[0]} vertices in {time.time() - began:.3f} s")
-    if args.check_results and args.app in apps.APPS:
-        bad = validate.vertex_violations(result, apps.APPS[args.app]().seeds(graph), graph).filter("kind = 'not_neighbor'")
-        ok = bad.isEmpty()
+    if args.check_results:
+        ok = apps.violations(graph, args.app, result, args.seed).isEmpty()
         print("valid" if ok else "not valid")
+    if args.print_graph:
+        graph.adjacency().orderBy("vertex").show(args.print_graph, truncate=False)
     if args.print_samples:
         order = [c for c in ("step", "layer", "slot", "src", "dst", "vertex") if c in result.columns]
         result.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda x: x[column]).alias("sample")).orderBy("sample_id").show(truncate=False)

@@ -13,11 +13,12 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .scan import exclusive_scan
+from .scan import exclusive_scan, running
 from .storage import checkpoint
 
+#: Edges of one vertex up to which a task puts them in order; beyond it they are dealt to tasks by ranges.
+HUB_EDGES = 1_000_000
 EDGE_SCHEMA = "src int, dst int, weight double"
 
 
@@ -62,13 +63,18 @@ class Graph:
         end = F.when(F.col("degree") > 0, F.col("start_edge") + F.col("degree") - 1).otherwise(F.lit(-1).cast("long"))
         return rows.select("id", "start_edge", end.alias("end_edge"), "degree", "max_weight")
 
+    @cached_property
+    def has_hubs(self) -> bool:
+        """Whether a vertex has more edges than one task should sort."""
+        return (self.degrees.agg(F.max("degree")).first()[0] or 0) > HUB_EDGES
+
     # ---------------------------------------------------------------- edges
 
     @cached_property
     def positions(self) -> DataFrame:
         """(src, pos, dst, weight): each edge's 0-based place among its source's."""
-        order = Window.partitionBy("src").orderBy("dst", "weight")
-        return self.edges.select("src", (F.row_number().over(order) - 1).alias("pos"), "dst", "weight")
+        rows = running(self.edges, "src", ["dst", "weight"], F.lit(1), "__place", "dst" if self.has_hubs else None)
+        return rows.select("src", (F.col("__place") - 1).cast("int").alias("pos"), "dst", "weight")
 
     def edge_vertices(self) -> DataFrame:
         """(edge, src, dst): global edge offsets with the vertices at both ends."""
@@ -119,8 +125,7 @@ class Graph:
         total = self.degrees.select(F.col("id").alias("src"), "degree", "total")
         rows = self.positions.join(total, "src")
         rows = rows.withColumn("weight", F.when(F.col("total") > 0, F.col("weight")).otherwise(1.0)).withColumn("total", F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("degree").cast("double")))
-        upto = Window.partitionBy("src").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("hi", F.sum("weight").over(upto)).withColumn("lo", F.col("hi") - F.col("weight")).filter("weight > 0")
+        rows = running(rows, "src", ["pos"], F.col("weight"), "hi", "pos" if self.has_hubs else None).withColumn("lo", F.col("hi") - F.col("weight")).filter("weight > 0")
         cell = lambda x: F.least(F.floor(F.col(x) * F.col("degree") / F.col("total")), F.col("degree").cast("long") - 1).cast("int")
         rows = rows.select("src", F.explode(F.sequence(cell("lo"), cell("hi"))).alias("cell"), "lo", "hi", "dst")
         far = self.degrees.select(F.col("id").alias("dst"), F.col("degree").alias("dst_degree"), F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("degree").cast("double")).alias("dst_total"))

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -14,3 +15,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ambler-checkpoint-"))
     return df.checkpoint()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that nothing is at yet, in the folder the session shares; one of its own only
+    where none is set."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ambler-")
+    return f"{top}/ambler/{name}-{uuid.uuid4().hex}"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rng
+from ..operators import validate
 from ..operators.graph import Graph
 from ..operators.storage import checkpoint
 from .app import OutputFormat, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
@@ -155,8 +156,14 @@ def layer_matrices(graph: Graph, layers: int = 5, size: int = 64, samples: int =
     before the first) has an edge to drawn vertex ``col``. Both layer samplers, the
     importance-free FastGCN and LADIES forms, are this."""
     before, drawn = layer_vertices(graph, layers, size, samples, seed)
-    # every vertex pair of neighbouring layers that is an edge, by equal keys only
-    return before.join(graph.pairs, "src").join(drawn, ["sample_id", "layer", "dst"]).select("sample_id", "layer", "row", "col", "src", "dst")
+    out = ["sample_id", "layer", "row", "col", "src", "dst"]
+    if chosen(graph, "auto") == "sample":
+        # the pairs of a sample's layers probe the edges, one number each, in memory
+        key = lambda a, b: F.col(a).cast("long") * graph.n_vertices + F.col(b)
+        edges = graph.pairs.select(key("src", "dst").alias("edge"))
+        return before.join(drawn, ["sample_id", "layer"]).withColumn("edge", key("src", "dst")).join(F.broadcast(edges), "edge", "left_semi").select(*out)
+    # larger graphs: edges of the layers before, by equal keys only
+    return before.join(graph.pairs, "src").join(drawn, ["sample_id", "layer", "dst"]).select(*out)
 
 
 fastgcn = layer_matrices
@@ -207,3 +214,24 @@ def sample(graph: Graph, name: str, seed: int = 42, strategy: str = "auto", **op
     if name in TABLES:
         return TABLES[name](graph, seed=seed, strategy=strategy, **options)
     raise ValueError(f"no sampler {name!r}; there are {sorted(APPS | TABLES)}")
+
+
+def violations(graph: Graph, name: str, result: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows of a sampler's result, at its defaults, that break its property."""
+    if name in APPS:
+        return validate.vertex_violations(result, APPS[name]().seeds(graph), graph).filter("kind = 'not_neighbor'")
+    if name in ("node2vec", "multirw"):
+        return validate.root_violations(result, graph)
+    if name in ("fastgcn", "ladies"):
+        return validate.matrix_violations(result, *layer_vertices(graph, seed=seed), graph)
+    samples = batches(graph.n_vertices, graph.n_edges, 32, 1_500_000 if name == "mvs" else 2_000_000)
+    if name == "mvs":
+        return validate.batch_violations(result, batch_seeds(samples, 32)(graph), graph)
+    return validate.subgraph_violations(result, cluster_seeds(graph, samples), graph)
+
+
+def matrix(result: DataFrame) -> DataFrame:
+    """The adjacency matrix form of a result with edges (src, dst) or choices (transit, vertex):
+    (sample_id, row, col, n), n parallel edges."""
+    ends = ("src", "dst") if "src" in result.columns else ("transit", "vertex")
+    return result.groupBy("sample_id", F.col(ends[0]).alias("row"), F.col(ends[1]).alias("col")).agg(F.count("*").alias("n"))

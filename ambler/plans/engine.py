@@ -14,15 +14,18 @@ a broadcast index. ``auto`` counts the edges and takes ``sample`` within ``BROAD
 from __future__ import annotations
 
 import dataclasses
+import functools
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import rng
 from ..operators.graph import Graph
 from ..operators.storage import checkpoint
 from ..operators.validate import vertex_violations
-from .app import ALL_NEIGHBORS, SamplingApp, StepContext
+from .app import ALL_NEIGHBORS, OutputFormat, SamplingApp, SamplingType, StepContext
 from .local import run_local
 
 #: Edges (some 20 bytes each in a worker) up to which each worker gets the whole graph.
@@ -48,6 +51,13 @@ class SamplingRun:
     def total_length(self, n_samples: int) -> int:
         return n_samples * self.app.final_size()
 
+    def output(self) -> DataFrame:
+        """The samples in the app's output format: rows of vertices, or adjacency matrices
+        (sample_id, row, col, n) of the edges that were walked."""
+        if self.app.output is OutputFormat.SAMPLED_VERTICES:
+            return self.samples
+        return self.samples.groupBy("sample_id", F.col("transit").alias("row"), F.col("vertex").alias("col")).agg(F.count("*").alias("n"))
+
     def valid_count(self) -> DataFrame:
         return self.samples.agg(F.count("vertex").alias("n_valid"))
 
@@ -127,7 +137,9 @@ def step_join(rows: DataFrame, index: DataFrame, broadcast: bool, app: SamplingA
 
 def run(graph: Graph, app: SamplingApp, seed: int = 42, strategy: str = "auto", checkpoint_every: int = CHECKPOINT_EVERY) -> SamplingRun:
     """All steps of an app. A walk's rows carry their path, one row a sample; a fan-out's
-    steps are united."""
+    steps are united; a collective app's choices look at all transits of a sample."""
+    if app.sampling_type is SamplingType.COLLECTIVE:
+        return SamplingRun(app, graph, _collective(graph, app, seed, checkpoint_every))
     if app.is_plain() and chosen(graph, strategy) == "sample":
         return SamplingRun(app, graph, run_local(graph, app, seed))
     if app.update is not None or app.transits is not None:
@@ -139,6 +151,30 @@ def run(graph: Graph, app: SamplingApp, seed: int = 42, strategy: str = "auto",
     return SamplingRun(app, graph, _fan_out(graph, app, seed, strategy))
 
 
+def _collective(graph: Graph, app: SamplingApp, seed: int, checkpoint_every: int) -> DataFrame:
+    """In each step a sample draws ``size`` edges uniformly from those of all its transits, in
+    order of slot and place: a draw falls in one transit's range of edges, found by the
+    running sum of degrees, and joins one row of the index."""
+    if app.next is not None or app.weighted or app.update is not None or app.transits is not None or app.end is not None or app.stop is not None:
+        raise ValueError("a collective app draws uniformly, without state")
+    index = graph.uniform_index
+    rows, steps = start(graph, app).select("sample_id", "slot", "transit", "degree"), []
+    for step in range(app.steps):
+        size = app.size(step)
+        upto = Window.partitionBy("sample_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)  # a sample's transits
+        ranges = rows.filter("degree > 0").withColumn("hi", F.sum("degree").over(upto)).withColumn("lo", F.col("hi") - F.col("degree"))
+        whole = ranges.groupBy("sample_id").agg(F.max("hi").alias("edges"))
+        drawn = whole.select("sample_id", "edges", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("new"))
+        at = F.least(F.floor(rng.uniform(seed, F.col("sample_id"), step, F.col("new"), 0) * F.col("edges")), F.col("edges") - 1)
+        drawn = drawn.select("sample_id", "new", at.alias("at"))
+        found = drawn.join(ranges, "sample_id").filter("at >= lo AND at < hi").withColumn("cell", (F.col("at") - F.col("lo")).cast("int"))
+        rows = found.join(index, (found["transit"] == index["vertex"]) & (found["cell"] == index["cell"])).select("sample_id", F.lit(step).alias("step"), F.col("new").alias("next_slot"), F.col("slot").alias("parent_slot"), "transit", F.col("dst").alias("v"), F.col("dst_degree").alias("d"))
+        rows = checkpoint(rows) if step + 1 < app.steps else rows
+        steps.append(rows.select("sample_id", "step", F.col("next_slot").cast("long").alias("slot"), F.col("parent_slot").cast("long").alias("parent_slot"), "transit", F.col("v").alias("vertex")))
+        rows = rows.select("sample_id", F.col("next_slot").alias("slot"), F.col("v").alias("transit"), F.col("d").alias("degree"))
+    return functools.reduce(DataFrame.unionByName, steps)
+
+
 def _walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_every: int) -> DataFrame:
     index, broadcast = prepared_index(graph, app.weighted, strategy)
     rows = start(graph, app).withColumn("path", F.array(F.col("transit")))

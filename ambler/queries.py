@@ -1,24 +1,28 @@
 """Queries over the purchase graph, one for each operator, and their SQL twins.
 
-All run over the whole graph; every walk starts at every vertex. Steps, layers and the
-number of drawn samples are the samplers' own parameters.
+All run over the whole graph. Walks, layers and roots are fewer here than the samplers'
+defaults, so that DuckDB repeats them quickly; ``full_queries`` has the whole jobs.
 """
 
 from __future__ import annotations
 
+import dataclasses
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import rng
+from .functions import arrays, rng
 from .operators import frontier as fr
 from .operators import graph as gr
 from .operators import validate
+from .operators.scan import numbered
+from .operators.storage import new_folder
 from .plans import apps
-from .plans.app import ALL_NEIGHBORS, SamplingApp, batch_seeds, batches, one_seed_per_vertex
+from .plans.app import ALL_NEIGHBORS, OutputFormat, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
 from .plans.engine import run
-from .sources.graphs import edges_to_adjacency, purchase_graph
+from .sources.graphs import edges_to_adjacency, purchase_graph, read_graph, write_adjacency, write_text_edges
 
 SEED = 42
 WALK, LONG = 10, 6
@@ -372,12 +376,16 @@ def step_overlap(g):
     return fr.step_overlap(run(g, apps.uniform_walk(WALK), SEED).samples, 2)
 
 
-LAYER_SQL = [
-    _batch_sql(LAYER_SIZE, str(LAYER_SAMPLES)),
-    f"drawn AS MATERIALIZED (SELECT s.range AS sample_id, CAST(l.range AS INTEGER) AS layer, CAST(c.range AS INTEGER) AS col, {rng.sql_pick(rng.sql_uniform(SEED, 's.range', 'l.range', 'c.range', 0), '(SELECT n FROM n)')} AS dst FROM range(0, {LAYER_SAMPLES}) s, range(0, {LAYERS}) l, range(0, {LAYER_SIZE}) c)",
-    f"before AS (SELECT sample_id, 0 AS layer, slot AS row, transit AS src FROM batch UNION ALL SELECT sample_id, layer + 1, col, dst FROM drawn WHERE layer < {LAYERS - 1})",
-    "coo AS MATERIALIZED (SELECT b.sample_id, b.layer, b.row, d.col, b.src, d.dst FROM before b JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.src = b.src JOIN drawn d ON d.sample_id = b.sample_id AND d.layer = b.layer AND d.dst = e.dst)",
-]
+def layer_sql(layers: int, size: int, samples: int) -> list[str]:
+    return [
+        _batch_sql(size, str(samples)),
+        f"drawn AS MATERIALIZED (SELECT s.range AS sample_id, CAST(l.range AS INTEGER) AS layer, CAST(c.range AS INTEGER) AS col, {rng.sql_pick(rng.sql_uniform(SEED, 's.range', 'l.range', 'c.range', 0), '(SELECT n FROM n)')} AS dst FROM range(0, {samples}) s, range(0, {layers}) l, range(0, {size}) c)",
+        f"before AS (SELECT sample_id, 0 AS layer, slot AS row, transit AS src FROM batch UNION ALL SELECT sample_id, layer + 1, col, dst FROM drawn WHERE layer < {layers - 1})",
+        "coo AS MATERIALIZED (SELECT b.sample_id, b.layer, b.row, d.col, b.src, d.dst FROM before b JOIN (SELECT DISTINCT src, dst FROM edges) e ON e.src = b.src JOIN drawn d ON d.sample_id = b.sample_id AND d.layer = b.layer AND d.dst = e.dst)",
+    ]
+
+
+LAYER_SQL = layer_sql(LAYERS, LAYER_SIZE, LAYER_SAMPLES)
 
 
 def _layers(g):
@@ -416,11 +424,7 @@ def walk_violations(g):
 
 @_query(_sql("SELECT sample_id, layer, row, col, 'missing' AS kind FROM (SELECT DISTINCT sample_id, layer, row, col FROM coo) WHERE (row + col) % 2 = 1", *LAYER_SQL))
 def coo_violations(g):
-    n = g.n_vertices
-    drawn = g.spark.range(LAYER_SAMPLES).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(LAYERS - 1))).alias("layer")).select("*", F.explode(F.sequence(F.lit(0), F.lit(LAYER_SIZE - 1))).alias("col"))
-    drawn = drawn.withColumn("dst", rng.pick(rng.uniform(SEED, F.col("sample_id"), F.col("layer"), F.col("col"), 0), n))
-    seeds = batch_seeds(LAYER_SAMPLES, LAYER_SIZE)(g).select("sample_id", F.lit(0).alias("layer"), F.col("slot").alias("row"), F.col("transit").alias("src"))
-    before = seeds.unionByName(drawn.filter(F.col("layer") < LAYERS - 1).select("sample_id", (F.col("layer") + 1).alias("layer"), F.col("col").alias("row"), F.col("dst").alias("src")))
+    before, drawn = apps.layer_vertices(g, LAYERS, LAYER_SIZE, LAYER_SAMPLES, SEED)
     return validate.matrix_violations(_layers(g).filter("(row + col) % 2 = 0"), before, drawn, g)
 
 
@@ -440,6 +444,130 @@ def root_violations(g):
     return validate.root_violations(_broken(apps.multirw(g, ROOT_STEPS, g.n_vertices, ROOTS, SEED)), g)
 
 
+@_query(_sql("""SELECT CAST(id AS BIGINT) AS sample_id, 0 AS step, -1 AS vertex, 'empty_step' AS kind FROM vertices WHERE degree > 0 AND id % 2 = 1"""))
+def empty_step_violations(g):
+    app = apps.uniform_walk(1)
+    return validate.vertex_violations(run(g, app, SEED).samples.filter("sample_id % 2 = 0"), app.seeds(g), g).fillna(-1, "vertex")
+
+
+@_query(_sql("""SELECT DISTINCT b.sample_id, e.src, CAST((e.dst + 1) % (SELECT n FROM n) AS INTEGER) AS dst, 'not_edge' AS kind FROM batch b JOIN edges e ON e.src = b.transit
+WHERE NOT EXISTS (SELECT 1 FROM edges x WHERE x.src = e.src AND x.dst = (e.dst + 1) % (SELECT n FROM n))""", BATCH))
+def not_edge_violations(g):
+    moved = apps.mvs(g).withColumn("dst", F.pmod(F.col("dst") + 1, F.lit(g.n_vertices)))
+    return validate.batch_violations(moved, _batch(g), g).filter("kind = 'not_edge'")
+
+
+@_query(_sql("""SELECT c.sample_id, c.layer, c.row, c.col + 1000 AS col, 'not_edge' AS kind FROM coo c
+UNION ALL SELECT sample_id, layer, row, col, 'missing' FROM (SELECT DISTINCT sample_id, layer, row, col FROM coo)""", *LAYER_SQL))
+def not_edge_coo_violations(g):
+    moved = _layers(g).withColumn("col", F.col("col") + 1000)
+    return validate.matrix_violations(moved, *apps.layer_vertices(g, LAYERS, LAYER_SIZE, LAYER_SAMPLES, SEED), g)
+
+
+# ---------------------------------------------------- sources, sinks and fetching
+
+def _kept(g, name, write, read):
+    """What is read from a folder that a writer has filled."""
+    path = new_folder(g.spark, name)
+    write(path)
+    return read(path)
+
+
+@_query(_sql("SELECT src, dst, weight FROM edges"))
+def text_edges_round_trip(g):
+    return _kept(g, "text", lambda p: write_text_edges(g, p), lambda p: read_graph(g.spark, p, "edge-list", "text").edges)
+
+
+@_query(_sql("SELECT src, dst, weight FROM edges"))
+def adjacency_round_trip(g):
+    return _kept(g, "adjacency", lambda p: write_adjacency(g, p), lambda p: read_graph(g.spark, p, "adj-list", "text", relabel=False).edges)
+
+
+@_query(_sql("SELECT src, dst, weight FROM edges"))
+def csv_table_round_trip(g):
+    return _kept(g, "csv", lambda p: g.edges.write.csv(p), lambda p: read_graph(g.spark, p, "table", "csv").edges)
+
+
+@_query(_sql("SELECT src, dst, weight FROM edges"))
+def orc_table_round_trip(g):
+    return _kept(g, "orc", lambda p: g.edges.write.orc(p), lambda p: read_graph(g.spark, p, "table", "orc").edges)
+
+
+@_query(_sql(f"SELECT sample_id, step, transit, vertex FROM ({_steps(4)})", *walk_sql(4)))
+def samples_sink(g):
+    found = _plain(run(g, apps.uniform_walk(4), SEED).samples)
+    return _kept(g, "samples", lambda p: found.write.parquet(p), lambda p: g.spark.read.parquet(p))
+
+
+@_query(_sql(f"""SELECT v.sample_id, CAST(k.range AS INTEGER) AS k, coalesce(s.vertex, (SELECT CAST(n AS INTEGER) FROM n)) AS vertex FROM (SELECT DISTINCT sample_id FROM s) v, range(0, 6) k
+LEFT JOIN s ON s.sample_id = v.sample_id AND s.step = k.range""", *walk_sql(6, weighted=True, end=0.2), f"s AS ({_steps(6)})"))
+def padded_samples(g):
+    found = run(g, apps.ppr(6, g.n_vertices, end=0.2), SEED).dense()
+    return found.select("sample_id", F.posexplode("vertices").alias("k", "vertex"))
+
+
+@_query(_sql("SELECT sample_id, transit AS row, vertex AS col, count(*) AS n FROM (" + _steps(WALK) + ") GROUP BY ALL", *walk_sql(WALK)))
+def walk_matrices(g):
+    app = dataclasses.replace(apps.uniform_walk(WALK), output=OutputFormat.ADJACENCY_MATRIX)
+    return run(g, app, SEED).output()
+
+
+def collective_sql(size: int, steps: int) -> list[str]:
+    out = ["f0 AS (SELECT sample_id, CAST(slot AS BIGINT) AS slot, transit AS vertex FROM batch)"]
+    for k in range(steps):
+        out.append(f"r{k} AS (SELECT f.sample_id, f.slot, f.vertex AS transit, sum(d.degree) OVER (PARTITION BY f.sample_id ORDER BY f.slot ROWS UNBOUNDED PRECEDING) AS hi, d.degree FROM f{k} f JOIN deg d ON d.id = f.vertex)")
+        out.append(f"t{k} AS (SELECT sample_id, max(hi) AS edges FROM r{k} GROUP BY 1)")
+        out.append(f"d{k} AS (SELECT t.sample_id, j.range AS slot, {rng.sql_pick(rng.sql_uniform(SEED, 't.sample_id', k, 'j.range', 0), 't.edges')} AS at FROM t{k} t, range(0, {size}) j)")
+        out.append(f"f{k + 1} AS MATERIALIZED (SELECT d.sample_id, d.slot, r.slot AS parent_slot, r.transit, p.dst AS vertex FROM d{k} d JOIN r{k} r ON r.sample_id = d.sample_id AND d.at >= r.hi - r.degree AND d.at < r.hi JOIN pos p ON p.src = r.transit AND p.pos = d.at - (r.hi - r.degree))")
+    return out
+
+
+@_query(_sql(" UNION ALL ".join(f"SELECT sample_id, {k} AS step, slot, parent_slot, transit, vertex FROM f{k + 1}" for k in range(2)), BATCH, *collective_sql(8, 2)))
+def collective_app(g):
+    app = SamplingApp("collective", 2, 8, batch_seeds(batches(g.n_vertices, g.n_edges), 32), sampling_type=SamplingType.COLLECTIVE, initial_size=32)
+    return run(g, app, SEED).samples
+
+
+SIZES = [("uniform", 1, [1] * 100), ("khop", 1, [25, 10]), ("layer", 1, [10, 25])]
+
+
+@_query(" UNION ALL ".join(f"SELECT '{name}' AS app, {k} AS step, {math.prod(sizes[:k])} AS transits, {math.prod(sizes[: k + 1])} AS outputs, {sum(math.prod(sizes[: i + 1]) for i in range(len(sizes)))} AS final_size" for name, _, sizes in SIZES for k in range(len(sizes))))
+def step_sizes(g):
+    made = {name: apps.APPS[name]() for name, *_ in SIZES}
+    rows = [(name, k, a.transits_at(k), a.outputs_until(k), a.final_size()) for name, a in made.items() for k in range(a.steps)]
+    return g.spark.createDataFrame(rows, "app string, step int, transits int, outputs int, final_size int")
+
+
+@_query(_sql("SELECT v AS vertex, v BETWEEN 0 AND (SELECT n FROM n) - 1 AS has_vertex FROM (SELECT id * 2 - 50 AS v FROM vertices)"))
+def has_vertex_probe(g):
+    return g.vertices.select((F.col("id") * 2 - 50).alias("vertex")).withColumn("has_vertex", g.has_vertex("vertex"))
+
+
+@_query(_sql("SELECT id, degree, row_number() OVER (ORDER BY degree, id) - 1 AS place FROM vertices"))
+def vertices_by_degree(g):
+    return numbered(g.vertices.select("id", "degree"), "place", "degree", "id")
+
+
+@_query(_sql("SELECT v.id, count(*) FILTER (WHERE e.dst = CAST((v.id * 7 + 3) % (SELECT n FROM n) AS INTEGER)) > 0 AS found, CAST(count(DISTINCT e.dst) FILTER (WHERE e.dst < CAST((v.id * 7 + 3) % (SELECT n FROM n) AS INTEGER)) AS INTEGER) AS before, sum(e.dst + 0.0) AS total FROM vertices v JOIN edges e ON e.src = v.id GROUP BY v.id"))
+def array_search(g):
+    probe = F.pmod(F.col("vertex").cast("long") * 7 + 3, F.lit(g.n_vertices)).cast("int")
+    lists = edges_to_adjacency(g.edges).withColumn("probe", probe)
+    before = F.coalesce(arrays.place("nbrs", F.col("probe")), F.size(F.filter("nbrs", lambda x: x < F.col("probe"))))
+    total = F.element_at(arrays.prefix_sums(F.transform("nbrs", lambda x: x.cast("double"))), -1)
+    return lists.select(F.col("vertex").alias("id"), arrays.contains("nbrs", F.col("probe")).alias("found"), before.alias("before"), total.alias("total"))
+
+
+@_query(_sql("SELECT id, CAST(CASE WHEN degree <= 1 THEN 1 ELSE pow(2, ceil(log2(degree))) END AS BIGINT) AS width, CAST(ceil(degree / 32.0) * 32 AS BIGINT) AS rounded FROM vertices"))
+def sub_warp_widths(g):
+    return g.vertices.select("id", arrays.next_power_of_two(F.col("degree")).alias("width"), arrays.round_up(F.col("degree"), F.lit(32)).alias("rounded"))
+
+
+@_query(_sql("SELECT sample_id, layer, col, dst FROM drawn", *LAYER_SQL))
+def layer_vertices_drawn(g):
+    """All drawn vertices, those without an entry in a matrix too."""
+    return apps.layer_vertices(g, LAYERS, LAYER_SIZE, LAYER_SAMPLES, SEED)[1]
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -6,37 +6,44 @@ store Spark reads. A missing path is an error.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.graph import EDGE_SCHEMA, Graph
+from ..operators.scan import numbered
 
+#: Records decoded at once.
+BLOCK_RECORDS = 1 << 18
 RECORD = np.dtype([("src", "<i4"), ("dst", "<i4"), ("weight", "<f4")])
 
 
+def _decoded(batches):
+    for b in batches:
+        for data in b.column(0).to_pylist():
+            e = np.frombuffer(data, RECORD)
+            yield pa.RecordBatch.from_arrays([pa.array(e["src"]), pa.array(e["dst"]), pa.array(e["weight"].astype(np.float64))], ["src", "dst", "weight"])
+
+
 def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Edges from files of 12-byte little-endian records (int32, int32, float32). Files are
-    read record by record, so one large file is split over tasks; a partial last record
-    is an error."""
-    size = RECORD.itemsize
-    records = spark.sparkContext.binaryRecords(path, size)
-    rows = records.mapPartitions(lambda part: ((int(r["src"]), int(r["dst"]), float(r["weight"])) for r in np.frombuffer(b"".join(part), RECORD)))
-    return spark.createDataFrame(rows, EDGE_SCHEMA)
+    """Edges from files of 12-byte little-endian records (int32, int32, float32). One large
+    file is split over tasks; a partial last record is an error. Records are joined to
+    blocks, which are decoded by columns in Arrow batches."""
 
+    def blocks(records):
+        while block := b"".join(itertools.islice(records, BLOCK_RECORDS)):
+            yield (bytearray(block),)
 
-def read_binary_folder(spark: SparkSession, path: str) -> DataFrame:
-    """The same from many moderate files, each decoded whole in one Arrow batch."""
+    records = spark.sparkContext.binaryRecords(path, RECORD.itemsize)
+    return spark.createDataFrame(records.mapPartitions(blocks), "content binary").mapInArrow(_decoded, EDGE_SCHEMA)
 
-    def run(batches):
-        for b in batches:
-            for data in b.column(0).to_pylist():
-                e = np.frombuffer(data, RECORD)
-                yield pa.RecordBatch.from_arrays([pa.array(e["src"]), pa.array(e["dst"]), pa.array(e["weight"].astype(np.float64))], ["src", "dst", "weight"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, EDGE_SCHEMA)
+def read_binary_folder(spark: SparkSession, path: str) -> DataFrame:
+    """The same from many moderate files, each decoded whole in one Arrow batch."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_decoded, EDGE_SCHEMA)
 
 
 def read_text_edges(spark: SparkSession, path: str, zero_weight: str = "keep") -> DataFrame:
@@ -58,9 +65,10 @@ def read_adjacency(spark: SparkSession, path: str, weighted: bool = True, relabe
     """Edges from lines ``id (nbr weight)*``, or ``id nbr*`` where not ``weighted``.
 
     With ``relabel`` vertices are numbered 0, 1, … in order of their ids' first lines
-    (files in name order); neighbours without a line of their own are an inner-join miss
-    and go, as they have no number."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")).filter(F.trim("value") != "")
+    (files in name order), and after those neighbours without a line of their own, by id.
+    The order doesn't depend on how files are split."""
+    line = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", line.alias("line")).filter(F.trim("value") != "")
     parts = F.split(F.trim("value"), r"\s+")
     rows = lines.select("line", parts.alias("p")).select("line", F.get("p", 0).cast("long").alias("id"), "p")
     width = 2 if weighted else 1
@@ -70,13 +78,8 @@ def read_adjacency(spark: SparkSession, path: str, weighted: bool = True, relabe
     if not relabel:
         return flat.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), "weight")
     names = rows.groupBy("id").agg(F.min("line").alias("line"))
-    # numbers in line order: the lines of a partition share the id's upper bits
-    names = names.withColumn("part", F.shiftright("line", 33))
-    counts = names.groupBy("part").agg(F.count("*").alias("c"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    counts = counts.select("part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("line")) - 1
-    names = names.withColumn("own", own).join(counts, "part").select("id", (F.col("before") + F.col("own")).cast("int").alias("n"))
+    ends = flat.select(F.col("dst").alias("id")).distinct().join(names, "id", "left_anti").withColumn("line", F.lit(None).cast(names.schema["line"].dataType))
+    names = numbered(names.unionByName(ends), "n", F.asc_nulls_last("line"), "id").select("id", F.col("n").cast("int").alias("n"))
     flat = flat.join(names.withColumnsRenamed({"id": "src", "n": "s"}), "src").join(names.withColumnsRenamed({"id": "dst", "n": "d"}), "dst")
     return flat.select(F.col("s").alias("src"), F.col("d").alias("dst"), "weight")
 

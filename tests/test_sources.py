@@ -40,7 +40,9 @@ def test_text_edges(spark, tmp_path):
 def test_adjacency_lists_relabel_by_line(spark, tmp_path):
     p = tmp_path / "a.txt"
     p.write_text("7 3 1.5 9 2\n3 7 1\n9 3 4.25 8 1\n")
-    assert edges(graphs.read_adjacency(spark, str(p))) == EDGES
+    assert edges(graphs.read_adjacency(spark, str(p))) == [*EDGES, (2, 3, 1.0)]
+    p.write_text("7 3 1.5 9 2 100 1\n3 7 1 50 2\n")
+    assert edges(graphs.read_adjacency(spark, str(p))) == [(0, 1, 1.5), (0, 2, 2.0), (0, 4, 1.0), (1, 0, 1.0), (1, 3, 2.0)]
     assert (7, 3, 1.5) in edges(graphs.read_adjacency(spark, str(p), relabel=False))
 
 
@@ -79,7 +81,9 @@ def test_command_line(spark, tmp_path, capsys):
     path = write_binary(tmp_path / "g.data")
     assert main(["-g", path, "-a", "khop", "-c", "-p", "-l", "-k", "TransitParallel", "-o", str(tmp_path / "out")], spark) == 0
     assert "valid" in capsys.readouterr().out and spark.read.parquet(str(tmp_path / "out")).count() == 3 * 275
-    assert main(["-g", path, "-a", "mvs"], spark) == 0
+    for app in ("mvs", "clustergcn", "multirw"):
+        assert main(["-g", path, "-a", app, "-c", "-G", "2"], spark) == 0
+        assert "not valid" not in (out := capsys.readouterr().out) and "valid" in out and "nbrs" in out
 
 
 def test_stream_of_seeds(spark, tmp_path):
