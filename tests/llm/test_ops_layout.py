@@ -36,6 +36,30 @@ def test_shards(docs, many):
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
 
 
+def test_shards_by_brute_force(spark, docs, many):
+    """Every shard and slot, from slots, spread groups and the edited map in plain Python."""
+    shards = 16
+    text = {i: t for i, t, _ in many}
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    found = df.selectExpr("doc_id", "xxhash64(text, 11) AS c", "pmod(xxhash64(doc_id, xxhash64(text, 11)), 4096) AS own", "pmod(xxhash64(text, 11), 4096) AS same", "xxhash64(doc_id, CAST(octet_length(text) + 1 AS LONG)) AS h").collect()
+    size = {i: len(t.encode()) + 1 for i, t in text.items()}
+    group = Counter()
+    for r in found:
+        group[r.c] += size[r.doc_id]
+    fair = sharding.SPREAD_ABOVE * sum(size.values()) / shards
+    slot = {r.doc_id: r.own if group[r.c] > fair else r.same for r in found}
+    load, n = np.zeros(4096), Counter(slot.values())
+    for i, s in slot.items():
+        load[s] += size[i]
+    owner = sharding.SlotMap.initial(shards).rebalanced(load).shard_of
+    piece = {r.doc_id: r.h % -(-n[slot[r.doc_id]] // sharding.PIECE_ROWS) for r in found}
+    at, want = Counter(), {}
+    for i in sorted(text, key=lambda i: (slot[i], piece[i], i)):
+        want[i] = (owner[slot[i]], at[owner[slot[i]]])
+        at[owner[slot[i]]] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs(many), shards).collect()} == want
+
+
 def test_copies_share_a_shard_unless_too_many(docs, many):
     got = sharding.shard(docs(many[:620]), 4).collect()
     at = defaultdict(set)
