@@ -35,6 +35,38 @@ def held(got, labels, column):
 
 # ------------------------------------------------------------ quality network
 
+def test_quality_score_by_brute_force(docs, labels, judged):
+    """Contexts, vectors, pooled features and the fitted network, a token at a time."""
+    rows, known = judged[0][:150], judged[1]
+    q = quality_net
+    own = {i: q.slots_of(t.encode()).tolist() for i, t in rows}
+    index = np.zeros((q.SLOTS, q.DIM))
+    for s in {s for x in own.values() for s in x}:
+        for at, sign in zip(q._INDEX[s], q._SIGN[s], strict=True):
+            index[s, at] += sign
+    total = np.zeros((q.SLOTS, q.DIM))
+    for x in own.values():
+        for k, s in enumerate(x):
+            for j in range(max(0, k - q.WINDOW), min(len(x), k + q.WINDOW + 1)):
+                if j != k:
+                    total[s] += index[x[j]]
+    unit = lambda v: v / np.linalg.norm(v) if np.linalg.norm(v) else v
+    vectors = np.array([unit(v) for v in total])
+    used = np.abs(total).sum(1) > 0
+    middle = vectors[used].mean(0)
+    vectors[used] = [unit(v - middle) for v in vectors[used]]
+    x = {}
+    for i, s in own.items():
+        v = vectors[s]
+        near = sum((v[k] * v[k + 1] for k in range(len(s) - 1)), np.zeros(q.DIM)) / len(s)
+        x[i] = np.concatenate([v.mean(0), v.std(0), near, [np.log1p(len(s))]])
+    y = {i: good for i, good, *_ in known if i in x and fold(i) != 1}
+    ids = sorted(y, key=lambda i: (y[i], *(float(np.float32(c)) for c in x[i][3::-1])))
+    network = q.Network(np.array([x[i] for i in ids]), np.array([float(y[i]) for i in ids]))
+    got = {r.doc_id: r.score for r in q.score(docs(rows), labels([k for k in known if k[0] in x])).collect()}
+    assert set(got) == set(x) and all(got[i] == pytest.approx(float(network(x[i][None])[0]), abs=0.03) for i in x)
+
+
 def test_network_learns_and_holds_out(docs, labels, judged):
     rows, known = judged
     got = quality_net.score(docs(rows), labels(known)).collect()
