@@ -28,17 +28,22 @@ class OutputFormat(enum.Enum):
 
 @dataclasses.dataclass(frozen=True)
 class StepContext:
-    """What a choice may use: columns of the frontier row, and draws."""
+    """What a choice may use: columns of the frontier row, and draws. Where a proposed edge is
+    weighed, also ``vertex``, its end, ``previous``, the transit before (null in the first
+    step), and ``near``, whether that one has an edge to ``vertex``."""
 
-    step: int
+    step: int | Column
     seed: int
     degree: Column
     total: Column
     transit: Column
     slot: Column
     state: dict[str, Column]
+    vertex: Column | None = None
+    previous: Column | None = None
+    near: Column | None = None
 
-    def u(self, number: int = 0) -> Column:
+    def u(self, number: int | Column = 0) -> Column:
         """The ``number``-th draw in (0, 1] of this sample, step and slot."""
         return rng.uniform(self.seed, F.col("sample_id"), self.step, self.slot, number)
 
@@ -53,6 +58,11 @@ class SamplingApp:
     builder, true where it ends. Walks may have state: columns that ``seeds`` gives, which
     ``update`` replaces after each choice (names to Columns, which may use ``vertex``), and
     from which ``transits`` names the next step's transit; else that is the chosen vertex.
+
+    ``weigh``: a Column builder, the weight of a proposed uniform edge, which is accepted
+    with chance weight / ``most``; else another one is proposed. At least one edge of a transit
+    must have a weight above 0. ``sure`` names the place of an edge to take unweighed, or null.
+    ``second_order``: (p, q) of node2vec's weights, which tasks know too.
     """
 
     name: str
@@ -65,6 +75,10 @@ class SamplingApp:
     stop: Callable[[StepContext], Column] | None = None
     update: Callable[[StepContext], dict[str, Column]] | None = None
     transits: Callable[[StepContext], Column] | None = None
+    weigh: Callable[[StepContext], Column] | None = None
+    most: float = 1.0
+    sure: Callable[[StepContext], Column] | None = None
+    second_order: tuple[float, float] | None = None
     sampling_type: SamplingType = SamplingType.INDIVIDUAL
     output: OutputFormat = OutputFormat.SAMPLED_VERTICES
     initial_size: int = 1
@@ -74,7 +88,7 @@ class SamplingApp:
 
     def is_plain(self) -> bool:
         """Whether all choices are named, not Columns."""
-        return self.next is self.stop is self.update is self.transits is None and all(self.size(k) > 0 for k in range(self.steps))
+        return self.next is self.stop is self.update is self.transits is self.weigh is None and all(self.size(k) > 0 for k in range(self.steps))
 
     def outputs_until(self, step: int) -> int:
         """Outputs of a sample up to and with ``step``; before the first step its seeds."""

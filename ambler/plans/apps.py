@@ -11,16 +11,14 @@ from ..operators import validate
 from ..operators.graph import Graph
 from ..operators.storage import checkpoint
 from .app import OutputFormat, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
-from .engine import chosen, path_rows, prepared_index, run, start, step_join
-from .local import run_many_roots, run_second_order
+from .engine import chosen, prepared_index, run, step_join
+from .local import run_many_roots
 
 STEPS = 100
 #: Graphs below this many vertices get a hundred walks from each in the walk apps.
 SMALL_GRAPH = 262_144
 #: Steps between checkpoints of many-root walks, whose plans grow fastest.
 ROOTS_CHECKPOINT_EVERY = 5
-#: Rounds of second-order walks between checkpoints, and looks at whether any walk is left.
-ROUNDS = 8
 
 
 def walk_count(n_vertices: int) -> int:
@@ -58,48 +56,18 @@ def layer(sizes=(10, 25), samples: int | None = None) -> SamplingApp:
 
 # ------------------------------------------------------------------ second order
 
-def node2vec(graph: Graph, steps: int = STEPS, samples: int | None = None, p: float = 2.0, q: float = 0.5, seed: int = 42, strategy: str = "auto") -> DataFrame:
+def node2vec_app(steps: int = STEPS, samples: int | None = None, p: float = 2.0, q: float = 0.5) -> SamplingApp:
     """Second-order walks: a neighbour v weighs p if it is the transit before (p is the
     return's weight, not its inverse), 1/q if that transit has an edge to v, else 1. The
     first step, and a transit with one edge, take the first neighbour. Edge weights are
-    not used.
+    not used."""
+    weigh = lambda c: F.when(c.vertex == c.previous, p).when(c.near, 1 / q).otherwise(1.0)
+    sure = lambda c: F.when((c.step == 0) | (c.degree == 1), 0)
+    return SamplingApp("node2vec", steps, 1, _walk_seeds(samples), weigh=weigh, most=max(p, 1 / q, 1.0), sure=sure, second_order=(p, q))
 
-    Choices are made by rejection: a round proposes one uniform neighbour, one row of the
-    index, probes the pairs of edges, and accepts by the weight. So no walk is joined to all
-    neighbours of a hub. Rows run ahead of each other: a join is a round of every walk that
-    isn't finished, whatever step it is in."""
-    app = SamplingApp("node2vec", steps, 1, _walk_seeds(samples))
-    if chosen(graph, strategy) == "sample":
-        return run_second_order(graph, app.seeds(graph), steps, p, q, seed)
-    most = max(p, 1 / q, 1.0)
-    parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
-    index = graph.uniform_index.repartition(parts, "vertex", "cell").persist()  # a round shuffles the walks only
-    pairs = graph.pairs.select(F.col("src").alias("t"), F.col("dst"), F.lit(True).alias("near")).repartition(parts, "t", "dst").persist()
-    rows = start(graph, app).select("sample_id", "slot", "transit", "degree", F.array("transit").alias("path"), F.lit(None).cast("int").alias("t"), F.lit(0).alias("step"), F.lit(0).alias("round"))
-    done, rounds = None, 0
-    while True:
-        over = F.col("transit").isNull() | (F.col("degree") == 0) | (F.col("step") >= steps)
-        rows, ended = rows.filter(~over), rows.filter(over).select("sample_id", "slot", "path")
-        done = ended if done is None else done.unionByName(ended)
-        if rounds % ROUNDS == 0:
-            rows = checkpoint(rows)
-            done = checkpoint(done)
-            if rows.isEmpty():
-                return path_rows(done)
-        rounds += 1
-        first = (F.col("step") == 0) | (F.col("degree") == 1)
-        u = lambda k: rng.uniform(seed, F.col("sample_id"), F.col("step"), F.col("slot"), F.col("round") * 2 + k)
-        rows = rows.withColumn("cell", F.when(first, 0).otherwise(rng.pick(u(0), F.col("degree")))).withColumn("__vertex", F.col("transit"))
-        rows = rows.join(index.withColumnRenamed("vertex", "__vertex").hint("shuffle_hash"), ["__vertex", "cell"]).join(pairs.hint("shuffle_hash"), ["t", "dst"], "left")
-        weight = F.when(F.col("dst") == F.col("t"), p).when(F.col("near"), 1 / q).otherwise(1.0)
-        yes = first | (u(1) * most <= weight)
-        now = lambda a, b: F.when(F.col("yes"), a).otherwise(b)
-        rows = rows.withColumn("yes", yes).select(
-            "sample_id", "slot",
-            now(F.col("dst"), F.col("transit")).alias("transit"), now(F.col("dst_degree"), F.col("degree")).alias("degree"),
-            now(F.concat("path", F.array("dst")), F.col("path")).alias("path"), now(F.col("transit"), F.col("t")).alias("t"),
-            now(F.col("step") + 1, F.col("step")).alias("step"), now(F.lit(0), F.col("round") + 1).alias("round"),
-        )
+
+def node2vec(graph: Graph, steps: int = STEPS, samples: int | None = None, p: float = 2.0, q: float = 0.5, seed: int = 42, strategy: str = "auto") -> DataFrame:
+    return run(graph, node2vec_app(steps, samples, p, q), seed, strategy).samples
 
 
 # -------------------------------------------------------------------- many roots

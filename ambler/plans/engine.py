@@ -26,7 +26,7 @@ from ..operators.graph import Graph
 from ..operators.storage import checkpoint
 from ..operators.validate import vertex_violations
 from .app import ALL_NEIGHBORS, OutputFormat, SamplingApp, SamplingType, StepContext
-from .local import run_local
+from .local import run_local, run_second_order
 
 #: Edges (some 20 bytes each in a worker) up to which each worker gets the whole graph.
 BROADCAST_ROWS = 4_000_000
@@ -34,6 +34,8 @@ BROADCAST_ROWS = 4_000_000
 BROADCAST_VERTICES = 16_000_000
 #: Steps between checkpoints of a long walk.
 CHECKPOINT_EVERY = 25
+#: Rounds of weighed walks between checkpoints, and looks at whether any walk is left.
+ROUNDS = 8
 STRATEGIES = ("auto", "sample", "transit")
 
 
@@ -140,6 +142,12 @@ def run(graph: Graph, app: SamplingApp, seed: int = 42, strategy: str = "auto",
     steps are united; a collective app's choices look at all transits of a sample."""
     if app.sampling_type is SamplingType.COLLECTIVE:
         return SamplingRun(app, graph, _collective(graph, app, seed, checkpoint_every))
+    if app.weigh is not None:
+        if any(app.size(k) != 1 for k in range(app.steps)) or app.weighted or app.next is not None or app.end is not None or app.stop is not None or app.update is not None or app.transits is not None:
+            raise ValueError("edges are weighed in walks, one choice a step, without other rules")
+        if app.second_order is not None and chosen(graph, strategy) == "sample":
+            return SamplingRun(app, graph, run_second_order(graph, app.seeds(graph), app.steps, *app.second_order, seed))
+        return SamplingRun(app, graph, _weighed_walk(graph, app, seed))
     if app.is_plain() and chosen(graph, strategy) == "sample":
         return SamplingRun(app, graph, run_local(graph, app, seed))
     if app.update is not None or app.transits is not None:
@@ -210,6 +218,43 @@ def _stateful_walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, che
     return long.select("sample_id", F.col("f.step").alias("step"), "slot", F.col("slot").alias("parent_slot"), F.col("f.transit").alias("transit"), F.col("f.vertex").alias("vertex"))
 
 
+def _weighed_walk(graph: Graph, app: SamplingApp, seed: int) -> DataFrame:
+    """A walk by rejection: a round proposes one uniform edge of each walk's transit, one row
+    of the index, probes the pairs of edges, and accepts by the weight. So no walk is joined
+    to all edges of a hub. Walks run ahead of each other: a join is a round of every walk
+    that isn't finished, whatever step it is in."""
+    parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
+    index = graph.uniform_index.withColumnRenamed("vertex", "__vertex").repartition(parts, "__vertex", "cell").persist(StorageLevel.MEMORY_AND_DISK)  # a round shuffles the walks only
+    pairs = graph.pairs.select(F.col("src").alias("t"), F.col("dst"), F.lit(True).alias("near")).repartition(parts, "t", "dst").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = start(graph, app).select("sample_id", "slot", "transit", "degree", F.array("transit").alias("path"), F.lit(None).cast("int").alias("t"), F.lit(0).alias("step"), F.lit(0).alias("round"))
+    done, rounds = None, 0
+    while True:
+        over = F.col("transit").isNull() | (F.col("degree") == 0) | (F.col("step") >= app.steps)
+        rows, ended = rows.filter(~over), rows.filter(over).select("sample_id", "slot", "path")
+        done = ended if done is None else done.unionByName(ended)
+        if rounds % ROUNDS == 0:
+            rows, done = checkpoint(rows), checkpoint(done)
+            if rows.isEmpty():
+                return path_rows(done)
+        rounds += 1
+        context = StepContext(F.col("step"), seed, F.col("degree"), F.col("degree").cast("double"), F.col("transit"), F.col("slot"), {}, F.col("dst"), F.col("t"), F.coalesce("near", F.lit(False)))
+        sure = F.lit(None).cast("int") if app.sure is None else app.sure(context)
+        rows = rows.withColumn("sure", sure).withColumn("cell", F.coalesce("sure", rng.pick(context.u(F.col("round") * 2), F.col("degree")))).withColumn("__vertex", F.col("transit"))
+        rows = rows.join(index.hint("shuffle_hash"), ["__vertex", "cell"]).join(pairs.hint("shuffle_hash"), ["t", "dst"], "left")
+        rows = rows.withColumn("yes", F.col("sure").isNotNull() | (context.u(F.col("round") * 2 + 1) * app.most <= app.weigh(context)))
+        now = lambda a, b: F.when(F.col("yes"), a).otherwise(b)
+        rows = rows.select(
+            "sample_id",
+            "slot",
+            now(F.col("dst"), F.col("transit")).alias("transit"),
+            now(F.col("dst_degree"), F.col("degree")).alias("degree"),
+            now(F.concat("path", F.array("dst")), F.col("path")).alias("path"),
+            now(F.col("transit"), F.col("t")).alias("t"),
+            now(F.col("step") + 1, F.col("step")).alias("step"),
+            now(F.lit(0), F.col("round") + 1).alias("round"),
+        )
+
+
 def path_rows(rows: DataFrame) -> DataFrame:
     """Sample rows from (sample_id, slot, path), whose first element is the seed."""
     long = rows.filter(F.size("path") > 1).select("sample_id", F.col("slot").cast("long").alias("slot"), "path", F.explode(F.sequence(F.lit(1), F.size("path") - 1)).alias("k"))

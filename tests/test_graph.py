@@ -317,3 +317,16 @@ def test_collective_app_draws_from_all_edges_of_a_sample(graph):
     assert chi2(got, {0: 4 / 6, 1: 1 / 6, 2: 1 / 6}) < 13.8
     with pytest.raises(ValueError):
         run(g, SamplingApp("c", 1, 2, batch_seeds(1, 1), weighted=True, sampling_type=SamplingType.COLLECTIVE))
+
+
+def test_a_rule_that_looks_at_the_edge(graph):
+    """Walks that never go straight back, and prefer larger vertices two to one."""
+    both = RING + [(b, a, 1.0) for a, b, _ in RING]
+    app = SamplingApp("on", 2, 1, one_seed_per_vertex(1600), weigh=lambda c: F.when(c.vertex == c.previous, 0.0).when(c.vertex > c.transit, 1.0).otherwise(0.5))
+    found = run(graph(both), app).samples
+    walks = found.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("step", "vertex"))).alias("w")).select("sample_id", "w.vertex").collect()
+    assert len(walks) == 1600 and all((w[0] - s) % 32 == (w[1] - w[0]) % 32 for s, w in walks)
+    up = sum((w[0] - s) % 32 == 1 for s, w in walks if 0 < s % 32 < 31)
+    assert abs(up / (1600 * 30 / 32) - 2 / 3) < 0.05
+    with pytest.raises(ValueError):
+        run(graph(both), SamplingApp("x", 2, 2, one_seed_per_vertex(), weigh=lambda c: F.lit(1.0)))
