@@ -226,7 +226,7 @@ def _link_blocks(batches):
 
 def _in_blocks(members: DataFrame, function, schema: str) -> DataFrame:
     """Deals (key, node, ...) rows to pairs of blocks of their bucket and streams each pair."""
-    size = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    size = common.materialise(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
     rows = members.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").cast("long").alias("i"), F.greatest("block", "other").cast("long").alias("j"), *[c for c in rows.columns if c not in ("key", "other", "blocks")])
@@ -281,11 +281,13 @@ def link(docs: DataFrame) -> DataFrame:
     heads = common.materialise(heads.select("node", "bands", "sketch"), "heads")
 
     rows = heads.select("node", F.explode("bands").alias("key"))
-    mates = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # tables by key are written before they are joined: a join of two plain shuffles can be split where a key is hot
+    mates = common.materialise(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "mates")
     shared = common.materialise(rows.join(mates, "key"), "shared-buckets")
     degree = shared.groupBy("node").agg(F.sum("n").alias("d"))
     ranked = shared.join(degree, "node").select("key", "node", "d")
     centres = ranked.groupBy("key").agg(F.max(F.struct("d", F.xxhash64("node").alias("o"), "node")).getField("node").alias("centre"))
+    centres = common.materialise(centres, "centres")
     buckets = common.materialise(shared.select("key", "node").join(centres, "key"), "buckets")
     pairs = buckets.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).filter("a != b").distinct()
     sketches = heads.select("node", "sketch")
@@ -294,6 +296,7 @@ def link(docs: DataFrame) -> DataFrame:
     at = buckets.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), (F.col("node") == F.col("centre")).alias("was"))
     at = common.materialise(at, "members")
     open_ = at.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum(F.when(F.col("was"), 0).otherwise(1)).alias("left")).filter("x != y AND left > 1").select("key")
+    open_ = common.materialise(open_, "open-buckets")
     at = at.join(open_, "key", "left_semi").join(sketches, "node")
     flags = common.materialise(_in_blocks(at, _flag, "key long, node long").distinct(), "flags")
     if not flags.isEmpty():
