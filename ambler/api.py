@@ -49,7 +49,6 @@ class Sampler:
         return self.n_samples() * self.app.final_size()
 
     def close(self) -> None:
-        for copy in self.graph.shared.values():
-            copy.destroy()
-        self.graph.shared.clear()
+        """Frees what the graph's runs have kept; results that aren't computed yet are lost."""
+        self.graph.release()
         self._run = None

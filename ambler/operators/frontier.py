@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rng
 from .graph import Graph
-from .scan import exclusive_scan
+from .scan import exclusive_scan, numbered
 
 #: Output slots of a transit from which a hotter kernel class would take it.
 GRID, BLOCK, SUB_WARP = 256, 32, 8
@@ -20,8 +20,9 @@ def valid(frontier: DataFrame, n_vertices: int) -> DataFrame:
 
 
 def invert(frontier: DataFrame) -> DataFrame:
-    """Rows of equal transits together, in order within each partition."""
-    return frontier.repartition("transit").sortWithinPartitions("transit", "sample_id")
+    """Adds ``place``: a row's number in the order of transits, then samples, so that those at one
+    transit stand together; rows without one come last."""
+    return numbered(frontier, "place", F.asc_nulls_last("transit"), "sample_id")
 
 
 def histogram(frontier: DataFrame) -> DataFrame:
@@ -95,10 +96,20 @@ def step_overlap(samples: DataFrame, apart: int = 1) -> DataFrame:
 
 
 def without_replacement(frontier: DataFrame, graph: Graph, size: int, seed: int = 42, step: int = 0) -> DataFrame:
-    """(sample_id, slot, transit, vertex, pos): ``size`` different edges of each transit, or all,
-    by smallest draw (then place)."""
-    joined = frontier.join(graph.positions, frontier["transit"] == graph.positions["src"])
-    joined = joined.withColumn("draw", rng.draw(seed, F.col("sample_id"), step, F.col("slot"), F.col("pos")))
-    first = Window.partitionBy("sample_id", "slot").orderBy("draw", "pos")
-    chosen = joined.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= size)
-    return chosen.select("sample_id", (F.col("slot") * size + F.col("rank") - 1).alias("slot"), "transit", F.col("dst").alias("vertex"), "pos")
+    """(sample_id, slot, transit, vertex, pos): ``size`` different edges of each transit, or all. Their
+    places are drawn from the degree, so that only they join the edges, and no other edge does."""
+    own = graph.degrees.select(F.col("id").alias("transit"), "degree")
+    rows = frontier.join(own, "transit").withColumnRenamed("slot", "__slot")
+    rows = rows.select("*", F.posexplode(different_places(seed, step, "__slot", F.col("degree"), size)).alias("__j", "pos"))
+    found = rows.join(graph.positions.withColumnRenamed("src", "transit"), ["transit", "pos"])
+    return found.select("sample_id", (F.col("__slot") * size + F.col("__j")).alias("slot"), "transit", F.col("dst").alias("vertex"), "pos")
+
+
+def different_places(seed: int, step: int, slot: str, degree: Column, size: int) -> Column:
+    """``size`` different places of 0 .. degree - 1, or all, each set as likely: of m places the
+    i-th is drawn from the first degree - m + i + 1, and is the last of those if it was taken
+    before."""
+    m = F.least(F.lit(size), degree)
+    drawn = F.array(*[rng.pick(rng.uniform(seed, "sample_id", step, slot, i), degree - m + i + 1) for i in range(size)])
+    put = lambda taken, t: F.concat(taken, F.array(F.when(F.array_contains(taken, t), degree - m + F.size(taken)).otherwise(t).cast("int")))
+    return F.aggregate(F.slice(drawn, F.lit(1), m), F.array().cast("array<int>"), put)

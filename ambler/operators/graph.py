@@ -19,6 +19,8 @@ from .storage import checkpoint
 
 #: Edges of one vertex up to which a task puts them in order; beyond it they are dealt to tasks by ranges.
 HUB_EDGES = 1_000_000
+#: Edges of a vertex that are one row where all of its edges are looked at.
+RANGE = 256
 EDGE_SCHEMA = "src int, dst int, weight double"
 
 
@@ -27,11 +29,27 @@ class Graph:
         self.edges = edges.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"), F.col("weight").cast("double").alias("weight"))
         self._n = n_vertices
         self.shared: dict = {}  # broadcast copies, by whether they hold weights
+        self.kept: dict = {}  # persisted tables, by name
 
     @property
     def spark(self) -> SparkSession:
         return self.edges.sparkSession
 
+    def keep(self, name, make) -> DataFrame:
+        """A table that runs share: made once, persisted by its maker, until ``release``."""
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
+
+    def release(self) -> None:
+        """Frees what runs have kept: persisted tables and broadcast copies."""
+        for table in self.kept.values():
+            table.unpersist()
+        for copy in self.shared.values():
+            copy.destroy()
+        self.kept.clear()
+        self.shared.clear()
+
     @cached_property
     def n_vertices(self) -> int:
         """One more than the largest id at either end, unless given."""
@@ -101,10 +119,6 @@ class Graph:
         """(vertex, nbrs array of (dst, weight)) for interchange and samplers that ask for arrays."""
         return self.edges.groupBy(F.col("src").alias("vertex")).agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("nbrs"))
 
-    def by_degree(self) -> DataFrame:
-        """Vertices in order of degree, then id."""
-        return self.vertices.orderBy("degree", "id")
-
     # ---------------------------------------------------------------- index
 
     @cached_property
@@ -133,10 +147,21 @@ class Graph:
 
 
 def partition_by_bytes(graph: Graph, budget: int, vertex_bytes: int = 16, edge_bytes: int = 8) -> DataFrame:
-    """(id, part): contiguous vertex ranges, each begun where the bytes before it pass a
-    multiple of ``budget``."""
-    rows = graph.vertices.withColumn("__bytes", F.lit(vertex_bytes) + F.col("degree") * edge_bytes)
-    return exclusive_scan(rows, "id", "__bytes", "__before").select("id", F.floor(F.col("__before") / budget).cast("int").alias("part"))
+    """(part, id, first, last): vertices with the places of their edges in each part (last is -1
+    for a vertex without edges), so that no part holds more than ``budget`` bytes. Vertices and
+    edges stand in a line by id; a cut falls after at most ``budget`` bytes less one vertex and one
+    edge, so that a hub cut in two has its own bytes in both parts."""
+    room = budget - vertex_bytes - edge_bytes
+    if room < vertex_bytes + edge_bytes:
+        raise ValueError("a part has to hold two vertices and two edges")
+    rows = graph.vertices.select("id", "degree").withColumn("__bytes", F.lit(vertex_bytes) + F.col("degree") * edge_bytes)
+    rows = exclusive_scan(rows, "id", "__bytes", "__before")
+    top, own = F.floor(F.col("__before") / room), F.col("__before") + vertex_bytes  # its edges begin at own
+    end = F.when(F.col("degree") > 0, F.floor((own + (F.col("degree") - 1) * edge_bytes) / room)).otherwise(top)
+    rows = rows.select("id", "degree", own.alias("own"), F.explode(F.sequence(top, end)).alias("part"))
+    first = F.greatest(F.ceil((F.col("part") * room - F.col("own")) / edge_bytes), F.lit(0))
+    last = F.least(F.ceil(((F.col("part") + 1) * room - F.col("own")) / edge_bytes) - 1, F.col("degree").cast("long") - 1)
+    return rows.select(F.col("part").cast("int").alias("part"), "id", F.when(F.col("degree") > 0, first).otherwise(0).cast("int").alias("first"), last.cast("int").alias("last"))
 
 
 def bfs(graph: Graph, roots: list[int], most: int = 64) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import Graph
 
@@ -16,15 +17,18 @@ def _levels(samples: DataFrame, seeds: DataFrame) -> DataFrame:
 def vertex_violations(samples: DataFrame, seeds: DataFrame, graph: Graph, most_steps: int | None = None) -> DataFrame:
     """(sample_id, step, vertex, kind). ``not_neighbor``: a vertex that no vertex of the step
     before has an edge to. ``empty_step``: no vertex, though the step before has edges
-    (null vertex); a step that an earlier one of its sample ended isn't reported."""
+    (null vertex); a step that an earlier one of its sample ended isn't reported. Steps are
+    due up to ``most_steps``, or the last of any sample."""
     last = _levels(samples, seeds).select("sample_id", (F.col("step") + 1).alias("step"), F.col("vertex").alias("src")).distinct()
     now = samples.select("sample_id", "step", "vertex").distinct()
     if most_steps is not None:
         now, last = now.filter(F.col("step") < most_steps), last.filter(F.col("step") < most_steps)
     allowed = last.join(graph.pairs, "src").select("sample_id", "step", F.col("dst").alias("vertex")).distinct()
     wrong = now.join(allowed, ["sample_id", "step", "vertex"], "left_anti").withColumn("kind", F.lit("not_neighbor"))
-    steps = samples.agg(F.max("step")).first()[0]
-    due = allowed.select("sample_id", "step").distinct().filter(F.col("step") <= (-1 if steps is None else steps))
+    due = allowed.select("sample_id", "step").distinct()
+    if most_steps is None:
+        steps = samples.agg(F.max("step")).first()[0]
+        due = due.filter(F.col("step") <= (-1 if steps is None else steps))
     empty = due.join(now, ["sample_id", "step"], "left_anti").select("sample_id", "step", F.lit(None).cast("int").alias("vertex"), F.lit("empty_step").alias("kind"))
     return wrong.unionByName(empty)
 
@@ -60,6 +64,48 @@ def batch_violations(found: DataFrame, seeds: DataFrame, graph: Graph) -> DataFr
     return entries.join(true, key, "left_anti").withColumn("kind", F.lit("not_edge")).unionByName(inside.join(entries, key, "left_anti").withColumn("kind", F.lit("missing")))
 
 
-def root_violations(samples: DataFrame, graph: Graph) -> DataFrame:
-    """(sample_id, step, vertex) of many-root walks whose vertex is no neighbour of the root moved from."""
-    return samples.join(graph.pairs.withColumnsRenamed({"src": "transit", "dst": "vertex"}), ["transit", "vertex"], "left_anti").select("sample_id", "step", "vertex")
+def edge_violations(samples: DataFrame, graph: Graph) -> DataFrame:
+    """Rows of samples whose vertex is no neighbour of their transit."""
+    found = samples.join(graph.pairs.withColumnsRenamed({"src": "transit", "dst": "vertex"}), ["transit", "vertex"], "left_anti")
+    return found.select("sample_id", "step", "vertex", F.lit("not_neighbor").alias("kind"))
+
+
+def chain_violations(samples: DataFrame, seeds: DataFrame, graph: Graph, steps: int) -> DataFrame:
+    """(sample_id, step, vertex, kind) of walks that go on from where they are. ``not_neighbor``: no
+    edge from the transit. ``not_held``: the transit isn't the vertex of the step before, or of the
+    seed. ``empty_step``: a walk stops (null vertex) before its last step at a vertex with edges."""
+    at = Window.partitionBy("sample_id", "slot").orderBy("step")
+    rows = samples.select("sample_id", F.col("slot").cast("long").alias("slot"), "step", "transit", "vertex")
+    rows = rows.unionByName(seeds.select("sample_id", F.col("slot").cast("long").alias("slot"), F.lit(-1).alias("step"), F.lit(None).cast("int").alias("transit"), F.col("transit").alias("vertex")))
+    rows = rows.withColumns({"before": F.lag("vertex").over(at), "last": F.lag("step").over(at), "next": F.lead("step").over(at)})
+    held = F.col("before").eqNullSafe(F.col("transit")) & (F.coalesce(F.col("last"), F.lit(-9)) == F.col("step") - 1)
+    wrong = rows.filter((F.col("step") >= 0) & ~held).select("sample_id", "step", "vertex", F.lit("not_held").alias("kind"))
+    ends = rows.filter(F.col("next").isNull() & (F.col("step") < steps - 1)).join(graph.degrees.select(F.col("id").alias("vertex")), "vertex", "left_semi")
+    empty = ends.select("sample_id", (F.col("step") + 1).alias("step"), F.lit(None).cast("int").alias("vertex"), F.lit("empty_step").alias("kind"))
+    return edge_violations(samples, graph).unionByName(wrong).unionByName(empty)
+
+
+def root_violations(samples: DataFrame, roots: DataFrame, graph: Graph) -> DataFrame:
+    """(sample_id, step, vertex, kind) of many-root walks from roots(sample_id, i, v). ``not_neighbor``:
+    no edge from the root moved from. ``not_held``: the transit is no root held at that step; in
+    the first step it must be root 0, and leaves the roots as they are, later its vertex takes its
+    place. ``empty_step``: no first step (null vertex), though root 0 has edges.
+
+    Held roots are counted for each sample and vertex: those given, plus the vertices and less
+    the transits of steps before."""
+    event = lambda rows, v, step, change, vertex: rows.select("sample_id", v.alias("v"), step.alias("step"), change.cast("long").alias("change"), vertex.cast("int").alias("vertex"))
+    none, zero = F.lit(None), F.lit(0)
+    moved = samples.filter("step > 0")
+    given = event(roots.groupBy("sample_id", "v").agg(F.count("*").alias("n")), F.col("v"), F.lit(-1), F.col("n"), none)
+    uses = event(samples.filter("step >= 0"), F.col("transit"), F.col("step"), F.when(F.col("step") > 0, -1).otherwise(zero), F.col("vertex")).withColumn("used", F.lit(True))
+    gains = event(moved, F.col("vertex"), F.col("step"), F.lit(1), none)
+    events = given.unionByName(gains).withColumn("used", F.lit(False)).unionByName(uses)
+    before = Window.partitionBy("sample_id", "v").orderBy("step").rangeBetween(Window.unboundedPreceding, -1)
+    replayed = events.withColumn("held", F.coalesce(F.sum("change").over(before), F.lit(0)))
+    wrong = replayed.filter("used AND held < 1").select("sample_id", "step", "vertex", F.lit("not_held").alias("kind"))
+    first = samples.filter("step = 0")
+    zeroth = roots.filter("i = 0").select("sample_id", F.col("v").alias("transit"))
+    other = first.join(zeroth, ["sample_id", "transit"], "left_anti").join(wrong.filter("step = 0").select("sample_id"), "sample_id", "left_anti").select("sample_id", "step", "vertex", F.lit("not_held").alias("kind"))
+    due = zeroth.join(graph.degrees.select(F.col("id").alias("transit")), "transit", "left_semi").join(first.select("sample_id"), "sample_id", "left_anti")
+    empty = due.select("sample_id", F.lit(0).alias("step"), F.lit(None).cast("int").alias("vertex"), F.lit("empty_step").alias("kind"))
+    return edge_violations(samples, graph).unionByName(wrong).unionByName(other).unionByName(empty)

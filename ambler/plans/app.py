@@ -28,24 +28,25 @@ class OutputFormat(enum.Enum):
 
 @dataclasses.dataclass(frozen=True)
 class StepContext:
-    """What a choice may use: columns of the frontier row, and draws. Where a proposed edge is
+    """What a choice may use: columns of the frontier row, and draws. ``step`` is a number or the name
+    of a column, ``slot`` such a name. Where a proposed edge is
     weighed, also ``vertex``, its end, ``previous``, the transit before (null in the first
     step), and ``near``, whether that one has an edge to ``vertex``."""
 
-    step: int | Column
+    step: int | str
     seed: int
     degree: Column
     total: Column
     transit: Column
-    slot: Column
+    slot: str
     state: dict[str, Column]
     vertex: Column | None = None
     previous: Column | None = None
     near: Column | None = None
 
-    def u(self, number: int | Column = 0) -> Column:
+    def u(self, number: int | str = 0) -> Column:
         """The ``number``-th draw in (0, 1] of this sample, step and slot."""
-        return rng.uniform(self.seed, F.col("sample_id"), self.step, self.slot, number)
+        return rng.uniform(self.seed, "sample_id", self.step, self.slot, number)
 
 
 @dataclasses.dataclass(frozen=True)
@@ -63,6 +64,18 @@ class SamplingApp:
     with chance weight / ``most``; else another one is proposed. At least one edge of a transit
     must have a weight above 0. ``sure`` names the place of an edge to take unweighed, or null.
     ``second_order``: (p, q) of node2vec's weights, which tasks know too.
+
+    ``choose``: a function of an ``EdgeBatch`` (``plans/edges.py``) that gives the weight of every
+    edge of a transit; one edge is taken by weight. ``asks_near`` if it looks at ``near``. It may go
+    with end, stop, state and transits; ``edge_columns`` names the state it looks at.
+    ``distinct``: a transit's choices of one step are different edges.
+    ``degree_of``: the next transit's degree, where the state knows it. ``many_roots``: how many
+    roots the state holds, where it is those alone, which tasks know too. ``importance``, of a
+    collective app: a Column builder from the number and the summed weight of the edges that lead
+    from a sample's transits to a vertex to its weight; vertices are drawn by it without
+    replacement. ``table``: a function of graph, seed and strategy that gives the sampler's edges, for
+    samplers that aren't steps of choices, and ``check`` one of graph, result and seed for what
+    breaks its property.
     """
 
     name: str
@@ -79,6 +92,15 @@ class SamplingApp:
     most: float = 1.0
     sure: Callable[[StepContext], Column] | None = None
     second_order: tuple[float, float] | None = None
+    choose: Callable | None = None
+    asks_near: bool = False
+    edge_columns: Sequence[str] = ()
+    distinct: bool = False
+    degree_of: Callable[[StepContext], Column] | None = None
+    many_roots: int | None = None
+    importance: Callable[[Column, Column], Column] | None = None
+    table: Callable[[Graph, int, str], DataFrame] | None = None
+    check: Callable[[Graph, DataFrame, int], DataFrame] | None = None
     sampling_type: SamplingType = SamplingType.INDIVIDUAL
     output: OutputFormat = OutputFormat.SAMPLED_VERTICES
     initial_size: int = 1
@@ -88,7 +110,7 @@ class SamplingApp:
 
     def is_plain(self) -> bool:
         """Whether all choices are named, not Columns."""
-        return self.next is self.stop is self.update is self.transits is self.weigh is None and all(self.size(k) > 0 for k in range(self.steps))
+        return self.next is self.stop is self.update is self.transits is self.weigh is self.choose is None and all(self.size(k) > 0 for k in range(self.steps))
 
     def outputs_until(self, step: int) -> int:
         """Outputs of a sample up to and with ``step``; before the first step its seeds."""

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import rng
 from ..operators import validate
 from ..operators.graph import Graph
-from ..operators.storage import checkpoint
 from .app import OutputFormat, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
-from .engine import chosen, prepared_index, run, step_join
-from .local import run_many_roots
+from .engine import SamplingRun, chosen, run
 
 STEPS = 100
 #: Graphs below this many vertices get a hundred walks from each in the walk apps.
 SMALL_GRAPH = 262_144
-#: Steps between checkpoints of many-root walks, whose plans grow fastest.
-ROOTS_CHECKPOINT_EVERY = 5
+#: Layers of the layer samplers, and their vertices and samples.
+LAYERS, LAYER_SIZE, LAYER_SAMPLES = 5, 64, 10_000
+ROOTS = 100
 
 
 def walk_count(n_vertices: int) -> int:
@@ -54,6 +53,11 @@ def layer(sizes=(10, 25), samples: int | None = None) -> SamplingApp:
     return SamplingApp("layer", len(sizes), list(sizes), one_seed_per_vertex(samples))
 
 
+def khop_distinct(sizes=(25, 10), samples: int | None = None) -> SamplingApp:
+    """Neighbourhood samples without replacement: the edges of one transit are different ones."""
+    return SamplingApp("k-hop, different edges", len(sizes), list(sizes), one_seed_per_vertex(samples), distinct=True)
+
+
 # ------------------------------------------------------------------ second order
 
 def node2vec_app(steps: int = STEPS, samples: int | None = None, p: float = 2.0, q: float = 0.5) -> SamplingApp:
@@ -62,70 +66,85 @@ def node2vec_app(steps: int = STEPS, samples: int | None = None, p: float = 2.0,
     first step, and a transit with one edge, take the first neighbour. Edge weights are
     not used."""
     weigh = lambda c: F.when(c.vertex == c.previous, p).when(c.near, 1 / q).otherwise(1.0)
-    sure = lambda c: F.when((c.step == 0) | (c.degree == 1), 0)
-    return SamplingApp("node2vec", steps, 1, _walk_seeds(samples), weigh=weigh, most=max(p, 1 / q, 1.0), sure=sure, second_order=(p, q))
+    sure = lambda c: F.when((F.expr(str(c.step)) == 0) | (c.degree == 1), 0)
+    check = lambda g, found, seed: validate.chain_violations(found, _walk_seeds(samples)(g), g, steps)
+    return SamplingApp("node2vec", steps, 1, _walk_seeds(samples), weigh=weigh, most=max(p, 1 / q, 1.0), sure=sure, second_order=(p, q), check=check)
 
 
 def node2vec(graph: Graph, steps: int = STEPS, samples: int | None = None, p: float = 2.0, q: float = 0.5, seed: int = 42, strategy: str = "auto") -> DataFrame:
     return run(graph, node2vec_app(steps, samples, p, q), seed, strategy).samples
 
 
+def weighted_node2vec(steps: int = STEPS, samples: int | None = None, p: float = 2.0, q: float = 0.5) -> SamplingApp:
+    """Second-order walks over weighted edges: an edge's weight times p, 1/q or 1, as in
+    ``node2vec_app``; in the first step the weight alone. Looks at all edges of a transit."""
+
+    def weights(b):
+        return b.weight * np.where(b.previous < 0, 1.0, np.where(b.vertex == b.previous, p, np.where(b.near, 1 / q, 1.0)))
+
+    check = lambda g, found, seed: validate.chain_violations(found, one_seed_per_vertex(samples)(g), g, steps)
+    return SamplingApp("weighted node2vec", steps, 1, one_seed_per_vertex(samples), choose=weights, asks_near=True, check=check)
+
+
 # -------------------------------------------------------------------- many roots
 
-def multirw(graph: Graph, steps: int = STEPS, samples: int | None = None, roots: int = 100, seed: int = 42, strategy: str = "auto") -> DataFrame:
+def root_table(graph: Graph, samples: int, roots: int, seed: int) -> DataFrame:
+    """(sample_id, i, v): the roots of each sample, drawn uniformly from all vertices."""
+    each = graph.spark.range(samples).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(roots - 1))).alias("i"))
+    return each.withColumn("v", (rng.draw(seed, "sample_id", -1, "i", 0) % max(graph.n_vertices, 1)).cast("int"))
+
+
+def multirw_app(steps: int = STEPS, samples: int | None = None, roots: int = ROOTS, seed: int = 42) -> SamplingApp:
     """Walks with many roots: each step moves from a root drawn uniformly (the first step
     from root 0) to a uniform neighbour, which replaces the root, save in the first step.
-    A root without edges stays and gives no vertex."""
-    n = graph.n_vertices
-    samples = n if samples is None else samples
-    if chosen(graph, strategy) == "sample":
-        return run_many_roots(graph, samples, steps, roots, seed)
-    each = graph.spark.range(samples).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(roots - 1))).alias("i"))
-    each = each.withColumn("v", (rng.draw(seed, F.col("sample_id"), -1, F.col("i"), 0) % n).cast("int"))
-    each = each.join(graph.degrees.select(F.col("id").alias("v"), "degree"), "v", "left").withColumn("d", F.coalesce("degree", F.lit(0)))
-    rows = each.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("i", "v", "d"))).alias("r"))
-    rows = rows.select("sample_id", F.lit(0).alias("slot"), F.transform("r", lambda x: F.struct(x["v"].alias("v"), x["d"].alias("d"))).alias("roots"), F.array().cast("array<struct<step:int,transit:int,vertex:int>>").alias("found"))
-    app = SamplingApp("multi-root walk", steps)
-    index, broadcast = prepared_index(graph, False, strategy)
-    for step in range(steps):
-        x = F.lit(0) if step == 0 else rng.pick(rng.uniform(seed, F.col("sample_id"), step, F.col("slot"), 1), roots)
-        rows = rows.withColumn("x", x)
-        root = F.get("roots", F.col("x"))
-        rows = rows.withColumn("transit", root["v"]).withColumn("degree", root["d"]).withColumn("total", root["d"].cast("double"))
-        rows = step_join(rows, index, broadcast, app, step, seed, F.col("slot"))
-        new = F.struct(F.lit(step).alias("step"), "transit", "vertex")
-        rows = rows.withColumn("found", F.when(F.col("vertex").isNull(), F.col("found")).otherwise(F.concat("found", F.array(new))))
-        if step:
-            put = F.transform("roots", lambda r, i: F.when(i == F.col("x"), F.struct(F.col("vertex").alias("v"), F.col("v_degree").alias("d"))).otherwise(r))
-            rows = rows.withColumn("roots", F.when(F.col("vertex").isNull(), F.col("roots")).otherwise(put))
-        rows = rows.select("sample_id", "slot", "roots", "found")
-        if (step + 1) % ROOTS_CHECKPOINT_EVERY == 0 and step + 1 < steps:
-            rows = checkpoint(rows)
-    return rows.select("sample_id", "slot", F.explode("found").alias("f")).select("sample_id", F.col("f.step").alias("step"), "slot", F.col("slot").alias("parent_slot"), F.col("f.transit").alias("transit"), F.col("f.vertex").alias("vertex"))
+    A root without edges stays and gives no vertex. The roots and their degrees are the
+    walk's state, drawn by ``seed``, with which the app is to be run."""
+    count = lambda g: g.n_vertices if samples is None else samples
+
+    def seeds(g: Graph) -> DataFrame:
+        each = root_table(g, count(g), roots, seed).join(g.degrees.select(F.col("id").alias("v"), "degree"), "v", "left").withColumn("d", F.coalesce("degree", F.lit(0)))
+        rows = each.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("i", "v", "d"))).alias("r"))
+        return rows.select("sample_id", F.lit(0).alias("slot"), F.get("r", F.lit(0))["v"].alias("transit"), F.transform("r", lambda x: F.struct(x["v"].alias("v"), x["d"].alias("d"))).alias("roots"))
+
+    drawn = lambda c: rng.pick(c.u(1), roots)
+    root = lambda c: F.get(c.state["roots"], drawn(c))
+
+    def update(c):
+        if c.step == 0:
+            return {}
+        put = F.transform("roots", lambda r, i: F.when(i == drawn(c), F.struct(c.state["vertex"].alias("v"), c.state["v_degree"].alias("d"))).otherwise(r))
+        return {"roots": F.when(c.state["vertex"].isNull(), c.state["roots"]).otherwise(put)}
+
+    check = lambda g, found, seed_: validate.root_violations(found, root_table(g, count(g), roots, seed), g)
+    return SamplingApp("multi-root walk", steps, 1, seeds, update=update, transits=lambda c: root(c)["v"], degree_of=lambda c: root(c)["d"], many_roots=roots, check=check)
+
+
+def multirw(graph: Graph, steps: int = STEPS, samples: int | None = None, roots: int = ROOTS, seed: int = 42, strategy: str = "auto") -> DataFrame:
+    return run(graph, multirw_app(steps, samples, roots, seed), seed, strategy).samples
 
 
 # --------------------------------------------------------------------- sub-graphs
 
-def layer_vertices(graph: Graph, layers: int = 5, size: int = 64, samples: int = 10_000, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def layer_vertices(graph: Graph, layers: int = LAYERS, size: int = LAYER_SIZE, samples: int = LAYER_SAMPLES, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """The vertices of the layers: (sample_id, layer, row, src) of the layer before each, whose
     first are the seeds, and (sample_id, layer, col, dst) as drawn."""
     n = graph.n_vertices
     seeds = batch_seeds(samples, size)(graph).select("sample_id", F.lit(0).alias("layer"), F.col("slot").alias("row"), F.col("transit").alias("src"))
     drawn = graph.spark.range(samples).select(F.col("id").alias("sample_id"), F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"))
     drawn = drawn.select("*", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("col"))
-    drawn = drawn.withColumn("dst", rng.pick(rng.uniform(seed, F.col("sample_id"), F.col("layer"), F.col("col"), 0), n))
+    drawn = drawn.withColumn("dst", rng.pick(rng.uniform(seed, "sample_id", "layer", "col", 0), n))
     before = seeds.unionByName(drawn.filter(F.col("layer") < layers - 1).select("sample_id", (F.col("layer") + 1).alias("layer"), F.col("col").alias("row"), F.col("dst").alias("src")))
     return before, drawn
 
 
-def layer_matrices(graph: Graph, layers: int = 5, size: int = 64, samples: int = 10_000, seed: int = 42) -> DataFrame:
+def layer_matrices(graph: Graph, layers: int = LAYERS, size: int = LAYER_SIZE, samples: int = LAYER_SAMPLES, seed: int = 42, strategy: str = "auto") -> DataFrame:
     """(sample_id, layer, row, col, src, dst): in each layer ``size`` ids are drawn uniformly
     from all vertices; an entry says that vertex ``row`` of the layer before (the seeds
     before the first) has an edge to drawn vertex ``col``. Both layer samplers, the
     importance-free FastGCN and LADIES forms, are this."""
     before, drawn = layer_vertices(graph, layers, size, samples, seed)
     out = ["sample_id", "layer", "row", "col", "src", "dst"]
-    if chosen(graph, "auto") == "sample":
+    if chosen(graph, strategy) == "sample":
         # the pairs of a sample's layers probe the edges, one number each, in memory
         key = lambda a, b: F.col(a).cast("long") * graph.n_vertices + F.col(b)
         edges = graph.pairs.select(key("src", "dst").alias("edge"))
@@ -163,43 +182,66 @@ def clustergcn(graph: Graph, samples: int | None = None, width: int = 16, each:
     return left.join(graph.pairs, "src").join(right, ["sample_id", "dst"]).select("sample_id", "src", "dst")
 
 
-APPS = {"uniform": uniform_walk, "deepwalk": deepwalk, "ppr": ppr, "khop": khop, "layer": layer}
-TABLES = {"node2vec": node2vec, "multirw": multirw, "fastgcn": fastgcn, "ladies": ladies, "mvs": mvs, "clustergcn": clustergcn}
+def layer_app(layers: int = LAYERS, size: int = LAYER_SIZE, samples: int = LAYER_SAMPLES) -> SamplingApp:
+    """The layer samplers without importance, FastGCN's and LADIES's uniform forms."""
+    make = lambda g, seed, strategy: layer_matrices(g, layers, size, samples, seed, strategy)
+    check = lambda g, found, seed: validate.matrix_violations(found, *layer_vertices(g, layers, size, samples, seed), g)
+    return SamplingApp("layer matrices", layers, size, batch_seeds(samples, size), table=make, check=check, sampling_type=SamplingType.COLLECTIVE, output=OutputFormat.ADJACENCY_MATRIX, initial_size=size)
+
+
+def ladies_app(layers: int = LAYERS, size: int = LAYER_SIZE, samples: int | None = None) -> SamplingApp:
+    """LADIES: a layer's vertices are drawn without replacement from the neighbours of the one
+    before, each by the square of the number of edges that lead to it from there. Eight passes
+    over the vertices unless ``samples`` is given."""
+    seeds = lambda g: batch_seeds(batches(g.n_vertices, g.n_edges, size) if samples is None else samples, size)(g)
+    check = lambda g, found, seed: validate.vertex_violations(found, seeds(g), g, layers)
+    return SamplingApp("ladies by importance", layers, size, seeds, importance=lambda n, weight: n * n, check=check, sampling_type=SamplingType.COLLECTIVE, output=OutputFormat.ADJACENCY_MATRIX, initial_size=size)
+
+
+def mvs_app(size: int = 32, samples: int | None = None) -> SamplingApp:
+    count = lambda g: batches(g.n_vertices, g.n_edges, size) if samples is None else samples
+    check = lambda g, found, seed: validate.batch_violations(found, batch_seeds(count(g), size)(g), g)
+    return SamplingApp("mini-batch edges", 1, size, lambda g: batch_seeds(count(g), size)(g), table=lambda g, seed, strategy: mvs(g, size, count(g)), check=check, sampling_type=SamplingType.COLLECTIVE, output=OutputFormat.ADJACENCY_MATRIX, initial_size=size)
 
-#: Whose neighbourhood a choice looks at, and what the result holds.
-KINDS = {name: (SamplingType.INDIVIDUAL, OutputFormat.SAMPLED_VERTICES) for name in (*APPS, "node2vec", "multirw")}
-KINDS |= {name: (SamplingType.COLLECTIVE, OutputFormat.ADJACENCY_MATRIX) for name in ("fastgcn", "ladies", "mvs", "clustergcn")}
+
+def clustergcn_app(samples: int | None = None, width: int = 16, each: int = 2) -> SamplingApp:
+    size = width * each
+    count = lambda g: batches(g.n_vertices, g.n_edges, size, 2_000_000) if samples is None else samples
+    members = lambda g: cluster_seeds(g, count(g), width, each)
+    check = lambda g, found, seed: validate.subgraph_violations(found, members(g), g)
+    return SamplingApp("cluster sub-graphs", 1, size, lambda g: members(g).withColumnRenamed("vertex", "transit"), table=lambda g, seed, strategy: clustergcn(g, count(g), width, each), check=check, sampling_type=SamplingType.COLLECTIVE, output=OutputFormat.ADJACENCY_MATRIX, initial_size=size)
+
+
+#: All samplers by name, each run by the engine's ``run``.
+APPS = {
+    "uniform": uniform_walk,
+    "deepwalk": deepwalk,
+    "ppr": ppr,
+    "khop": khop,
+    "khop-distinct": khop_distinct,
+    "layer": layer,
+    "node2vec": node2vec_app,
+    "node2vec-weighted": weighted_node2vec,
+    "multirw": multirw_app,
+    "fastgcn": layer_app,
+    "ladies": layer_app,
+    "ladies-importance": ladies_app,
+    "mvs": mvs_app,
+    "clustergcn": clustergcn_app,
+}
+
+
+def app_of(name: str, seed: int = 42, **options) -> SamplingApp:
+    if name not in APPS:
+        raise ValueError(f"no sampler {name!r}; there are {sorted(APPS)}")
+    return APPS[name](**options, **({"seed": seed} if name == "multirw" else {}))
 
 
 def sample(graph: Graph, name: str, seed: int = 42, strategy: str = "auto", **options) -> DataFrame:
     """The result of a sampler by its name."""
-    if name in APPS:
-        return run(graph, APPS[name](**options), seed, strategy).samples
-    if name in ("mvs", "clustergcn"):
-        return TABLES[name](graph, **options)
-    if name in ("fastgcn", "ladies"):
-        return TABLES[name](graph, seed=seed, **options)
-    if name in TABLES:
-        return TABLES[name](graph, seed=seed, strategy=strategy, **options)
-    raise ValueError(f"no sampler {name!r}; there are {sorted(APPS | TABLES)}")
-
-
-def violations(graph: Graph, name: str, result: DataFrame, seed: int = 42) -> DataFrame:
-    """The rows of a sampler's result, at its defaults, that break its property."""
-    if name in APPS:
-        return validate.vertex_violations(result, APPS[name]().seeds(graph), graph).filter("kind = 'not_neighbor'")
-    if name in ("node2vec", "multirw"):
-        return validate.root_violations(result, graph)
-    if name in ("fastgcn", "ladies"):
-        return validate.matrix_violations(result, *layer_vertices(graph, seed=seed), graph)
-    samples = batches(graph.n_vertices, graph.n_edges, 32, 1_500_000 if name == "mvs" else 2_000_000)
-    if name == "mvs":
-        return validate.batch_violations(result, batch_seeds(samples, 32)(graph), graph)
-    return validate.subgraph_violations(result, cluster_seeds(graph, samples), graph)
-
-
-def matrix(result: DataFrame) -> DataFrame:
-    """The adjacency matrix form of a result with edges (src, dst) or choices (transit, vertex):
-    (sample_id, row, col, n), n parallel edges."""
-    ends = ("src", "dst") if "src" in result.columns else ("transit", "vertex")
-    return result.groupBy("sample_id", F.col(ends[0]).alias("row"), F.col(ends[1]).alias("col")).agg(F.count("*").alias("n"))
+    return run(graph, app_of(name, seed, **options), seed, strategy).samples
+
+
+def violations(graph: Graph, name: str, result: DataFrame, seed: int = 42, **options) -> DataFrame:
+    """The rows of a sampler's result that break its property, empty steps too."""
+    return SamplingRun(app_of(name, seed, **options), graph, result).violations(seed)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import itertools
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import rng
-from ..operators.graph import Graph
+from ..operators.frontier import different_places
+from ..operators.graph import RANGE, Graph
 from ..operators.storage import checkpoint
 from ..operators.validate import vertex_violations
 from .app import ALL_NEIGHBORS, OutputFormat, SamplingApp, SamplingType, StepContext
-from .local import run_local, run_second_order
+from .edges import chosen_edges
+from .local import run_local, run_many_roots, run_second_order
 
 #: Edges (some 20 bytes each in a worker) up to which each worker gets the whole graph.
 BROADCAST_ROWS = 4_000_000
@@ -35,7 +38,9 @@ BROADCAST_VERTICES = 16_000_000
 #: Steps between checkpoints of a long walk.
 CHECKPOINT_EVERY = 25
 #: Rounds of weighed walks between checkpoints, and looks at whether any walk is left.
-ROUNDS = 8
+ROUNDS = 4
+#: Proposals in a row after which a weighed walk is taken to have no edge to accept.
+MOST_ROUNDS = 10_000
 STRATEGIES = ("auto", "sample", "transit")
 
 
@@ -55,17 +60,27 @@ class SamplingRun:
 
     def output(self) -> DataFrame:
         """The samples in the app's output format: rows of vertices, or adjacency matrices
-        (sample_id, row, col, n) of the edges that were walked."""
+        (sample_id, row, col, n) of the edges that were walked, or that lead from each layer to the
+        next (with ``step``), or that the sampler gave."""
         if self.app.output is OutputFormat.SAMPLED_VERTICES:
             return self.samples
+        if self.app.table is not None:
+            return self.samples.groupBy("sample_id", F.col("src").alias("row"), F.col("dst").alias("col")).agg(F.count("*").alias("n"))
+        if self.app.importance is not None:
+            return layer_edges(self)
         return self.samples.groupBy("sample_id", F.col("transit").alias("row"), F.col("vertex").alias("col")).agg(F.count("*").alias("n"))
 
     def valid_count(self) -> DataFrame:
         return self.samples.agg(F.count("vertex").alias("n_valid"))
 
-    def violations(self) -> DataFrame:
-        """Rows that break the property of a sample: a vertex is a neighbour of one before."""
-        return vertex_violations(self.samples, self.app.seeds(self.graph), self.graph)
+    def violations(self, seed: int = 42) -> DataFrame:
+        """Rows that break the property of a sample: by the app's own check, or else that a vertex is a
+        neighbour of one before, and that no step is empty that needn't be."""
+        if self.app.check is not None:
+            return self.app.check(self.graph, self.samples, seed)
+        found = vertex_violations(self.samples, self.app.seeds(self.graph), self.graph, self.app.steps)
+        ends = self.app.end is not None or self.app.stop is not None or self.app.next is not None
+        return found.filter("kind != 'empty_step'") if ends else found
 
     def dense(self, fill: int | None = None) -> DataFrame:
         """(sample_id, vertices array): samples in step and slot order, padded with ``fill``
@@ -95,9 +110,9 @@ def prepared_index(graph: Graph, weighted: bool, strategy: str = "auto") -> tupl
     """(index, broadcast?) for the joins of a run."""
     index = graph.weighted_index if weighted else graph.uniform_index
     if chosen(graph, strategy) == "sample":
-        return index.persist(StorageLevel.MEMORY_AND_DISK), True
+        return graph.keep(("index", weighted), lambda: index.persist(StorageLevel.MEMORY_AND_DISK)), True
     parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartition(parts, "vertex", "cell").persist(StorageLevel.MEMORY_AND_DISK), False
+    return graph.keep(("index", weighted, parts), lambda: index.repartition(parts, "vertex", "cell").persist(StorageLevel.MEMORY_AND_DISK)), False
 
 
 def start(graph: Graph, app: SamplingApp) -> DataFrame:
@@ -107,56 +122,121 @@ def start(graph: Graph, app: SamplingApp) -> DataFrame:
     return seeds.join(own, "transit", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("total", F.coalesce("total", F.lit(0.0)))
 
 
-def step_join(rows: DataFrame, index: DataFrame, broadcast: bool, app: SamplingApp, step: int, seed: int, slot) -> DataFrame:
-    """Chooses for each frontier row and joins: adds vertex, v_degree, v_total (null where it ended)."""
+@dataclasses.dataclass(frozen=True)
+class Joins:
+    """How a run joins its index: ``broadcast`` it; else hash the frontier where that is ``smaller``
+    than the index; ``balance`` joins keys that many rows share apart from the others."""
+
+    broadcast: bool
+    smaller: bool = False
+    balance: bool = False
+
+    @classmethod
+    def of(cls, graph: Graph, app: SamplingApp, broadcast: bool, balance: bool) -> "Joins":
+        if broadcast:
+            return cls(True)
+        return cls(False, app.seeds(graph).count() * app.outputs_until(app.steps - 1) // max(app.initial_size, 1) <= graph.n_edges, balance)
+
+
+def hot_keys(rows: DataFrame, parts: int) -> DataFrame:
+    """(__vertex, __cell) of keys with more than a quarter of a partition's share of the rows:
+    fewer than 4 * ``parts``."""
+    most = rows.count() // (4 * parts) + 1
+    found = rows.filter("__cell >= 0").groupBy("__vertex", "__cell").agg(F.count("*").alias("__n")).filter(F.col("__n") > most)
+    return checkpoint(found.select("__vertex", "__cell"))
+
+
+def _joined(rows: DataFrame, index: DataFrame, how: Joins, weighted: bool) -> DataFrame:
+    def on(left, right):
+        same = (left["__vertex"] == right["vertex"]) & (left["__cell"] == right["cell"])
+        return same & (left["__x"] > right["lo"]) & (left["__x"] <= right["hi"]) if weighted else same
+
+    def join(left, right):
+        return left.join(right, on(left, right), "left")
+
+    if how.broadcast:
+        return join(rows, F.broadcast(index))
+    cold = []
+    if how.balance:
+        rows = checkpoint(rows)
+        hot = hot_keys(rows, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        if not hot.isEmpty():
+            # the index's rows of hot keys go to every task, the walkers at them stay where they are
+            key = ["__vertex", "__cell"]
+            few = index.join(F.broadcast(hot), (index["vertex"] == hot["__vertex"]) & (index["cell"] == hot["__cell"]), "left_semi")
+            cold = [join(rows.join(F.broadcast(hot), key, "left_semi"), F.broadcast(few))]
+            rows = rows.join(F.broadcast(hot), key, "left_anti")
+    found = join(rows.hint("shuffle_hash"), index) if how.smaller else join(rows, index.hint("shuffle_hash"))
+    return functools.reduce(DataFrame.unionByName, cold, found)
+
+
+def step_join(rows: DataFrame, index: DataFrame, how: Joins, app: SamplingApp, step: int, seed: int, slot, place: bool = False) -> DataFrame:
+    """Chooses for each frontier row and joins: adds vertex, v_degree, v_total (null where it ended).
+    With ``place`` the rows' own ``cell`` is the choice."""
     context = StepContext(step, seed, F.col("degree"), F.col("total"), F.col("transit"), slot, {c: F.col(c) for c in rows.columns})
     alive = F.col("transit").isNotNull() & (F.col("degree") > 0)
     if app.end is not None:
         alive = alive & (context.u(1) >= app.end)
     if app.stop is not None:
         alive = alive & ~app.stop(context)
-    if app.weighted:
+    if place:
+        cell = F.col("cell")
+    elif app.weighted:
         rows = rows.withColumn("__x", F.when(alive, context.u() * F.col("total")))
         cell = F.least(F.floor(F.col("__x") * F.col("degree") / F.col("total")), F.col("degree").cast("long") - 1).cast("int")
     elif app.next is not None:
         cell = F.when(alive, app.next(context)).cast("int")
     else:
         cell = F.when(alive, F.least(F.floor(context.u() * F.col("degree")), F.col("degree").cast("long") - 1)).cast("int")
-    rows = rows.withColumn("__cell", cell)
+    rows = rows.withColumn("__cell", cell).drop("cell")
     # an ended row's key meets no vertex, and no other ended row's by more than chance
     rows = rows.withColumn("__vertex", F.when(F.col("__cell").isNull(), -1 - F.pmod(F.xxhash64("sample_id"), F.lit(1 << 30)).cast("int")).otherwise(F.col("transit")))
     rows = rows.withColumn("__cell", F.coalesce("__cell", F.lit(-1)))
     index = index.withColumnsRenamed({"dst": "vertex_", "dst_degree": "v_degree", "dst_total": "v_total"})
-    on = (rows["__vertex"] == index["vertex"]) & (rows["__cell"] == index["cell"])
-    if app.weighted:
-        on = on & (rows["__x"] > index["lo"]) & (rows["__x"] <= index["hi"])
-    joined = rows.join(F.broadcast(index) if broadcast else index.hint("shuffle_hash"), on, "left").drop("vertex", "cell", "lo", "hi", "__vertex", "__cell", "__x")
+    joined = _joined(rows, index, how, app.weighted).drop("vertex", "cell", "lo", "hi", "__vertex", "__cell", "__x")
     joined = joined.withColumnRenamed("vertex_", "vertex")
     if "v_total" not in joined.columns:
         joined = joined.withColumn("v_total", F.col("v_degree").cast("double"))
     return joined
 
 
-def run(graph: Graph, app: SamplingApp, seed: int = 42, strategy: str = "auto", checkpoint_every: int = CHECKPOINT_EVERY) -> SamplingRun:
+def run(graph: Graph, app: SamplingApp, seed: int = 42, strategy: str = "auto", checkpoint_every: int = CHECKPOINT_EVERY, balance: bool = False) -> SamplingRun:
     """All steps of an app. A walk's rows carry their path, one row a sample; a fan-out's
-    steps are united; a collective app's choices look at all transits of a sample."""
+    steps are united; a collective app's choices look at all transits of a sample.
+    ``balance`` joins keys apart at which many rows meet."""
+    own = chosen(graph, strategy)
+    return SamplingRun(app, graph, _samples(graph, app, seed, strategy, own, checkpoint_every, balance))
+
+
+def _samples(graph: Graph, app: SamplingApp, seed: int, strategy: str, own: str, checkpoint_every: int, balance: bool) -> DataFrame:
+    walk = all(app.size(k) == 1 for k in range(app.steps))
+    if app.table is not None:
+        return app.table(graph, seed, strategy)
     if app.sampling_type is SamplingType.COLLECTIVE:
-        return SamplingRun(app, graph, _collective(graph, app, seed, checkpoint_every))
+        return _collective(graph, app, seed, checkpoint_every) if app.importance is None else _importance(graph, app, seed)
     if app.weigh is not None:
-        if any(app.size(k) != 1 for k in range(app.steps)) or app.weighted or app.next is not None or app.end is not None or app.stop is not None or app.update is not None or app.transits is not None:
+        if not walk or app.weighted or app.next is not None or app.end is not None or app.stop is not None or app.update is not None or app.transits is not None:
             raise ValueError("edges are weighed in walks, one choice a step, without other rules")
-        if app.second_order is not None and chosen(graph, strategy) == "sample":
-            return SamplingRun(app, graph, run_second_order(graph, app.seeds(graph), app.steps, *app.second_order, seed))
-        return SamplingRun(app, graph, _weighed_walk(graph, app, seed))
-    if app.is_plain() and chosen(graph, strategy) == "sample":
-        return SamplingRun(app, graph, run_local(graph, app, seed))
+        if app.second_order is not None and own == "sample":
+            return run_second_order(graph, app.seeds(graph), app.steps, *app.second_order, seed)
+        return _weighed_walk(graph, app, seed)
+    if app.choose is not None:
+        if not walk or app.weighted or app.next is not None or app.distinct:
+            raise ValueError("edges are chosen in walks, one choice a step, by no other rule")
+        return _choosing_walk(graph, app, seed, own)
+    if app.distinct and (app.weighted or app.next is not None or app.end is not None or app.stop is not None or not all(app.size(k) > 0 for k in range(app.steps))):
+        raise ValueError("different edges are drawn uniformly, without other rules")
+    if app.many_roots is not None and own == "sample":
+        return run_many_roots(graph, app.seeds(graph).count(), app.steps, app.many_roots, seed)
+    if app.is_plain() and own == "sample":
+        return run_local(graph, app, seed)
     if app.update is not None or app.transits is not None:
-        if any(app.size(k) != 1 for k in range(app.steps)):
+        if not walk:
             raise ValueError("only walks, one choice a step, may have state")
-        return SamplingRun(app, graph, _stateful_walk(graph, app, seed, strategy, checkpoint_every))
-    if all(app.size(k) == 1 for k in range(app.steps)):
-        return SamplingRun(app, graph, _walk(graph, app, seed, strategy, checkpoint_every))
-    return SamplingRun(app, graph, _fan_out(graph, app, seed, strategy))
+        return _stateful_walk(graph, app, seed, strategy, checkpoint_every, balance)
+    if walk and not app.distinct:
+        return _walk(graph, app, seed, strategy, checkpoint_every, balance)
+    return _fan_out(graph, app, seed, strategy, balance)
 
 
 def _collective(graph: Graph, app: SamplingApp, seed: int, checkpoint_every: int) -> DataFrame:
@@ -173,7 +253,7 @@ def _collective(graph: Graph, app: SamplingApp, seed: int, checkpoint_every: int
         ranges = rows.filter("degree > 0").withColumn("hi", F.sum("degree").over(upto)).withColumn("lo", F.col("hi") - F.col("degree"))
         whole = ranges.groupBy("sample_id").agg(F.max("hi").alias("edges"))
         drawn = whole.select("sample_id", "edges", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("new"))
-        at = F.least(F.floor(rng.uniform(seed, F.col("sample_id"), step, F.col("new"), 0) * F.col("edges")), F.col("edges") - 1)
+        at = F.least(F.floor(rng.uniform(seed, "sample_id", step, "new", 0) * F.col("edges")), F.col("edges") - 1)
         drawn = drawn.select("sample_id", "new", at.alias("at"))
         found = drawn.join(ranges, "sample_id").filter("at >= lo AND at < hi").withColumn("cell", (F.col("at") - F.col("lo")).cast("int"))
         rows = found.join(index, (found["transit"] == index["vertex"]) & (found["cell"] == index["cell"])).select("sample_id", F.lit(step).alias("step"), F.col("new").alias("next_slot"), F.col("slot").alias("parent_slot"), "transit", F.col("dst").alias("v"), F.col("dst_degree").alias("d"))
@@ -183,39 +263,144 @@ def _collective(graph: Graph, app: SamplingApp, seed: int, checkpoint_every: int
     return functools.reduce(DataFrame.unionByName, steps)
 
 
-def _walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_every: int) -> DataFrame:
+def _layer(rows: DataFrame, graph: Graph) -> DataFrame:
+    """(sample_id, dst, n, weight): the vertices that edges of rows(sample_id, transit, degree) lead
+    to, with their number and weight. A row meets each range of its transit's edges by itself."""
+    index = graph.keep("flat ranges", lambda: graph.positions.select(F.col("src").alias("transit"), F.floor(F.col("pos") / RANGE).cast("int").alias("range"), "dst", "weight").persist(StorageLevel.MEMORY_AND_DISK))
+    each = rows.filter("degree > 0").select("sample_id", "transit", F.explode(F.sequence(F.lit(0), F.floor((F.col("degree") - 1) / RANGE).cast("int"))).alias("range"))
+    return each.join(index, ["transit", "range"]).groupBy("sample_id", "dst").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+def _importance(graph: Graph, app: SamplingApp, seed: int) -> DataFrame:
+    """In each step a sample draws ``size`` different vertices of those its transits' edges lead to, by
+    the app's weight: those of the least keys -ln(u) / weight, of which each task keeps its own
+    first before any are shuffled. Vertices of weight 0 aren't drawn."""
+    if app.next is not None or app.weighted or app.update is not None or app.transits is not None or app.end is not None or app.stop is not None:
+        raise ValueError("vertices are drawn by importance without other rules")
+    own = graph.degrees.select(F.col("id").alias("transit"), "degree")
+    rows, steps = start(graph, app).select("sample_id", "transit", "degree").distinct(), []
+    for step in range(app.steps):
+        found = _layer(rows, graph).withColumn("w", app.importance(F.col("n"), F.col("weight")).cast("double")).filter("w > 0")
+        found = found.withColumn("key", -F.ln(rng.uniform(seed, "sample_id", step, "dst", 0)) / F.col("w"))
+        order = Window.partitionBy("sample_id").orderBy("key", "dst")
+        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= app.size(step)).select("sample_id", "rank", F.col("dst").alias("transit"))
+        found = checkpoint(found)
+        steps.append(found.select("sample_id", F.lit(step).alias("step"), (F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("long").alias("parent_slot"), F.lit(None).cast("int").alias("transit"), F.col("transit").alias("vertex")))
+        rows = found.join(own, "transit").select("sample_id", "transit", "degree")
+    return functools.reduce(DataFrame.unionByName, steps)
+
+
+def layer_edges(run: SamplingRun) -> DataFrame:
+    """(sample_id, step, row, col, n): edges from the vertices of each layer (the seeds before the
+    first) to those drawn next."""
+    seeds = run.app.seeds(run.graph).select("sample_id", F.lit(0).alias("step"), F.col("transit").alias("src")).distinct()
+    drawn = run.samples.select("sample_id", "step", F.col("vertex").alias("dst"))
+    before = seeds.unionByName(drawn.select("sample_id", (F.col("step") + 1).alias("step"), F.col("dst").alias("src")))
+    edges = run.graph.edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return before.join(edges, "src").join(drawn, ["sample_id", "step", "dst"]).select("sample_id", "step", F.col("src").alias("row"), F.col("dst").alias("col"), "n")
+
+
+class Finished:
+    """Rows that have ended leave a loop for a table of their own."""
+
+    def __init__(self, *columns: str):
+        self.columns, self.rows = columns, None
+
+    def take(self, rows: DataFrame, over) -> DataFrame:
+        """The rows that go on, of a checkpoint; the others are kept."""
+        rows = checkpoint(rows)
+        ended = rows.filter(over).select(*self.columns)
+        self.rows = ended if self.rows is None else self.rows.unionByName(ended)
+        return rows.filter(~over)
+
+    def all(self, rows: DataFrame) -> DataFrame:
+        rows = rows.select(*self.columns)
+        return rows if self.rows is None else self.rows.unionByName(rows)
+
+
+def _over():
+    return F.col("transit").isNull() | (F.col("degree") == 0)
+
+
+def _walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_every: int, balance: bool) -> DataFrame:
     index, broadcast = prepared_index(graph, app.weighted, strategy)
+    how, done = Joins.of(graph, app, broadcast, balance), Finished("sample_id", "slot", "path")
     rows = start(graph, app).withColumn("path", F.array(F.col("transit")))
     for step in range(app.steps):
-        rows = step_join(rows, index, broadcast, app, step, seed, F.col("slot"))
+        rows = step_join(rows, index, how, app, step, seed, "slot")
         rows = rows.withColumn("path", F.when(F.col("vertex").isNull(), F.col("path")).otherwise(F.concat("path", F.array("vertex"))))
         rows = rows.withColumn("transit", F.col("vertex")).withColumn("degree", F.coalesce("v_degree", F.lit(0))).withColumn("total", F.coalesce("v_total", F.lit(0.0))).drop("vertex", "v_degree", "v_total")
         if checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < app.steps:
-            rows = checkpoint(rows)
-    return path_rows(rows)
+            rows = done.take(rows, _over())
+            if rows.isEmpty():
+                break
+    return path_rows(done.all(rows))
+
+
+def _choosing_walk(graph: Graph, app: SamplingApp, seed: int, own: str) -> DataFrame:
+    """A walk whose app weighs all edges of a transit, with state, stop and end as other walks."""
+    done = Finished("sample_id", "slot", "found")
+    degrees = graph.degrees.select(F.col("id").alias("transit"), F.col("degree").alias("t_degree"))
+    rows = start(graph, app).withColumn("previous", F.lit(None).cast("int")).withColumn("found", F.array().cast(FOUND))
+    for step in range(app.steps):
+        context = lambda k: StepContext(k, seed, F.col("degree"), F.col("total"), F.col("transit"), "slot", {c: F.col(c) for c in rows.columns})  # noqa: B023, E731
+        over = _over()
+        if app.end is not None:
+            over = over | (context(step).u(1) < app.end)
+        if app.stop is not None:
+            over = over | app.stop(context(step))
+        rows = done.take(rows, over)  # two branches read the rows
+        if rows.isEmpty():
+            break
+        rows = rows.join(chosen_edges(rows, graph, app, seed, step, own), ["sample_id", "slot"], "left")
+        rows = rows.withColumn("found", F.when(F.col("vertex").isNull(), F.col("found")).otherwise(F.concat("found", F.array(F.struct(F.lit(step).alias("step"), "transit", "vertex"))))).withColumn("previous", F.col("transit"))
+        if app.update is not None:
+            rows = rows.withColumns(app.update(context(step)))
+        if app.transits is None:
+            rows = rows.withColumn("transit", F.col("vertex")).withColumn("degree", F.coalesce("v_degree", F.lit(0)))
+        else:
+            rows = rows.withColumn("transit", app.transits(context(step + 1)).cast("int")).drop("degree").join(degrees, "transit", "left").withColumn("degree", F.coalesce("t_degree", F.lit(0))).drop("t_degree")
+        rows = rows.drop("vertex", "v_degree", "pos")
+    return found_rows(done.all(rows))
+
+
+FOUND = "array<struct<step:int,transit:int,vertex:int>>"
 
 
-def _stateful_walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_every: int) -> DataFrame:
+def found_rows(rows: DataFrame) -> DataFrame:
+    """Sample rows from (sample_id, slot, found)."""
+    long = rows.select("sample_id", F.col("slot").cast("long").alias("slot"), F.explode("found").alias("f"))
+    return long.select("sample_id", F.col("f.step").alias("step"), "slot", F.col("slot").alias("parent_slot"), F.col("f.transit").alias("transit"), F.col("f.vertex").alias("vertex"))
+
+
+def _stateful_walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_every: int, balance: bool) -> DataFrame:
     """A walk whose rows carry state. A sample ends only where its transit is null: a choice
     that finds nothing leaves the state to say where to go on from."""
     index, broadcast = prepared_index(graph, app.weighted, strategy)
+    how, done = Joins.of(graph, app, broadcast, balance), Finished("sample_id", "slot", "found")
     own = graph.degrees.select(F.col("id").alias("transit"), F.col("degree").alias("v_degree"), F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("degree").cast("double")).alias("v_total"))
-    rows = start(graph, app).withColumn("found", F.array().cast("array<struct<step:int,transit:int,vertex:int>>"))
+    rows = start(graph, app).withColumn("found", F.array().cast(FOUND))
     for step in range(app.steps):
-        rows = step_join(rows, index, broadcast, app, step, seed, F.col("slot"))
+        rows = step_join(rows, index, how, app, step, seed, "slot")
         new = F.array(F.struct(F.lit(step).alias("step"), "transit", "vertex"))
         rows = rows.withColumn("found", F.when(F.col("vertex").isNull(), F.col("found")).otherwise(F.concat("found", new)))
-        context = lambda k: StepContext(k, seed, F.col("degree"), F.col("total"), F.col("transit"), F.col("slot"), {c: F.col(c) for c in rows.columns})  # noqa: B023, E731
+        context = lambda k: StepContext(k, seed, F.col("degree"), F.col("total"), F.col("transit"), "slot", {c: F.col(c) for c in rows.columns})  # noqa: B023, E731
         if app.update is not None:
             rows = rows.withColumns(app.update(context(step)))
+        if step + 1 == app.steps:
+            break
         transit = F.col("vertex") if app.transits is None else app.transits(context(step + 1)).cast("int")
-        rows = rows.withColumn("transit", transit).drop("vertex", "v_degree", "v_total", "degree", "total")
-        if step + 1 < app.steps:
-            rows = rows.join(own, "transit", "left").withColumn("degree", F.coalesce("v_degree", F.lit(0))).withColumn("total", F.coalesce("v_total", F.lit(0.0))).drop("v_degree", "v_total")
-            if checkpoint_every and (step + 1) % checkpoint_every == 0:
-                rows = checkpoint(rows)
-    long = rows.select("sample_id", F.col("slot").cast("long").alias("slot"), F.explode("found").alias("f"))
-    return long.select("sample_id", F.col("f.step").alias("step"), "slot", F.col("slot").alias("parent_slot"), F.col("f.transit").alias("transit"), F.col("f.vertex").alias("vertex"))
+        if app.degree_of is not None:
+            known = app.degree_of(context(step + 1))
+            rows = rows.withColumns({"transit": transit, "degree": known, "total": known.cast("double")}).drop("vertex", "v_degree", "v_total")
+        else:
+            rows = rows.withColumn("transit", transit).drop("vertex", "v_degree", "v_total", "degree", "total").join(own, "transit", "left")
+            rows = rows.withColumn("degree", F.coalesce("v_degree", F.lit(0))).withColumn("total", F.coalesce("v_total", F.lit(0.0))).drop("v_degree", "v_total")
+        if checkpoint_every and (step + 1) % checkpoint_every == 0:
+            rows = done.take(rows, F.col("transit").isNull())
+            if rows.isEmpty():
+                break
+    return found_rows(done.all(rows))
 
 
 def _weighed_walk(graph: Graph, app: SamplingApp, seed: int) -> DataFrame:
@@ -224,24 +409,25 @@ def _weighed_walk(graph: Graph, app: SamplingApp, seed: int) -> DataFrame:
     to all edges of a hub. Walks run ahead of each other: a join is a round of every walk
     that isn't finished, whatever step it is in."""
     parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
-    index = graph.uniform_index.withColumnRenamed("vertex", "__vertex").repartition(parts, "__vertex", "cell").persist(StorageLevel.MEMORY_AND_DISK)  # a round shuffles the walks only
-    pairs = graph.pairs.select(F.col("src").alias("t"), F.col("dst"), F.lit(True).alias("near")).repartition(parts, "t", "dst").persist(StorageLevel.MEMORY_AND_DISK)
+    # a round shuffles the walks only
+    index = graph.keep(("rounds", parts), lambda: graph.uniform_index.withColumnRenamed("vertex", "__vertex").repartition(parts, "__vertex", "cell").persist(StorageLevel.MEMORY_AND_DISK))
+    pairs = graph.keep(("pairs", parts), lambda: graph.pairs.select(F.col("src").alias("t"), F.col("dst"), F.lit(True).alias("near")).repartition(parts, "t", "dst").persist(StorageLevel.MEMORY_AND_DISK))
     rows = start(graph, app).select("sample_id", "slot", "transit", "degree", F.array("transit").alias("path"), F.lit(None).cast("int").alias("t"), F.lit(0).alias("step"), F.lit(0).alias("round"))
-    done, rounds = None, 0
-    while True:
-        over = F.col("transit").isNull() | (F.col("degree") == 0) | (F.col("step") >= app.steps)
-        rows, ended = rows.filter(~over), rows.filter(over).select("sample_id", "slot", "path")
-        done = ended if done is None else done.unionByName(ended)
+    done, over = Finished("sample_id", "slot", "path"), F.col("transit").isNull() | (F.col("degree") == 0) | (F.col("step") >= app.steps)
+    for rounds in itertools.count():
         if rounds % ROUNDS == 0:
-            rows, done = checkpoint(rows), checkpoint(done)
+            rows = done.take(rows, over)
             if rows.isEmpty():
-                return path_rows(done)
-        rounds += 1
-        context = StepContext(F.col("step"), seed, F.col("degree"), F.col("degree").cast("double"), F.col("transit"), F.col("slot"), {}, F.col("dst"), F.col("t"), F.coalesce("near", F.lit(False)))
+                return path_rows(done.rows)
+            if rounds and rows.filter(F.col("round") >= MOST_ROUNDS).limit(1).count():
+                raise ValueError(f"no edge of a vertex was accepted in {MOST_ROUNDS} rounds: their weights are 0 or far below ``most``")
+        context = StepContext("step", seed, F.col("degree"), F.col("degree").cast("double"), F.col("transit"), "slot", {}, F.col("dst"), F.col("t"), F.coalesce("near", F.lit(False)))
         sure = F.lit(None).cast("int") if app.sure is None else app.sure(context)
-        rows = rows.withColumn("sure", sure).withColumn("cell", F.coalesce("sure", rng.pick(context.u(F.col("round") * 2), F.col("degree")))).withColumn("__vertex", F.col("transit"))
-        rows = rows.join(index.hint("shuffle_hash"), ["__vertex", "cell"]).join(pairs.hint("shuffle_hash"), ["t", "dst"], "left")
-        rows = rows.withColumn("yes", F.col("sure").isNotNull() | (context.u(F.col("round") * 2 + 1) * app.most <= app.weigh(context)))
+        # both draws come before the joins; rows that are over meet nothing, each with a key of its own
+        rows = rows.withColumns({"sure": sure, "__u": context.u("round * 2 + 1"), "cell": rng.pick(context.u("round * 2"), F.col("degree"))})
+        rows = rows.withColumns({"cell": F.coalesce("sure", "cell"), "__vertex": F.when(over, -1 - F.pmod(F.xxhash64("sample_id"), F.lit(1 << 30)).cast("int")).otherwise(F.col("transit"))})
+        rows = rows.join(index.hint("shuffle_hash"), ["__vertex", "cell"], "left").join(pairs.hint("shuffle_hash"), ["t", "dst"], "left")
+        rows = rows.withColumn("yes", F.col("dst").isNotNull() & (F.col("sure").isNotNull() | (F.col("__u") * app.most <= app.weigh(context))))
         now = lambda a, b: F.when(F.col("yes"), a).otherwise(b)
         rows = rows.select(
             "sample_id",
@@ -261,29 +447,35 @@ def path_rows(rows: DataFrame) -> DataFrame:
     return long.select("sample_id", (F.col("k") - 1).alias("step"), "slot", F.col("slot").alias("parent_slot"), F.get("path", F.col("k") - 1).alias("transit"), F.get("path", F.col("k")).alias("vertex"))
 
 
-def _fan_out(graph: Graph, app: SamplingApp, seed: int, strategy: str) -> DataFrame:
+def _fan_out(graph: Graph, app: SamplingApp, seed: int, strategy: str, balance: bool) -> DataFrame:
     index, broadcast = prepared_index(graph, app.weighted, strategy)
     rows, steps = start(graph, app), []
+    how = Joins(True) if broadcast else Joins.of(graph, app, False, balance) if ALL_NEIGHBORS not in [app.size(k) for k in range(app.steps)] else Joins(False, False, balance)
     for step in range(app.steps):
         size = app.size(step)
         if size == ALL_NEIGHBORS:
             rows = all_neighbors(rows, graph)
+        elif app.distinct:
+            rows = rows.filter("degree > 0").withColumnRenamed("slot", "parent_slot")
+            rows = rows.select("*", F.posexplode(different_places(seed, step, "parent_slot", F.col("degree"), size)).alias("j", "cell")).withColumn("slot", F.col("parent_slot") * size + F.col("j")).drop("j")
+            rows = step_join(rows, index, how, app, step, seed, "slot", place=True).filter("vertex IS NOT NULL")
         else:
             rows = rows.withColumn("parent_slot", F.col("slot")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
             rows = rows.withColumn("slot", F.col("parent_slot") * size + F.col("j")).drop("j")
-            rows = step_join(rows, index, broadcast, app, step, seed, F.col("slot")).filter("vertex IS NOT NULL")
+            rows = step_join(rows, index, how, app, step, seed, "slot").filter("vertex IS NOT NULL")
         rows = checkpoint(rows) if step + 1 < app.steps else rows
         steps.append(rows.select("sample_id", F.lit(step).alias("step"), F.col("slot").cast("long").alias("slot"), F.col("parent_slot").cast("long").alias("parent_slot"), "transit", "vertex"))
+        if step + 1 < app.steps and rows.isEmpty():
+            break
         rows = rows.withColumn("transit", F.col("vertex")).withColumn("degree", F.coalesce("v_degree", F.lit(0))).withColumn("total", F.coalesce("v_total", F.lit(0.0))).drop("vertex", "v_degree", "v_total", "parent_slot")
-    found = steps[0]
-    for more in steps[1:]:
-        found = found.unionByName(more)
-    return found
+    return functools.reduce(DataFrame.unionByName, steps)
 
 
 def all_neighbors(rows: DataFrame, graph: Graph) -> DataFrame:
     """Every neighbour of every frontier row; slot = parent_slot * (largest degree) + place."""
     most = graph.degrees.agg(F.max("degree")).first()[0] or 1
-    index = graph.uniform_index.withColumnsRenamed({"dst": "vertex_", "dst_degree": "v_degree"})
-    joined = rows.join(index, rows["transit"] == index["vertex"]).drop("vertex").withColumnRenamed("vertex_", "vertex")
+    # a row meets each range of its transit's edges by itself: a hub is in no one task
+    index = graph.uniform_index.withColumnsRenamed({"dst": "vertex_", "dst_degree": "v_degree", "vertex": "transit"}).withColumn("range", F.floor(F.col("cell") / RANGE).cast("int"))
+    rows = rows.filter("degree > 0").withColumn("range", F.explode(F.sequence(F.lit(0), F.floor((F.col("degree") - 1) / RANGE).cast("int"))))
+    joined = rows.join(index, ["transit", "range"]).drop("range").withColumnRenamed("vertex_", "vertex")
     return joined.withColumn("parent_slot", F.col("slot")).withColumn("slot", F.col("parent_slot").cast("long") * most + F.col("cell")).withColumn("v_total", F.col("v_degree").cast("double")).drop("cell")

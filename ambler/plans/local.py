@@ -13,8 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..functions.rng import Draws, lanes, place
-from ..functions.rng import SCALE as RANGE
+from ..functions.rng import Draws, place
 from ..operators.graph import Graph
 from ..shipping import ship
 from .app import SamplingApp
@@ -75,33 +74,56 @@ class Csr:
         return self.dst[lo]
 
 
+def different(csr: Csr, v: np.ndarray, size: int, u):
+    """``size`` different places of each vertex's edges, or all: (row, number, place) arrays. Of
+    its m places the i-th is drawn from the first degree - m + i + 1; if taken, it is their last."""
+    degree = csr.start[v + 1] - csr.start[v]
+    m = np.minimum(degree, size)
+    taken = np.full((len(v), size), -1, np.int64)
+    for i in range(size):
+        on = i < m
+        last = degree - m + i
+        t = place(u(i), np.maximum(last + 1, 1))
+        t = np.where((taken[:, :i] == t[:, None]).any(axis=1), last, t)
+        taken[on, i] = t[on]
+    at, j = np.nonzero(taken >= 0)
+    return at, j, taken[at, j]
+
+
 def steps_of(csr: Csr, app: SamplingApp, seed: int, sample, slot, vertex):
     """Yields (sample, step, slot, parent, transit, vertex) arrays of a batch of seeds."""
     draws = Draws(seed)
     for step in range(app.steps):
         size = app.size(step)
         ok = csr.has_edges(vertex)
-        draws.keep(ok)
-        sample, slot, vertex = sample[ok], slot[ok], vertex[ok]
+        if not ok.all():  # else the arrays, and what is known of them, stay
+            sample, slot, vertex = sample[ok], slot[ok], vertex[ok]
+        transit, parent = vertex, slot
+        if app.distinct:
+            at, j, place_ = different(csr, vertex, size, lambda i: draws(sample, step, slot, i))  # noqa: B023
+            parent, sample, transit = slot[at], sample[at], vertex[at]
+            slot, vertex = parent * size + j, csr.dst[csr.start[transit] + place_]
+            if not len(sample):
+                return
+            yield sample, step, slot, parent, transit, vertex
+            continue
         if size > 1:
-            draws.clear()
-        parent = np.repeat(slot, size)
-        sample, transit = np.repeat(sample, size), np.repeat(vertex, size)
-        slot = parent * size + np.tile(np.arange(size), len(vertex))
+            parent, sample, transit = np.repeat(slot, size), np.repeat(sample, size), np.repeat(vertex, size)
+            slot = parent * size + np.tile(np.arange(size), len(vertex))
         if app.end is not None:
             on = draws(sample, step, slot, 1) >= app.end
-            draws.keep(on)
-            sample, slot, parent, transit = sample[on], slot[on], parent[on], transit[on]
+            if not on.all():
+                sample, slot, parent, transit = sample[on], slot[on], parent[on], transit[on]
         if not len(sample):
             return
-        vertex = csr.choose(transit, draws(sample, step, slot))
+        vertex = csr.choose(transit, draws(sample, step, slot, 0))
         yield sample, step, slot, parent, transit, vertex
 
 
 def second_order(csr: Csr, steps: int, p: float, q: float, seed: int, sample, slot, vertex):
     """As ``steps_of``, for second-order walks by rejection: round r of a step proposes a
     uniform neighbour by draw 2 r and accepts it by draw 2 r + 1."""
-    last, most = np.full(len(sample), -1), max(p, 1 / q, 1.0)
+    last, most, draws = np.full(len(sample), -1), max(p, 1 / q, 1.0), Draws(seed)
     for step in range(steps):
         ok = csr.has_edges(vertex)
         sample, slot, vertex, last = sample[ok], slot[ok], vertex[ok], last[ok]
@@ -111,7 +133,8 @@ def second_order(csr: Csr, steps: int, p: float, q: float, seed: int, sample, sl
         chosen = csr.dst[lo].astype(np.int64)  # the first step, and vertices of one edge
         left, r = np.flatnonzero(degree > 1) if step else np.zeros(0, np.int64), 0
         while len(left):
-            u, accept = ((lanes(seed, sample[left], step, slot[left], 2 * r + k)[:, step % 8].astype(np.int64) + 1) / RANGE for k in (0, 1))
+            own = sample[left]
+            u, accept = (draws(own, step, slot[left], 2 * r + k) for k in (0, 1))
             found = csr.dst[lo[left] + place(u, degree[left])].astype(np.int64)
             t = last[left]
             weight = np.where(found == t, p, np.where(csr.is_edge(t, found), 1 / q, 1.0))
@@ -127,13 +150,13 @@ def many_roots(csr: Csr, steps: int, roots: int, seed: int, sample, slot, vertex
     n, draws = len(csr.start) - 1, Draws(seed)
     if n <= 0 or not len(sample):
         return
-    held = np.column_stack([lanes(seed, sample, -1, np.full(len(sample), i), 0)[:, 7] % n for i in range(roots)]).astype(np.int64)
+    held = np.column_stack([draws.integers(sample, -1, i, 0) % n for i in range(roots)])
     row = np.arange(len(sample))
     for step in range(steps):
         x = place(draws(sample, step, slot, 1), roots) if step else np.zeros(len(sample), np.int64)
         transit = held[row, x]
         ok = csr.has_edges(transit)
-        u = draws(sample, step, slot)
+        u = draws(sample, step, slot, 0)
         found = csr.choose(transit[ok], u[ok])
         yield sample[ok], step, slot[ok], slot[ok], transit[ok], found
         if step:

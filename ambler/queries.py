@@ -122,7 +122,10 @@ def degree_buckets(g):
     return fr.degree_histogram(g)
 
 
-@_query(_sql("SELECT id, CAST(floor(b / 65536) AS INTEGER) AS part FROM (SELECT id, coalesce(sum(16 + degree * 8) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM vertices)"))
+ROOM = 65536 - 16 - 8
+
+
+@_query(_sql(f"SELECT CAST(part AS INTEGER) AS part, id, CAST(min(coalesce(pos, 0)) AS INTEGER) AS first, CAST(max(coalesce(pos, -1)) AS INTEGER) AS last FROM (SELECT id, pos, floor((CASE WHEN pos IS NULL THEN before ELSE before + 16 + pos * 8 END) / {ROOM}) AS part FROM line LEFT JOIN pos ON src = id UNION ALL SELECT id, NULL, floor(before / {ROOM}) FROM line) GROUP BY 1, 2".replace("max(coalesce(pos, -1))", "coalesce(max(pos), -1)").replace("min(coalesce(pos, 0))", "coalesce(min(pos), 0)"), "line AS (SELECT id, coalesce(sum(16 + degree * 8) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM vertices)"))
 def graph_parts(g):
     return gr.partition_by_bytes(g, 65536)
 
@@ -179,6 +182,11 @@ def transit_histogram(g):
     return fr.histogram(_batch(g))
 
 
+@_query(_sql("SELECT sample_id, transit, row_number() OVER (ORDER BY transit, sample_id) - 1 AS place FROM batch", BATCH))
+def inverted_frontier(g):
+    return fr.invert(_batch(g).select("sample_id", "transit"))
+
+
 @_query(_sql("SELECT transit, n_samples, CAST(coalesce(sum(n_samples) OVER (ORDER BY transit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT transit, count(*) AS n_samples FROM batch GROUP BY 1)", BATCH))
 def transit_positions(g):
     return fr.positions(_batch(g))
@@ -245,8 +253,26 @@ def all_neighbors_step(g):
     return run(g, app, SEED).samples.select("sample_id", "slot", "transit", "vertex")
 
 
-@_query(_sql(f"""SELECT sample_id, CAST(r - 1 AS BIGINT) AS slot, transit, vertex, pos FROM (SELECT CAST(v.id AS BIGINT) AS sample_id, p.src AS transit, p.dst AS vertex, p.pos,
-row_number() OVER (PARTITION BY v.id ORDER BY {rng.sql_draw(SEED, 'v.id', 0, 0, 'p.pos')}, p.pos) AS r FROM vertices v JOIN pos p ON p.src = v.id) WHERE r <= 5"""))
+def different_sql(size: int, step: int) -> list[str]:
+    """From w{step}, ``size`` different places of each vertex's edges: p{step}(sample_id, slot, parent_slot, transit, place)."""
+    u = lambda i: rng.sql_pick(rng.sql_uniform(SEED, "sample_id", step, "slot", i), f"(degree - m + {i + 1})")
+    drawn = ", ".join(f"CASE WHEN {i} < m THEN {u(i)} END AS t{i}" for i in range(size))
+    taken = f"t{step}"  # a level for each place, as an alias is written out wherever it is used
+    for i in range(size):
+        before = f"t{i} IN ({', '.join(f's{k}' for k in range(i))})" if i else "false"
+        taken = f"(SELECT *, CASE WHEN {before} THEN degree - m + {i} ELSE t{i} END AS s{i} FROM {taken})"
+    return [
+        f"m{step} AS (SELECT w.sample_id, w.slot, w.vertex, d.degree, least({size}, d.degree) AS m FROM w{step} w JOIN deg d ON d.id = w.vertex)",
+        f"t{step} AS MATERIALIZED (SELECT *, {drawn} FROM m{step})",
+        f"s{step} AS (SELECT * FROM {taken})",
+        f"p{step} AS (SELECT sample_id, slot * {size} + i AS slot, slot AS parent_slot, vertex AS transit, place FROM (SELECT sample_id, slot, vertex, unnest(range(0, {size})) AS i, unnest([{', '.join(f's{i}' for i in range(size))}]) AS place FROM s{step}) WHERE place IS NOT NULL)",
+    ]
+
+
+SEEDS = "w0 AS (SELECT CAST(id AS BIGINT) AS sample_id, CAST(0 AS BIGINT) AS slot, id AS vertex FROM vertices)"
+
+
+@_query(_sql("SELECT sample_id, slot, transit, dst AS vertex, pos FROM p0 JOIN pos ON src = transit AND pos = place", SEEDS, *different_sql(5, 0)))
 def sample_without_replacement(g):
     return fr.without_replacement(one_seed_per_vertex()(g), g, 5, SEED).withColumn("slot", F.col("slot").cast("long"))
 
@@ -376,6 +402,66 @@ def step_overlap(g):
     return fr.step_overlap(run(g, apps.uniform_walk(WALK), SEED).samples, 2)
 
 
+def _different_hops(sizes: tuple[int, ...]) -> list[str]:
+    out = [SEEDS]
+    for k, size in enumerate(sizes):
+        out += [*different_sql(size, k), f"w{k + 1} AS MATERIALIZED (SELECT p.sample_id, p.slot, p.parent_slot, p.transit, e.dst AS vertex FROM p{k} p JOIN pos e ON e.src = p.transit AND e.pos = p.place)"]
+    return out
+
+
+@_query(_sql(_steps(2, HOP), *_different_hops((25, 10))))
+def khop_distinct_25_10(g):
+    return _slots(run(g, apps.khop_distinct(), SEED).samples)
+
+
+@_query(_sql(_steps(2, HOP), *_different_hops((10, 4))))
+def khop_distinct_shuffled(g):
+    return _slots(run(g, apps.khop_distinct((10, 4)), SEED, strategy="transit").samples)
+
+
+def choosing_sql(steps: int, weight: str) -> list[str]:
+    """Walks that weigh all edges e of their transit (n: near) by ``weight``, in ranges of 256."""
+    out = ["near AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges)", "w0 AS (SELECT CAST(id AS BIGINT) AS sample_id, CAST(NULL AS INTEGER) AS t, id AS vertex FROM vertices)"]
+    for k in range(steps):
+        u = lambda i: rng.sql_uniform(SEED, "sample_id", k, 0, f"2 * part + {i}")  # noqa: B023, E731
+        out.append(f"e{k} AS (SELECT w.sample_id, w.vertex AS transit, e.pos, e.dst, e.pos // {gr.RANGE} AS part, {weight} AS x FROM w{k} w JOIN pos e ON e.src = w.vertex LEFT JOIN near n ON n.src = w.t AND n.dst = e.dst)")
+        out.append(f"c{k} AS (SELECT *, sum(x) OVER (PARTITION BY sample_id, part ORDER BY pos ROWS UNBOUNDED PRECEDING) AS upto, sum(x) OVER (PARTITION BY sample_id, part) AS total FROM e{k})")
+        out.append(f"r{k} AS (SELECT sample_id, arg_min(part, key) AS part FROM (SELECT sample_id, part, -ln({u(2)}) / total AS key FROM (SELECT DISTINCT sample_id, part, total FROM c{k} WHERE total > 0)) GROUP BY 1)")
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT c.sample_id, c.transit AS t, c.transit, arg_min(c.dst, c.pos) AS vertex FROM (SELECT *, {u(3)} * total AS at FROM c{k}) c JOIN r{k} r ON r.sample_id = c.sample_id AND r.part = c.part WHERE c.upto >= c.at GROUP BY 1, 2)")
+    return out
+
+
+SECOND_ORDER = "e.weight * CASE WHEN w.t IS NULL THEN 1.0 WHEN e.dst = w.t THEN 2.0 WHEN n.src IS NOT NULL THEN 2.0 ELSE 1.0 END"
+
+
+@_query(_sql(_steps(4), *choosing_sql(4, SECOND_ORDER)))
+def node2vec_weighted(g):
+    return _plain(run(g, apps.weighted_node2vec(4), SEED).samples)
+
+
+@_query(_sql(_steps(2), *choosing_sql(2, SECOND_ORDER)))
+def node2vec_weighted_shuffled(g):
+    return _plain(run(g, apps.weighted_node2vec(2), SEED, strategy="transit").samples)
+
+
+def importance_sql(layers: int, size: int) -> list[str]:
+    out = [_batch_sql(size, f"(SELECT CAST(ceil(8 * n / {size}.0) AS BIGINT) FROM n)"), "l0 AS (SELECT DISTINCT sample_id, transit AS vertex FROM batch)"]
+    for k in range(layers):
+        out.append(f"n{k} AS (SELECT l.sample_id, e.dst, count(*) AS n FROM l{k} l JOIN edges e ON e.src = l.vertex GROUP BY 1, 2)")
+        out.append(f"l{k + 1} AS MATERIALIZED (SELECT sample_id, dst AS vertex, rank FROM (SELECT sample_id, dst, row_number() OVER (PARTITION BY sample_id ORDER BY -ln({rng.sql_uniform(SEED, 'sample_id', k, 'dst', 0)}) / CAST(n * n AS DOUBLE), dst) AS rank FROM n{k}) WHERE rank <= {size})")
+    return out
+
+
+@_query(_sql(" UNION ALL ".join(f"SELECT sample_id, {k} AS step, rank - 1 AS slot, vertex FROM l{k + 1}" for k in range(5)), *importance_sql(5, 64)))
+def ladies_importance(g):
+    return run(g, apps.ladies_app(), SEED).samples.select("sample_id", "step", "slot", "vertex")
+
+
+@_query(_sql("SELECT b.sample_id, b.step, b.vertex AS row, d.vertex AS col, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT sample_id, {k} AS step, vertex FROM l{k}" for k in range(2)) + ") b JOIN edges e ON e.src = b.vertex JOIN (" + " UNION ALL ".join(f"SELECT sample_id, {k} AS step, vertex FROM l{k + 1}" for k in range(2)) + ") d ON d.sample_id = b.sample_id AND d.step = b.step AND d.vertex = e.dst GROUP BY ALL", *importance_sql(2, 32)))
+def ladies_matrices(g):
+    return run(g, apps.ladies_app(2, 32), SEED).output()
+
+
 def layer_sql(layers: int, size: int, samples: int) -> list[str]:
     return [
         _batch_sql(size, str(samples)),
@@ -439,9 +525,49 @@ def batch_violations(g):
     return validate.batch_violations(apps.mvs(g).filter("(src + dst) % 3 != 0"), _batch(g), g)
 
 
-@_query(_sql(f"SELECT s.sample_id, s.step, s.vertex + 1 AS vertex FROM ({_steps(ROOT_STEPS)}) s WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = s.transit AND e.dst = s.vertex + 1)", *multirw_sql(ROOT_STEPS, ROOTS)))
+def roots_replayed_sql(walked: str, roots: str) -> list[str]:
+    """wrong(sample_id, step, vertex, kind) of many-root walks ``walked`` from ``roots`` (sample_id, i, v)."""
+    return [
+        f"moves AS MATERIALIZED ({walked})",
+        f"held0 AS MATERIALIZED ({roots})",
+        """events AS (SELECT sample_id, v, -1 AS step, count(*) AS change, CAST(NULL AS INTEGER) AS vertex, false AS used FROM held0 GROUP BY 1, 2
+UNION ALL SELECT sample_id, vertex, step, 1, NULL, false FROM moves WHERE step > 0
+UNION ALL SELECT sample_id, transit, step, CASE WHEN step > 0 THEN -1 ELSE 0 END, vertex, true FROM moves)""",
+        "replayed AS (SELECT *, coalesce(sum(change) OVER (PARTITION BY sample_id, v ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM events)",
+        "joined AS (SELECT DISTINCT src, dst FROM edges)",
+        """wrong AS (SELECT s.sample_id, s.step, s.vertex, 'not_neighbor' AS kind FROM moves s ANTI JOIN joined e ON e.src = s.transit AND e.dst = s.vertex
+UNION ALL SELECT sample_id, step, vertex, 'not_held' FROM replayed WHERE used AND (held < 1 OR step = 0 AND v <> (SELECT any_value(r.v) FROM held0 r WHERE r.i = 0 AND r.sample_id = replayed.sample_id))
+UNION ALL SELECT r.sample_id, 0, NULL, 'empty_step' FROM held0 r JOIN deg ON deg.id = r.v ANTI JOIN (SELECT sample_id FROM moves WHERE step = 0) m ON m.sample_id = r.sample_id WHERE r.i = 0)""",
+    ]
+
+
+BROKEN = "SELECT sample_id, step, transit, vertex + 1 AS vertex FROM"
+
+
+@_query(_sql("SELECT * FROM wrong", *multirw_sql(ROOT_STEPS, ROOTS), *roots_replayed_sql(f"{BROKEN} ({_steps(ROOT_STEPS)})", "SELECT sample_id, i, v FROM r0")))
 def root_violations(g):
-    return validate.root_violations(_broken(apps.multirw(g, ROOT_STEPS, g.n_vertices, ROOTS, SEED)), g)
+    return validate.root_violations(_broken(apps.multirw(g, ROOT_STEPS, g.n_vertices, ROOTS, SEED)), apps.root_table(g, g.n_vertices, ROOTS, SEED), g)
+
+
+CHAINED = """rows AS (SELECT sample_id, step, transit, vertex FROM moved UNION ALL SELECT CAST(id AS BIGINT), -1, NULL, id FROM vertices),
+seen AS (SELECT *, lag(vertex) OVER w AS held, lag(step) OVER w AS last, lead(step) OVER w AS next FROM rows WINDOW w AS (PARTITION BY sample_id ORDER BY step)),
+wrong AS (SELECT s.sample_id, s.step, s.vertex, 'not_neighbor' AS kind FROM moved s ANTI JOIN near e ON e.src = s.transit AND e.dst = s.vertex
+UNION ALL SELECT sample_id, step, vertex, 'not_held' FROM seen WHERE step >= 0 AND (held IS DISTINCT FROM transit OR last <> step - 1)
+UNION ALL SELECT sample_id, step + 1, -1, 'empty_step' FROM seen JOIN deg ON id = vertex WHERE next IS NULL AND step < 3)"""
+
+
+@_query(_sql("SELECT * FROM wrong", *node2vec_sql(4), "moved AS MATERIALIZED (SELECT sample_id, step - 1 AS step, t AS transit, vertex + CAST(sample_id % 2 AS INTEGER) AS vertex FROM w WHERE moved AND (sample_id % 3 > 0 OR step <> 2))", CHAINED))
+def chain_violations(g):
+    """Second-order walks of which half have every vertex moved by one, and a third lack a step."""
+    found = apps.node2vec(g, 4, g.n_vertices, seed=SEED).filter("sample_id % 3 > 0 OR step != 1").withColumn("vertex", F.col("vertex") + (F.col("sample_id") % 2).cast("int"))
+    return validate.chain_violations(found, one_seed_per_vertex()(g), g, 4).fillna(-1, "vertex")
+
+
+@_query(_sql("SELECT CAST(id AS BIGINT) AS sample_id, 0 AS step, -1 AS vertex, 'empty_step' AS kind FROM vertices WHERE degree > 0"))
+def empty_result_violations(g):
+    """A result without any row is reported whole."""
+    found = run(g, apps.uniform_walk(WALK), SEED).samples.filter("sample_id < 0")
+    return apps.violations(g, "uniform", found, SEED).fillna(-1, "vertex")
 
 
 @_query(_sql("""SELECT CAST(id AS BIGINT) AS sample_id, 0 AS step, -1 AS vertex, 'empty_step' AS kind FROM vertices WHERE degree > 0 AND id % 2 = 1"""))

@@ -67,9 +67,21 @@ def test_exclusive_scan_over_many_blocks(spark):
     assert got == {k: sum(i % 7 for i in range(k)) for k in range(1000)}
 
 
-def test_parts_cover_all_vertices_in_ranges(graph):
-    parts = rows(gr.partition_by_bytes(graph(RING), 100), "id", "part")
-    assert [p for _, p in parts] == [i * 24 // 100 for i in range(32)]
+@pytest.mark.parametrize("budget", [48, 49, 100, 257, 10_000])
+def test_parts_hold_their_budget(graph, budget):
+    """Every edge once, hubs cut, no part above its budget, and none left half empty but by a cut."""
+    edges = RING + [(7, k % 32, float(k)) for k in range(60)] + [(40, 0, 1.0)]
+    g = graph(edges)
+    parts = rows(gr.partition_by_bytes(g, budget), "part", "id", "first", "last")
+    size, seen = {}, []
+    for part, v, first, last in parts:
+        size[part] = size.get(part, 0) + 16 + 8 * (last - first + 1)
+        seen += [(v, p) for p in range(first, last + 1)]
+    assert max(size.values()) <= budget
+    assert sorted(seen) == rows(g.positions, "src", "pos") and {v for _, v, *_ in parts} == set(range(41))
+    assert all(size[p] > budget - 16 - 2 * 8 - 16 for p in list(size)[:-1])
+    with pytest.raises(ValueError):
+        gr.partition_by_bytes(g, 47)
 
 
 def test_bfs(graph):
@@ -83,7 +95,7 @@ def test_array_functions(spark):
 
 
 def test_draws_do_not_depend_on_partitions(spark):
-    df = spark.range(200).withColumn("u", rng.uniform(1, F.col("id"), 0))
+    df = spark.range(200).withColumn("u", rng.uniform(1, "id", 0))
     a, b = dict(df.collect()), dict(df.repartition(7).collect())
     assert a == b and all(0 < u <= 1 for u in a.values()) and len(set(a.values())) > 190
 
@@ -196,7 +208,7 @@ def test_node2vec_first_steps(graph):
     found = apps.node2vec(graph(STAR), 3, 5)
     first = rows(found.filter("step = 0"), "sample_id", "vertex")
     assert first == [(0, 1), (1, 0), (2, 0), (3, 0), (4, 0)]
-    assert validate.root_violations(found, graph(STAR)).count() == 0
+    assert validate.chain_violations(found, one_seed_per_vertex(5)(graph(STAR)), graph(STAR), 3).count() == 0
 
 
 def test_node2vec_distribution(graph):
@@ -210,9 +222,9 @@ def test_node2vec_distribution(graph):
 def test_multirw_moves_roots(graph):
     g = graph(RING)
     found = apps.multirw(g, 6, 10, roots=3)
-    assert found.count() == 60 and validate.root_violations(found, g).count() == 0
+    assert found.count() == 60 and validate.root_violations(found, apps.root_table(g, 10, 3, 42), g).count() == 0
     held = np.zeros((10, 3), int)
-    for s, i, v in g.spark.range(10).select("id", F.explode(F.array(*map(F.lit, range(3)))).alias("i")).select("id", "i", (rng.draw(42, F.col("id"), -1, F.col("i"), 0) % 32)).collect():
+    for s, i, v in g.spark.range(10).select("id", F.explode(F.array(*map(F.lit, range(3)))).alias("i")).select("id", "i", (rng.draw(42, "id", -1, "i", 0) % 32)).collect():
         held[s, i] = v
     for s, step, transit, vertex in sorted(tuple(r) for r in found.select("sample_id", "step", "transit", "vertex").collect()):
         assert transit in held[s] and vertex == (transit + 1) % 32
@@ -226,7 +238,7 @@ def test_layer_matrix_is_sound_and_complete(graph):
     g = graph(STAR)
     found = apps.layer_matrices(g, 2, 4, 6)
     n, pairs = g.n_vertices, set(map(tuple, g.pairs.collect()))
-    drawn = {(s, layer, c): v for s, layer, c, v in g.spark.range(6).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("l")).select("id", "l", F.explode(F.array(*map(F.lit, range(4)))).alias("c")).select("id", "l", "c", rng.pick(rng.uniform(42, F.col("id"), F.col("l"), F.col("c"), 0), n)).collect()}
+    drawn = {(s, layer, c): v for s, layer, c, v in g.spark.range(6).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("l")).select("id", "l", F.explode(F.array(*map(F.lit, range(4)))).alias("c")).select("id", "l", "c", rng.pick(rng.uniform(42, "id", "l", "c", 0), n)).collect()}
     before = lambda s, layer, r: (s * 4 + r) % n if layer == 0 else drawn[s, layer - 1, r]
     want = {(s, layer, r, c) for s in range(6) for layer in range(2) for r in range(4) for c in range(4) if (before(s, layer, r), drawn[s, layer, c]) in pairs}
     assert set(rows(found, "sample_id", "layer", "row", "col")) == want
@@ -270,6 +282,205 @@ def test_without_replacement_takes_different_edges(graph):
     assert found.filter("sample_id = 1").count() == 1
 
 
+def test_places_without_replacement_are_all_sets_alike(spark):
+    df = spark.range(12_000).select(F.col("id").alias("sample_id"), F.lit(0).alias("slot"), F.lit(5).alias("degree"))
+    got = dict(df.select(F.array_sort(fr.different_places(1, 0, "slot", F.col("degree"), 2)).cast("string").alias("s")).groupBy("s").count().collect())
+    assert len(got) == 10 and chi2(got, {k: 0.1 for k in got}) < 27.9
+
+
+@pytest.mark.parametrize("edges", [STAR + WEIGHTED, MULTI, CHAIN, LOOP, RING], ids=["star", "multi", "chain", "loop", "ring"])
+def test_hops_of_different_edges(graph, edges):
+    """Tasks and joins agree; a transit's edges are different ones, as many as there are or are asked for."""
+    g, app = graph(edges), apps.khop_distinct((3, 2))
+    columns = ("sample_id", "step", "slot", "parent_slot", "transit", "vertex")
+    found = rows(run(g, app, strategy="sample").samples, *columns)
+    assert found == rows(run(g, app, strategy="transit").samples, *columns) and found
+    degree, taken = dict(g.degrees.select("id", "degree").collect()), {}
+    for s, step, _, parent, transit, vertex in found:
+        taken.setdefault((s, step, parent, transit), []).append(vertex)
+    for (_, step, _, transit), ends in taken.items():
+        assert len(ends) == min((3, 2)[step], degree[transit])
+        assert all(ends.count(v) <= sum((a, b) == (transit, v) for a, b, _ in edges) for v in ends)
+
+
+def test_different_edges_join_no_others(graph):
+    """A hub of 3,000 edges, three of which are asked for by each of its walkers."""
+    g = graph([(0, k + 1, 1.0) for k in range(3000)])
+    app = SamplingApp("d", 1, 3, lambda g: g.spark.range(50).select(F.col("id").alias("sample_id"), F.lit(0).alias("slot"), F.lit(0).alias("transit")), distinct=True)
+    found = run(g, app, strategy="transit").samples
+    assert found.count() == 150
+    plan = found._jdf.queryExecution().executedPlan()
+    assert "posexplode" in plan.toString().lower() and "Window" not in plan.toString().split("InMemoryTableScan")[0]
+
+
+WEB = [(a, b, float(1 + (a * 7 + b) % 3)) for a in range(12) for b in range(12) if (a * b + a + 2 * b) % 3] + [(20, b % 12, 1.0 + b % 4) for b in range(700)] + [(b, 20, 2.0) for b in range(12)]
+
+
+def plain_choice(walker, step, slot, edges, weight, number=rng):
+    """Two draws a range of 256 edges: where in the range, and the race of ranges."""
+    import math
+
+    draws, best = rng.Draws(42), None
+    own = np.array([walker])
+    for first in range(0, len(edges), gr.RANGE):
+        part, upto = edges[first : first + gr.RANGE], []
+        for e in part:
+            upto.append((upto[-1] if upto else 0.0) + weight(e))
+        if upto[-1] > 0:
+            r = first // gr.RANGE
+            x = draws(own, step, slot, 2 * r + 3)[0] * upto[-1]
+            key = -math.log(draws(own, step, slot, 2 * r + 2)[0]) / upto[-1], r
+            if best is None or key < best[0]:
+                best = key, part[next(k for k, t in enumerate(upto) if t >= x)]
+    return best and best[1]
+
+
+@pytest.mark.parametrize("strategy", ["sample", "transit"])
+def test_weighted_second_order_walks_by_brute_force(graph, strategy):
+    g, pairs = graph(WEB), {(a, b) for a, b, _ in WEB}
+    slices = {v: sorted((b, w) for a, b, w in WEB if a == v) for v in range(21)}
+    want = []
+    for s in range(42):
+        v, t = s % 21, None
+        for step in range(3):
+            weigh = lambda e: e[1] * (1.0 if t is None else 2.0 if e[0] == t else 2.0 if (t, e[0]) in pairs else 1.0)  # noqa: B023, E731
+            got = plain_choice(s, step, 0, slices[v], weigh)
+            if got is None:
+                break
+            want.append((s, step, v, got[0]))
+            v, t = got[0], v
+    app = apps.weighted_node2vec(3, 42)
+    result = run(g, app, strategy=strategy)
+    assert rows(result.samples, "sample_id", "step", "transit", "vertex") == want and len(want) > 70
+    assert result.violations().count() == 0
+
+
+def test_a_function_of_edges_with_state_end_and_stop(graph):
+    """It sees the state; a walk stops where it says; transits come from the state."""
+    seeds = lambda g: one_seed_per_vertex()(g).withColumn("home", F.col("transit"))
+    far = lambda b: (np.abs(b.vertex - b.state["home"]) == 1).astype(float)
+    app = SamplingApp("near home", 3, 1, seeds, choose=far, edge_columns=("home",), transits=lambda c: c.state["home"], stop=lambda c: c.transit == 5)
+    both = RING + [(b, a, 1.0) for a, b, _ in RING]
+    found = rows(run(graph(both), app).samples, "sample_id", "step", "transit", "vertex")
+    assert all(t == s and abs(v - s) == 1 for s, _, t, v in found) and {s for s, *_ in found} == set(range(32)) - {5} and len(found) == 31 * 3
+    none = SamplingApp("none", 2, 1, one_seed_per_vertex(), choose=lambda b: np.zeros(len(b.vertex)))
+    assert run(graph(both), none).samples.count() == 0
+    with pytest.raises(ValueError):
+        run(graph(both), SamplingApp("x", 1, 2, one_seed_per_vertex(), choose=far))
+
+
+def test_layers_by_importance_by_brute_force(graph):
+    import math
+    from collections import Counter
+
+    g, app = graph(WEB, 24), apps.ladies_app(2, 4, 9)
+    draws, want, links = rng.Draws(42), [], []
+    for s in range(9):
+        layer = {(s * 4 + i) % 24 for i in range(4)}
+        for step in range(2):
+            n = Counter(b for a, b, _ in WEB if a in layer)
+            keys = sorted((-math.log(draws(np.array([s]), step, v, 0)[0]) / n[v] ** 2, v) for v in n)[:4]
+            want += [(s, step, k, v) for k, (_, v) in enumerate(keys)]
+            links += [(s, step, a, b, sum((a, b) == e[:2] for e in WEB)) for a in layer for _, b in keys if any((a, b) == e[:2] for e in WEB)]
+            layer = {v for _, v in keys}
+    result = run(g, app)
+    assert rows(result.samples, "sample_id", "step", "slot", "vertex") == sorted(want)
+    assert rows(result.output(), "sample_id", "step", "row", "col", "n") == sorted(links)
+    assert result.violations().count() == 0
+
+
+def test_a_walk_that_ends_early_runs_no_more_steps(spark, graph):
+    """A walk of 100 steps through a chain of four, by joins, with a look at every second step."""
+    g = graph(CHAIN)
+    group = spark.sparkContext
+    group.setJobGroup("early", "early")
+    try:
+        found = run(g, apps.uniform_walk(100), strategy="transit", checkpoint_every=2).samples
+        assert found.count() == 6
+        jobs = len(group.statusTracker().getJobIdsForGroup("early"))
+    finally:
+        group._jsc.clearJobGroup()
+    assert jobs < 40  # 50 looks would be 100 jobs at least
+
+
+def test_hot_keys_are_joined_apart(spark, graph, monkeypatch):
+    """Half of the walkers stand at a vertex with one edge: they leave the shuffle."""
+    from ambler.plans import engine
+
+    edges = RING + [(40, 0, 1.0)]
+    seeds = lambda g: g.spark.range(4000).select(F.col("id").alias("sample_id"), F.lit(0).alias("slot"), F.when(F.col("id") % 2 == 0, 40).otherwise(F.col("id") % 32).cast("int").alias("transit"))
+    app, g = SamplingApp("hot", 3, 1, seeds), graph(edges)
+    columns = ("sample_id", "step", "transit", "vertex")
+    want = rows(run(g, app, strategy="transit").samples, *columns)
+    left, real = [], engine._joined
+
+    def counted(frontier, index, how, weighted):
+        found = engine.hot_keys(frontier, 4)
+        rest = frontier.join(found, ["__vertex", "__cell"], "left_anti")
+        left.append((found.count(), rest.groupBy("__vertex", "__cell").count().agg(F.max("count")).first()[0]))
+        return real(frontier, index, how, weighted)
+
+    monkeypatch.setattr(engine, "_joined", counted)
+    assert rows(run(g, app, strategy="transit", balance=True).samples, *columns) == want
+    assert left[0][0] == 1 and all((most or 0) <= 4000 // 16 + 1 for _, most in left)
+
+
+def test_the_smaller_side_is_hashed(spark, graph):
+    plan = lambda app: run(graph(STAR), app, strategy="transit").samples._jdf.queryExecution().toString()
+    assert "rightHint=(strategy=shuffle_hash)" not in plan(apps.uniform_walk(1, 2)) and "leftHint=(strategy=shuffle_hash)" in plan(apps.uniform_walk(1, 2))
+    assert "rightHint=(strategy=shuffle_hash)" in plan(apps.uniform_walk(1, 50))
+
+
+def test_fabricated_walks_are_reported(spark, graph):
+    """A walk from 0 to 1 and then from 2 to 3, and an empty result."""
+    g = graph(CHAIN)
+    made = spark.createDataFrame([(0, 0, 0, 0, 1), (0, 1, 0, 2, 3)], "sample_id long, step int, slot long, transit int, vertex int")
+    seeds = one_seed_per_vertex(1)(g)
+    assert rows(validate.chain_violations(made, seeds, g, 2), "sample_id", "step", "vertex", "kind") == [(0, 1, 3, "not_held")]
+    roots = spark.createDataFrame([(0, 0, 0), (0, 1, 1)], "sample_id long, i int, v int")
+    assert rows(validate.root_violations(made, roots, g), "sample_id", "step", "vertex", "kind") == [(0, 1, 3, "not_held")]
+    again = spark.createDataFrame([(0, 0, 0, 0, 1), (0, 1, 0, 1, 2), (0, 2, 0, 1, 2)], made.schema)
+    assert rows(validate.root_violations(again, roots, g), "step", "kind") == [(2, "not_held")]
+    other = spark.createDataFrame([(0, 0, 0, 1, 2)], made.schema)
+    assert rows(validate.root_violations(other, roots, g), "step", "kind") == [(0, "not_held")]
+    assert rows(validate.root_violations(made.limit(0), roots, g), "sample_id", "kind") == [(0, "empty_step")]
+    for name, due in (("uniform", 3), ("node2vec", 300), ("multirw", None), ("khop", 3), ("khop-distinct", 3)):
+        wrong = apps.violations(g, name, made.limit(0))
+        assert {r.kind for r in wrong.collect()} == {"empty_step"} and (due is None or wrong.count() == due)
+    late = spark.createDataFrame([(0, 0, 0, 0, 1)], made.schema)
+    assert rows(validate.chain_violations(late, seeds, g, 3), "step", "kind") == [(1, "empty_step")]
+
+
+@pytest.mark.parametrize("name", sorted(apps.APPS))
+def test_every_sampler_runs_by_name_and_checks_itself(graph, name, monkeypatch):
+    monkeypatch.setattr(apps, "STEPS", 100)
+    g = graph(RING + STAR)
+    options = {"samples": 40} if name not in ("fastgcn", "ladies", "ladies-importance", "mvs", "clustergcn") else {"samples": 5}
+    if name in ("deepwalk", "ppr", "uniform", "node2vec", "node2vec-weighted", "multirw"):
+        options["steps"] = 3
+    if name == "multirw":
+        options["roots"] = 3
+    result = run(g, apps.app_of(name, 7, **options), 7)
+    assert result.samples.count() > 0 and result.violations(7).isEmpty()
+    assert "sample_id" in result.output().columns
+
+
+def test_release_frees_what_runs_kept(spark, graph):
+    g = graph(STAR)
+    run(g, apps.uniform_walk(2), strategy="transit").samples.count()
+    run(g, apps.uniform_walk(2)).samples.count()
+    held = list(g.kept.values())
+    assert held and g.shared and all(t.storageLevel.useMemory for t in held)
+    g.release()
+    assert not g.kept and not g.shared and not any(t.storageLevel.useMemory for t in held)
+    assert run(g, apps.uniform_walk(2)).samples.count() == 10
+
+
+def test_inverted_frontier(spark):
+    f = spark.createDataFrame([(3, 5), (1, 5), (2, 0), (4, None)], "sample_id long, transit int")
+    assert rows(fr.invert(f), "place", "transit", "sample_id") == [(0, 0, 2), (1, 5, 1), (2, 5, 3), (3, None, 4)]
+
+
 def test_walk_joins_do_not_shuffle_a_kept_index_again(graph):
     plan = run(graph(STAR), apps.uniform_walk(2), strategy="transit").samples._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
@@ -312,7 +523,7 @@ def test_collective_app_draws_from_all_edges_of_a_sample(graph):
     app = SamplingApp("c", 2, 50, batch_seeds(40, 3), sampling_type=SamplingType.COLLECTIVE, initial_size=3)
     g = graph(STAR)
     found = run(g, app).samples
-    assert found.count() == 40 * 100 and validate.root_violations(found, g).count() == 0
+    assert found.count() == 40 * 100 and validate.edge_violations(found, g).count() == 0
     got = dict(found.filter("step = 0 AND sample_id % 5 = 0").groupBy("transit").count().collect())  # transits 0, 1, 2 of 4, 1, 1 edges
     assert chi2(got, {0: 4 / 6, 1: 1 / 6, 2: 1 / 6}) < 13.8
     with pytest.raises(ValueError):
