@@ -51,8 +51,7 @@ def ladies_coo(g):
 
 
 def coo_violations(g):
-    before, drawn = apps.layer_vertices(g, seed=SEED)
-    return validate.matrix_violations(apps.fastgcn(g, seed=SEED).filter("(row + col) % 2 = 0"), before, drawn, g)
+    return apps.layer_violations(g, apps.fastgcn(g, seed=SEED).filter("(row + col) % 2 = 0"), seed=SEED)
 
 
 def root_violations(g):
@@ -65,7 +64,7 @@ def layer_vertices_drawn(g):
 
 def not_edge_coo_violations(g):
     moved = apps.fastgcn(g, seed=SEED).withColumn("col", F.col("col") + 1000)
-    return validate.matrix_violations(moved, *apps.layer_vertices(g, seed=SEED), g)
+    return apps.layer_violations(g, moved, seed=SEED)
 
 
 #: Name to sampler of a graph.

@@ -148,7 +148,7 @@ class Graph:
 
 def partition_by_bytes(graph: Graph, budget: int, vertex_bytes: int = 16, edge_bytes: int = 8) -> DataFrame:
     """(part, id, first, last): vertices with the places of their edges in each part (last is -1
-    for a vertex without edges), so that no part holds more than ``budget`` bytes. Vertices and
+    for a vertex without edges there), so that no part holds more than ``budget`` bytes. Vertices and
     edges stand in a line by id; a cut falls after at most ``budget`` bytes less one vertex and one
     edge, so that a hub cut in two has its own bytes in both parts."""
     room = budget - vertex_bytes - edge_bytes
@@ -161,7 +161,7 @@ def partition_by_bytes(graph: Graph, budget: int, vertex_bytes: int = 16, edge_b
     rows = rows.select("id", "degree", own.alias("own"), F.explode(F.sequence(top, end)).alias("part"))
     first = F.greatest(F.ceil((F.col("part") * room - F.col("own")) / edge_bytes), F.lit(0))
     last = F.least(F.ceil(((F.col("part") + 1) * room - F.col("own")) / edge_bytes) - 1, F.col("degree").cast("long") - 1)
-    return rows.select(F.col("part").cast("int").alias("part"), "id", F.when(F.col("degree") > 0, first).otherwise(0).cast("int").alias("first"), last.cast("int").alias("last"))
+    return rows.select(F.col("part").cast("int").alias("part"), "id", F.when(F.col("degree") > 0, first).otherwise(0).cast("int").alias("first"), F.greatest(last, F.lit(-1)).cast("int").alias("last"))
 
 
 def bfs(graph: Graph, roots: list[int], most: int = 64) -> DataFrame:

@@ -33,12 +33,13 @@ def vertex_violations(samples: DataFrame, seeds: DataFrame, graph: Graph, most_s
     return wrong.unionByName(empty)
 
 
-def matrix_violations(matrix: DataFrame, rows: DataFrame, cols: DataFrame, graph: Graph) -> DataFrame:
+def matrix_violations(matrix: DataFrame, rows: DataFrame, cols: DataFrame, graph: Graph, true: DataFrame | None = None) -> DataFrame:
     """(sample_id, layer, row, col, kind) of a layered matrix: ``not_edge`` entries, and
-    ``missing`` edges between rows(sample_id, layer, row, src) and cols(sample_id, layer, col, dst)."""
+    ``missing`` edges between rows(sample_id, layer, row, src) and cols(sample_id, layer, col, dst);
+    ``true`` has all of these edges' places if they are known."""
     key = ["sample_id", "layer", "row", "col"]
     entries = matrix.select(*key).distinct()
-    true = rows.join(graph.pairs, "src").join(cols, ["sample_id", "layer", "dst"]).select(*key).distinct()
+    true = (rows.join(graph.pairs, "src").join(cols, ["sample_id", "layer", "dst"]) if true is None else true).select(*key).distinct()
     wrong = entries.join(true, key, "left_anti").withColumn("kind", F.lit("not_edge"))
     return wrong.unionByName(true.join(entries, key, "left_anti").withColumn("kind", F.lit("missing")))
 

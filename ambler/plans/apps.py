@@ -142,7 +142,11 @@ def layer_matrices(graph: Graph, layers: int = LAYERS, size: int = LAYER_SIZE, s
     from all vertices; an entry says that vertex ``row`` of the layer before (the seeds
     before the first) has an edge to drawn vertex ``col``. Both layer samplers, the
     importance-free FastGCN and LADIES forms, are this."""
-    before, drawn = layer_vertices(graph, layers, size, samples, seed)
+    return layer_entries(graph, *layer_vertices(graph, layers, size, samples, seed), strategy)
+
+
+def layer_entries(graph: Graph, before: DataFrame, drawn: DataFrame, strategy: str = "auto") -> DataFrame:
+    """The entries of the matrices between ``before`` and ``drawn`` vertices of layers."""
     out = ["sample_id", "layer", "row", "col", "src", "dst"]
     if chosen(graph, strategy) == "sample":
         # the pairs of a sample's layers probe the edges, one number each, in memory
@@ -153,6 +157,11 @@ def layer_matrices(graph: Graph, layers: int = LAYERS, size: int = LAYER_SIZE, s
     return before.join(graph.pairs, "src").join(drawn, ["sample_id", "layer", "dst"]).select(*out)
 
 
+def layer_violations(graph: Graph, found: DataFrame, layers: int = LAYERS, size: int = LAYER_SIZE, samples: int = LAYER_SAMPLES, seed: int = 42) -> DataFrame:
+    before, drawn = layer_vertices(graph, layers, size, samples, seed)
+    return validate.matrix_violations(found, before, drawn, graph, layer_entries(graph, before, drawn))
+
+
 fastgcn = layer_matrices
 ladies = layer_matrices
 
@@ -185,7 +194,7 @@ def clustergcn(graph: Graph, samples: int | None = None, width: int = 16, each:
 def layer_app(layers: int = LAYERS, size: int = LAYER_SIZE, samples: int = LAYER_SAMPLES) -> SamplingApp:
     """The layer samplers without importance, FastGCN's and LADIES's uniform forms."""
     make = lambda g, seed, strategy: layer_matrices(g, layers, size, samples, seed, strategy)
-    check = lambda g, found, seed: validate.matrix_violations(found, *layer_vertices(g, layers, size, samples, seed), g)
+    check = lambda g, found, seed: layer_violations(g, found, layers, size, samples, seed)
     return SamplingApp("layer matrices", layers, size, batch_seeds(samples, size), table=make, check=check, sampling_type=SamplingType.COLLECTIVE, output=OutputFormat.ADJACENCY_MATRIX, initial_size=size)
 
 
