@@ -108,11 +108,11 @@ def chosen(graph: Graph, strategy: str) -> str:
 
 def prepared_index(graph: Graph, weighted: bool, strategy: str = "auto") -> tuple[DataFrame, bool]:
     """(index, broadcast?) for the joins of a run."""
-    index = graph.weighted_index if weighted else graph.uniform_index
+    index = (graph.weighted_index if weighted else graph.uniform_index).withColumnsRenamed({"vertex": "i_vertex", "cell": "i_cell", "dst": "vertex", "dst_degree": "v_degree", "dst_total": "v_total"})
     if chosen(graph, strategy) == "sample":
         return graph.keep(("index", weighted), lambda: index.persist(StorageLevel.MEMORY_AND_DISK)), True
     parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
-    return graph.keep(("index", weighted, parts), lambda: index.repartition(parts, "vertex", "cell").persist(StorageLevel.MEMORY_AND_DISK)), False
+    return graph.keep(("index", weighted, parts), lambda: index.repartition(parts, "i_vertex", "i_cell").persist(StorageLevel.MEMORY_AND_DISK)), False
 
 
 def start(graph: Graph, app: SamplingApp) -> DataFrame:
@@ -148,8 +148,8 @@ def hot_keys(rows: DataFrame, parts: int) -> DataFrame:
 
 def _joined(rows: DataFrame, index: DataFrame, how: Joins, weighted: bool) -> DataFrame:
     def on(left, right):
-        same = (left["__vertex"] == right["vertex"]) & (left["__cell"] == right["cell"])
-        return same & (left["__x"] > right["lo"]) & (left["__x"] <= right["hi"]) if weighted else same
+        same = (F.col("__vertex") == F.col("i_vertex")) & (F.col("__cell") == F.col("i_cell"))
+        return same & (F.col("__x") > F.col("lo")) & (F.col("__x") <= F.col("hi")) if weighted else same
 
     def join(left, right):
         return left.join(right, on(left, right), "left")
@@ -163,7 +163,7 @@ def _joined(rows: DataFrame, index: DataFrame, how: Joins, weighted: bool) -> Da
         if not hot.isEmpty():
             # the index's rows of hot keys go to every task, the walkers at them stay where they are
             key = ["__vertex", "__cell"]
-            few = index.join(F.broadcast(hot), (index["vertex"] == hot["__vertex"]) & (index["cell"] == hot["__cell"]), "left_semi")
+            few = index.join(F.broadcast(hot), (F.col("i_vertex") == F.col("__vertex")) & (F.col("i_cell") == F.col("__cell")), "left_semi")
             cold = [join(rows.join(F.broadcast(hot), key, "left_semi"), F.broadcast(few))]
             rows = rows.join(F.broadcast(hot), key, "left_anti")
     found = join(rows.hint("shuffle_hash"), index) if how.smaller else join(rows, index.hint("shuffle_hash"))
@@ -188,16 +188,25 @@ def step_join(rows: DataFrame, index: DataFrame, how: Joins, app: SamplingApp, s
         cell = F.when(alive, app.next(context)).cast("int")
     else:
         cell = F.when(alive, F.least(F.floor(context.u() * F.col("degree")), F.col("degree").cast("long") - 1)).cast("int")
-    rows = rows.withColumn("__cell", cell).drop("cell")
+    # few calls: each of them has the whole plan so far analysed again
+    rows = rows.withColumn("__cell", cell)
     # an ended row's key meets no vertex, and no other ended row's by more than chance
-    rows = rows.withColumn("__vertex", F.when(F.col("__cell").isNull(), -1 - F.pmod(F.xxhash64("sample_id"), F.lit(1 << 30)).cast("int")).otherwise(F.col("transit")))
-    rows = rows.withColumn("__cell", F.coalesce("__cell", F.lit(-1)))
-    index = index.withColumnsRenamed({"dst": "vertex_", "dst_degree": "v_degree", "dst_total": "v_total"})
-    joined = _joined(rows, index, how, app.weighted).drop("vertex", "cell", "lo", "hi", "__vertex", "__cell", "__x")
-    joined = joined.withColumnRenamed("vertex_", "vertex")
-    if "v_total" not in joined.columns:
-        joined = joined.withColumn("v_total", F.col("v_degree").cast("double"))
-    return joined
+    vertex = F.when(F.col("__cell").isNull(), -1 - F.pmod(F.xxhash64("sample_id"), F.lit(1 << 30)).cast("int")).otherwise(F.col("transit"))
+    rows = rows.withColumns({"__vertex": vertex, "__cell": F.coalesce("__cell", F.lit(-1))})
+    return _joined(rows, index, how, app.weighted)
+
+
+#: What a step's join adds besides the chosen vertex.
+KEYS = ("__vertex", "__cell", "__x", "i_vertex", "i_cell", "lo", "hi", "cell")
+
+
+def onward(rows: DataFrame, **columns) -> DataFrame:
+    """The rows of a step's join as the next step's frontier: the vertex is the transit, with its
+    degree and total; ``columns`` are set, those of the join go."""
+    total = F.coalesce("v_total", F.lit(0.0)) if "v_total" in rows.columns else F.coalesce(F.col("v_degree").cast("double"), F.lit(0.0))
+    new = {"transit": F.col("vertex"), "degree": F.coalesce("v_degree", F.lit(0)), "total": total} | columns
+    kept = [c for c in rows.columns if c not in (*KEYS, *new, "vertex", "v_degree", "v_total", "parent_slot")]
+    return rows.select(*kept, *[c.alias(name) for name, c in new.items()])
 
 
 def run(graph: Graph, app: SamplingApp, seed: int = 42, strategy: str = "auto", checkpoint_every: int = CHECKPOINT_EVERY, balance: bool = False) -> SamplingRun:
@@ -328,8 +337,7 @@ def _walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, checkpoint_e
     rows = start(graph, app).withColumn("path", F.array(F.col("transit")))
     for step in range(app.steps):
         rows = step_join(rows, index, how, app, step, seed, "slot")
-        rows = rows.withColumn("path", F.when(F.col("vertex").isNull(), F.col("path")).otherwise(F.concat("path", F.array("vertex"))))
-        rows = rows.withColumn("transit", F.col("vertex")).withColumn("degree", F.coalesce("v_degree", F.lit(0))).withColumn("total", F.coalesce("v_total", F.lit(0.0))).drop("vertex", "v_degree", "v_total")
+        rows = onward(rows, path=F.when(F.col("vertex").isNull(), F.col("path")).otherwise(F.concat("path", F.array("vertex"))))
         if checkpoint_every and (step + 1) % checkpoint_every == 0 and step + 1 < app.steps:
             rows = done.take(rows, _over())
             if rows.isEmpty():
@@ -381,7 +389,7 @@ def _stateful_walk(graph: Graph, app: SamplingApp, seed: int, strategy: str, che
     own = graph.degrees.select(F.col("id").alias("transit"), F.col("degree").alias("v_degree"), F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("degree").cast("double")).alias("v_total"))
     rows = start(graph, app).withColumn("found", F.array().cast(FOUND))
     for step in range(app.steps):
-        rows = step_join(rows, index, how, app, step, seed, "slot")
+        rows = step_join(rows, index, how, app, step, seed, "slot").drop(*KEYS)
         new = F.array(F.struct(F.lit(step).alias("step"), "transit", "vertex"))
         rows = rows.withColumn("found", F.when(F.col("vertex").isNull(), F.col("found")).otherwise(F.concat("found", new)))
         context = lambda k: StepContext(k, seed, F.col("degree"), F.col("total"), F.col("transit"), "slot", {c: F.col(c) for c in rows.columns})  # noqa: B023, E731
@@ -467,7 +475,7 @@ def _fan_out(graph: Graph, app: SamplingApp, seed: int, strategy: str, balance:
         steps.append(rows.select("sample_id", F.lit(step).alias("step"), F.col("slot").cast("long").alias("slot"), F.col("parent_slot").cast("long").alias("parent_slot"), "transit", "vertex"))
         if step + 1 < app.steps and rows.isEmpty():
             break
-        rows = rows.withColumn("transit", F.col("vertex")).withColumn("degree", F.coalesce("v_degree", F.lit(0))).withColumn("total", F.coalesce("v_total", F.lit(0.0))).drop("vertex", "v_degree", "v_total", "parent_slot")
+        rows = onward(rows)
     return functools.reduce(DataFrame.unionByName, steps)
 
 
