@@ -8,17 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The folder that the session shares, spark.checkpoint.dir; one of its own only where none is set
+    and all tasks run on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix=name)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A copy in the folder the session shares, spark.checkpoint.dir; a folder of its own
-    only where none is set."""
+    """A copy in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ambler-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "ambler-checkpoint-"))
     return df.checkpoint()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path that nothing is at yet, in the folder the session shares; one of its own only
-    where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ambler-")
-    return f"{top}/ambler/{name}-{uuid.uuid4().hex}"
+    """A path that nothing is at yet, in the shared folder."""
+    return f"{shared_folder(spark, 'ambler-')}/ambler/{name}-{uuid.uuid4().hex}"
