@@ -22,7 +22,7 @@ from .operators.storage import new_folder
 from .plans import apps
 from .plans.app import ALL_NEIGHBORS, OutputFormat, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
 from .plans.engine import run
-from .sources.graphs import edges_to_adjacency, purchase_graph, read_graph, write_adjacency, write_text_edges
+from .sources.graphs import edges_to_adjacency, purchase_graph, read_binary_edges, read_graph, write_adjacency, write_binary_edges, write_text_edges
 
 SEED = 42
 WALK, LONG = 10, 6
@@ -599,6 +599,12 @@ def _kept(g, name, write, read):
     return read(path)
 
 
+@_query(_sql("SELECT src, dst, weight FROM edges"))
+def binary_edges_round_trip(g):
+    """Ranges of 10,000 records, so that files are cut."""
+    return _kept(g, "binary", lambda p: write_binary_edges(g, p), lambda p: read_binary_edges(g.spark, p, 10_000))
+
+
 @_query(_sql("SELECT src, dst, weight FROM edges"))
 def text_edges_round_trip(g):
     return _kept(g, "text", lambda p: write_text_edges(g, p), lambda p: read_graph(g.spark, p, "edge-list", "text").edges)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import EDGE_SCHEMA, Graph
 from ..operators.scan import numbered
+from . import binary
 
 #: Records decoded at once.
 BLOCK_RECORDS = 1 << 18
@@ -28,10 +29,13 @@ def _decoded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(e["src"]), pa.array(e["dst"]), pa.array(e["weight"].astype(np.float64))], ["src", "dst", "weight"])
 
 
-def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
+def read_binary_edges(spark: SparkSession, path: str, records: int | None = None) -> DataFrame:
     """Edges from files of 12-byte little-endian records (int32, int32, float32). One large
-    file is split over tasks; a partial last record is an error. Records are joined to
-    blocks, which are decoded by columns in Arrow batches."""
+    file is split over tasks, ``records`` each; a partial last record is an error. In a store that
+    Arrow can't open, Spark reads the records, which are joined to blocks and decoded by columns."""
+    if binary.arrow_opens(path):
+        binary.register(spark)
+        return spark.read.format(binary.NAME).options(**({"records": records} if records else {})).load(path)
 
     def blocks(records):
         while block := b"".join(itertools.islice(records, BLOCK_RECORDS)):
@@ -41,6 +45,12 @@ def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(records.mapPartitions(blocks), "content binary").mapInArrow(_decoded, EDGE_SCHEMA)
 
 
+def write_binary_edges(graph: Graph, path: str) -> None:
+    """Files of such records, one for each task; weights are rounded to 32 bits."""
+    binary.register(graph.spark)
+    graph.edges.write.format(binary.NAME).mode("append").save(path)
+
+
 def read_binary_folder(spark: SparkSession, path: str) -> DataFrame:
     """The same from many moderate files, each decoded whole in one Arrow batch."""
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_decoded, EDGE_SCHEMA)

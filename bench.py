@@ -62,12 +62,14 @@ def main() -> None:
 
     spark = session(cpus)
     graph = load(spark)
-    work = {        "uniform_walk_100": lambda: run(graph, apps.uniform_walk(100)).samples,
+    work = {
+        "uniform_walk_100": lambda: run(graph, apps.uniform_walk(100)).samples,
         "uniform_walk_10": lambda: run(graph, apps.uniform_walk(10)).samples,
         "uniform_walk_10_shuffled": lambda: run(graph, apps.uniform_walk(10), strategy="transit").samples,
         "deepwalk_10": lambda: run(graph, apps.deepwalk(10, graph.n_vertices)).samples,
         "ppr_10": lambda: run(graph, apps.ppr(10, graph.n_vertices)).samples,
         "khop_25_10": lambda: run(graph, apps.khop()).samples,
+        "khop_distinct_25_10": lambda: run(graph, apps.khop_distinct()).samples,
         "layer_10_25": lambda: run(graph, apps.layer()).samples,
         "node2vec_20": lambda: apps.node2vec(graph, 20, graph.n_vertices),
         "multirw_20": lambda: apps.multirw(graph, 20, graph.n_vertices),

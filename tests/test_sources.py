@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ambler.__main__ import main
 from ambler.api import Sampler
@@ -93,3 +94,34 @@ def test_stream_of_seeds(spark, tmp_path):
     stream = spark.readStream.schema(seeds.schema).parquet(str(tmp_path / "in"))
     sample_stream(stream, g, apps.uniform_walk(3), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("sample_id").count().count() == 2
+
+
+def test_one_binary_file_is_read_by_several_tasks(spark, tmp_path):
+    many = np.zeros(1000, graphs.RECORD)
+    many["src"], many["dst"], many["weight"] = np.arange(1000), np.arange(1000)[::-1], np.arange(1000) / 4
+    path = str(tmp_path / "one.data")
+    many.tofile(path)
+    found = graphs.read_binary_edges(spark, path, 300)
+    assert found.withColumn("t", F.spark_partition_id()).groupBy("t").count().orderBy("t").select("count").collect() == [(300,), (300,), (300,), (100,)]
+    assert sorted(map(tuple, found.collect())) == [(k, 999 - k, k / 4) for k in range(1000)]
+    assert "file:" not in path and graphs.read_binary_edges(spark, f"file://{path}").count() == 1000
+    with open(path, "ab") as f:
+        f.write(b"cut")
+    with pytest.raises(Exception, match="cut"):
+        graphs.read_binary_edges(spark, path).count()
+    with pytest.raises(Exception, match="missing.data"):
+        graphs.read_binary_edges(spark, str(tmp_path / "missing.data")).count()
+
+
+def test_binary_files_round_trip(spark, tmp_path):
+    g = Graph(spark.createDataFrame([(k, (k * 7) % 50, k / 8) for k in range(50)], EDGE_SCHEMA).repartition(3))
+    path = str(tmp_path / "folder")
+    graphs.write_binary_edges(g, path)
+    assert len([f for f in (tmp_path / "folder").iterdir() if f.name.startswith("part-")]) == 3 and not [f for f in (tmp_path / "folder").iterdir() if f.name.startswith(".")]
+    assert edges(graphs.read_binary_edges(spark, path)) == edges(g.edges)
+    graphs.write_binary_edges(Graph(g.edges.limit(0)), str(tmp_path / "none"))
+    assert graphs.read_binary_edges(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="(?i)exist|fail|interrupt|zero|raise"):
+        broken = g.edges.withColumn("weight", F.when(F.col("src") == 49, F.raise_error(F.lit("zero")).cast("double")).otherwise(F.col("weight")))
+        graphs.write_binary_edges(Graph(broken), str(tmp_path / "broken"))
+    assert not [f for f in (tmp_path / "broken").iterdir() if f.name.startswith("part-")]
