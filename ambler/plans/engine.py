@@ -16,6 +16,7 @@ from __future__ import annotations
 import dataclasses
 import functools
 import itertools
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -106,11 +107,40 @@ def chosen(graph: Graph, strategy: str) -> str:
     return "sample" if fits else "transit"
 
 
+def renamed_index(graph: Graph, weighted: bool) -> DataFrame:
+    index = graph.weighted_index if weighted else graph.uniform_index
+    return index.withColumnsRenamed({"vertex": "i_vertex", "cell": "i_cell", "dst": "vertex", "dst_degree": "v_degree", "dst_total": "v_total"})
+
+
+def store_index(graph: Graph, path: str, weighted: bool = False, buckets: int | None = None) -> int:
+    """Writes the index in buckets by (vertex, cell) to a folder, for ``stored_index`` of this
+    session or later ones; gives the number of buckets, the shuffle's partitions by default. It
+    should be no less than those later, or the index is shuffled then."""
+    spark = graph.spark
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"ambler_{uuid.uuid4().hex}"
+    index = renamed_index(graph, weighted).repartition(buckets, "i_vertex", "i_cell")  # a file a bucket
+    index.write.format("parquet").bucketBy(buckets, "i_vertex", "i_cell").sortBy("i_vertex", "i_cell").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay: the folder is the caller's
+    return buckets
+
+
+def stored_index(graph: Graph, path: str, buckets: int, weighted: bool = False) -> None:
+    """Has the graph's runs by joins use an index of ``store_index``: a step shuffles the
+    frontier only, and nothing is built or persisted."""
+    spark, name = graph.spark, f"ambler_{uuid.uuid4().hex}"
+    columns = ", ".join(f"{c} {t}" for c, t in spark.read.parquet(path).dtypes)
+    spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (i_vertex, i_cell) SORTED BY (i_vertex, i_cell) INTO {buckets} BUCKETS LOCATION '{path}'")
+    graph.kept["stored", weighted] = spark.read.table(name)
+
+
 def prepared_index(graph: Graph, weighted: bool, strategy: str = "auto") -> tuple[DataFrame, bool]:
     """(index, broadcast?) for the joins of a run."""
-    index = (graph.weighted_index if weighted else graph.uniform_index).withColumnsRenamed({"vertex": "i_vertex", "cell": "i_cell", "dst": "vertex", "dst_degree": "v_degree", "dst_total": "v_total"})
+    index = renamed_index(graph, weighted)
     if chosen(graph, strategy) == "sample":
         return graph.keep(("index", weighted), lambda: index.persist(StorageLevel.MEMORY_AND_DISK)), True
+    if ("stored", weighted) in graph.kept:
+        return graph.kept["stored", weighted], False
     parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
     return graph.keep(("index", weighted, parts), lambda: index.repartition(parts, "i_vertex", "i_cell").persist(StorageLevel.MEMORY_AND_DISK)), False
 

@@ -465,6 +465,24 @@ def test_every_sampler_runs_by_name_and_checks_itself(graph, name, monkeypatch):
     assert "sample_id" in result.output().columns
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_a_stored_index_is_not_shuffled(spark, graph, tmp_path, weighted):
+    from ambler.plans import engine
+
+    app = apps.deepwalk(3, 40) if weighted else apps.uniform_walk(3)
+    columns, path = ("sample_id", "step", "transit", "vertex"), str(tmp_path / "index")
+    want = rows(run(graph(STAR + WEIGHTED), app).samples, *columns)
+    buckets = engine.store_index(graph(STAR + WEIGHTED), path, weighted)
+    g = graph(STAR + WEIGHTED)
+    engine.stored_index(g, path, buckets, weighted)
+    found = run(g, app, strategy="transit").samples
+    assert rows(found, *columns) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scans = [k for k, line in enumerate(plan.splitlines()) if "FileScan parquet" in line]
+    above = ["".join(plan.splitlines()[k - 3 : k]) for k in scans]
+    assert len(scans) >= 3 and not any("Exchange" in lines for lines in above)
+
+
 def test_release_frees_what_runs_kept(spark, graph):
     g = graph(STAR)
     run(g, apps.uniform_walk(2), strategy="transit").samples.count()
