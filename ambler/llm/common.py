@@ -41,9 +41,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none."""
+    """The folder all executors share; a local one only where the session names none and all
+    tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ambler-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -102,6 +105,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def smallest(rows: DataFrame, most: int) -> DataFrame:
+    """The ``most`` rows whose ``doc_id`` has the smallest hash. Only rows below a bound that twice
+    as many are expected under meet in one task."""
+    n, hashed = rows.count(), F.xxhash64("doc_id")
+    if n > 2 * most:
+        rows = rows.filter(hashed < -(1 << 63) + (1 << 65) * most // n)
+    return rows.orderBy(hashed, "doc_id").limit(most)
+
+
 _caches: dict[str, list] = {}
 
 

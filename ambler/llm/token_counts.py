@@ -6,9 +6,10 @@
    tokens. No ids are kept.
 3. Each document's pre-token frequencies are joined to that table, and summed.
 
-Frequencies of a document leave the task that cut it only as sums: the ``HEAVY`` most
-frequent pre-tokens (a fixed number) are broadcast, and sums over them combine before the
+Frequencies of a document leave the task that cut it only as sums: the most frequent
+pre-tokens, ``HEAVY`` at most, are broadcast, and sums over them combine before the
 shuffle. Pre-tokens beyond those, the rare ones, are joined by a shuffle of their pairs.
+What is frequent is read off a histogram of the counts, so that no task sorts pre-tokens.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Distinct pre-tokens that are broadcast with their token counts, the most frequent ones.
+#: Distinct pre-tokens that are broadcast with their token counts, at most.
 HEAVY = 200_000
+#: Cells of the histogram for each doubling of a count.
+CELLS = 16
 #: Entries a worker keeps before it starts its tables anew. A bound of memory, not of work.
 TABLE_ENTRIES = 200_000
 #: Bytes of text that are cut together, about; a longer text is cut alone.
@@ -193,6 +196,19 @@ def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     return keyed.mapInArrow(run, "row long, doc_id long, n_bytes long, piece string, times long")
 
 
+def frequent(table: DataFrame, heavy: int) -> DataFrame:
+    """The rows of ``table`` whose ``n`` is at least a bound that ``heavy`` rows at most reach. The
+    histogram has ``CELLS`` cells for each doubling, some thousand in all."""
+    cell = F.floor(F.log2("n") * CELLS)
+    rows, bound = 0, 1 << 16  # above any cell
+    for c, n in sorted(table.groupBy(cell.alias("cell")).count().collect(), reverse=True):
+        rows += n
+        if rows > heavy:
+            break
+        bound = c
+    return table.filter(cell >= bound)
+
+
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row.
 
@@ -203,7 +219,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024, heavy:
     common.prepare(docs.sparkSession)
     table = common.materialise(token_table(piece_counts(docs, tokenizer_path), tokenizer_path), "pieces")
     distinct = table.count()
-    first = table if distinct <= heavy else table.orderBy(F.desc("n"), "piece").limit(heavy)
+    first = table if distinct <= heavy else frequent(table, heavy)
     first = F.broadcast(first.select("piece", "tokens"))  # ``heavy`` rows at most
     joined = frequencies(docs, tokenizer_path).join(first, "piece", "left")
     row = ["row", "doc_id", "n_bytes"]

@@ -6,12 +6,14 @@ models back off to one Kneser-Ney model whose counts they share (continuation co
 of both classes together), with the discount's mass and ``SHARED`` more counts of it,
 so a rare expression has nearly the same likelihood in either.
 
-A toxic document is mostly ordinary words: its model draws a share ``TOXIC_SHARE`` of
-words from the toxic letters' model and the others from the ordinary one. A document's
-figure is the difference of its two log-likelihoods, by length: the mean over its words
-of log(1 - share + share * P(word | toxic) / P(word | ordinary)). A logistic scale over
-the logarithm of that figure (above its least value) turns it into a score. It is fitted
-on labelled rows of the learning fold that are left out of the counts.
+A toxic document is mostly ordinary words: its model draws a share of words from the
+toxic letters' model and the others from the ordinary one. A document's figure is the
+difference of its two log-likelihoods, by length: the mean over its words of
+log(1 - share + share * P(word | toxic) / P(word | ordinary)). A logistic scale over the
+logarithm of that figure (above its least value) turns it into a score. The scale, the
+share (one of ``SHARES``) and the share of wrong labels (one of ``NOISES``) are those
+under which the labels are likeliest of the rows of the learning fold that are left out
+of the counts; held-out rows take no part in any choice.
 
 Counts cover all other labelled rows of the learning fold and grow with them. The table
 of ratios is broadcast only while its counted rows are within ``TABLE_ROWS``; beyond it
@@ -33,8 +35,10 @@ from . import common
 ORDER = 6
 DISCOUNT = 0.75
 SHARED = 30.0
-#: Share of a toxic document's words that its model draws from the toxic letters' model.
-TOXIC_SHARE = 0.003
+#: Shares of a toxic document's words, drawn from the toxic letters' model, that are tried.
+SHARES = tuple(10 ** (-k / 2) for k in range(1, 8))
+#: Shares of wrong labels, either way, that are tried.
+NOISES = (0.002, 0.01, 0.02, 0.05, 0.1)
 #: Grams (12 bytes each in the driver and in a worker) up to which the table is broadcast.
 TABLE_ROWS = 4_000_000
 #: One labelled row of so many is left out of the counts, for the scale.
@@ -177,40 +181,39 @@ def word_ratios(words: list[str], table: tuple[np.ndarray, np.ndarray]) -> np.nd
     return np.add.reduceat(got.astype(np.float64), start)
 
 
-def mixture(ratio: np.ndarray) -> np.ndarray:
+def mixture(ratio: np.ndarray, share: float) -> np.ndarray:
     """Log of a word's likelihood in a toxic document over that in an ordinary one."""
-    return np.log(1 - TOXIC_SHARE + TOXIC_SHARE * np.exp(ratio))
+    return np.log(1 - share + share * np.exp(ratio))
 
 
 class _Chunks(dict):
-    """Chunk of text to a place in arrays of its words, their mixture and their plain ratios."""
+    """Chunk of text to a row of an array: its words, their plain ratios, and their mixture for each share."""
 
-    def __init__(self, table):
-        self.table = table
-        self.count, self.gain, self.raw = (np.zeros(0) for _ in range(3))
+    def __init__(self, table, shares):
+        self.table, self.shares = table, shares
+        self.sums = np.zeros((0, 2 + len(shares)))
 
     def learn(self, chunks) -> None:
         if len(self) > TABLE_ENTRIES:
             self.clear()
-        known = 0 if not len(self) else len(self.gain)
+        known = 0 if not len(self) else len(self.sums)
         new = [c for c in chunks if c not in self]
         lists = [words_of(c) for c in new]
         flat = [w for own in lists for w in own]
         n = np.array([len(x) for x in lists], np.int64)
         ratio = word_ratios(flat, self.table)
         of = np.repeat(np.arange(len(new)), n)
-        gain, raw = np.bincount(of, mixture(ratio), len(new)), np.bincount(of, ratio, len(new))
+        columns = [n, np.bincount(of, ratio, len(new))] + [np.bincount(of, mixture(ratio, s), len(new)) for s in self.shares]
         self.update(zip(new, range(known, known + len(new)), strict=True))
-        add = lambda old, x: np.concatenate([old[:known], x])
-        self.count, self.gain, self.raw = add(self.count, n), add(self.gain, gain), add(self.raw, raw)
+        self.sums = np.concatenate([self.sums[:known], np.column_stack(columns)])
 
 
 _chunks: dict[str, _Chunks] = common.cache(__name__, {})
 
 
-def _features(table_of):
-    """Of (doc_id, text) rows: words, log-likelihood difference of the document models, and
-    that of the letters' models alone."""
+def _features(table_of, shares):
+    """Of (doc_id, text) rows: words, log-likelihood difference of the letters' models alone, and
+    those of the document models with each of ``shares``."""
 
     name = uuid.uuid4().hex
 
@@ -218,21 +221,21 @@ def _features(table_of):
         common.only(__name__)
         if name not in _chunks:
             _chunks.clear()
-            _chunks[name] = _Chunks(table_of.value)
+            _chunks[name] = _Chunks(table_of.value, shares)
         known = _chunks[name]
         for b in batches:
             split = [t.split() for t in common.byte_texts(b.column(1))]
             known.learn({c for own in split for c in own})
-            out = np.zeros((3, len(split)))
+            out = np.zeros((len(split), 2 + len(shares)))
             for i, own in enumerate(split):
-                at = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-                out[:, i] = known.count[at].sum(), known.gain[at].sum(), known.raw[at].sum()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[0].astype(np.int64)), pa.array(out[1]), pa.array(out[2])], ["doc_id", "n_words", "gain", "log_ratio"])
+                out[i] = known.sums[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(0)
+            ends = np.arange(len(split) + 1, dtype=np.int32) * len(shares)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out[:, 0].astype(np.int64)), pa.array(out[:, 1]), pa.ListArray.from_arrays(pa.array(ends), pa.array(out[:, 2:].ravel()))], ["doc_id", "n_words", "log_ratio", "gains"])
 
     return run
 
 
-FEATURES = "doc_id long, n_words long, gain double, log_ratio double"
+FEATURES = "doc_id long, n_words long, log_ratio double, gains array<double>"
 
 
 # ------------------------------------------------------------ scoring by joins
@@ -244,7 +247,6 @@ def _doc_chunks(batches):
             own: dict[bytes, int] = {}
             for c in text.split():
                 own[c] = own.get(c, 0) + 1
-            own.setdefault(b"", 0)
             ids += [doc] * len(own)
             chunks += own.keys()
             n += own.values()
@@ -262,9 +264,10 @@ def _chunk_words(batches):
         yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.binary()), pa.array(word, pa.string()), pa.array(place, pa.int32())], ["chunk", "word", "place"])
 
 
-def features_by_joins(docs: DataFrame, ratios: DataFrame) -> DataFrame:
+def features_by_joins(docs: DataFrame, ratios: DataFrame, shares) -> DataFrame:
     """The same features without a table in memory: distinct words join the ratios of
-    their grams, documents' distinct chunks join those of their words."""
+    their grams, documents' distinct chunks join those of their words. Figures of words and
+    of chunks are written first, so that a join can be split where a word is in many rows."""
     keyed = common.materialise(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "rows")
     own = common.materialise(keyed.select("row", "text").mapInArrow(_doc_chunks, "row long, chunk binary, n long"), "document-chunks")
     words = own.select("chunk").distinct().mapInArrow(_chunk_words, "chunk binary, word string, place int")
@@ -274,14 +277,14 @@ def features_by_joins(docs: DataFrame, ratios: DataFrame) -> DataFrame:
     seen = ratios.select(F.col("gram").alias("g"), F.col("ratio").alias("r1"))
     other = ratios.select(F.col("gram").alias("h"), F.col("ratio").alias("r2"))
     scored = grams.join(seen, "g", "left").join(other, "h", "left").groupBy("word").agg(F.sum(F.coalesce("r1", "r2", F.lit(0.0)).cast("double")).alias("r"))
-    gain = F.log(1 - TOXIC_SHARE + TOXIC_SHARE * F.exp("r"))
-    chunks = words.join(scored, "word").groupBy("chunk").agg(F.count("*").alias("w"), F.sum(gain).alias("e"), F.sum("r").alias("r"))
-    sums = own.join(chunks, "chunk", "left").groupBy("row").agg(
-        F.coalesce(F.sum(F.col("n") * F.col("w")), F.lit(0)).alias("n_words"),
-        F.coalesce(F.sum(F.col("n") * F.col("e")), F.lit(0.0)).alias("gain"),
-        F.coalesce(F.sum(F.col("n") * F.col("r")), F.lit(0.0)).alias("log_ratio"),
-    )
-    return keyed.select("row", "doc_id").join(sums, "row").drop("row")
+    scored = common.materialise(scored, "word-figures")
+    gains = [F.sum(F.log(1 - s + s * F.exp("r"))).alias(f"g{k}") for k, s in enumerate(shares)]
+    chunks = common.materialise(words.join(scored, "word").groupBy("chunk").agg(F.count("*").alias("w"), F.sum("r").alias("r"), *gains), "chunk-figures")
+    times = lambda c: F.sum(F.col("n") * F.col(c))
+    sums = own.join(chunks, "chunk").groupBy("row").agg(times("w").alias("w"), times("r").alias("r"), *(times(f"g{k}").alias(f"g{k}") for k in range(len(shares))))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    found = keyed.select("row", "doc_id").join(sums, "row", "left")  # a row without words has no sums
+    return found.select("doc_id", F.coalesce("w", F.lit(0)).alias("n_words"), zero("r").alias("log_ratio"), F.array(*(zero(f"g{k}") for k in range(len(shares)))).alias("gains"))
 
 
 # ---------------------------------------------------------------------- score
@@ -290,34 +293,41 @@ def features_by_joins(docs: DataFrame, ratios: DataFrame) -> DataFrame:
 TINY = 1e-6
 
 
-#: Share of labels taken to be wrong, either way, when the scale is fitted.
-LABEL_NOISE = 0.02
-
-
-def figure(gain: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+def figure(gain: np.ndarray, n_words: np.ndarray, share: float) -> np.ndarray:
     """Logarithm of the length-normalised difference, above its least value."""
-    return np.log(np.maximum(gain / np.maximum(n_words, 1) - np.log(1 - TOXIC_SHARE), 0) + TINY)
+    return np.log(np.maximum(gain / np.maximum(n_words, 1) - np.log(1 - share), 0) + TINY)
 
 
-def fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(slope, middle) of the logistic curve that makes the labels likeliest, when a share
-    of them is wrong: the best of a grid, and of a finer one around it."""
+def fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
+    """(log-likelihood, slope, middle, share of wrong labels) of the logistic curve that makes
+    the labels likeliest: the best of a grid, and of a finer one around it."""
     order = np.argsort(x)
     x, y = x[order], y[order]
+    noise = np.array(NOISES)[:, None]
 
     def best(slopes, middles):
-        found = (-np.inf, 0.0, 0.0)
+        found = (-np.inf, 0.0, 0.0, 0.0)
         for k in slopes:
             for m in middles:
-                p = LABEL_NOISE + (1 - 2 * LABEL_NOISE) / (1 + np.exp(-np.clip(k * (x - m), -30, 30)))
-                found = max(found, (float(np.log(np.where(y == 1, p, 1 - p)).sum()), float(k), float(m)))
-        return found[1:]
+                p = noise + (1 - 2 * noise) / (1 + np.exp(-np.clip(k * (x - m), -30, 30)))
+                like = np.log(np.where(y == 1, p, 1 - p)).sum(1)
+                at = int(like.argmax())
+                found = max(found, (float(like[at]), float(k), float(m), NOISES[at]))
+        return found
 
-    k, m = best(np.exp(np.linspace(-1, 4, 16)), np.linspace(x[0], x[-1], 41))
+    _, k, m, _ = best(np.exp(np.linspace(-1, 4, 16)), np.linspace(x[0], x[-1], 41))
     step = (x[-1] - x[0]) / 40
     return best(k * np.exp(np.linspace(-0.33, 0.33, 9)), np.linspace(m - step, m + step, 21))
 
 
+def fit_model(gains: np.ndarray, n_words: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
+    """(share, slope, middle, share of wrong labels) under which the labels are likeliest; ``gains``
+    has a column for each of ``SHARES``. Of shares as good as each other the largest is taken."""
+    found = [fit_scale(figure(g, n_words, s), y) for s, g in zip(SHARES, gains.T, strict=True)]
+    at = int(np.argmax([round(f[0], 6) for f in found]))
+    return SHARES[at], *found[at][1:]
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, table_rows: int = TABLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted, n_words, gain_per_word (the figure behind the
     score) and log_ratio_per_word (of the letters' models alone) for each row.
@@ -325,7 +335,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, table_rows
     A null or empty text has the score of the figure 0, that of words which are equally
     likely in both. Where the labelled rows left out of the counts are of one class all of
     them fit the scale; without labels of both classes every score is 0. A doc_id labelled twice counts as toxic if one label says so; null labels
-    are no labels.
+    are no labels. Without a scale the share is the first of ``SHARES``.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -337,23 +347,23 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, table_rows
     table = ratios(common.materialise(gram_counts(learned), "grams"))
     if table.count() <= table_rows:
         shared = spark.sparkContext.broadcast(ratio_table(table))
-        by_table = _features(shared)
-        features = lambda d: d.select("doc_id", "text").mapInArrow(by_table, FEATURES)
+        features = lambda d, shares: d.select("doc_id", "text").mapInArrow(_features(shared, shares), FEATURES)
     else:
-        features = lambda d: features_by_joins(d, table)
+        features = lambda d, shares: features_by_joins(d, table, shares)
     for rows in (known.filter(for_scale), known):  # all of them only where those left out are of one class
-        sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SCALE_ROWS)
-        sample = features(docs.join(F.broadcast(sample), "doc_id")).join(F.broadcast(sample), "doc_id").select("gain", "n_words", "label").toArrow()
+        sample = F.broadcast(common.smallest(rows, SCALE_ROWS))
+        sample = features(docs.join(sample, "doc_id"), SHARES).join(sample, "doc_id").select("gains", "n_words", "label").toArrow()
         y = sample["label"].to_numpy()
         if len(y) and y.min() != y.max():
             break
     if len(y) == 0 or y.min() == y.max():
-        slope, middle = 0.0, None
+        share, slope, middle = SHARES[0], 0.0, None
     else:
-        slope, middle = fit_scale(figure(sample["gain"].to_numpy(), sample["n_words"].to_numpy()), y)
-    per_word = F.col("gain") / F.greatest(F.col("n_words"), F.lit(1))
-    x = F.log(F.greatest(per_word - float(np.log(1 - TOXIC_SHARE)), F.lit(0.0)) + TINY)
-    z = F.lit(-30.0) if middle is None else slope * (x - middle)
-    out = features(docs).withColumn("score", 1 / (1 + F.exp(-z)))
+        gains = sample["gains"].combine_chunks().flatten().to_numpy().reshape(-1, len(SHARES))
+        share, slope, middle, _ = fit_model(gains, sample["n_words"].to_numpy(), y)
     n = F.greatest(F.col("n_words"), F.lit(1))
+    per_word = F.col("gains")[0] / n
+    x = F.log(F.greatest(per_word - float(np.log(1 - share)), F.lit(0.0)) + TINY)
+    z = F.lit(-30.0) if middle is None else slope * (x - middle)
+    out = features(docs, (share,)).withColumn("score", 1 / (1 + F.exp(-z)))
     return out.select("doc_id", common.held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_words", per_word.alias("gain_per_word"), (F.col("log_ratio") / n).alias("log_ratio_per_word"))

@@ -277,11 +277,17 @@ def test_score_by_brute_force(spark, docs, labels):
         s = toxicity.PAD * (toxicity.ORDER - 1) + w + toxicity.END
         return sum(table.get(s[i : i + toxicity.ORDER], table.get(s[i : i + toxicity.ORDER - 1], 0.0)) for i in range(len(s) - toxicity.ORDER + 1))
 
-    share = toxicity.TOXIC_SHARE
-    gain = {k: np.mean([np.log(1 - share + share * np.exp(ratio(w))) for w in t.split()]) for k, t in rows}
-    x = {k: np.log(g - np.log(1 - share) + toxicity.TINY) for k, g in gain.items()}
-    own = sorted(scale)
-    slope, middle = toxicity.fit_scale(np.array([x[k] for k in own]), np.array([learn[k] for k in own]))
+    gain = {z: {k: np.mean([np.log(1 - z + z * np.exp(ratio(w))) for w in t.split()]) for k, t in rows} for z in toxicity.SHARES}
+    own, best = sorted(scale), (-np.inf,)
+    for z in toxicity.SHARES:
+        x = {k: np.log(g - np.log(1 - z) + toxicity.TINY) for k, g in gain[z].items()}
+        like, slope, middle, noise = toxicity.fit_scale(np.array([x[k] for k in own]), np.array([learn[k] for k in own]))
+        p = {k: noise + (1 - 2 * noise) / (1 + np.exp(-slope * (x[k] - middle))) for k in own}
+        assert like == pytest.approx(sum(np.log(p[k] if learn[k] else 1 - p[k]) for k in own), abs=1e-6)
+        if like > best[0] + 1e-6:
+            best = like, z, slope, middle, x
+    _, share, slope, middle, x = best
+    gain = gain[share]
     got = toxicity.score(docs(rows), labels(known)).collect()
     assert len(scale) > 4 and {learn[k] for k in own} == {0, 1}
     for d in got:
@@ -289,13 +295,40 @@ def test_score_by_brute_force(spark, docs, labels):
         assert d.score == pytest.approx(1 / (1 + np.exp(-slope * (x[d.doc_id] - middle))), abs=0.02)
 
 
-def test_scale_finds_the_curve_of_noisy_labels():
+@pytest.mark.parametrize("wrong", [0.01, 0.05])
+def test_scale_finds_the_curve_of_noisy_labels(wrong):
     r = np.random.default_rng(1)
     x = r.normal(0, 3, 4000)
     y = (r.random(4000) < 1 / (1 + np.exp(-2 * (x - 1)))).astype(int)
-    y = np.where(r.random(4000) < toxicity.LABEL_NOISE, 1 - y, y)
-    slope, middle = toxicity.fit_scale(x, y)
-    assert slope == pytest.approx(2, rel=0.2) and middle == pytest.approx(1, abs=0.2)
+    y = np.where(r.random(4000) < wrong, 1 - y, y)
+    _, slope, middle, noise = toxicity.fit_scale(x, y)
+    assert slope == pytest.approx(2, rel=0.2) and middle == pytest.approx(1, abs=0.2) and noise in (0.01, 0.02, 0.05, 0.1) and abs(noise - wrong) <= 0.05
+
+
+@pytest.mark.parametrize("share", [toxicity.SHARES[1], toxicity.SHARES[4]])
+def test_model_finds_the_share_that_tells_classes_apart(share):
+    """Documents of 400 words: ordinary ones have words of slightly raised ratios, toxic ones a few of high ones."""
+    r = np.random.default_rng(5)
+    y, n = (np.arange(600) % 3 == 0).astype(int), np.full(600, 400)
+    gains = np.zeros((600, len(toxicity.SHARES)))
+    for i in range(600):
+        ratio = r.normal(-0.5, 1, 400)
+        if y[i]:
+            high = r.random(400) < max(share, 0.01)
+            ratio[high] = r.normal(np.log(3 / share), 0.5, int(high.sum()))
+        gains[i] = [toxicity.mixture(ratio, s).sum() for s in toxicity.SHARES]
+    found, slope, middle, _ = toxicity.fit_model(gains, n, y)
+    like = lambda s: toxicity.fit_scale(toxicity.figure(gains[:, toxicity.SHARES.index(s)], n, s), y)[0]
+    assert all(like(found) >= like(s) - 1e-6 for s in toxicity.SHARES)
+    right = (slope * (toxicity.figure(gains[:, toxicity.SHARES.index(found)], n, found) - middle) > 0) == (y == 1)
+    assert right.mean() > 0.95
+
+
+def test_held_out_labels_change_nothing(docs, labels, judged):
+    rows, known = judged
+    turned = [(i, g, 1 - t if fold(i) == 1 else t, x) for i, g, t, x in known]
+    read = lambda k: {r.doc_id: r.score for r in toxicity.score(docs(rows), labels(k)).collect()}
+    assert turned != known and read(known) == pytest.approx(read(turned), abs=1e-9)
 
 
 def test_toxicity_edge_rows(docs, labels, judged):

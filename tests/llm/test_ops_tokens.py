@@ -48,6 +48,15 @@ def test_rare_pieces_are_joined_by_shuffle(docs):
     assert sorted(token_counts.count_tokens(ints, BYTE).collect(), key=str) == want
 
 
+def test_frequent_pieces_are_within_their_bound(spark):
+    """All rows of a count stand together, on one side of the bound or the other."""
+    counts = [5000, 900, 900, 40, 17, 17, 17, 3, 3] + [2] * 20 + [1] * 50
+    table = spark.createDataFrame([(f"p{k}", n, 1) for k, n in enumerate(counts)], "piece string, n long, tokens int")
+    for heavy, want in ((0, 0), (1, 1), (2, 1), (3, 3), (6, 4), (7, 7), (28, 9), (29, 29), (78, 29), (79, 79)):
+        got = [r.n for r in token_counts.frequent(table, heavy).collect()]
+        assert sorted(got, reverse=True) == counts[:want]
+
+
 def test_each_piece_is_counted_once(docs):
     table = token_counts.token_table(token_counts.piece_counts(docs(EDGES), BYTE), BYTE).collect()
     library, want = Tokenizer.from_file(BYTE), Counter()
