@@ -7,7 +7,9 @@ coefficient d unless n and m are within a factor d / (2 - d), and enough differe
 of the document must be the template's. A passage of n bigrams, c of them the template's,
 reaches d where 2 c - d n >= d m, so for each end the best beginning is a sliding minimum:
 the search is linear in the places of the template's bigrams. In the coefficient each
-bigram counts as often as it occurs in both. Of passages that overlap the one that shares
+bigram counts as often as it occurs in both; where a text repeats bigrams more often than
+the template within a passage's reach, overlaps are counted from each beginning that may do,
+so that no passage is lost. Of passages that overlap the one that shares
 most bigrams with its template stays, so a whole text isn't hidden by a notice inside it.
 """
 
@@ -130,6 +132,24 @@ def best_passages(places: np.ndarray, m: int, least: float) -> list[tuple[int, i
     return [(i, j) for _, i, j in sorted(found)]
 
 
+def counted_passages(places: np.ndarray, earlier: np.ndarray, m: int, least: float) -> list[tuple[int, int]]:
+    """The same where hits repeat, so that some don't count: for each first hit the last one
+    for which 2 c - least n is largest. A hit counts in the passages that begin after
+    ``earlier``, the hit since which its bigram has occurred as often as in the template."""
+    number = np.arange(len(places))
+    ends = np.searchsorted(places, places + m * (2 - least) / least - 1 + 1e-9, "right")
+    # if all hits counted and no passage were too long
+    most = np.maximum.accumulate((2 * number - least * places)[::-1])[::-1] - (2 * number - least * places) + 2 - least
+    found = []
+    for i in np.flatnonzero(most >= least * m - 1e-9).tolist():
+        own = slice(i, int(ends[i]))
+        value = 2 * np.cumsum(earlier[own] < i) - least * (places[own] - places[i] + 1)
+        j = int(value.argmax())
+        if value[j] >= least * m - 1e-9:
+            found.append((-float(value[j]), i, i + j))
+    return [(i, j) for _, i, j in sorted(found)]
+
+
 class Scanner:
     def __init__(self, texts: list[tuple[str, str]], least: float = LEAST):
         self.names, self.least = [n for n, _ in texts], least
@@ -139,20 +159,9 @@ class Scanner:
         self.size = np.array([len(r) for r in self.rows], np.int64)
         # with n >= c, 2 c / (n + m) >= least needs c >= least m / (2 - least)
         self.need = np.maximum(1, np.ceil(least * self.size / (2 - least) - 1e-9)).astype(np.int64)
-        self.apart = [self._apart(r) for r in self.rows]
         self.seen = np.zeros(_FILTER + 1, bool)
         self.seen[(self.all & np.uint64(_FILTER)).astype(np.int64)] = True
 
-    def _apart(self, row: np.ndarray) -> np.ndarray:
-        """For each bigram of all: half the least distance at which the template repeats it (half
-        its length if it doesn't). A hit nearer to the one before it is a repetition."""
-        found = np.full(len(self.all), len(row) // 2, np.int64)
-        which = np.searchsorted(self.all, row)
-        order = np.argsort(which, kind="stable")
-        same = np.flatnonzero(which[order[1:]] == which[order[:-1]])
-        np.minimum.at(found, which[order[same]], (order[same + 1] - order[same] + 1) // 2)
-        return found
-
     def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
         """(licence, coefficient, first word, words) of the licences in a text, by place."""
         grams = bigrams(text)
@@ -182,10 +191,13 @@ class Scanner:
     def _passages(self, k: int, grams: np.ndarray, hits: np.ndarray, which: np.ndarray):
         """(coefficient, first bigram, bigrams) of a template's passages, none over another."""
         order = np.argsort(which, kind="stable")
-        repeated = np.zeros(len(hits), bool)
-        near = (which[order[1:]] == which[order[:-1]]) & (hits[order[1:]] - hits[order[:-1]] < self.apart[k][which[order[1:]]])
-        repeated[order[1:][near]] = True
-        hits = hits[~repeated]
+        before = np.arange(len(hits)) - self.times[k, which[order]]
+        same = (before >= 0) & (which[order[before]] == which[order])
+        earlier = np.full(len(hits), -1)
+        earlier[order[same]] = order[before[same]]
+        longest = self.size[k] * (2 - self.least) / self.least + 1e-9
+        # a hit that some passage may hold beside as many of its bigram as the template has
+        over = (earlier >= 0) & (hits - hits[earlier] < longest)
         free, found = np.ones(len(hits), bool), []
         while True:
             more = False
@@ -194,7 +206,11 @@ class Scanner:
             for x, y in zip(cuts[::2].tolist(), cuts[1::2].tolist(), strict=True):
                 if y - x < self.need[k]:
                     continue
-                for i, j in best_passages(hits[x:y], int(self.size[k]), self.least):
+                size, repeats = int(self.size[k]), (earlier[x:y][over[x:y]] >= x).any()
+                # the first is fast, the second also finds a passage of exactly the greatest length
+                passages = [] if repeats else best_passages(hits[x:y], size, self.least)
+                passages = passages or counted_passages(hits[x:y], earlier[x:y] - x, size, self.least)
+                for i, j in passages:
                     if not (free[x + i] and free[x + j] and free[x + i : x + j + 1].all()):
                         continue
                     first, last = int(hits[x + i]), int(hits[x + j])

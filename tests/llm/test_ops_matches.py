@@ -150,6 +150,54 @@ def test_passages_by_brute_force():
     assert 50 < yes < 390
 
 
+def reaches(text, own, least):
+    """Whether any passage of a text has the coefficient, by trying all."""
+    pair = lambda t: list(zip(t, t[1:], strict=False))
+    rows, want = pair(text), Counter(pair(own))
+    m = sum(want.values())
+    for a in range(len(rows)):
+        left, c = want.copy(), 0
+        for n, row in enumerate(rows[a:], 1):
+            if left[row] > 0:
+                left[row] -= 1
+                c += 1
+            if 2 * c >= least * (n + m) - 1e-9:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("vocabulary", [2, 3, 4, 8, 15, 30])
+def test_no_passage_is_lost_among_few_different_words(vocabulary):
+    """Random texts over a few words repeat a template's bigrams more often than it does."""
+    r, letters, yes = random.Random(vocabulary), [f"w{k}" for k in range(vocabulary)], 0
+    for _ in range(350):
+        own = r.choices(letters, k=r.randint(3, 30))
+        text = r.choices(letters, k=r.randint(0, 40))
+        for _ in range(r.randint(0, 2)):
+            text += [u for u in own if r.random() > 0.1] + r.choices(letters, k=r.randint(0, 12))
+        want, got = reaches(text, own, 0.8), licenses.Scanner([("t", " ".join(own))]).scan(" ".join(text).encode())
+        assert bool(got) == want, (own, text)
+        yes += want
+        for _, d, first, n in got:
+            assert d >= 0.8 and d == pytest.approx(bag(text[first : first + n], own))
+        ends = [(first, first + n - 1) for _, _, first, n in got]  # a word may end one passage and begin the next
+        assert all(x <= y for (_, x), (y, _) in zip(ends, ends[1:], strict=False))
+    assert 100 < yes
+
+
+def test_counted_passages_by_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(100):
+        n, m, d = int(r.integers(1, 60)), int(r.integers(2, 30)), 0.8
+        places = np.flatnonzero(r.random(80) < 0.8)[:n]
+        earlier = np.array([r.integers(-1, k) if k and r.random() < 0.5 else -1 for k in range(len(places))])
+        value = lambda i, j: 2 * int((earlier[i : j + 1] < i).sum()) - d * (places[j] - places[i] + 1)  # noqa: B023, E731
+        want = {i: max(value(i, j) for j in range(i, len(places)) if places[j] - places[i] + 1 <= m * (2 - d) / d + 1e-9) for i in range(len(places))}
+        want = {i: v for i, v in want.items() if v >= d * m - 1e-9}
+        got = licenses.counted_passages(places, earlier, m, d)
+        assert sorted(i for i, _ in got) == sorted(want) and all(value(i, j) == pytest.approx(want[i]) for i, j in got)
+
+
 def test_best_passages_by_brute_force():
     r = np.random.default_rng(3)
     for _ in range(100):
