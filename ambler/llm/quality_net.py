@@ -196,13 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame):
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     vectors = spark.sparkContext.broadcast(word_vectors(docs))  # fixed size
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL").filter(common.learn_fold()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS))
+    sample = F.broadcast(common.smallest(common.materialise(known, "labels"), TRAIN_ROWS))
     got = docs.join(sample, "doc_id").select("label", "text", "doc_id").mapInArrow(_pool(vectors), "label int, x array<float>").toArrow()
     y = got["label"].to_numpy().astype(np.float64)
     if len(y) == 0 or y.min() == y.max():
         return vectors, float(y.mean()) if len(y) else 0.5
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64)
-    order = np.lexsort((*x.T[:4], y))  # rows come in any order; training needs one
+    order = np.lexsort((*x.T, y))  # rows come in any order; training needs one
     return vectors, Network(x[order], y[order])
 
 
