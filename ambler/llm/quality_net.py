@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame):
     if len(y) == 0 or y.min() == y.max():
         return vectors, float(y.mean()) if len(y) else 0.5
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64)
-    order = np.lexsort((*x.T, y))  # rows come in any order; training needs one
+    order = np.lexsort((*x.T[4:], *x.T[:4], y))  # rows come in any order; training needs one
     return vectors, Network(x[order], y[order])
 
 
