@@ -177,6 +177,38 @@ def test_ratio_by_brute_force(docs, labels, judged):
         assert r.kept == (not r.base_failed and r.log_ratio >= quality_rules.THRESHOLD)
 
 
+def test_threshold_by_brute_force(spark, docs, labels, judged):
+    """Of all cuts between labelled documents of the learning fold, a trusted one scored by
+    counts that leave it out, none misjudges less."""
+    rows, known = judged
+    label = {i: q for i, q, *_ in known if fold(i) != 1}
+    grams = {i: quality_rules.buckets_of(t.encode().split()) for i, t in rows}
+    total = lambda ids: np.bincount(np.concatenate([grams[i] for i in ids]), minlength=quality_rules.BUCKETS)
+    raw, good = total(grams), [i for i, q in label.items() if q]
+    trusted = total(good)
+    failed = {i for i, t in rows if (w := t.split()) and (len(w) < 50 or 100 * brute_base(t)[3] > 50 * len(w))}
+    ratio = {i: quality_rules.log_ratios(raw, total([g for g in good if g != i]))[grams[i]].mean() for i in label if i not in failed}
+    for i in good[:5]:
+        assert quality_rules.ratio_without(grams[i], raw, trusted) == pytest.approx(ratio[i])
+    frame = spark.createDataFrame([(i, q) for i, q in label.items()], "doc_id long, label int")
+    cut = quality_rules.fitted_threshold(docs(rows), frame, raw, trusted)
+    share = lambda c: np.mean([ratio[i] < c for i in ratio if label[i]]) + np.mean([ratio[i] >= c for i in ratio if not label[i]])
+    assert share(cut) == pytest.approx(min(share(c) for c in ratio.values()))
+    assert cut == pytest.approx((max(r for r in ratio.values() if r < cut) + min(r for r in ratio.values() if r > cut)) / 2)
+    got = {r.doc_id: r for r in quality_rules.judge(docs(rows), labels(known)).collect()}
+    assert all(r.kept == (not r.base_failed and r.log_ratio >= cut) for r in got.values())
+    turned = [(i, q if fold(i) != 1 else 1 - q, t, c) for i, q, t, c in known]
+    assert {r.doc_id: r.kept for r in quality_rules.judge(docs(rows), labels(turned)).collect()} == {i: r.kept for i, r in got.items()}
+
+
+def test_best_cuts_by_hand():
+    cut = lambda x, y: quality_rules.best_cut(np.array(x, float), np.array(y))
+    assert cut([-2, -1, 3, 4], [0, 0, 1, 1]) == 1.0
+    assert cut([-2, -1, 0, 3], [0, 1, 0, 1]) == 1.5  # -1.5 misjudges no more, but its gap is narrower
+    assert cut([1, 2], [1, 1]) is None and cut([], []) is None and cut([1, 1], [0, 1]) is None and cut([1, 2], [1, 0]) is None
+    assert cut([0, 0, 5, 5, 9], [0, 0, 1, 0, 1]) == 2.5
+
+
 def test_rules_reject_shouting_and_keep_the_clean(docs, labels, judged):
     rows, known = judged
     kept = {r.doc_id: r.kept for r in quality_rules.judge(docs(rows), labels(known)).collect()}
