@@ -559,3 +559,25 @@ def test_a_rule_that_looks_at_the_edge(graph):
     assert abs(up / (1600 * 30 / 32) - 2 / 3) < 0.05
     with pytest.raises(ValueError):
         run(graph(both), SamplingApp("x", 2, 2, one_seed_per_vertex(), weigh=lambda c: F.lit(1.0)))
+
+
+def test_planner_knows_how_many_seeds_there_are(graph):
+    g = graph(STAR)
+    size = lambda df: int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    tables = [batch_seeds(50_000, 32)(g), apps.cluster_seeds(g, 50_000), apps.root_table(g, 50_000, 100, 1), *apps.layer_vertices(g, 5, 64, 10_000)]
+    assert all(size(t) > 10 << 20 for t in tables)  # none of them is broadcast by itself
+
+
+def test_edges_are_computed_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b, _ in STAR], "src int, dst int, weight double").mapInArrow(noted, "src int, dst int, weight double")
+    g = Graph(edges)
+    run(g, apps.uniform_walk(2), strategy="transit").samples.count()
+    assert g.pairs.count() == len(STAR) and reads.value == len(STAR)
+    g.release()
