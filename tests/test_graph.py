@@ -581,3 +581,13 @@ def test_edges_are_computed_once(spark):
     run(g, apps.uniform_walk(2), strategy="transit").samples.count()
     assert g.pairs.count() == len(STAR) and reads.value == len(STAR)
     g.release()
+
+
+def test_tasks_take_more_edges_than_joins_broadcast(graph, monkeypatch):
+    from ambler.plans import engine
+
+    want = {s: rows(run(graph(STAR), apps.deepwalk(5, 40), strategy=s).samples, "sample_id", "step", "transit", "vertex") for s in ("sample", "transit")}
+    monkeypatch.setattr(engine, "BROADCAST_ROWS", 2)  # STAR has 8 edges
+    g = graph(STAR)
+    assert engine.chosen(g, "auto") == "transit" and engine.chosen(g, "auto", packed=True) == "sample"
+    assert rows(run(g, apps.deepwalk(5, 40)).samples, "sample_id", "step", "transit", "vertex") == want["sample"] == want["transit"] and g.shared
