@@ -33,8 +33,9 @@ HEAVY = 200_000
 CELLS = 16
 #: Entries a worker keeps before it starts its tables anew. A bound of memory, not of work.
 TABLE_ENTRIES = 200_000
-#: Bytes of text that are cut together, about; a longer text is cut alone.
-GROUP_BYTES = 8 << 20
+#: Bytes of text that are cut together, about; a longer text is cut alone. More at once give fewer
+#: pieces to count; the pairs of documents and pieces stay as many, and meet the broadcast table.
+GROUP_BYTES, PAIR_BYTES = 4 << 20, 2 << 20
 
 # Unicode's White_Space characters, which the tokenizer's \s matches.
 WHITE_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -182,7 +183,7 @@ def frequencies(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def run(batches):
         table = _pre_tokens(tokenizer_path)
-        for group in common.groups(batches, GROUP_BYTES):
+        for group in common.groups(batches, PAIR_BYTES):
             texts = group.column(2).combine_chunks()
             text, piece, times, names = table.cut(texts)
             size = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
