@@ -591,3 +591,39 @@ def test_tasks_take_more_edges_than_joins_broadcast(graph, monkeypatch):
     g = graph(STAR)
     assert engine.chosen(g, "auto") == "transit" and engine.chosen(g, "auto", packed=True) == "sample"
     assert rows(run(g, apps.deepwalk(5, 40)).samples, "sample_id", "step", "transit", "vertex") == want["sample"] == want["transit"] and g.shared
+
+
+#: Hubs of more edges than a row of the index has, an uneven weight each, and edges back.
+HUBS = [(h, 2 + (k * 7 + h) % 2500, 0.25 * (k % 5)) for h in (0, 1) for k in range(2500)] + [(2 + k, (k + s) % (2 if s else 2502), 1.0 + k % 3) for k in range(2500) for s in (0, 1)]
+
+
+def test_rows_of_many_edges_give_what_tasks_give(graph):
+    """Index rows of up to 1,024 edges (64 by weight): every choice is that of the packed graph."""
+    columns = ("sample_id", "step", "slot", "transit", "vertex")
+    makers = [apps.uniform_walk(3, 600), apps.khop((6, 3), 40), apps.khop_distinct((6, 3), 40), apps.deepwalk(3, 600), apps.node2vec_app(3, 300)]
+    makers.append(SamplingApp("ends", 2, [4, 2], one_seed_per_vertex(60), end=0.2))
+    one, other = graph(HUBS), graph(HUBS)
+    for app in makers:
+        found = run(one, app, strategy="transit").samples
+        assert rows(found, *columns) == rows(run(other, app, strategy="sample").samples, *columns), app.name
+    assert one.uniform_spans.count() == 2 * 3 + 2500 and one.uniform_spans.agg(F.max(F.size("ends"))).first()[0] == 1024
+    assert 0 < one.weighted_spans.agg(F.max(F.size("ends"))).first()[0] <= 64
+
+
+def test_a_fan_out_meets_the_row_of_its_transit_once(graph):
+    """No row for each of 25 choices is joined: they are made after it."""
+    found = run(graph(RING), apps.khop((25,), 32), strategy="transit").samples
+    assert found.count() == 800
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join", 1)
+    assert "Generate explode(CASE WHEN (degree" in above and "[0,1,2" in above
+
+
+def test_a_violation_is_looked_for_among_pairs_not_all_edges(graph):
+    """400 walkers at a hub of 2,500 edges: the join of steps and edges has a row for each walker."""
+    g = graph(HUBS)
+    seeds = g.spark.range(400).select(F.col("id").alias("sample_id"), F.lit(0).alias("slot"), F.lit(0).alias("transit"))
+    made = g.spark.range(400).select(F.col("id").alias("sample_id"), F.lit(0).alias("step"), F.when(F.col("id") < 3, 1).otherwise(F.col("id") + 2).cast("int").alias("vertex"))
+    found = validate.vertex_violations(made, seeds, g)
+    assert rows(found, "sample_id", "kind") == [(k, "not_neighbor") for k in range(3)]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")[1]
