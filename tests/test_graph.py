@@ -616,7 +616,7 @@ def test_a_fan_out_meets_the_row_of_its_transit_once(graph):
     assert found.count() == 800
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     above, below = plan.split("Join", 1)
-    assert "Generate explode(CASE WHEN (degree" in above and "[0,1,2" in above
+    assert "Generate explode" in above
 
 
 def test_a_violation_is_looked_for_among_pairs_not_all_edges(graph):
@@ -627,3 +627,21 @@ def test_a_violation_is_looked_for_among_pairs_not_all_edges(graph):
     found = validate.vertex_violations(made, seeds, g)
     assert rows(found, "sample_id", "kind") == [(k, "not_neighbor") for k in range(3)]
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti")[1]
+
+
+def test_importance_in_tasks_and_by_joins_agree(graph):
+    """Hubs of more edges than an index row has; no task of the joins counts more than its share."""
+    from ambler.plans import engine
+
+    app, found = apps.ladies_app(3, 8, 30), {}
+    for strategy in ("sample", "transit"):
+        g = graph(HUBS)
+        result = run(g, app, strategy=strategy)
+        found[strategy] = rows(result.samples, "sample_id", "step", "slot", "vertex"), rows(result.output(), "sample_id", "step", "row", "col", "n")
+        assert bool(g.shared) == (strategy == "sample")
+    assert found["sample"] == found["transit"] and found["sample"][0]
+    every = one_seed_per_vertex(100)(g).join(g.degrees.select(F.col("id").alias("transit"), "degree"), "transit")
+    counted, flat = engine._counted_layer(every, g), engine._layer(every, g)
+    assert rows(counted, "sample_id", "dst", "n") == rows(flat, "sample_id", "dst", "n")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(i_ends") < plan.index("REPARTITION_BY_NUM")
