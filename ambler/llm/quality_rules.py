@@ -5,9 +5,9 @@ hashed into ``BUCKETS`` buckets. Two multinomials over the buckets are counted o
 whole tables: one of trusted documents (labelled good, learning fold), one of all
 documents. A document's score is the mean log ratio of its n-grams; every document at
 or above a threshold passes. The threshold is the one that tells good from bad labelled
-documents of the learning fold best, each trusted one scored without its own counts. So
-the verdict is a function of the text, the two models and the threshold. The driver gets
-one row per bucket, and one for each of ``FIT_ROWS`` labelled documents at most.
+documents of the learning fold best, each trusted one scored without its own counts; all of
+them fit it, put in order by ranges. So the verdict is a function of the text, the two models
+and the threshold. The driver gets one row per bucket.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
@@ -28,8 +29,6 @@ SMOOTH = 1.0
 #: Mean ratio from which a document passes where no labels fit one: half a document of
 #: n-grams that trusted text never holds falls below it, rare words by themselves do not.
 THRESHOLD = -0.6
-#: Labelled documents that fit the threshold, at most; they are those of smallest hash.
-FIT_ROWS = 20_000
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -158,6 +157,29 @@ def best_cut(ratio: np.ndarray, label: np.ndarray) -> float | None:
     return float((x[k] + x[k + 1]) / 2)
 
 
+def best_cut_of(scored: DataFrame, parts: int) -> float | None:
+    """``best_cut`` of all (label, ratio) rows. Ratios are dealt to ``parts`` tasks by ranges, and sums go
+    over a range, then over the ranges, one row each."""
+    rows = scored.groupBy("ratio").agg(F.sum("label").cast("long").alias("good"), F.sum(1 - F.col("label")).cast("long").alias("bad"))
+    rows = common.materialise(rows.repartitionByRange(parts, "ratio").withColumn("part", F.spark_partition_id()), "ratios")
+    spark = scored.sparkSession
+    ranges = rows.groupBy("part").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.min("ratio").alias("least"))
+    over, before = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("part", F.coalesce(F.sum("g").over(before), F.lit(0)).alias("g"), F.coalesce(F.sum("b").over(before), F.lit(0)).alias("b"), F.lead("least").over(over).alias("follows"))
+    good, bad = rows.agg(F.sum("good"), F.sum("bad")).first()
+    found = None
+    if good and bad:
+        inside = Window.partitionBy("part").orderBy("ratio")
+        upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+        rows_ = rows.withColumns({"good": F.sum("good").over(upto), "bad": F.sum("bad").over(upto), "next": F.lead("ratio").over(inside)}).join(F.broadcast(ranges), "part")
+        wrong = (F.col("good") + F.col("g")) * bad + (bad - F.col("bad") - F.col("b")) * good  # over good * bad
+        cuts = rows_.select(wrong.alias("wrong"), "ratio", F.coalesce("next", "follows").alias("next")).filter("next IS NOT NULL").filter(F.col("wrong") < good * bad)
+        best = cuts.agg(F.min(F.struct("wrong", (F.col("ratio") - F.col("next")).alias("gap"), "ratio", "next")).alias("c")).first().c
+        found = None if best is None else (best.ratio + best.next) / 2
+    common.drop(spark, rows)
+    return found
+
+
 def fitted_threshold(docs: DataFrame, known: DataFrame, raw: np.ndarray, trusted: np.ndarray) -> float:
     """The cut between good and bad of the (doc_id, label) rows, of documents that pass the base rules."""
     spark = docs.sparkSession
@@ -178,10 +200,8 @@ def fitted_threshold(docs: DataFrame, known: DataFrame, raw: np.ndarray, trusted
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64()), strict=True)], ["doc_id", "label", "ratio"])
 
-    sample = F.broadcast(common.smallest(known, FIT_ROWS))
-    scored = docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ratio double")
-    got = scored.groupBy("doc_id", "label").agg(F.min("ratio").alias("ratio")).toArrow()  # ``FIT_ROWS`` rows at most
-    found = best_cut(got["ratio"].to_numpy(), got["label"].to_numpy().astype(np.int64))
+    scored = docs.select("doc_id", "text").join(common.broadcast_if_small(known, BROADCAST_LABELS), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ratio double")
+    found = best_cut_of(scored.groupBy("doc_id", "label").agg(F.min("ratio").alias("ratio")), common.tasks_for(known))
     return THRESHOLD if found is None else found
 
 

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas
 import pytest
 
 from ambler.llm import quality_net, quality_rules, toxicity
@@ -201,6 +202,18 @@ def test_threshold_by_brute_force(spark, docs, labels, judged):
     assert {r.doc_id: r.kept for r in quality_rules.judge(docs(rows), labels(turned)).collect()} == {i: r.kept for i, r in got.items()}
 
 
+def test_cuts_of_all_rows_are_those_of_one_array(spark):
+    """60,000 labelled rows and small tables with ties, over many ranges; none is left out."""
+    rng = np.random.default_rng(3)
+    tables = [(np.round(rng.normal(size=n), digits), rng.integers(0, 2, n)) for n, digits in ((1, 1), (2, 1), (9, 0), (40, 1), (40, 6), (300, 2))]
+    x = rng.normal(size=60_000)
+    tables += [(x, (x + rng.normal(size=60_000) > 0.7).astype(int)), (np.arange(5.0), np.ones(5, int)), (np.array([1.0, 2, 3, 4]), np.array([1, 1, 0, 0]))]
+    for ratio, label in tables:
+        frame = spark.createDataFrame(pandas.DataFrame({"label": label.astype(np.int32), "ratio": ratio}))
+        assert quality_rules.best_cut_of(frame, 7) == quality_rules.best_cut(ratio, label)
+    assert quality_rules.best_cut_of(frame.limit(0), 7) is None
+
+
 def test_best_cuts_by_hand():
     cut = lambda x, y: quality_rules.best_cut(np.array(x, float), np.array(y))
     assert cut([-2, -1, 3, 4], [0, 0, 1, 1]) == 1.0
