@@ -252,6 +252,47 @@ def test_mvs_and_clusters_of_a_ring(graph):
     assert validate.batch_violations(apps.mvs(g, 32, 2), batch_seeds(2, 32)(g), g).count() == 0
 
 
+def joined_rows(df):
+    """The most rows that a join of the plan gave."""
+    df.collect()
+    most, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        p = left.pop()
+        name = p.nodeName()
+        if "Join" in name:
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        if name == "AdaptiveSparkPlan":
+            left.append(p.executedPlan())
+        elif "QueryStage" in name:
+            left.append(p.plan())
+        else:
+            left += [p.children().apply(k) for k in range(p.children().size())]
+    return most
+
+
+@pytest.mark.parametrize("at_once", [256, 3])
+def test_induced_edges_equal_brute_force(graph, monkeypatch, at_once):
+    monkeypatch.setattr(validate, "SAMPLES", at_once)
+    edges = [(a, b, 1.0) for a in range(12) for b in range(12) if (a * 5 + b * 3) % 4]
+    g = graph(edges)
+    own = {(s, v) for s in range(40) for v in range(12) if (s + v * v) % 5}
+    members = g.spark.createDataFrame([*own, (0, 1)], "sample_id long, vertex int")
+    found = validate.induced(members, g)
+    want = sorted((s, a, b) for a, b, _ in edges for s in range(40) if (s, a) in own and (s, b) in own)
+    assert sorted(map(tuple, found.collect())) == want
+    if at_once == 256:  # a row an edge, not one for each sample of its source
+        assert joined_rows(found) == len(edges)
+
+
+def test_cluster_edges_meet_pairs_of_clusters_only(graph):
+    g = graph([(a, (a + d) % 96, 1.0) for a in range(96) for d in (1, 50)])
+    found = apps.clustergcn(g, 30)
+    clusters = lambda s: [(s * 2 + k) % 6 for k in (0, 1)]
+    want = sorted((s, a, (a + d) % 96) for s in range(30) for a in range(96) for d in (1, 50) if a // 16 in clusters(s) and (a + d) % 96 // 16 in clusters(s))
+    assert sorted(map(tuple, found.collect())) == want
+    assert joined_rows(found) == len(want)
+
+
 def test_mvs_keeps_parallel_edges_clusters_do_not(graph):
     g = graph(MULTI)
     assert apps.mvs(g, 3, 1).count() == 5
