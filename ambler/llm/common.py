@@ -9,6 +9,7 @@ same schema, and columns beyond those an operator needs are ignored.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -132,6 +133,8 @@ def only(owner: str) -> None:
     if others:
         gc.collect()
         pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # else what was freed stays with the worker
+            libc.malloc_trim(0)
 
 
 def groups(batches, most: int):

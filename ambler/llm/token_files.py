@@ -346,6 +346,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1)
 
     def run(batches):
         length, code = book.value
+        common.only("files")  # all texts are cut by now: the words go
         for b in batches:
             for row in b.to_pylist():
                 row["data"] = pack(np.frombuffer(row["data"], dtype), length, code)
@@ -374,6 +375,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
         begin[part], at = at, at + totals[part]
 
     def run(batches):
+        common.only("files")
         for b in batches:
             for row in b.to_pylist():
                 ids = unpack(row["data"], table.value)

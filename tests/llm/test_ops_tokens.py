@@ -182,3 +182,16 @@ def test_many_rows_without_an_id_are_spread(docs):
     at = sorted((r.start, r.n_tokens) for r in got)
     assert [s for s, _ in at] == [0, *np.cumsum([n for _, n in at])[:-1].tolist()]
     assert max(r.start for r in got if r.doc_id is None) < min(r.start for r in got if r.doc_id is not None)
+
+
+def test_words_leave_the_workers_that_pack_and_read(spark, monkeypatch):
+    """Tasks that write and read chunks don't hold the tokenizer's tables meanwhile."""
+    made, kind = [], type(spark.range(1))
+    own = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, *rest: (made.append(f), own(df, f, *rest))[1])
+    docs = spark.createDataFrame([(k, words(200, k)) for k in range(40)], "doc_id long, text string")
+    assert token_files.token_files(docs, WORD).count() == 40
+    assert len(made) == 3
+    for f in made[1:]:  # after the one that cuts texts
+        token_files._word_ids(WORD, "<u2").encode(b"some words")
+        assert list(f(iter([]))) == [] and not token_files._words
