@@ -9,7 +9,7 @@ from ambler.operators import validate
 from ambler.operators.graph import EDGE_SCHEMA, Graph
 from ambler.operators.scan import exclusive_scan
 from ambler.plans import apps
-from ambler.plans.app import ALL_NEIGHBORS, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
+from ambler.plans.app import ALL_NEIGHBORS, SEEDS, SamplingApp, SamplingType, batch_seeds, batches, one_seed_per_vertex
 from ambler.plans.engine import run
 
 CHAIN = [(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)]
@@ -252,6 +252,13 @@ def test_mvs_and_clusters_of_a_ring(graph):
     assert validate.batch_violations(apps.mvs(g, 32, 2), batch_seeds(2, 32)(g), g).count() == 0
 
 
+def test_a_task_has_a_bounded_number_of_walks(graph):
+    g = graph(RING)
+    seeds = one_seed_per_vertex(100 * SEEDS)(g)
+    assert seeds.rdd.getNumPartitions() >= 100
+    assert one_seed_per_vertex(5)(g).select("sample_id", "transit").collect() == [(s, s % g.n_vertices) for s in range(5)]
+
+
 def joined_rows(df):
     """The most rows that a join of the plan gave."""
     df.collect()
