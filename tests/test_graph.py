@@ -693,3 +693,28 @@ def test_importance_in_tasks_and_by_joins_agree(graph):
     assert rows(counted, "sample_id", "dst", "n") == rows(flat, "sample_id", "dst", "n")
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate explode(i_ends") < plan.index("REPARTITION_BY_NUM")
+
+
+def test_index_is_put_in_order_in_tasks_without_a_window(spark, graph, monkeypatch):
+    """Sources cut by batches, parallel edges, loops, weights of 0 and a missing source, as by ranges."""
+    edges = [(0, k % 90, float(k % 4)) for k in range(3000)] + [(v, (v * 7) % 50, 0.0) for v in range(1, 40)] + [(5, 5, 1.5), (None, 3, 1.0)] + [(41, k, float(k)) for k in range(70)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        one = graph(edges, 91)
+        assert one.n_edges > 0 and "Window" not in one.uniform_spans._jdf.queryExecution().executedPlan().toString()
+        uniform, weighted = rows(one.uniform_spans, "vertex", "cell", "ends", "far"), rows(one.weighted_spans, "vertex", "cell", "lo", "hi", "upto", "far", "far_total")
+        ends = {(r.vertex, r.cell): r.ends for r in one.weighted_spans.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one.release()
+    monkeypatch.setattr(gr, "ARRAY_VERTICES", 0)
+    one = graph(edges, 91)
+    assert rows(one.uniform_spans, "vertex", "cell", "ends", "far") == uniform
+    one.release()
+    monkeypatch.setattr(gr, "HUB_EDGES", 5)
+    two = graph(edges, 91)
+    assert two.has_hubs
+    assert rows(two.uniform_spans.filter("vertex IS NOT NULL"), "vertex", "cell", "ends", "far") == uniform
+    assert rows(two.weighted_spans.filter("vertex IS NOT NULL"), "vertex", "cell", "lo", "hi", "upto", "far", "far_total") == weighted
+    assert {(r.vertex, r.cell): r.ends for r in two.weighted_spans.filter("vertex IS NOT NULL").collect()} == ends
+    two.release()
