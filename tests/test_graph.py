@@ -702,10 +702,11 @@ def test_index_is_put_in_order_in_tasks_without_a_window(spark, graph, monkeypat
     try:
         one = graph(edges, 91)
         assert one.n_edges > 0 and "Window" not in one.uniform_spans._jdf.queryExecution().executedPlan().toString()
-        uniform, weighted = rows(one.uniform_spans, "vertex", "cell", "ends", "far"), rows(one.weighted_spans, "vertex", "cell", "lo", "hi", "upto", "far", "far_total")
-        ends = {(r.vertex, r.cell): r.ends for r in one.weighted_spans.collect()}
+        uniform, weighted = rows(one.uniform_spans, "vertex", "cell", "ends", "far"), rows(one.weighted_spans, "vertex", "cell", "lo", "hi", "upto", "ends", "far", "far_total")
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    one.release()  # what was kept is made anew
+    assert rows(one.uniform_spans, "vertex", "cell", "ends", "far") == uniform and one.arrays
     one.release()
     monkeypatch.setattr(gr, "ARRAY_VERTICES", 0)
     one = graph(edges, 91)
@@ -715,6 +716,23 @@ def test_index_is_put_in_order_in_tasks_without_a_window(spark, graph, monkeypat
     two = graph(edges, 91)
     assert two.has_hubs
     assert rows(two.uniform_spans.filter("vertex IS NOT NULL"), "vertex", "cell", "ends", "far") == uniform
-    assert rows(two.weighted_spans.filter("vertex IS NOT NULL"), "vertex", "cell", "lo", "hi", "upto", "far", "far_total") == weighted
-    assert {(r.vertex, r.cell): r.ends for r in two.weighted_spans.filter("vertex IS NOT NULL").collect()} == ends
+    assert rows(two.weighted_spans.filter("vertex IS NOT NULL"), "vertex", "cell", "lo", "hi", "upto", "ends", "far", "far_total") == weighted
     two.release()
+
+
+def test_a_walk_row_carries_few_vertices_and_steps_shared_are_found_in_one_pass(graph):
+    from ambler.plans import engine
+
+    g, app = graph(WEB), apps.uniform_walk(17)
+    found = run(g, app, strategy="transit").samples
+    assert rows(found, "sample_id", "step", "slot", "parent_slot", "transit", "vertex") == rows(run(g, app, strategy="sample").samples, "sample_id", "step", "slot", "parent_slot", "transit", "vertex")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") and plan.count("parquet") >= 17 // engine.CARRIED - 1
+    shared = fr.step_overlap(found, 2)
+    held = {(r.sample_id, r.step, r.vertex) for r in found.collect()}
+    want = {}
+    for s, k, v in held:
+        if (s, k - 2, v) in held:
+            want[s, k] = want.get((s, k), 0) + 1
+    assert {(r.sample_id, r.step): r.n_shared for r in shared.collect()} == want
+    assert shared._jdf.queryExecution().optimizedPlan().toString().count("Intersect") == 0 and "LeftSemi" not in shared._jdf.queryExecution().optimizedPlan().toString()
