@@ -736,3 +736,20 @@ def test_a_walk_row_carries_few_vertices_and_steps_shared_are_found_in_one_pass(
             want[s, k] = want.get((s, k), 0) + 1
     assert {(r.sample_id, r.step): r.n_shared for r in shared.collect()} == want
     assert shared._jdf.queryExecution().optimizedPlan().toString().count("Intersect") == 0 and "LeftSemi" not in shared._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name, each", [("deepwalk", 100), ("ppr", 100), ("node2vec", 100), ("ladies-importance", 8), ("mvs", 8), ("clustergcn", 8)])
+def test_no_count_of_samples_is_cut_on_large_graphs(graph, name, each):
+    """As many walks a vertex, and passes over the vertices, on graphs of more vertices and edges than any bound."""
+    g = graph(RING, 1 << 23)
+    g.__dict__["n_edges"] = 10**8 + 1
+    app = apps.app_of(name)
+    assert app.seeds(g).count() == each * (1 << 23)
+
+
+def test_queries_draw_as_many_batches_as_their_sql(graph):
+    from ambler import queries
+
+    g = graph(RING, 1 << 23)
+    g.__dict__["n_edges"] = 10**8 + 1
+    assert queries._batch(g).count() == queries._members(g).count() == 8 * (1 << 23)
