@@ -753,3 +753,23 @@ def test_queries_draw_as_many_batches_as_their_sql(graph):
     g = graph(RING, 1 << 23)
     g.__dict__["n_edges"] = 10**8 + 1
     assert queries._batch(g).count() == queries._members(g).count() == 8 * (1 << 23)
+
+
+def test_many_roots_by_joins_take_as_many_rounds_as_one_root_has_steps(graph, monkeypatch):
+    """Equal to the walks in tasks, with dead ends, in far fewer joins than steps; no row carries the roots."""
+    from ambler.plans import engine
+
+    g = graph([*RING, *STAR, (3, 40, 1.0)])
+    joined, made = engine._joined, []
+    monkeypatch.setattr(engine, "_joined", lambda rows, *a: made.append(rows.columns) or joined(rows, *a))
+    by_joins, in_tasks = (rows(apps.multirw(g, 40, 50, roots=30, strategy=s), "sample_id", "step", "slot", "parent_slot", "transit", "vertex") for s in ("transit", "sample"))
+    assert by_joins == in_tasks and len(by_joins) > 1000
+    assert len(made) < 12 and not any("roots" in columns for columns in made)
+
+
+def test_a_root_stays_at_an_edge_without_an_end(graph):
+    g = graph([(0, None, 1.0), (0, 1, 1.0), (1, 0, 1.0)])
+    found = rows(apps.multirw(g, 30, 20, roots=2, strategy="transit"), "sample_id", "step", "transit", "vertex")
+    assert all(v is not None for *_, v in found) and 300 < len(found) < 600
+    # a root's next transit is its vertex, or where it stayed: steps from 0 and 1 take turns but for those
+    assert {(t, v) for *_, t, v in found} == {(0, 1), (1, 0)}
