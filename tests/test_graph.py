@@ -773,3 +773,34 @@ def test_a_root_stays_at_an_edge_without_an_end(graph):
     assert all(v is not None for *_, v in found) and 300 < len(found) < 600
     # a root's next transit is its vertex, or where it stayed: steps from 0 and 1 take turns but for those
     assert {(t, v) for *_, t, v in found} == {(0, 1), (1, 0)}
+
+
+def _tangle():
+    """Two hubs that share ends with each other, parallel edges and small vertices, weighted."""
+    edges = [(0, k, 1.0 + k % 3) for k in range(1, 600)] + [(k, 0, 1.0) for k in range(1, 600)]
+    edges += [(600, k, 1.0 + k % 4) for k in range(1, 600, 2)] + [(k, 600, 2.0) for k in range(1, 600, 2)]
+    return edges + [(k, k + 1, 0.5) for k in range(1, 599)] + [(0, 600, 50.0), (600, 0, 50.0), (0, 3, 2.0)]
+
+
+def test_weighted_second_order_walks_send_lists_not_edges(graph, monkeypatch):
+    """Where previous has few edges no edge has a row of its own; with many, by keys, the walks are the same."""
+    from ambler.plans import edges
+
+    g = graph(_tangle())
+    columns, taken = ("sample_id", "step", "transit", "vertex"), {}
+    for span in (1024, 2, 100):  # all vertices are few, none is, or all but the hubs
+        monkeypatch.setattr(edges, "SPAN", span)
+        g.release()
+        for strategy in ("transit", "sample"):
+            taken[span, strategy] = rows(run(g, apps.weighted_node2vec(5), 7, strategy).samples, *columns)
+    first = taken[1024, "transit"]
+    assert len(first) == 601 * 5 and all(found == first for found in taken.values())
+    monkeypatch.setattr(edges, "SPAN", 1024)
+    g.release()
+    made = run(g, apps.weighted_node2vec(3), 7, "transit").samples
+    seen, step = [], edges._with_near
+    monkeypatch.setattr(edges, "_with_near", lambda *a: seen.append(step(*a)) or seen[-1])
+    run(g, apps.weighted_node2vec(3), 7, "transit").samples.count()
+    assert made.count() == 601 * 3
+    # a row for each range of a transit's edges, three of a hub's 601 and 300, not for each edge
+    assert all(s.count() < 601 * 4 for s in seen) and len(seen) == 2
