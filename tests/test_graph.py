@@ -804,3 +804,34 @@ def test_weighted_second_order_walks_send_lists_not_edges(graph, monkeypatch):
     assert made.count() == 601 * 3
     # a row for each range of a transit's edges, three of a hub's 601 and 300, not for each edge
     assert all(s.count() < 601 * 4 for s in seen) and len(seen) == 2
+
+
+@pytest.mark.parametrize("span, samples", [(1024, 256), (1024, 1), (1, 256), (1, 1)])
+def test_batch_violations_by_lists_and_by_pairs(spark, graph, monkeypatch, span, samples):
+    """All ways of looking up a pair and a sample, with rows twice, wrong sources and missing ends; no row of the result is twice."""
+    monkeypatch.setattr(validate, "SPAN", span)
+    monkeypatch.setattr(validate, "SAMPLES", samples)
+    edges = [(a, b, 1.0) for a in range(6) for b in range(6) if (a * b + a) % 3 != 1] + [(0, 0, 2.0), (5, 0, 3.0)]
+    members = {s: {s % 6, (s + 1) % 6, (s * s) % 6} for s in range(8)}
+    seeds = spark.createDataFrame([(s, v) for s, vs in members.items() for v in vs], "sample_id long, transit int")
+    found = [(s, a, b) for s in range(9) for a in range(6) for b in range(6) if (s + a + b) % 2] * 2 + [(0, 0, None), (0, None, 1), (1, 77, 0)]
+    pairs = {(a, b) for a, b, _ in edges}
+    due = {(s, a, b, "missing") for s, vs in members.items() for a, b in pairs if a in vs and b in vs and (s, a, b) not in found}
+    due |= {(s, a, b, "not_edge") for s, a, b in found if a not in members.get(s, ()) or (a, b) not in pairs}
+    got = validate.batch_violations(spark.createDataFrame(found, "sample_id long, src int, dst int"), seeds, graph(edges)).collect()
+    assert len(got) == len(due) and {tuple(r) for r in got} == due
+
+
+def test_batch_edges_are_not_dealt_by_sample(graph, monkeypatch):
+    """Edges of batches, of which there are many times those of the graph, meet what they are checked against where they are made."""
+    g = graph(RING, 32)
+    g.spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    g.spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wrong = validate.batch_violations(apps.mvs(g, 4), batch_seeds(64, 4)(g), g)
+        plan = wrong.filter("kind = 'not_edge'")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        g.spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        g.spark.conf.unset("spark.sql.adaptive.enabled")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "sample_id" in line and "src" in line]
+    assert not dealt, plan
