@@ -835,3 +835,36 @@ def test_batch_edges_are_not_dealt_by_sample(graph, monkeypatch):
         g.spark.conf.unset("spark.sql.adaptive.enabled")
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line and "sample_id" in line and "src" in line]
     assert not dealt, plan
+
+
+@pytest.mark.parametrize("span", [1024, 3])
+def test_roots_are_replayed_sample_by_sample(spark, graph, monkeypatch, span):
+    """Against plain Python, on walks with wrong, missing and null steps, and without a shuffle by sample and vertex."""
+    monkeypatch.setattr(validate, "SPAN", span)
+    monkeypatch.setattr(validate, "REPLAYED", 50)
+    g = graph([*STAR, (0, 1, 2.0), (5, 0, 1.0), (2, 3, 1.0)], 8)
+    pairs = {(a, b) for a, b, *_ in g.edges.collect()}
+    table = apps.root_table(g, 40, 4, 3)
+    roots = {}
+    for s, i, v in table.select("sample_id", "i", "v").collect():
+        roots.setdefault(s, {})[i] = v
+    walks = [tuple(r) for r in apps.multirw(g, 12, 40, roots=4, seed=3).select("sample_id", "step", "transit", "vertex").collect()]
+    walks = [(s, k, t, None if (s, k) == (7, 4) else v + (s * k) % 2) for s, k, t, v in walks if (s * 5 + k) % 11 and not (s % 6 == 1 and k == 0)]
+    due = [(s, k, v, "not_neighbor") for s, k, t, v in walks if (t, v) not in pairs]
+    for s, own in roots.items():
+        held, moves = list(own.values()), sorted((w for w in walks if w[0] == s), key=lambda w: w[1])
+        for _, k, t, v in moves:
+            if t not in held and held.count(t) < 1 or k == 0 and t != own[0]:
+                due.append((s, k, v, "not_held"))
+            if k > 0:
+                held.append(v)
+                held.remove(t) if t in held else held.append(("owed", t))
+                while ("owed", v) in held and v in held:
+                    held.remove(("owed", v)), held.remove(v)
+        if not any(k == 0 for _, k, *_ in moves) and any(a == own[0] for a, _ in pairs):
+            due.append((s, 0, None, "empty_step"))
+    samples = spark.createDataFrame(walks, "sample_id long, step int, transit int, vertex int")
+    found = validate.root_violations(samples, table, g)
+    order = lambda r: tuple(-9 if x is None else x for x in r)
+    assert sorted(map(tuple, found.collect()), key=order) == sorted(due, key=order) and {d[3] for d in due} == {"not_neighbor", "not_held", "empty_step"}
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
