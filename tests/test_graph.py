@@ -868,3 +868,23 @@ def test_roots_are_replayed_sample_by_sample(spark, graph, monkeypatch, span):
     order = lambda r: tuple(-9 if x is None else x for x in r)
     assert sorted(map(tuple, found.collect()), key=order) == sorted(due, key=order) and {d[3] for d in due} == {"not_neighbor", "not_held", "empty_step"}
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_importance_by_parts_of_the_graph(spark, graph, monkeypatch):
+    """Many parts, small chunks and batches, missing ends: as in tasks; no edge of a sample is shuffled."""
+    from ambler.plans import engine, local
+
+    app = apps.ladies_app(3, 8, 30)
+    columns = ("sample_id", "step", "slot", "vertex")
+    want = rows(run(graph(HUBS), app, strategy="sample").samples, *columns)
+    monkeypatch.setattr(engine, "PART_EDGES", 700)
+    monkeypatch.setattr(local, "EDGES", 900)
+    monkeypatch.setattr(local, "ROWS", 500)
+    monkeypatch.setattr(engine, "_counted_layer", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        g = graph([*HUBS, (None, 1, 1.0), (0, None, 1.0)])
+        assert g.n_edges > 3 * engine.PART_EDGES
+        assert rows(run(g, app, strategy="transit").samples, *columns) == want and want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
